@@ -51,3 +51,83 @@ WITH page_paths AS ({PAGE_PATHS}),
      page_role_members AS ({PAGE_ROLE_MEMBERS}),
      page_grants AS ({PAGE_GRANTS})
 {body}"""
+
+SHARES = """
+    SELECT 'share-' || o_orderkey AS id,
+           ['cust/' || o_custkey, 'prio/' || o_orderpriority] AS paths,
+           'c' || o_custkey || '@example.com' AS upn,
+           't' || left(o_orderpriority, 1) AS tenantId,
+           CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'P' THEN 'Pending' ELSE 'Revoked' END AS status,
+           CAST(o_orderdate AS TIMESTAMP) AS expirationTimeUtc,
+           'ws-' || left(o_orderpriority, 1) AS workspaceId,
+           'item-' || o_custkey AS itemId,
+           o_orderkey, o_custkey
+    FROM orders
+"""
+
+SHORTCUTS = """
+    SELECT 'Files/' || lower(p_type) AS path,
+           p_name || ' ' || p_partkey AS name,
+           (['OneLake', 'AmazonS3', 'AdlsGen2', 'GoogleCloudStorage', 'S3Compatible',
+             'Dataverse', 'ExternalDataShare', 'AzureBlobStorage'])[p_size % 8 + 1] AS kind,
+           'ws-' || regexp_extract(p_brand, '(\\d+)$', 1) AS ol_workspace,
+           'item-' || p_partkey AS ol_item,
+           'Tables/' || lower(p_type) AS ol_path,
+           '/' || lower(p_type) || '/' || p_partkey AS sub,
+           CAST(p_size AS VARCHAR) AS size,
+           p_partkey, p_name
+    FROM part
+"""
+
+CAPACITIES = """
+    SELECT 'cap-c' || c_custkey AS id, c_name AS displayName,
+           left(c_mktsegment, 1) || c_nationkey AS sku, 'Region-' || c_nationkey AS region,
+           CASE WHEN c_acctbal < 0 THEN 'Suspended' ELSE 'Active' END AS state
+    FROM customer
+    UNION ALL
+    SELECT 'cap-p' || p_partkey, p_name, left(p_type, 1) || p_size, 'region-' || p_size, 'Active'
+    FROM part
+"""
+
+OPERATIONS = """
+    SELECT 'op-' || event_id AS id,
+           CASE event_type WHEN 'click' THEN 'Running' WHEN 'view' THEN 'NotStarted'
+                WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' ELSE 'Cancelled' END AS status,
+           value AS percentComplete,
+           CASE WHEN event_type = 'error' AND value >= 10 THEN 'error for user ' || user_id ELSE '' END AS msg
+    FROM events
+"""
+
+POOLS = """
+    SELECT p_partkey,
+           CASE WHEN p_size = 1 THEN '' WHEN p_size > 45 THEN 'Starter Pool'
+                WHEN p_size > 40 THEN p_name || '#' ELSE p_name || ' ' || p_partkey END AS name,
+           'MemoryOptimized' AS nodeFamily,
+           CASE WHEN p_size = 2 THEN NULL ELSE 'Small' END AS nodeSize,
+           p_size % 4 AS minNodeCount, p_size % 3 AS maxNodeCount,
+           p_size = 3 AS noAllocation,
+           CASE WHEN p_size = 3 THEN NULL ELSE p_size % 5 END AS minExecutors,
+           CASE WHEN p_size = 3 THEN NULL ELSE (p_size + 1) % 4 END AS maxExecutors,
+           p_size * 30 AS inactivity, p_size % 9 AS members,
+           repeat(p_name, p_size) AS displayName,
+           CASE WHEN p_size > 40 THEN '0' || p_size || '.1.0'
+                ELSE p_size || '.0.' || p_partkey || CASE WHEN p_size > 30 THEN '-beta.1' ELSE '' END END AS version,
+           CASE WHEN p_size < 5 THEN 'not-a-guid' ELSE
+                concat_ws('-', substring(md5(p_name || p_partkey), 1, 8), substring(md5(p_name || p_partkey), 9, 4),
+                          substring(md5(p_name || p_partkey), 13, 4), substring(md5(p_name || p_partkey), 17, 4),
+                          substring(md5(p_name || p_partkey), 21, 12)) END AS guid
+    FROM part
+"""
+
+MANIFESTS = """
+    packages AS (SELECT 'pkg-' || r_regionkey AS package, 'Org.W' || r_regionkey AS workloadName FROM region),
+    items AS (SELECT 'pkg-' || n_regionkey AS package, n_name || '.xml' AS itemFile,
+                     CASE WHEN n_nationkey = 7 THEN 'Org.Other' ELSE 'Org.W' || n_regionkey END AS itemWorkloadName,
+                     CASE WHEN n_nationkey % 5 = 0 THEN 'org.W' ELSE 'Org.W' END || n_regionkey || '.Item' || n_nationkey
+                       AS typeName
+              FROM nation),
+    jobs AS (SELECT 'pkg-' || n_regionkey AS package, n_name || '.xml' AS itemFile,
+                    'Org.W' || n_regionkey || '.Item' || n_nationkey || CASE WHEN c_acctbal < 0 THEN '' ELSE '.' END
+                      || c_mktsegment || c_custkey AS jobName
+             FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""

@@ -50,3 +50,244 @@ def q_access_matrix(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     files = S.pages_files(pages).select(F.col("name").alias("path"))
     return access.access_summary(files, S.pages_roles(pages))
+
+
+# --------------------------------------------------------------------------- search
+
+from lakeops.operators import search as Q  # noqa: E402
+from lakeops.operators import quality  # noqa: E402
+
+
+@query("q_name_search", """
+SELECT p_partkey, p_name, p_type FROM part
+WHERE contains(lower(p_name), 'red') AND lower(p_type) = 'promo'
+""")
+def q_name_search(spark, sf_dir):
+    """search_catalog: filter_contains (case-insensitive) + filter_equals_ci."""
+    part = _t(spark, sf_dir, "part")
+    return Q.search_catalog(part, [Q.filter_contains("p_name", "RED"),
+                                   Q.filter_equals_ci("p_type", "promo")]
+                            ).select("p_partkey", "p_name", "p_type")
+
+
+@query("q_equals_filter", """
+SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#7' AND contains(p_name, 'ing')
+""")
+def q_equals_filter(spark, sf_dir):
+    """search_catalog: filter_equals + case-sensitive filter_contains."""
+    part = _t(spark, sf_dir, "part")
+    return Q.search_catalog(part, [Q.filter_equals("p_brand", "Brand#7"),
+                                   Q.filter_contains("p_name", "ing", case_sensitive=True)]
+                            ).select("p_partkey", "p_name")
+
+
+@query("q_flag_filter", """
+SELECT doc_id FROM labels WHERE quality = 1 AND NOT (toxic = 1)
+""")
+def q_flag_filter(spark, sf_dir):
+    """search_catalog: filter_flag and its negation over boolean label columns."""
+    labels = _t(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("isQuality"), (F.col("toxic") == 1).alias("isToxic"))
+    return Q.search_catalog(labels, [Q.filter_flag("isQuality"),
+                                     Q.filter_flag("isToxic", negate=True)]).select("doc_id")
+
+
+@query("q_share_filters", f"""
+WITH shares AS ({O.SHARES})
+SELECT id, status FROM shares
+WHERE status IN ('Active', 'Pending')
+  AND len(list_filter(paths, lambda x: contains(x, 'cust/1'))) > 0
+  AND tenantId = 't2'
+""")
+def q_share_filters(spark, sf_dir):
+    """search_catalog: filter_roles_in + filter_array_any (contains) + filter_struct_field."""
+    shares = S.orders_shares(_t(spark, sf_dir, "orders"))
+    return Q.search_catalog(shares, [
+        Q.filter_roles_in("status", ["Active", "Pending"]),
+        Q.filter_array_any("paths", "cust/1", how="contains"),
+        Q.filter_struct_field("recipient.tenantId", "t2"),
+    ]).select("id", "status")
+
+
+@query("q_share_by_path", f"""
+WITH shares AS ({O.SHARES})
+SELECT id, status FROM shares
+WHERE list_contains(paths, 'prio/1-URGENT') AND status = 'Revoked'
+""")
+def q_share_by_path(spark, sf_dir):
+    """search_catalog: filter_array_any (equals) + filter_equals; empty role list = no filter."""
+    shares = S.orders_shares(_t(spark, sf_dir, "orders"))
+    return Q.search_catalog(shares, [
+        Q.filter_array_any("paths", "prio/1-URGENT"),
+        Q.filter_equals("status", "Revoked"),
+        Q.filter_roles_in("status", []),
+    ]).select("id", "status")
+
+
+EXPIRY_AS_OF = "1997-01-01 00:00:00"
+
+
+@query("q_expired", f"""
+WITH shares AS ({O.SHARES})
+SELECT id, status FROM shares
+WHERE expirationTimeUtc < TIMESTAMP '{EXPIRY_AS_OF}'
+""")
+def q_expired(spark, sf_dir):
+    """search_catalog: filter_expired against a fixed as-of time."""
+    shares = S.orders_shares(_t(spark, sf_dir, "orders"))
+    return Q.search_catalog(shares, [Q.filter_expired("expirationTimeUtc", EXPIRY_AS_OF)]
+                            ).select("id", "status")
+
+
+@query("q_union_kind", f"""
+WITH shortcuts AS ({O.SHORTCUTS})
+SELECT path, name FROM shortcuts WHERE kind = 'OneLake' AND ol_workspace = 'ws-7'
+""")
+def q_union_kind(spark, sf_dir):
+    """search_catalog: filter_union_kind + filter_struct_field on a shortcut's target."""
+    sc = S.part_shortcuts(_t(spark, sf_dir, "part"))
+    return Q.search_catalog(sc, [Q.filter_union_kind("target", "OneLake"),
+                                 Q.filter_struct_field("target.oneLake.workspaceId", "ws-7")]
+                            ).select("path", "name")
+
+
+@query("q_delete_by_pattern", f"""
+WITH shortcuts AS ({O.SHORTCUTS})
+SELECT path, name FROM shortcuts WHERE NOT contains(lower(name), 'red') OR name IS NULL
+""")
+def q_delete_by_pattern(spark, sf_dir):
+    """delete_by_pattern: drop shortcuts whose name contains a pattern, any case."""
+    sc = S.part_shortcuts(_t(spark, sf_dir, "part"))
+    return Q.delete_by_pattern(sc, "name", "RED").select("path", "name")
+
+
+@query("q_capacity_filters", f"""
+WITH capacities AS ({O.CAPACITIES})
+SELECT id, sku FROM capacities WHERE lower(region) = 'region-7' AND state = 'Active'
+""")
+def q_capacity_filters(spark, sf_dir):
+    """search_catalog: filter_equals_ci on region + filter_equals on state."""
+    caps = S.capacities(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "part"))
+    return Q.search_catalog(caps, [Q.filter_equals_ci("region", "REGION-7"),
+                                   Q.filter_equals("state", "Active")]).select("id", "sku")
+
+
+@query("q_first_match", """
+SELECT key, c_custkey, c_name, c_mktsegment FROM (
+  SELECT lower(c_mktsegment) AS key, c_custkey, c_name, c_mktsegment,
+         row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS rn
+  FROM customer) WHERE rn = 1
+""")
+def q_first_match(spark, sf_dir):
+    """first_match: the first customer (by key) of every market segment."""
+    cust = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return Q.first_match(cust, F.lower("c_mktsegment"), "c_custkey")
+
+
+@query("q_limit_rows", """
+SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25
+""")
+def q_limit_rows(spark, sf_dir):
+    """limit_rows: the 25 customers with the highest balance (a top-k report)."""
+    cust = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return Q.limit_rows(cust, 25, [F.desc("c_acctbal"), F.asc("c_custkey")])
+
+
+# --------------------------------------------------------------------------- quality
+
+
+@query("q_bucket", f"""
+WITH capacities AS ({O.CAPACITIES})
+SELECT id, sku, CASE WHEN starts_with(sku, 'F') THEN 'Fabric' WHEN starts_with(sku, 'P') THEN 'Premium'
+                     WHEN starts_with(sku, 'A') THEN 'Azure' ELSE 'Unknown' END AS tier
+FROM capacities
+""")
+def q_bucket(spark, sf_dir):
+    """bucket_by_prefix: pricing tier from the SKU's first letter."""
+    caps = S.capacities(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "part"))
+    return quality.bucket_by_prefix(caps.select("id", "sku"), "sku", "tier")
+
+
+@query("q_run_flags", f"""
+WITH ops AS ({O.OPERATIONS}),
+     req AS (SELECT DISTINCT 'op-' || (event_id * 2) AS id FROM events)
+SELECT r.id,
+       coalesce(o.status IN ('Running', 'NotStarted'), false) AS running,
+       (o.id IS NULL OR o.status IN ('Succeeded', 'Failed')) AS complete,
+       coalesce(o.status = 'Succeeded', false) AS succeeded,
+       coalesce(o.status = 'Failed', false) AS failed,
+       o.percentComplete AS percent,
+       CASE WHEN o.status = 'Failed' THEN CASE WHEN length(o.msg) > 0 THEN o.msg ELSE 'Operation failed' END END
+         AS error_message
+FROM req r LEFT JOIN ops o ON r.id = o.id
+""")
+def q_run_flags(spark, sf_dir):
+    """run_state_flags: running/complete/succeeded/failed/percent/error per requested id."""
+    ev = _t(spark, sf_dir, "events")
+    return quality.run_state_flags(S.events_requested_ops(ev), S.events_operations(ev))
+
+
+@query("q_runs_to_cancel", """
+SELECT 'run-' || event_id AS id FROM events WHERE event_type = 'click'
+""")
+def q_runs_to_cancel(spark, sf_dir):
+    """runs_to_cancel: ids of job runs still in progress."""
+    return quality.runs_to_cancel(S.events_job_runs(_t(spark, sf_dir, "events")))
+
+
+@query("q_validate", f"""
+WITH pools AS ({O.POOLS})
+SELECT p_partkey, concat_ws('|',
+  CASE WHEN name IS NULL OR length(trim(name)) = 0 THEN 'Pool name is required' END,
+  CASE WHEN nodeFamily IS NULL THEN 'Node family is required' END,
+  CASE WHEN nodeSize IS NULL THEN 'Node size is required' END,
+  CASE WHEN noAllocation THEN 'Dynamic executor allocation configuration is required' END,
+  CASE WHEN name IS NOT NULL AND NOT (length(trim(name)) > 0 AND length(name) BETWEEN 1 AND 64
+         AND regexp_matches(name, '^[a-zA-Z0-9\\-_ ]+$') AND lower(trim(name)) <> 'starter pool')
+       THEN 'Invalid pool name' END,
+  CASE WHEN minNodeCount < 1 THEN 'Minimum node count must be at least 1' END,
+  CASE WHEN maxNodeCount < 1 THEN 'Maximum node count must be at least 1' END,
+  CASE WHEN minNodeCount > maxNodeCount THEN 'Minimum node count cannot be greater than maximum node count' END,
+  CASE WHEN minExecutors < 1 THEN 'Minimum executors must be at least 1' END,
+  CASE WHEN maxExecutors < 1 THEN 'Maximum executors must be at least 1' END,
+  CASE WHEN minExecutors > maxExecutors THEN 'Minimum executors cannot be greater than maximum executors' END,
+  CASE WHEN (CASE WHEN inactivity <> 0 THEN inactivity ELSE 1440 END)
+            NOT IN (30, 60, 90, 120, 150, 240, 360, 480, 720, 1440)
+       THEN 'Invalid inactivityMinutesBeforeSleep. Must be one of: 30, 60, 90, 120, 150, 240, 360, 480, 720, 1440' END,
+  CASE WHEN (CASE WHEN members <> 0 THEN members ELSE 1 END) NOT BETWEEN 1 AND 7
+       THEN 'numberOfMemberGateways must be between 1 and 7' END,
+  CASE WHEN length(displayName) > 200 THEN 'displayName must be 200 characters or less' END,
+  CASE WHEN NOT regexp_full_match(version, '{quality.SEMVER_PATTERN}') OR length(version) > 16
+       THEN 'version is not a valid SchemaVersion' END,
+  CASE WHEN NOT regexp_full_match(guid, '{quality.GUID_PATTERN}') THEN 'guid is not a valid Guid' END
+) AS errors
+FROM pools
+""")
+def q_validate(spark, sf_dir):
+    """validate_rows: pool, gateway and manifest-pattern rules; messages joined with '|'."""
+    pools = S.part_pools(_t(spark, sf_dir, "part"))
+    rules = (quality.pool_rules() + quality.gateway_rules()
+             + quality.manifest_rules({"version": "SchemaVersion", "guid": "Guid"}))
+    out = quality.validate_rows(pools, rules)
+    return out.select("p_partkey", F.array_join("errors", "|").alias("errors"))
+
+
+@query("q_validate_chain", f"""
+WITH {O.MANIFESTS}
+SELECT i.package, i.itemFile AS subject,
+       'Non matching WorkloadName between WorkloadManifest.xml and ' || i.itemFile AS message
+FROM items i LEFT JOIN packages p ON i.package = p.package
+WHERE i.itemWorkloadName IS DISTINCT FROM p.workloadName
+UNION ALL
+SELECT package, typeName, 'Item name''s prefix should be WorkloadName for item ' || coalesce(typeName, '')
+FROM items WHERE NOT coalesce(starts_with(typeName, itemWorkloadName || '.'), false)
+UNION ALL
+SELECT j.package, j.jobName, 'Job type name''s prefix should be ItemName for jobType ' || coalesce(j.jobName, '')
+FROM jobs j LEFT JOIN items i ON j.package = i.package AND j.itemFile = i.itemFile
+WHERE NOT coalesce(starts_with(j.jobName, i.typeName || '.'), false)
+""")
+def q_validate_chain(spark, sf_dir):
+    """validate_prefix_chain: workload → item type → job type naming rule, as violations."""
+    packages, items, jobs = S.manifest_tables(
+        _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"))
+    return quality.validate_prefix_chain(packages, items, jobs)

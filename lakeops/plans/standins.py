@@ -112,3 +112,178 @@ def pages_roles(pages: DataFrame) -> DataFrame:
         ).alias("decisionRules"),
         _members(_member(F.concat(F.lit("u-"), "scheme"))).alias("members"))
     return site.unionByName(lab).unionByName(sch)
+
+
+# --------------------------------------------------------------------------- shares
+
+def share_status(status: str = "o_orderstatus"):
+    return (F.when(F.col(status) == "O", F.lit("Active"))
+            .when(F.col(status) == "P", F.lit("Pending")).otherwise(F.lit("Revoked")))
+
+
+def orders_shares(orders: DataFrame) -> DataFrame:
+    """External data shares, one per order, in the ``shares`` schema."""
+    return orders.select(
+        F.concat(F.lit("share-"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.array(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")),
+                F.concat(F.lit("prio/"), F.col("o_orderpriority"))).alias("paths"),
+        F.struct(F.concat(F.lit("c"), F.col("o_custkey").cast("string"),
+                          F.lit("@example.com")).alias("userPrincipalName"),
+                 F.concat(F.lit("t"), F.left("o_orderpriority", F.lit(1))).alias("tenantId")
+                 ).alias("recipient"),
+        share_status().alias("status"),
+        F.col("o_orderdate").cast("timestamp").alias("expirationTimeUtc"),
+        F.concat(F.lit("ws-"), F.left("o_orderpriority", F.lit(1))).alias("workspaceId"),
+        F.concat(F.lit("item-"), F.col("o_custkey").cast("string")).alias("itemId"))
+
+
+# --------------------------------------------------------------------------- shortcuts
+
+# Target kinds of a shortcut, in the order the stand-in assigns them from p_size.
+SHORTCUT_KINDS = ("OneLake", "AmazonS3", "AdlsGen2", "GoogleCloudStorage", "S3Compatible",
+                  "Dataverse", "ExternalDataShare", "AzureBlobStorage")
+
+
+def part_shortcuts(part: DataFrame) -> DataFrame:
+    """One shortcut per part in the ``shortcuts`` schema; the kind cycles with ``p_size``."""
+    size = F.col("p_size").cast("string")
+    kind = F.element_at(F.array(*[F.lit(k) for k in SHORTCUT_KINDS]),
+                        (F.col("p_size") % len(SHORTCUT_KINDS) + 1).cast("int"))
+    sub = F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey").cast("string"))
+    brand_no = F.regexp_extract("p_brand", r"(\d+)$", 1)
+
+    def arm(name, *fields):
+        return F.when(kind == name, F.struct(*fields))
+
+    conn = F.concat(F.lit("conn-"), size).alias("connectionId")
+    target = F.struct(
+        kind.alias("type"),
+        arm("OneLake", F.concat(F.lit("item-"), F.col("p_partkey").cast("string")).alias("itemId"),
+            F.concat(F.lit("ws-"), brand_no).alias("workspaceId"),
+            F.concat(F.lit("Tables/"), F.lower("p_type")).alias("path"),
+            F.lit(None).cast("string").alias("connectionId")).alias("oneLake"),
+        arm("AmazonS3", F.concat(F.lit("https://bucket"), size, F.lit(".s3.amazonaws.com")).alias("location"),
+            sub.alias("subpath"), conn).alias("amazonS3"),
+        arm("AdlsGen2", F.concat(F.lit("https://acct"), size, F.lit(".dfs.core.windows.net")).alias("location"),
+            F.concat(F.lit("/data"), sub).alias("subpath"), conn).alias("adlsGen2"),
+        arm("GoogleCloudStorage", F.concat(F.lit("https://gcs"), size, F.lit(".storage.googleapis.com")).alias("location"),
+            sub.alias("subpath"), conn).alias("googleCloudStorage"),
+        arm("S3Compatible", F.lit("https://minio.example.com").alias("location"),
+            sub.alias("subpath"), F.concat(F.lit("b"), size).alias("bucket"), conn).alias("s3Compatible"),
+        arm("Dataverse", F.lit("org.example.com").alias("environmentDomain"), conn,
+            F.lit("deltalake").alias("deltaLakeFolder"), F.col("p_name").alias("tableName")).alias("dataverse"),
+        arm("ExternalDataShare", conn).alias("externalDataShare"),
+        arm("AzureBlobStorage", F.concat(F.lit("https://blob"), size, F.lit(".blob.core.windows.net")).alias("location"),
+            F.concat(F.lit("/data"), sub).alias("subpath"), conn).alias("azureBlobStorage"))
+    return part.select(
+        F.concat(F.lit("Files/"), F.lower("p_type")).alias("path"),
+        F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("name"),
+        target.alias("target"))
+
+
+# --------------------------------------------------------------------------- capacities
+
+def capacities(customer: DataFrame, part: DataFrame) -> DataFrame:
+    """Capacities from customers and parts: ``id, displayName, sku, region, state``."""
+    c = customer.select(
+        F.concat(F.lit("cap-c"), F.col("c_custkey").cast("string")).alias("id"),
+        F.col("c_name").alias("displayName"),
+        F.concat(F.left("c_mktsegment", F.lit(1)), F.col("c_nationkey").cast("string")).alias("sku"),
+        F.concat(F.lit("Region-"), F.col("c_nationkey").cast("string")).alias("region"),
+        F.when(F.col("c_acctbal") < 0, F.lit("Suspended")).otherwise(F.lit("Active")).alias("state"))
+    p = part.select(
+        F.concat(F.lit("cap-p"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("displayName"),
+        F.concat(F.left("p_type", F.lit(1)), F.col("p_size").cast("string")).alias("sku"),
+        F.concat(F.lit("region-"), F.col("p_size").cast("string")).alias("region"),
+        F.lit("Active").alias("state"))
+    return c.unionByName(p)
+
+
+# --------------------------------------------------------------------------- runs
+
+def events_operations(events: DataFrame) -> DataFrame:
+    """Long-running operations: ``id, status, percentComplete, error``."""
+    et = F.col("event_type")
+    status = (F.when(et == "click", "Running").when(et == "view", "NotStarted")
+              .when(et == "purchase", "Succeeded").when(et == "error", "Failed")
+              .otherwise("Cancelled"))
+    msg = F.when((et == "error") & (F.col("value") >= 10),
+                 F.concat(F.lit("error for user "), F.col("user_id").cast("string"))).otherwise(F.lit(""))
+    return events.select(
+        F.concat(F.lit("op-"), F.col("event_id").cast("string")).alias("id"),
+        status.alias("status"),
+        F.col("value").alias("percentComplete"),
+        F.struct(F.lit("E1").alias("code"), msg.alias("message")).alias("error"))
+
+
+def events_requested_ops(events: DataFrame) -> DataFrame:
+    """Requested operation ids: ``op-<2 × event_id>``, so some have no operation row."""
+    return events.select(F.concat(F.lit("op-"), (F.col("event_id") * 2).cast("string")).alias("id"))
+
+
+def events_job_runs(events: DataFrame) -> DataFrame:
+    et = F.col("event_type")
+    status = (F.when(et == "click", "InProgress").when(et == "view", "NotStarted")
+              .when(et == "purchase", "Completed").when(et == "error", "Failed")
+              .otherwise("Cancelled"))
+    return events.select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("item-"), F.col("user_id").cast("string")).alias("itemId"),
+        status.alias("status"))
+
+
+# --------------------------------------------------------------------------- rule inputs
+
+def part_pools(part: DataFrame) -> DataFrame:
+    """Spark pool definitions plus gateway and manifest fields, one row per part."""
+    size = F.col("p_size")
+    name = (F.when(size == 1, F.lit("")).when(size > 45, F.lit("Starter Pool"))
+            .when(size > 40, F.concat(F.col("p_name"), F.lit("#")))
+            .otherwise(F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))))
+    md5 = F.md5(F.concat(F.col("p_name"), F.col("p_partkey").cast("string")))
+    guid = F.when(size < 5, F.lit("not-a-guid")).otherwise(F.concat_ws(
+        "-", F.substring(md5, 1, 8), F.substring(md5, 9, 4), F.substring(md5, 13, 4),
+        F.substring(md5, 17, 4), F.substring(md5, 21, 12)))
+    version = F.when(size > 40, F.concat(F.lit("0"), size.cast("string"), F.lit(".1.0"))).otherwise(
+        F.concat(size.cast("string"), F.lit(".0."), F.col("p_partkey").cast("string"),
+                 F.when(size > 30, F.lit("-beta.1")).otherwise(F.lit(""))))
+    return part.select(
+        "p_partkey",
+        name.alias("name"),
+        F.lit("MemoryOptimized").alias("nodeFamily"),
+        F.when(size == 2, F.lit(None)).otherwise(F.lit("Small")).alias("nodeSize"),
+        F.struct(F.lit(True).alias("enabled"), (size % 4).alias("minNodeCount"),
+                 (size % 3).alias("maxNodeCount")).alias("autoScale"),
+        F.when(size == 3, F.lit(None)).otherwise(F.struct(
+            F.lit(True).alias("enabled"), (size % 5).alias("minExecutors"),
+            ((size + 1) % 4).alias("maxExecutors"))).alias("dynamicExecutorAllocation"),
+        (size * 30).alias("inactivityMinutesBeforeSleep"),
+        (size % 9).alias("numberOfMemberGateways"),
+        F.repeat(F.col("p_name"), size).alias("displayName"),
+        version.alias("version"),
+        guid.alias("guid"))
+
+
+def manifest_tables(region: DataFrame, nation: DataFrame, customer: DataFrame):
+    """Workload packages (regions), item manifests (nations), job types (customers)."""
+    packages = region.select(
+        F.concat(F.lit("pkg-"), F.col("r_regionkey").cast("string")).alias("package"),
+        F.concat(F.lit("Org.W"), F.col("r_regionkey").cast("string")).alias("workloadName"))
+    rk, nk = F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")
+    items = nation.select(
+        F.concat(F.lit("pkg-"), rk).alias("package"),
+        F.concat(F.col("n_name"), F.lit(".xml")).alias("itemFile"),
+        F.when(F.col("n_nationkey") == 7, F.lit("Org.Other"))
+         .otherwise(F.concat(F.lit("Org.W"), rk)).alias("itemWorkloadName"),
+        F.concat(F.when(F.col("n_nationkey") % 5 == 0, F.lit("org.W")).otherwise(F.lit("Org.W")),
+                 rk, F.lit(".Item"), nk).alias("typeName"))
+    cn = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    jobs = cn.select(
+        F.concat(F.lit("pkg-"), F.col("n_regionkey").cast("string")).alias("package"),
+        F.concat(F.col("n_name"), F.lit(".xml")).alias("itemFile"),
+        F.concat(F.lit("Org.W"), F.col("n_regionkey").cast("string"), F.lit(".Item"),
+                 F.col("n_nationkey").cast("string"),
+                 F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit(".")),
+                 F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("jobName"))
+    return packages, items, jobs
