@@ -131,3 +131,47 @@ MANIFESTS = """
                       || c_mktsegment || c_custkey AS jobName
              FROM customer JOIN nation ON c_nationkey = n_nationkey)
 """
+
+# pages_listing(): page files plus every folder between pages/Files and the file.
+PAGE_LISTING = """
+    SELECT path AS name, false AS isDirectory FROM page_paths
+    UNION ALL
+    SELECT DISTINCT array_to_string(s[1:k], '/'), true
+    FROM (SELECT string_split(path, '/') AS s FROM page_paths) t, unnest(range(3, len(s))) AS u(k)
+"""
+
+GEO_FOLDERS = """
+    SELECT 'r' || r_regionkey AS id, r_name AS displayName, CAST(NULL AS VARCHAR) AS parentFolderId FROM region
+    UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer
+"""
+
+GEO_MOVES = """
+    SELECT 'n' || n_nationkey AS id, CAST(NULL AS VARCHAR) AS target FROM nation WHERE starts_with(n_name, 'A')
+    UNION ALL SELECT 'r' || n_regionkey, 'n' || min(n_nationkey) FROM nation GROUP BY n_regionkey
+    UNION ALL SELECT 'c' || c_custkey, 'n' || ((c_nationkey + 1) % 25) FROM customer WHERE c_acctbal < 0
+"""
+
+PAGE_DIR_SEGMENTS = """string_split(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^?#]*)', 1), '/+$', ''), '/')"""
+
+DOCS_LISTING = """
+    SELECT 'docs/Tables/' || lang || '/' || source || '/part-' || doc_id || '.parquet' AS name,
+           false AS isShortcut, CAST(NULL AS VARCHAR) AS accountType FROM documents
+    UNION ALL SELECT DISTINCT 'docs/Tables/' || lang || '/' || source || '/_delta_log', false, NULL FROM documents
+    UNION ALL SELECT DISTINCT 'docs/Tables/' || source || '_flat/_delta_log', false, NULL FROM documents
+    UNION ALL SELECT DISTINCT 'docs/Tables/archive/' || lang || '/old/_delta_log', false, NULL FROM documents
+    UNION ALL SELECT DISTINCT 'docs/Tables/ext_' || source, true,
+           CASE WHEN ends_with(source, '1') THEN 'ADLS' WHEN ends_with(source, '2') THEN 'ExternalADLS'
+                ELSE 'S3' END FROM documents
+"""
+
+# discover_tables() over DOCS_LISTING, stated directly.
+DOCS_TABLES = """
+    SELECT 'Tables' AS rootFolder, tp[len(tp)] AS name,
+           regexp_replace(array_to_string(tp, '/'), '^[^/]*/?', '') || '/' AS relativePath,
+           CASE WHEN len(tp) = 4 THEN tp[3] END AS schema
+    FROM (SELECT CASE WHEN ends_with(name, '/_delta_log') THEN string_split(name, '/')[1:-2]
+                      ELSE string_split(name, '/') END AS tp
+          FROM docs_listing
+          WHERE ends_with(name, '/_delta_log') OR (isShortcut AND accountType IN ('ADLS', 'ExternalADLS')))
+"""

@@ -291,3 +291,179 @@ def q_validate_chain(spark, sf_dir):
     packages, items, jobs = S.manifest_tables(
         _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"))
     return quality.validate_prefix_chain(packages, items, jobs)
+
+
+# --------------------------------------------------------------------------- paths
+
+from lakeops.operators import hierarchy as H  # noqa: E402
+from lakeops.operators import paths as P  # noqa: E402
+
+_PAGE_LISTING_CTES = f"""
+WITH page_paths AS ({O.PAGE_PATHS}),
+     listing AS ({O.PAGE_LISTING}),
+     parts AS (SELECT string_split(name, '/')[-1] AS name,
+                      regexp_replace(name, '^[^/]*/?', '') AS relativePath, isDirectory
+               FROM listing)
+"""
+
+
+@query("q_path_parts", _PAGE_LISTING_CTES + """
+SELECT 'Files' AS rootFolder, name, relativePath, isDirectory, CAST(false AS BOOLEAN) AS isShortcut FROM parts
+""")
+def q_path_parts(spark, sf_dir):
+    """path_parts: name and item-relative path of every entry below pages/Files."""
+    return P.path_parts(S.pages_listing(_t(spark, sf_dir, "pages")))
+
+
+@query("q_list_directory", _PAGE_LISTING_CTES + """
+SELECT 'Files' AS rootFolder, name, relativePath, isDirectory, CAST(false AS BOOLEAN) AS isShortcut
+FROM parts WHERE len(string_split(relativePath, '/')) = 2
+""")
+def q_list_directory(spark, sf_dir):
+    """list_directory: the entries directly inside pages/Files (one per host)."""
+    return P.list_directory(S.pages_listing(_t(spark, sf_dir, "pages")), "pages", "Files")
+
+
+@query("q_tree", _PAGE_LISTING_CTES + """
+, nodes AS (SELECT relativePath, name, isDirectory,
+                   list_filter(string_split(relativePath, '/'), lambda s: s <> '') AS segs FROM parts)
+SELECT n.relativePath, n.name, n.isDirectory,
+       CASE WHEN d.relativePath IS NOT NULL THEN d.relativePath END AS parentPath,
+       len(n.segs) AS depth
+FROM nodes n LEFT JOIN (SELECT relativePath FROM parts WHERE isDirectory) d
+  ON len(n.segs) > 1 AND d.relativePath = array_to_string(n.segs[1:len(n.segs) - 1], '/')
+""")
+def q_tree(spark, sf_dir):
+    """build_tree: parent folder (or root) of every entry, siblings folders-first by name."""
+    files = P.path_parts(S.pages_listing(_t(spark, sf_dir, "pages")))
+    return P.build_tree(files)
+
+
+@query("q_expand_shortcut", _PAGE_LISTING_CTES + """
+, hosts AS (SELECT DISTINCT string_split(name, '/')[3] AS host FROM listing)
+SELECT 'Files/mirror/' || h.host AS shortcutPath, string_split(l.name, '/')[-1] AS name,
+       'Files/mirror/' || h.host || '/' || substring(l.name, length('pages/Files/' || h.host) + 2) AS relativePath,
+       l.isDirectory, CAST(NULL AS BOOLEAN) AS isShortcut
+FROM listing l JOIN hosts h ON starts_with(l.name, 'pages/Files/' || h.host || '/')
+""")
+def q_expand_shortcut(spark, sf_dir):
+    """expand_shortcut: a mirror shortcut per host, its contents re-rooted beneath it."""
+    pages = _t(spark, sf_dir, "pages")
+    listing = S.pages_listing(pages).drop("isShortcut")
+    hosts = pages.select(S.url_host().alias("host")).distinct()
+    shortcuts = hosts.select(F.concat(F.lit("Files/mirror/"), "host").alias("shortcutPath"),
+                             F.concat(F.lit("pages/Files/"), "host").alias("targetRoot"))
+    return P.expand_shortcut(listing, shortcuts)
+
+
+@query("q_discover_tables", f"""
+WITH docs_listing AS ({O.DOCS_LISTING})
+{O.DOCS_TABLES}
+""")
+def q_discover_tables(spark, sf_dir):
+    """discover_tables: _delta_log folders and ADLS shortcuts in a Tables/ listing."""
+    return P.discover_tables(S.docs_listing(_t(spark, sf_dir, "documents")))
+
+
+@query("q_tables_by_schema", f"""
+WITH docs_listing AS ({O.DOCS_LISTING}), t AS ({O.DOCS_TABLES})
+SELECT t.schema, t.name, t.relativePath, c.n_tables
+FROM t JOIN (SELECT schema, count(*) AS n_tables FROM t GROUP BY schema) c
+  ON t.schema IS NOT DISTINCT FROM c.schema
+""")
+def q_tables_by_schema(spark, sf_dir):
+    """tables_by_schema: discovered tables under their schema, with per-schema counts."""
+    return P.tables_by_schema(P.discover_tables(S.docs_listing(_t(spark, sf_dir, "documents"))))
+
+
+# --------------------------------------------------------------------------- hierarchy
+
+_GEO_CTES = f"""
+WITH RECURSIVE folders AS ({O.GEO_FOLDERS}),
+walk(id, path, depth) AS (
+  SELECT id, displayName, 1 FROM folders f
+  WHERE parentFolderId IS NULL OR parentFolderId NOT IN (SELECT id FROM folders)
+  UNION ALL
+  SELECT f.id, w.path || '/' || f.displayName, w.depth + 1 FROM folders f JOIN walk w ON f.parentFolderId = w.id)
+"""
+
+
+def _geo(spark, sf_dir):
+    return S.geo_folders(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation"),
+                         _t(spark, sf_dir, "customer"))
+
+
+@query("q_folder_path", _GEO_CTES + "SELECT id, path, depth FROM walk")
+def q_folder_path(spark, sf_dir):
+    """folder_path: names from the root to every folder of region → nation → customer."""
+    fp = H.folder_path(_geo(spark, sf_dir))
+    return fp.select("id", F.array_join("path", "/").alias("path"), "depth")
+
+
+@query("q_folder_subtree", f"""
+WITH RECURSIVE folders AS ({O.GEO_FOLDERS}),
+sub(id, depth) AS (
+  SELECT id, 1 FROM folders WHERE parentFolderId = 'r1'
+  UNION ALL SELECT f.id, s.depth + 1 FROM folders f JOIN sub s ON f.parentFolderId = s.id)
+SELECT f.id, f.displayName, s.depth FROM sub s JOIN folders f ON f.id = s.id
+""")
+def q_folder_subtree(spark, sf_dir):
+    """folder_subtree (recursive): everything below region 1."""
+    return H.folder_subtree(_geo(spark, sf_dir), "r1").select("id", "displayName", "depth")
+
+
+@query("q_folder_children", f"""
+WITH folders AS ({O.GEO_FOLDERS})
+SELECT id, displayName, 1 AS depth FROM folders WHERE parentFolderId = 'r1'
+""")
+def q_folder_children(spark, sf_dir):
+    """folder_subtree (direct children only) of region 1."""
+    return H.folder_subtree(_geo(spark, sf_dir), "r1", recursive=False).select(
+        "id", "displayName", "depth")
+
+
+@query("q_empty_folders", """
+SELECT 'c' || c_custkey AS id FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
+UNION ALL SELECT 'o' || o_orderkey FROM orders
+""")
+def q_empty_folders(spark, sf_dir):
+    """empty_folders: customer folders without order folders, and every order folder."""
+    f = S.order_folders(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"))
+    return H.empty_folders(f).select("id")
+
+
+@query("q_ensure_folders", f"""
+WITH req AS (SELECT {O.PAGE_DIR_SEGMENTS} AS s FROM pages),
+     https AS (SELECT {O.PAGE_DIR_SEGMENTS} AS s FROM pages WHERE regexp_extract(url, '^([A-Za-z]+)://', 1) = 'https'),
+     want AS (SELECT DISTINCT s[1:k] AS p FROM req, unnest(range(1, len(s) + 1)) AS u(k)),
+     have AS (SELECT DISTINCT s[1:k] AS p FROM https, unnest(range(1, len(s) + 1)) AS u(k))
+SELECT array_to_string(p, '/') AS pathText, p[len(p)] AS displayName
+FROM want WHERE p NOT IN (SELECT p FROM have)
+""")
+def q_ensure_folders(spark, sf_dir):
+    """ensure_folder_paths: folders to create so every page's folder path exists, given
+    the folders of the https pages."""
+    pages = _t(spark, sf_dir, "pages")
+    created, _ = H.ensure_folder_paths(S.https_page_folders(pages), S.page_folder_requests(pages))
+    return created.select("pathText", "displayName")
+
+
+@query("q_move_nodes", f"""
+WITH RECURSIVE folders AS ({O.GEO_FOLDERS}), moves AS ({O.GEO_MOVES}),
+applied AS (SELECT f.id, CASE WHEN m.id IS NOT NULL THEN m.target ELSE f.parentFolderId END AS parent
+            FROM folders f LEFT JOIN moves m ON f.id = m.id),
+reach(id) AS (SELECT id FROM applied WHERE parent IS NULL OR parent NOT IN (SELECT id FROM applied)
+              UNION ALL SELECT a.id FROM applied a JOIN reach r ON a.parent = r.id),
+ok AS (SELECT m.* FROM moves m WHERE m.id IN (SELECT id FROM reach))
+SELECT f.id, f.displayName,
+       CASE WHEN ok.id IS NOT NULL THEN ok.target ELSE f.parentFolderId END AS parentFolderId,
+       ok.id IS NOT NULL AS moved,
+       (f.id IN (SELECT id FROM moves) AND ok.id IS NULL) AS rejected
+FROM folders f LEFT JOIN ok ON f.id = ok.id
+""")
+def q_move_nodes(spark, sf_dir):
+    """move_nodes: re-parent folders; moves that would form a cycle are rejected."""
+    folders = _geo(spark, sf_dir)
+    moves = S.geo_moves(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"))
+    return H.move_nodes(folders, moves)

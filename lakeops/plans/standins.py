@@ -287,3 +287,91 @@ def manifest_tables(region: DataFrame, nation: DataFrame, customer: DataFrame):
                  F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit(".")),
                  F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("jobName"))
     return packages, items, jobs
+
+
+# --------------------------------------------------------------------------- folders
+
+def geo_folders(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """Folder tree region → nation → customer: ``id, displayName, parentFolderId``."""
+    r = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"),
+                      F.col("r_name").alias("displayName"),
+                      F.lit(None).cast("string").alias("parentFolderId"))
+    n = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+                      F.col("n_name").alias("displayName"),
+                      F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parentFolderId"))
+    c = customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+                        F.col("c_name").alias("displayName"),
+                        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parentFolderId"))
+    return r.unionByName(n).unionByName(c)
+
+
+def order_folders(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """Customers as top folders, each order a folder below its customer."""
+    c = customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+                        F.col("c_name").alias("displayName"),
+                        F.lit(None).cast("string").alias("parentFolderId"))
+    o = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
+                      F.col("o_orderpriority").alias("displayName"),
+                      F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parentFolderId"))
+    return c.unionByName(o)
+
+
+def geo_moves(nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """Move requests ``id, target``: nations named A… to the root; every region under its
+    lowest-key nation (a cycle); customers with a negative balance to the next nation."""
+    to_root = nation.where(F.startswith("n_name", F.lit("A"))).select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("target"))
+    cyc = nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("k")).select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("id"),
+        F.concat(F.lit("n"), F.col("k").cast("string")).alias("target"))
+    cust = customer.where(F.col("c_acctbal") < 0).select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+        F.concat(F.lit("n"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("target"))
+    return to_root.unionByName(cyc).unionByName(cust)
+
+
+def page_dir_segments(url: str = "url"):
+    """Folder names of a page below ``pages/Files``: host, then the URL path segments."""
+    host_path = F.regexp_replace(F.regexp_extract(F.col(url), r"^[A-Za-z]+://([^?#]*)", 1), "/+$", "")
+    return F.split(host_path, "/", -1)
+
+
+def page_folder_requests(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").alias("request"), page_dir_segments().alias("segments"))
+
+
+def https_page_folders(pages: DataFrame) -> DataFrame:
+    """Existing folders: every folder of the ``https`` pages, ids are their path text."""
+    segs = page_dir_segments()
+    pre = (pages.where(url_scheme() == "https").select(segs.alias("s"))
+           .select(F.explode(F.sequence(F.lit(1), F.size("s"))).alias("k"), "s")
+           .select(F.slice("s", F.lit(1), F.col("k")).alias("p")).distinct())
+    return pre.select(
+        F.array_join("p", "/").alias("id"), F.element_at("p", -1).alias("displayName"),
+        F.when(F.size("p") > 1, F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/"))
+         .alias("parentFolderId"))
+
+
+# --------------------------------------------------------------------------- tables listing
+
+def docs_listing(documents: DataFrame) -> DataFrame:
+    """A recursive ``docs/Tables`` listing from the documents' languages and sources."""
+    base = F.lit(f"{DOCS_ITEM}/Tables/")
+
+    def rows(df, name, is_dir, is_sc=F.lit(False), acct=F.lit(None).cast("string")):
+        return df.select(name.alias("name"), F.lit(is_dir).alias("isDirectory"),
+                         is_sc.alias("isShortcut"), acct.alias("accountType"))
+
+    files = rows(documents, F.concat(base, "lang", F.lit("/"), "source", F.lit("/part-"),
+                                     F.col("doc_id").cast("string"), F.lit(".parquet")), False)
+    ls = documents.select("lang", "source").distinct()
+    logs = rows(ls, F.concat(base, "lang", F.lit("/"), "source", F.lit("/_delta_log")), True)
+    src = documents.select("source").distinct()
+    flat = rows(src, F.concat(base, "source", F.lit("_flat/_delta_log")), True)
+    lang = documents.select("lang").distinct()
+    deep = rows(lang, F.concat(base, F.lit("archive/"), "lang", F.lit("/old/_delta_log")), True)
+    acct = (F.when(F.endswith("source", F.lit("1")), F.lit("ADLS"))
+            .when(F.endswith("source", F.lit("2")), F.lit("ExternalADLS")).otherwise(F.lit("S3")))
+    sc = rows(src, F.concat(base, F.lit("ext_"), "source"), True, F.lit(True), acct)
+    return files.unionByName(logs).unionByName(flat).unionByName(deep).unionByName(sc)
