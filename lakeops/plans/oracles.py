@@ -75,7 +75,7 @@ SHORTCUTS = """
            'Tables/' || lower(p_type) AS ol_path,
            '/' || lower(p_type) || '/' || p_partkey AS sub,
            CAST(p_size AS VARCHAR) AS size,
-           p_partkey, p_name
+           p_partkey, p_name, p_size
     FROM part
 """
 
@@ -175,3 +175,20 @@ DOCS_TABLES = """
           FROM docs_listing
           WHERE ends_with(name, '/_delta_log') OR (isShortcut AND accountType IN ('ADLS', 'ExternalADLS')))
 """
+
+TAGS_LAST = """
+    SELECT lower(p_name) AS k, arg_max('tag-' || p_partkey, p_partkey) AS tagId FROM part GROUP BY lower(p_name)
+"""
+
+TAG_REQUESTS = """
+    SELECT 'order-' || l_orderkey AS itemId,
+           CASE WHEN l_linenumber = 1 THEN upper(p_name) WHEN l_linenumber = 2 THEN p_name || ' x'
+                ELSE p_name END AS name,
+           l_returnflag, l_linestatus
+    FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+RESOLVED = """
+    SELECT r.itemId, r.name, t.tagId, t.tagId IS NOT NULL AS found, r.l_returnflag, r.l_linestatus
+    FROM tag_requests r LEFT JOIN tags_last t ON lower(r.name) = t.k
+"""

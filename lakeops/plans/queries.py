@@ -467,3 +467,182 @@ def q_move_nodes(spark, sf_dir):
     folders = _geo(spark, sf_dir)
     moves = S.geo_moves(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"))
     return H.move_nodes(folders, moves)
+
+
+# --------------------------------------------------------------------------- joins, links
+
+from lakeops.operators import links as L  # noqa: E402
+
+_RESOLVED_CTES = f"""
+WITH tags_last AS ({O.TAGS_LAST}), tag_requests AS ({O.TAG_REQUESTS}), resolved AS ({O.RESOLVED})
+"""
+
+
+def _resolved(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    res = L.resolve_names(S.part_tags(part), S.tag_requests(_t(spark, sf_dir, "lineitem"), part))
+    return res.withColumnRenamed("match_id", "tagId")
+
+
+@query("q_resolve_names", _RESOLVED_CTES + "SELECT itemId, name, tagId, found FROM resolved")
+def q_resolve_names(spark, sf_dir):
+    """resolve_names: tag names per line item, case-insensitive, last duplicate wins."""
+    return _resolved(spark, sf_dir).select("itemId", "name", "tagId", "found")
+
+
+@query("q_apply_links", _RESOLVED_CTES + """
+SELECT DISTINCT itemId, tagId FROM resolved WHERE found
+""")
+def q_apply_links(spark, sf_dir):
+    """apply_links: links of returned items, plus every resolved link, each pair once."""
+    res = _resolved(spark, sf_dir).where("found")
+    existing = res.where(F.col("l_returnflag") == "R")
+    return L.apply_links(existing, res)
+
+
+@query("q_remove_links", _RESOLVED_CTES + """
+SELECT DISTINCT itemId, tagId FROM resolved WHERE found
+EXCEPT SELECT itemId, tagId FROM resolved WHERE found AND l_linestatus = 'F'
+""")
+def q_remove_links(spark, sf_dir):
+    """remove_links: every resolved link except those of finished line items."""
+    res = _resolved(spark, sf_dir).where("found")
+    links = res.select("itemId", "tagId").distinct()
+    return L.remove_links(links, res.where(F.col("l_linestatus") == "F"))
+
+
+_GATEWAY_CTES = """
+WITH gw AS (SELECT 'gw-' || n_nationkey AS id, n_name AS displayName FROM nation),
+     asg AS (SELECT 'as-' || s_suppkey AS assignmentId, 'gw-' || s_nationkey AS resourceId,
+                    'p-' || (s_suppkey % 7) AS principalId,
+                    CASE WHEN s_acctbal > 5000 THEN 'Admin' ELSE 'Member' END AS role FROM supplier)
+"""
+
+
+@query("q_assignments", _GATEWAY_CTES + """
+SELECT a.principalId, g.id, g.displayName, a.role, a.assignmentId FROM asg a JOIN gw g ON a.resourceId = g.id
+""")
+def q_assignments(spark, sf_dir):
+    """assignments_for_principal: every principal's gateways with the assignment held."""
+    return L.assignments_for_principal(S.nation_gateways(_t(spark, sf_dir, "nation")),
+                                       S.supplier_assignments(_t(spark, sf_dir, "supplier")))
+
+
+@query("q_gateway_admins", _GATEWAY_CTES + """
+SELECT DISTINCT a.principalId, g.id FROM asg a JOIN gw g ON a.resourceId = g.id WHERE a.role = 'Admin'
+""")
+def q_gateway_admins(spark, sf_dir):
+    """assignments_for_principal, admin check: (principal, gateway) pairs with Admin role."""
+    return L.admins(S.nation_gateways(_t(spark, sf_dir, "nation")),
+                    S.supplier_assignments(_t(spark, sf_dir, "supplier")))
+
+
+@query("q_missing_ids", """
+SELECT DISTINCT 'ord-' || (o_orderkey * 3) AS id FROM orders
+EXCEPT SELECT 'ord-' || o_orderkey FROM orders
+""")
+def q_missing_ids(spark, sf_dir):
+    """missing_ids: requested job ids (3 × order key) that have no row."""
+    orders = _t(spark, sf_dir, "orders")
+    req = orders.select(F.concat(F.lit("ord-"), (F.col("o_orderkey") * 3).cast("string")).alias("id"))
+    have = orders.select(F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("id"))
+    return L.missing_ids(req, have)
+
+
+@query("q_shared_paths", f"""
+WITH shares AS ({O.SHARES}),
+     live AS (SELECT DISTINCT unnest(paths) AS path FROM shares WHERE status IN ('Active', 'Pending')),
+     p AS (SELECT 'cust/' || c_custkey AS path FROM customer
+           UNION ALL SELECT DISTINCT 'prio/' || o_orderpriority FROM orders)
+SELECT p.path, live.path IS NOT NULL AS is_shared FROM p LEFT JOIN live ON p.path = live.path
+""")
+def q_shared_paths(spark, sf_dir):
+    """shared_paths: is each customer / priority path in an active or pending share?"""
+    orders = _t(spark, sf_dir, "orders")
+    paths = (_t(spark, sf_dir, "customer").select(F.concat(F.lit("cust/"), F.col("c_custkey").cast("string")).alias("path"))
+             .unionByName(orders.select(F.concat(F.lit("prio/"), "o_orderpriority").alias("path")).distinct()))
+    return L.shared_paths(paths, S.orders_shares(orders))
+
+
+@query("q_revoke", f"""
+WITH shares AS ({O.SHARES})
+SELECT s.id, CASE WHEN o.o_totalprice > 400000 THEN 'Revoked' ELSE s.status END AS status
+FROM shares s JOIN orders o ON s.o_orderkey = o.o_orderkey
+""")
+def q_revoke(spark, sf_dir):
+    """revoke_by_ids: revoke the shares of orders above 400,000."""
+    orders = _t(spark, sf_dir, "orders")
+    ids = orders.where(F.col("o_totalprice") > 400000).select(
+        F.concat(F.lit("share-"), F.col("o_orderkey").cast("string")).alias("id"))
+    return L.revoke_by_ids(S.orders_shares(orders), ids).select("id", "status")
+
+
+@query("q_accept_share", f"""
+WITH shares AS ({O.SHARES}),
+     d AS (SELECT id, itemId, workspaceId, unnest(paths) AS p, generate_subscripts(paths, 1) AS pos
+           FROM shares WHERE status = 'Pending')
+SELECT itemId, workspaceId, 'Files/shared' AS path, replace(p, '/', '_') AS name, p AS sharedName,
+       CASE WHEN starts_with(p, 'cust/') THEN 'Folder' ELSE 'Table' END AS type
+FROM d
+""")
+def q_accept_share(spark, sf_dir):
+    """accept_share: shortcuts created when every pending share invitation is accepted."""
+    shares = S.orders_shares(_t(spark, sf_dir, "orders"))
+    return L.accept_share(S.share_path_details(shares), S.share_accept_requests(shares))
+
+
+@query("q_patch_rows", """
+SELECT 'sch-' || c_custkey AS id,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN NOT (c_acctbal > 0) ELSE c_acctbal > 0 END AS enabled,
+       'Daily' AS cfg_type, c_nationkey AS cfg_interval
+FROM customer
+""")
+def q_patch_rows(spark, sf_dir):
+    """patch_rows: toggle ``enabled`` on schedules, keeping their configuration."""
+    cust = _t(spark, sf_dir, "customer")
+    out = L.patch_rows(S.customer_schedules(cust), S.schedule_toggles(cust), "id")
+    return out.select("id", "enabled", F.col("configuration.type").alias("cfg_type"),
+                      F.col("configuration.interval").alias("cfg_interval"))
+
+
+_SHORTCUT_BATCH = f"""
+WITH sc AS ({O.SHORTCUTS}),
+     existing AS (SELECT path, name FROM sc WHERE p_size <= 25),
+     requests AS (SELECT p_partkey AS req_id, path, name FROM sc WHERE p_size >= 20
+                  UNION ALL SELECT p_partkey + 1000000, path, name FROM sc WHERE p_size >= 45),
+     r AS (SELECT q.*, min(req_id) OVER (PARTITION BY q.path, q.name) AS first,
+                  EXISTS (SELECT 1 FROM existing e WHERE e.path = q.path AND e.name = q.name) AS ex
+           FROM requests q)
+"""
+
+
+@query("q_shortcut_policy", _SHORTCUT_BATCH + """
+SELECT 'Abort' AS policy, req_id, path, name,
+       CASE WHEN ex OR req_id <> first THEN 'Conflict' ELSE 'Created' END AS status FROM r
+UNION ALL SELECT 'GenerateUniqueName', req_id, path,
+       CASE WHEN ex OR req_id <> first THEN name || '_' || req_id ELSE name END,
+       CASE WHEN ex OR req_id <> first THEN 'CreatedWithNewName' ELSE 'Created' END FROM r
+UNION ALL SELECT 'CreateOrOverwrite', req_id, path, name,
+       CASE WHEN req_id <> first THEN 'Duplicate' WHEN ex THEN 'Overwritten' ELSE 'Created' END FROM r
+UNION ALL SELECT 'OverwriteOnly', req_id, path, name,
+       CASE WHEN NOT ex THEN 'NotFound' WHEN req_id <> first THEN 'Duplicate' ELSE 'Overwritten' END FROM r
+""")
+def q_shortcut_policy(spark, sf_dir):
+    """apply_shortcut_requests: request outcomes under each of the four conflict policies."""
+    existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"))
+    outs = [L.apply_shortcut_requests(existing, reqs, p)[1].withColumn("policy", F.lit(p))
+            for p in L.CONFLICT_POLICIES]
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out.select("policy", "req_id", "path", "name", "status")
+
+
+@query("q_shortcut_apply", _SHORTCUT_BATCH + """
+SELECT path, name FROM existing
+UNION ALL SELECT path, CASE WHEN ex OR req_id <> first THEN name || '_' || req_id ELSE name END FROM r
+""")
+def q_shortcut_apply(spark, sf_dir):
+    """apply_shortcut_requests: the shortcut table after a GenerateUniqueName batch."""
+    existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"))
+    return L.apply_shortcut_requests(existing, reqs, "GenerateUniqueName")[0].select("path", "name")

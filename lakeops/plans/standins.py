@@ -144,7 +144,7 @@ SHORTCUT_KINDS = ("OneLake", "AmazonS3", "AdlsGen2", "GoogleCloudStorage", "S3Co
                   "Dataverse", "ExternalDataShare", "AzureBlobStorage")
 
 
-def part_shortcuts(part: DataFrame) -> DataFrame:
+def part_shortcuts(part: DataFrame, keep=()) -> DataFrame:
     """One shortcut per part in the ``shortcuts`` schema; the kind cycles with ``p_size``."""
     size = F.col("p_size").cast("string")
     kind = F.element_at(F.array(*[F.lit(k) for k in SHORTCUT_KINDS]),
@@ -178,7 +178,7 @@ def part_shortcuts(part: DataFrame) -> DataFrame:
     return part.select(
         F.concat(F.lit("Files/"), F.lower("p_type")).alias("path"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("name"),
-        target.alias("target"))
+        target.alias("target"), *keep)
 
 
 # --------------------------------------------------------------------------- capacities
@@ -375,3 +375,89 @@ def docs_listing(documents: DataFrame) -> DataFrame:
             .when(F.endswith("source", F.lit("2")), F.lit("ExternalADLS")).otherwise(F.lit("S3")))
     sc = rows(src, F.concat(base, F.lit("ext_"), "source"), True, F.lit(True), acct)
     return files.unionByName(logs).unionByName(flat).unionByName(deep).unionByName(sc)
+
+
+# --------------------------------------------------------------------------- tags, links
+
+def part_tags(part: DataFrame) -> DataFrame:
+    """Tags named after parts; many share a name, ``ord`` decides which one is last."""
+    return part.select(F.concat(F.lit("tag-"), F.col("p_partkey").cast("string")).alias("id"),
+                       F.col("p_name").alias("name"), F.col("p_type").alias("color"),
+                       F.col("p_partkey").alias("ord"))
+
+
+def tag_requests(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Tag-by-name requests, one per line item: the part's name, upper-cased on first lines,
+    with a suffix no tag has on second lines."""
+    j = lineitem.join(part, lineitem.l_partkey == part.p_partkey)
+    ln = F.col("l_linenumber")
+    name = (F.when(ln == 1, F.upper("p_name")).when(ln == 2, F.concat("p_name", F.lit(" x")))
+            .otherwise(F.col("p_name")))
+    return j.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("itemId"),
+                    name.alias("name"), "l_returnflag", "l_linestatus")
+
+
+def nation_gateways(nation: DataFrame) -> DataFrame:
+    return nation.select(F.concat(F.lit("gw-"), F.col("n_nationkey").cast("string")).alias("id"),
+                         F.col("n_name").alias("displayName"))
+
+
+def supplier_assignments(supplier: DataFrame) -> DataFrame:
+    """Role assignments: supplier → gateway of its nation; principal by supplier key mod 7."""
+    return supplier.select(
+        F.concat(F.lit("as-"), F.col("s_suppkey").cast("string")).alias("id"),
+        F.concat(F.lit("gw-"), F.col("s_nationkey").cast("string")).alias("resourceId"),
+        F.struct(F.concat(F.lit("p-"), (F.col("s_suppkey") % 7).cast("string")).alias("id"),
+                 F.lit("User").alias("type"), F.col("s_name").alias("displayName")).alias("principal"),
+        F.when(F.col("s_acctbal") > 5000, F.lit("Admin")).otherwise(F.lit("Member")).alias("role"))
+
+
+def share_path_details(shares: DataFrame) -> DataFrame:
+    """What each share offers: ``invitationId, pathId, name, type``."""
+    e = shares.select("id", F.posexplode("paths").alias("pos", "p"))
+    return e.select(F.col("id").alias("invitationId"),
+                    F.concat(F.col("id"), F.lit("#"), (F.col("pos") + 1).cast("string")).alias("pathId"),
+                    F.col("p").alias("name"),
+                    F.when(F.startswith("p", F.lit("cust/")), F.lit("Folder")).otherwise(F.lit("Table")).alias("type"))
+
+
+def share_accept_requests(shares: DataFrame) -> DataFrame:
+    """Accept every pending share: a shortcut per offered path, plus one unknown path id."""
+    pend = shares.where(F.col("status") == "Pending")
+    e = pend.select("id", "itemId", "workspaceId", F.posexplode("paths").alias("pos", "p"))
+    ok = e.select(F.col("id").alias("invitationId"),
+                  F.concat(F.col("id"), F.lit("#"), (F.col("pos") + 1).cast("string")).alias("pathId"),
+                  F.regexp_replace("p", "/", "_").alias("shortcutName"),
+                  F.lit("Files/shared").alias("path"), "itemId", "workspaceId")
+    bogus = pend.select(F.col("id").alias("invitationId"),
+                        F.concat(F.col("id"), F.lit("#9")).alias("pathId"),
+                        F.lit("unknown").alias("shortcutName"), F.lit("Files/shared").alias("path"),
+                        "itemId", "workspaceId")
+    return ok.unionByName(bogus)
+
+
+def customer_schedules(customer: DataFrame) -> DataFrame:
+    return customer.select(
+        F.concat(F.lit("sch-"), F.col("c_custkey").cast("string")).alias("id"),
+        (F.col("c_acctbal") > 0).alias("enabled"),
+        F.struct(F.lit("Daily").alias("type"), F.col("c_nationkey").alias("interval"),
+                 F.array(F.lit("09:00")).alias("times")).alias("configuration"))
+
+
+def schedule_toggles(customer: DataFrame) -> DataFrame:
+    """Patches switching ``enabled`` for BUILDING customers; configuration left out (null)."""
+    return customer.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.concat(F.lit("sch-"), F.col("c_custkey").cast("string")).alias("id"),
+        (~(F.col("c_acctbal") > 0)).alias("enabled"),
+        F.lit(None).cast("struct<type:string,interval:int,times:array<string>>").alias("configuration"))
+
+
+def shortcut_batch(part: DataFrame):
+    """Existing shortcuts (parts of size <= 25) and a create batch (size >= 20, with a repeat
+    request for size >= 45)."""
+    s = part_shortcuts(part, keep=("p_partkey", "p_size"))
+    existing = s.where(F.col("p_size") <= 25).select("path", "name", "target")
+    reqs = s.where(F.col("p_size") >= 20).select(F.col("p_partkey").alias("req_id"), "path", "name", "target")
+    again = s.where(F.col("p_size") >= 45).select((F.col("p_partkey") + 1000000).alias("req_id"),
+                                                  "path", "name", "target")
+    return existing, reqs.unionByName(again)
