@@ -646,3 +646,84 @@ def q_shortcut_apply(spark, sf_dir):
     """apply_shortcut_requests: the shortcut table after a GenerateUniqueName batch."""
     existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"))
     return L.apply_shortcut_requests(existing, reqs, "GenerateUniqueName")[0].select("path", "name")
+
+
+# --------------------------------------------------------------------------- nested
+
+from lakeops.operators import nested as N  # noqa: E402
+
+
+@query("q_pack_unpack", """
+SELECT 'ev-' || event_id AS id,
+       CASE WHEN value > 50 THEN upper(event_type) ELSE event_type END AS type,
+       CASE WHEN value > 50 THEN 'E' || event_id ELSE 'event ' || event_id END AS displayName,
+       CASE WHEN value > 50 THEN 'from platform' END AS description,
+       CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       1 AS n_additional, 'notes.txt' AS extra_paths
+FROM events
+""")
+def q_pack_unpack(spark, sf_dir):
+    """pack_definitions then unpack_definitions: definitions, metadata overrides, extra
+    parts, and the default for a payload that is not base64."""
+    items = S.events_items(_t(spark, sf_dir, "events"))
+    defs = S.corrupt_error_payloads(N.pack_definitions(items), items)
+    out = N.unpack_definitions(items.drop("definition", "additionalParts"), defs,
+                               default_definition='{"k": -1}')
+    return out.select(
+        "id", "type", "displayName", "description",
+        F.try_variant_get("definition", "$.k", "bigint").alias("k"),
+        F.size("additionalParts").alias("n_additional"),
+        F.array_join(F.transform("additionalParts", lambda p: p["path"]), ",").alias("extra_paths"))
+
+
+@query("q_normalize_parts", """
+SELECT event_id,
+       CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE 1 END AS n_parts,
+       CASE WHEN event_type IN ('error', 'signup') THEN NULL
+            WHEN event_type = 'view' THEN 'InlineBase64' ELSE 'Custom' END AS payload_type,
+       CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k
+FROM events
+""")
+def q_normalize_parts(spark, sf_dir):
+    """normalize_parts: parse definition responses, default payloadType, null when invalid."""
+    out = N.normalize_parts(S.events_responses(_t(spark, sf_dir, "events")))
+    first = F.try_element_at(F.col("definition.parts"), F.lit(1))
+    return out.select(
+        "event_id", F.size("definition.parts").alias("n_parts"),
+        first["payloadType"].alias("payload_type"),
+        F.try_variant_get(F.try_parse_json(F.try_validate_utf8(
+            F.try_to_binary(first["payload"], F.lit("base64")).cast("string"))), "$.k", "bigint").alias("k"))
+
+
+@query("q_page_dumps", """
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE turn % 3 = 1
+""")
+def q_page_dumps(spark, sf_dir):
+    """load_page_dumps: items of value-envelope, bare-array and single-object pages."""
+    items = N.load_page_dumps(S.conversation_pages(_t(spark, sf_dir, "conversations")))
+    return items.select(
+        F.variant_get("item", "$.conv_id", "bigint").alias("conv_id"),
+        F.variant_get("item", "$.turn", "bigint").alias("turn"),
+        F.variant_get("item", "$.role", "string").alias("role"),
+        F.variant_get("item", "$.text", "string").alias("text"))
+
+
+@query("q_explode_rules", O.with_pages_access("""
+SELECT 'site:' || host AS role_id, 0 AS rule_idx, 'Permit' AS effect, 0 AS perm_idx,
+       'Action' AS attributeName, 'Read' AS value FROM (SELECT DISTINCT host FROM page_hosts)
+UNION ALL SELECT 'site:' || host, 0, 'Permit', 1, 'Path', 'pages/Files/' || host || '/en'
+          FROM (SELECT DISTINCT host FROM page_hosts)
+UNION ALL SELECT 'site:' || host, 0, 'Permit', 1, 'Path', 'pages/Files/' || host || '/fr'
+          FROM (SELECT DISTINCT host FROM page_hosts)
+UNION ALL SELECT 'site:' || host, 0, 'Permit', 2, 'Path', 'pages/Files/' FROM (SELECT DISTINCT host FROM page_hosts)
+UNION ALL SELECT DISTINCT 'label:' || split_part(host, '.', 1), 0, 'Permit', 0, 'Path',
+       'pages/Files/' || split_part(host, '.', 1) FROM page_hosts
+UNION ALL SELECT DISTINCT 'label:' || split_part(host, '.', 1), 1, 'Permit', 0, 'Action', 'Read' FROM page_hosts
+UNION ALL SELECT DISTINCT 'scheme:' || scheme, 0, 'Permit', 0, 'Path',
+       CASE WHEN scheme = 'https' THEN '*' ELSE '' END FROM page_hosts
+"""))
+def q_explode_rules(spark, sf_dir):
+    """explode_rules: role → rule → permission → value, with positions."""
+    r = access.explode_rules(S.pages_roles(_t(spark, sf_dir, "pages")))
+    return r.select("role_id", "rule_idx", "effect", "perm_idx", "attributeName", "value")

@@ -461,3 +461,65 @@ def shortcut_batch(part: DataFrame):
     again = s.where(F.col("p_size") >= 45).select((F.col("p_partkey") + 1000000).alias("req_id"),
                                                   "path", "name", "target")
     return existing, reqs.unionByName(again)
+
+
+# --------------------------------------------------------------------------- definitions, pages
+
+def events_items(events: DataFrame) -> DataFrame:
+    """Items from events with a JSON definition (``props``) and two extra parts: a
+    ``.platform`` part whose metadata overrides type/name/description when value > 50,
+    and a ``notes.txt`` part."""
+    big = F.col("value") > 50
+    meta = F.struct(F.struct(
+        F.when(big, F.upper("event_type")).alias("type"),
+        F.when(big, F.concat(F.lit("E"), F.col("event_id").cast("string"))).alias("displayName"),
+        F.when(big, F.lit("from platform")).alias("description")).alias("metadata"))
+    b64 = lambda c: F.regexp_replace(F.base64(c), r"[\r\n]", "")
+    platform = F.struct(F.lit(".platform").alias("path"), b64(F.to_json(meta)).alias("payload"),
+                        F.lit("InlineBase64").alias("payloadType"))
+    notes = F.struct(F.lit("notes.txt").alias("path"), b64(F.col("event_type")).alias("payload"),
+                     F.lit("InlineBase64").alias("payloadType"))
+    return events.select(
+        F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("id"),
+        F.lit("ws-events").alias("workspaceId"),
+        F.col("event_type").alias("type"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("displayName"),
+        F.lit(None).cast("string").alias("description"),
+        F.col("props").alias("definition"),
+        F.array(platform, notes).alias("additionalParts"))
+
+
+def corrupt_error_payloads(definitions: DataFrame, items: DataFrame) -> DataFrame:
+    """Replace the payload.json of ``error`` items with text that is not base64."""
+    bad = items.select(F.col("id").alias("itemId"), (F.col("type") == "error").alias("_bad"))
+    j = definitions.join(bad, "itemId")
+    parts = F.transform("parts", lambda p: F.when(
+        F.col("_bad") & (p["path"] == F.lit("payload.json")),
+        F.struct(p["path"].alias("path"), F.lit("@@ not base64 @@").alias("payload"),
+                 p["payloadType"].alias("payloadType"))).otherwise(p))
+    return j.select("itemId", "format", parts.alias("parts"))
+
+
+def events_responses(events: DataFrame) -> DataFrame:
+    """Definition response bodies: good ones (payloadType left out on views), a body that
+    is not JSON for errors, and ``parts`` that is not an array for signups."""
+    et = F.col("event_type")
+    part = F.struct(F.lit("payload.json").alias("path"),
+                    F.regexp_replace(F.base64("props"), r"[\r\n]", "").alias("payload"),
+                    F.when(et != "view", F.lit("Custom")).alias("payloadType"))
+    good = F.to_json(F.struct(F.struct(F.array(part).alias("parts")).alias("definition")))
+    body = (F.when(et == "error", F.lit("not json"))
+            .when(et == "signup", F.lit('{"definition": {"parts": 5}}')).otherwise(good))
+    return events.select("event_id", body.alias("body"))
+
+
+def conversation_pages(conversations: DataFrame) -> DataFrame:
+    """One landed page per conversation turn, in the three page shapes by turn mod 3:
+    ``{"value": [row], "continuationToken": ...}``, ``[row, row]``, ``row``."""
+    row = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    shape = F.col("turn") % 3
+    page = (F.when(shape == 0, F.concat(F.lit('{"value": ['), row, F.lit('], "continuationToken": "c'),
+                                        F.col("conv_id").cast("string"), F.lit('"}')))
+            .when(shape == 1, F.concat(F.lit("["), row, F.lit(", "), row, F.lit("]")))
+            .otherwise(row))
+    return conversations.select(page.alias("page"))
