@@ -727,3 +727,92 @@ def q_explode_rules(spark, sf_dir):
     """explode_rules: role → rule → permission → value, with positions."""
     r = access.explode_rules(S.pages_roles(_t(spark, sf_dir, "pages")))
     return r.select("role_id", "rule_idx", "effect", "perm_idx", "attributeName", "value")
+
+
+# --------------------------------------------------------------------------- sources, sinks
+
+import lakeops.sources as SRC  # noqa: E402
+from lakeops.functions.codec import b64_encode  # noqa: E402
+from lakeops.functions.text import last_segment  # noqa: E402
+from lakeops.sources.shortcuts import shortcut_uri  # noqa: E402
+
+
+@query("q_list_paths")
+def q_list_paths(spark, sf_dir):
+    """list_paths: the scale-factor folder itself, hidden entries included."""
+    return SRC.list_paths(spark, sf_dir).select("name", "contentLength", "isDirectory", "isShortcut")
+
+
+@query("q_read_files")
+def q_read_files(spark, sf_dir):
+    """read_binary_files: every table file's bytes as base64, with sizes."""
+    df = SRC.read_binary_files(spark, f"{sf_dir.rstrip('/')}/*.parquet", recursive=False)
+    return df.select(last_segment("path").alias("name"), "length",
+                     F.length("payload").alias("b64_chars"))
+
+
+@query("q_csv_to_table", """
+SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0
+""")
+def q_csv_to_table(spark, sf_dir):
+    """csv_to_table: nation exported as one '|'-separated CSV file per region; the region-0
+    file also carries one row with a non-numeric key, so that whole file is skipped."""
+    nation = _t(spark, sf_dir, "nation")
+    root = SRC.staging_path(spark, "csv-src")
+    (nation.where(F.col("n_regionkey") != 0).withColumn("r", F.col("n_regionkey"))
+     .write.partitionBy("r").option("sep", "|").option("header", True).csv(root))
+    lines = nation.where(F.col("n_regionkey") == 0).select(F.concat_ws(
+        "|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    extra = spark.createDataFrame([("n_nationkey|n_name|n_regionkey",), ("x|BROKEN|0",)], "value string")
+    extra.unionByName(lines).coalesce(1).write.text(f"{root}/r=0")
+    return SRC.csv_to_table(spark, root, "n_nationkey int, n_name string, n_regionkey int",
+                            delimiter="|")
+
+
+@query("q_write_rows", """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+""")
+def q_write_rows(spark, sf_dir):
+    """write_text_rows then read_text_files: every document to its own file and back."""
+    docs = _t(spark, sf_dir, "documents")
+    root = SRC.staging_path(spark, "docs-out")
+    SRC.write_text_rows(docs.select(
+        F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("text").alias("content")), root)
+    back = SRC.read_text_files(spark, root)
+    return back.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
+                       F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query("q_write_binary", """
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages
+""")
+def q_write_binary(spark, sf_dir):
+    """write_binary_rows then read_binary_files: every page's HTML as base64, to bytes and back."""
+    pages = _t(spark, sf_dir, "pages")
+    root = SRC.staging_path(spark, "pages-out")
+    SRC.write_binary_rows(pages.select(
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        b64_encode(F.encode("html", "UTF-8")).alias("payload")), root)
+    back = SRC.read_binary_files(spark, root)
+    return back.select(F.regexp_extract("path", r"/(\d+)\.html$", 1).cast("bigint").alias("page_id"),
+                       F.col("length").alias("n_bytes"))
+
+
+@query("q_mount", f"""
+WITH sc AS ({O.SHORTCUTS})
+SELECT name, kind,
+  CASE kind
+    WHEN 'OneLake' THEN 'lake://' || ol_workspace || '/' || ol_item || '/' || ol_path
+    WHEN 'AmazonS3' THEN 's3a://bucket' || size || sub
+    WHEN 'AdlsGen2' THEN 'abfss://data@acct' || size || '.dfs.core.windows.net/' || substring(sub, 2)
+    WHEN 'GoogleCloudStorage' THEN 'gs://gcs' || size || sub
+    WHEN 'S3Compatible' THEN 's3a://b' || size || sub
+    WHEN 'AzureBlobStorage' THEN 'wasbs://data@blob' || size || '.blob.core.windows.net/' || substring(sub, 2)
+  END AS uri
+FROM sc
+""")
+def q_mount(spark, sf_dir):
+    """mount_shortcuts: the storage URI of every shortcut target, over all eight kinds."""
+    sc = S.part_shortcuts(_t(spark, sf_dir, "part"))
+    return sc.select("name", F.col("target.type").alias("kind"), shortcut_uri("target").alias("uri"))
