@@ -816,3 +816,16 @@ def q_mount(spark, sf_dir):
     """mount_shortcuts: the storage URI of every shortcut target, over all eight kinds."""
     sc = S.part_shortcuts(_t(spark, sf_dir, "part"))
     return sc.select("name", F.col("target.type").alias("kind"), shortcut_uri("target").alias("uri"))
+
+
+@query("q_roles_for_member", O.with_pages_access("""
+, ids AS (SELECT DISTINCT 'u-' || role AS objectId FROM conversations
+          UNION SELECT DISTINCT 'u-' || scheme FROM page_hosts)
+SELECT DISTINCT m.objectId, m.role_id FROM page_role_members m JOIN ids ON m.objectId = ids.objectId
+"""))
+def q_roles_for_member(spark, sf_dir):
+    """roles_for_member: roles listing each asked-for identity (chat roles and URL schemes)."""
+    pages = _t(spark, sf_dir, "pages")
+    ids = (_t(spark, sf_dir, "conversations").select(F.concat(F.lit("u-"), "role").alias("objectId"))
+           .unionByName(pages.select(F.concat(F.lit("u-"), S.url_scheme()).alias("objectId"))))
+    return access.roles_for_member(S.pages_roles(pages), ids)
