@@ -77,11 +77,11 @@ def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str) -> D
         return with_lens.select("path", F.explode(prefix_lens).alias("n")).select(
             "path", F.left(F.col("path"), F.col("n")).alias("key"))
     if mode == "segment":
-        segs = F.split(path, "/", -1)
+        segs = F.split(F.col("path"), "/", -1)
         ancestors = F.transform(
             F.sequence(F.lit(1), F.size(segs)),
             lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))
-        return paths.select(path.alias("path"), F.explode(
+        return paths.select(path.alias("path")).select("path", F.explode(
             F.array_union(F.array(F.lit("")), ancestors)).alias("key"))
     raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
 
