@@ -94,19 +94,39 @@ def write_binary_rows(df: DataFrame, root: str, path_col: str = "path",
     out.write.format("lakefiles").mode("overwrite").save(root)
 
 
+def _empty_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """Zero-length files below a local folder (Spark's file scans skip them)."""
+    from lakeops.sources import list_paths
+    root = os.path.abspath(_local(path))
+    ls = list_paths(spark, root, recursive=recursive)
+    return ls.where((F.col("contentLength") == 0) & ~F.col("isDirectory")).select(
+        F.concat(F.lit(f"file:{root}/"), F.col("name")).alias("path"), "lastModified")
+
+
 def read_text_files(spark: SparkSession, path: str, recursive: bool = True,
-                    ignore_corrupt: bool = False) -> DataFrame:
+                    ignore_corrupt: bool = False, include_empty: bool = False) -> DataFrame:
     """``path, content``: each file's whole text. Unreadable files fail the job unless
-    ``ignore_corrupt`` (the reference returns empty text instead)."""
+    ``ignore_corrupt`` (the reference returns empty text instead). Spark's scan skips
+    empty files; ``include_empty`` adds them with ``""`` (local folders only)."""
     df = (spark.read.option("recursiveFileLookup", recursive)
           .option("ignoreCorruptFiles", ignore_corrupt).text(path, wholetext=True))
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    if include_empty:
+        out = out.unionByName(_empty_files(spark, path, recursive).select("path", F.lit("").alias("content")))
+    return out
 
 
-def read_binary_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``path, length, modificationTime, payload``: each file's bytes as one-line base64."""
+def read_binary_files(spark: SparkSession, path: str, recursive: bool = True,
+                      include_empty: bool = False) -> DataFrame:
+    """``path, length, modificationTime, payload``: each file's bytes as one-line base64.
+    ``include_empty`` adds the zero-length files Spark's scan skips (local folders only)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return df.select("path", "length", "modificationTime", b64_encode("content").alias("payload"))
+    out = df.select("path", "length", "modificationTime", b64_encode("content").alias("payload"))
+    if include_empty:
+        out = out.unionByName(_empty_files(spark, path, recursive).select(
+            "path", F.lit(0).cast("long").alias("length"),
+            F.col("lastModified").alias("modificationTime"), F.lit("").alias("payload")))
+    return out
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
