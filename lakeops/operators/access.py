@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeops.session import materialize
+
 PATH_ATTRIBUTE = "Path"
 WILDCARD = "*"
 
@@ -86,16 +88,33 @@ def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str) -> D
     raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
 
 
+# Largest pattern table that is broadcast to the path side (rows; ~100 bytes each).
+BROADCAST_PATTERN_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The count runs on the small side only (a role table, not the path listing); beyond
+    the bound the caller's join stays a shuffle join, with AQE splitting skewed keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def roles_for_path(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                   mode: str = "reference") -> DataFrame:
+                   mode: str = "reference",
+                   broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
     """Every ``(role_id, path)`` where the role grants the path; each pair once.
 
     ``mode="reference"`` is the reference's plain string-prefix rule; ``mode="segment"``
-    (our extension) only matches on ``/`` borders.
+    (our extension) only matches on ``/`` borders. The pattern side is broadcast when it
+    has at most ``broadcast_rows`` rows, so the expanded path prefixes are probed in the
+    scan's own stage and never shuffled; larger pattern tables fall back to a shuffle join.
     """
-    keys = _match_keys(path_patterns(roles), mode)
+    # The pattern keys feed three branches (lengths, size check, join): compute them once.
+    keys = materialize(_match_keys(path_patterns(roles), mode))
     pk = _path_keys(paths.where(F.col(path_col).isNotNull()), path_col, keys, mode)
-    return pk.join(keys, "key").select("role_id", "path").distinct()
+    return pk.join(bounded_broadcast(keys, broadcast_rows), "key").select("role_id", "path").distinct()
 
 
 def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.session import checkpoint_dir
+from lakeops.session import materialize
 
 MAX_DEPTH = 1000
 # Fixed value (must equal the reference): the error text for an empty folder path.
@@ -24,25 +24,30 @@ def _edges(folders: DataFrame, id_col: str, parent_col: str, name_col: str) -> D
                           F.col(name_col).alias("displayName"))
 
 
-def _stable(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_stable = materialize
 
 
 def walk_down(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Breadth-first walk from ``start`` (``id, path, depth``) along child links.
+    """Breadth-first walk from ``start`` (``id, path, depth`` [, ``root``]) along child links.
 
-    Returns every reached node with ``path`` (array of names from the start) and
-    ``depth``. Nodes on a cycle that is not reachable from ``start`` are never reached.
+    Returns every reached node with ``path`` (array of names from the start), ``depth``
+    and, when ``start`` has it, the ``root`` it was reached from. A walk that comes back
+    to its own root (a parent cycle through the root) stops there; nodes on a cycle not
+    reachable from ``start`` are never reached.
     """
+    has_root = "root" in start.columns
     level = _stable(start)
     levels = [level]
-    children = edges.where(F.col("parent").isNotNull())
+    # Read the source once: every level joins this stored projection of the edges.
+    children = _stable(edges.where(F.col("parent").isNotNull()))
     for _ in range(max_depth):
-        nxt = (children.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_pp"),
-                                          F.col("depth").alias("_pd")), "parent")
-               .select("id", F.array_append("_pp", F.col("displayName")).alias("path"),
-                       (F.col("_pd") + 1).alias("depth")))
+        prev = level.select(F.col("id").alias("parent"), F.col("path").alias("_pp"),
+                            F.col("depth").alias("_pd"), *(["root"] if has_root else []))
+        nxt = children.join(prev, "parent").select(
+            "id", F.array_append("_pp", F.col("displayName")).alias("path"),
+            (F.col("_pd") + 1).alias("depth"), *(["root"] if has_root else []))
+        if has_root:
+            nxt = nxt.where(~F.col("id").eqNullSafe(F.col("root")))
         nxt = _stable(nxt)
         if nxt.isEmpty():
             break
@@ -75,22 +80,29 @@ def folder_path(folders: DataFrame, id_col: str = "id", parent_col: str = "paren
     return walk_down(e, start, max_depth)
 
 
-def folder_subtree(folders: DataFrame, root_id: str | None = None, recursive: bool = True,
-                   id_col: str = "id", parent_col: str = "parentFolderId",
+def folder_subtree(folders: DataFrame, root_id: str | DataFrame | None = None,
+                   recursive: bool = True, id_col: str = "id", parent_col: str = "parentFolderId",
                    name_col: str = "displayName", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Descendants of ``root_id`` (workspace root when None): all, or direct children only.
+    """Descendants of a root: all of them, or direct children only.
 
-    Returns the folder rows plus ``depth`` below the root (1 = direct child).
+    ``root_id`` is one folder id, a table of root ids (column ``id``; each root's subtree
+    is walked, so a folder under two nested roots appears once per root), or None for
+    the workspace root. Returns the folder rows plus ``root`` (null for the workspace
+    root) and ``depth`` below it (1 = direct child).
     """
     e = _edges(folders, id_col, parent_col, name_col)
-    if root_id is not None:
-        # The walk may not pass through the root again (a cycle through it ends there).
-        e = e.where(F.col("id") != F.lit(root_id))
-    parent_match = F.col("parent").isNull() if root_id is None else F.col("parent") == F.lit(root_id)
-    first = e.where(parent_match).select("id", F.array("displayName").alias("path"),
-                                         F.lit(1).alias("depth"))
+    if root_id is None:
+        first = e.where(F.col("parent").isNull()).withColumn("root", F.lit(None).cast("string"))
+    else:
+        if isinstance(root_id, str):
+            roots_df = folders.sparkSession.createDataFrame([(root_id,)], "root string")
+        else:
+            roots_df = root_id.select(F.col("id").cast("string").alias("root")).distinct()
+        first = e.join(roots_df.withColumnRenamed("root", "parent"), "parent").withColumn(
+            "root", F.col("parent"))
+    first = first.select("id", F.array("displayName").alias("path"), F.lit(1).alias("depth"), "root")
     reached = first if not recursive else walk_down(e, first, max_depth)
-    return folders.join(reached.select(F.col("id").alias(id_col), "depth"), id_col)
+    return folders.join(reached.select(F.col("id").alias(id_col), "root", "depth"), id_col)
 
 
 def empty_folders(folders: DataFrame, id_col: str = "id",

@@ -403,23 +403,26 @@ def q_folder_path(spark, sf_dir):
 @query("q_folder_subtree", f"""
 WITH RECURSIVE folders AS ({O.GEO_FOLDERS}),
 sub(id, depth) AS (
-  SELECT id, 1 FROM folders WHERE parentFolderId = 'r1'
+  SELECT id, 1 FROM folders WHERE parentFolderId IS NULL
   UNION ALL SELECT f.id, s.depth + 1 FROM folders f JOIN sub s ON f.parentFolderId = s.id)
 SELECT f.id, f.displayName, s.depth FROM sub s JOIN folders f ON f.id = s.id
 """)
 def q_folder_subtree(spark, sf_dir):
-    """folder_subtree (recursive): everything below region 1."""
-    return H.folder_subtree(_geo(spark, sf_dir), "r1").select("id", "displayName", "depth")
+    """folder_subtree (recursive) from the workspace root: every folder with its depth."""
+    return H.folder_subtree(_geo(spark, sf_dir)).select("id", "displayName", "depth")
 
 
 @query("q_folder_children", f"""
 WITH folders AS ({O.GEO_FOLDERS})
-SELECT id, displayName, 1 AS depth FROM folders WHERE parentFolderId = 'r1'
+SELECT f.id, f.displayName, f.parentFolderId AS root, 1 AS depth FROM folders f
+WHERE f.parentFolderId IN (SELECT id FROM folders WHERE parentFolderId IS NULL)
 """)
 def q_folder_children(spark, sf_dir):
-    """folder_subtree (direct children only) of region 1."""
-    return H.folder_subtree(_geo(spark, sf_dir), "r1", recursive=False).select(
-        "id", "displayName", "depth")
+    """folder_subtree (direct children only) of every top-level folder."""
+    folders = _geo(spark, sf_dir)
+    tops = H.folder_subtree(folders, recursive=False)
+    return H.folder_subtree(folders, tops.select("id"), recursive=False).select(
+        "id", "displayName", "root", "depth")
 
 
 @query("q_empty_folders", """

@@ -64,3 +64,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
     """Register each driver table as a temp view of the same name."""
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and store it in the checkpoint folder; later reads use the copy.
+
+    Used where a small derived table feeds several branches of one plan, and between the
+    levels of iterative walks, so lineage stays short and a lost executor recomputes one
+    step. Never a machine-local checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
