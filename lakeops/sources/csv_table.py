@@ -37,6 +37,13 @@ def header_schema(spark: SparkSession, source: str, delimiter: str = ",",
     return StructType([StructField(c, StringType()) for c in cols])
 
 
+def skip_bad_files(staged: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of ``staged`` (with ``_file`` and the corrupt-record column) whose file has no
+    malformed row. The bad file names are a small distinct set joined back."""
+    bad = staged.where(F.col(CORRUPT).isNotNull()).select("_file").distinct()
+    return staged.join(bad, "_file", "left_anti").select(*[f.name for f in schema.fields])
+
+
 def csv_to_table(spark: SparkSession, source: str, schema: StructType | str | None = None,
                  delimiter: str = ",", use_first_row_as_header: bool = True,
                  skip_files_with_errors: bool = True, table: str | None = None,
@@ -62,9 +69,7 @@ def csv_to_table(spark: SparkSession, source: str, schema: StructType | str | No
                .withColumn("_file", F.col("_metadata.file_path")))
         stage = staging or staging_path(spark, "csv-stage")
         raw.write.mode("overwrite").parquet(stage)
-        staged = spark.read.parquet(stage)
-        bad = staged.where(F.col(CORRUPT).isNotNull()).select("_file").distinct()
-        out = staged.join(bad, "_file", "left_anti").select(*[f.name for f in schema.fields])
+        out = skip_bad_files(spark.read.parquet(stage), schema)
     if table:
         out.write.mode("overwrite").saveAsTable(table)
         return spark.table(table)
