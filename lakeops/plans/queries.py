@@ -329,7 +329,7 @@ def q_list_directory(spark, sf_dir):
                    list_filter(string_split(relativePath, '/'), lambda s: s <> '') AS segs FROM parts)
 SELECT n.relativePath, n.name, n.isDirectory,
        CASE WHEN d.relativePath IS NOT NULL THEN d.relativePath END AS parentPath,
-       len(n.segs) AS depth
+       CAST(len(n.segs) AS INTEGER) AS depth
 FROM nodes n LEFT JOIN (SELECT relativePath FROM parts WHERE isDirectory) d
   ON len(n.segs) > 1 AND d.relativePath = array_to_string(n.segs[1:len(n.segs) - 1], '/')
 """)
