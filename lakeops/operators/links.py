@@ -22,13 +22,17 @@ def resolve_names(dimension: DataFrame, requested: DataFrame, name_col: str = "n
 
     Every requested row comes back once, with the matched dimension row's columns
     prefixed ``match_`` and ``found`` (``applied`` = found, ``notFound`` = not found).
-    The dimension is reduced to one row per lower-cased name with ``max_by`` (map-side
-    partial aggregation), then hash-joined; AQE broadcasts it when it measures small.
+    The dimension is reduced to one row per lower-cased name with a ``max`` over
+    ``(order, row)`` (map-side partial aggregation), then hash-joined; AQE broadcasts it
+    when it measures small.
     """
     cols = dimension.columns
+    # max over (order, row): the last row wins, and equal orders are broken by row content
+    # so the answer never depends on task order.
     last = (dimension.where(F.col(name_col).isNotNull())
-            .select(F.lower(name_col).alias("_k"), F.struct(*cols).alias("_row"), F.col(order_col).alias("_o"))
-            .groupBy("_k").agg(F.max_by("_row", "_o").alias("_row")))
+            .select(F.lower(name_col).alias("_k"),
+                    F.struct(F.col(order_col).alias("_o"), F.struct(*cols).alias("_row")).alias("_w"))
+            .groupBy("_k").agg(F.max("_w")["_row"].alias("_row")))
     req = requested.withColumn("_k", F.lower(F.col(req_name_col)))
     j = req.join(last, "_k", "left")
     return j.select(*[F.col(c) for c in requested.columns],

@@ -108,14 +108,16 @@ def first_match(df: DataFrame, key: str | Column, order_col: str,
                 key_name: str = "key") -> DataFrame:
     """The first row (smallest ``order_col``) for each key value.
 
-    One row per key: ``key_name`` plus every input column. Computed with ``min_by`` so a
-    hot key is reduced map-side before the shuffle.
+    One row per key: ``key_name`` plus every input column. Computed as a ``min`` over
+    ``(order, row)``, so equal orders are broken by row content and a hot key is reduced
+    map-side before the shuffle.
     """
     k = _c(key)
     cols = df.columns
-    best = (df.select(k.alias(key_name), F.struct(*cols).alias("_row"), F.col(order_col).alias("_ord"))
-            .where(F.col("_ord").isNotNull())
-            .groupBy(key_name).agg(F.min_by("_row", "_ord").alias("_row")))
+    best = (df.where(F.col(order_col).isNotNull())
+            .select(k.alias(key_name),
+                    F.struct(F.col(order_col).alias("_ord"), F.struct(*cols).alias("_row")).alias("_w"))
+            .groupBy(key_name).agg(F.min("_w")["_row"].alias("_row")))
     return best.select(key_name, *[F.col("_row")[c].alias(c) for c in cols])
 
 
