@@ -115,15 +115,20 @@ def accept_share(path_details: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def patch_rows(base: DataFrame, patches: DataFrame, key: str | Sequence[str],
-               columns: Sequence[str] | None = None) -> DataFrame:
+               columns: Sequence[str] | None = None, order_col: str | None = None) -> DataFrame:
     """Update only the fields a patch gives: ``coalesce(patch.c, base.c)`` per column.
 
     A null in a patch leaves the field as it was (optional fields of an update request).
-    Nested struct columns are replaced whole when the patch gives them.
+    Nested struct columns are replaced whole when the patch gives them. Several patches
+    for one key are reduced to one first, so no base row is ever duplicated: the patch
+    with the largest ``order_col`` wins (ties, or no order column, broken by content).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    cols = [c for c in (columns or patches.columns) if c not in keys]
-    p = patches.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in cols])
+    cols = [c for c in (columns or patches.columns) if c not in keys and c != order_col]
+    order = [F.col(order_col).alias("_o")] if order_col else []
+    w = F.struct(*order, *[F.col(c).alias(f"_p_{c}") for c in cols])
+    p = patches.groupBy(*keys).agg(F.max(w).alias("_w")).select(
+        *keys, *[F.col("_w")[f"_p_{c}"].alias(f"_p_{c}") for c in cols])
     j = base.join(p, keys, "left")
     return j.select(*[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in base.columns])

@@ -50,6 +50,12 @@ def test_patch_rows_keeps_unset_fields(spark):
     patch = spark.createDataFrame([("a", False, None)], "id string, enabled boolean, cfg struct<type:string,n:int>")
     got = {r["id"]: (r["enabled"], r["cfg"]["type"]) for r in L.patch_rows(base, patch, "id").collect()}
     assert got == {"a": (False, "Daily"), "b": (False, "Weekly")}
+    two = spark.createDataFrame([("b", True, None, 2), ("b", False, ("Daily", 9), 1)],
+                                "id string, enabled boolean, cfg struct<type:string,n:int>, seq int")
+    out = L.patch_rows(base, two, "id", order_col="seq")
+    assert out.count() == 2
+    b = out.where("id = 'b'").collect()[0]
+    assert b["enabled"] is True and b["cfg"]["type"] == "Weekly"  # the later patch wins, null keeps
 
 
 def test_shortcut_policies(spark):
