@@ -128,7 +128,7 @@ def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
 
 
 def role_members(roles: DataFrame) -> DataFrame:
-    """``(role_id, objectId, objectType, tenantId)`` for every Entra member of a role."""
+    """``(role_id, objectId, objectType, tenantId)`` for every directory (user or group) member of a role."""
     m = roles.select(F.col("id").alias("role_id"),
                      F.explode("members.microsoftEntraMembers").alias("m"))
     return m.select("role_id", F.col("m.objectId").alias("objectId"),
@@ -138,7 +138,7 @@ def role_members(roles: DataFrame) -> DataFrame:
 
 def roles_for_member(roles: DataFrame, identities: DataFrame | None = None,
                      id_col: str = "objectId") -> DataFrame:
-    """Roles that list an identity among their Entra members (item members are not searched).
+    """Roles that list an identity among their directory members (item members are not searched).
 
     With ``identities`` (a table of object ids) the result is limited to those ids.
     Returns distinct ``(objectId, role_id)``.

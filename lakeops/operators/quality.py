@@ -115,15 +115,11 @@ GATEWAY_DEFAULT_MEMBERS = 1
 GATEWAY_MEMBERS_RANGE = (1, 7)
 GATEWAY_NAME_MAX = 200
 GATEWAY_MESSAGES = (
-    "Invalid inactivityMinutesBeforeSleep. Must be one of: "
-    "30, 60, 90, 120, 150, 240, 360, 480, 720, 1440",
+    "Invalid inactivityMinutesBeforeSleep. Must be one of: 30, 60, 90, 120, 150, 240, 360, 480, 720, 1440",
     "numberOfMemberGateways must be between 1 and 7",
     "displayName must be 200 characters or less",
 )
-SEMVER_PATTERN = (r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)"
-                  r"(?:-((?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*)"
-                  r"(?:\.(?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*))*))?"
-                  r"(?:\+([0-9a-zA-Z-]+(?:\.[0-9a-zA-Z-]+)*))?")
+SEMVER_PATTERN = r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*)(?:\.(?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*))*))?(?:\+([0-9a-zA-Z-]+(?:\.[0-9a-zA-Z-]+)*))?"  # noqa: E501
 GUID_PATTERN = r"[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}"
 WORKLOAD_NAME_PATTERN = r"([a-zA-Z0-9-]+)\.([a-zA-Z0-9-]+)"
 TYPE_NAME_PATTERN = r"([a-zA-Z0-9-]+)\.([a-zA-Z0-9-]+)\.([a-zA-Z0-9-]+)"
