@@ -10,11 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import lakeops.sources as SRC
+from lakeops.functions.codec import b64_encode
+from lakeops.functions.text import last_segment
 from lakeops.operators import access
+from lakeops.operators import hierarchy as H
+from lakeops.operators import links as L
+from lakeops.operators import nested as N
+from lakeops.operators import paths as P
+from lakeops.operators import quality
+from lakeops.operators import search as Q
 from lakeops.plans import oracles as O
 from lakeops.plans import standins as S
 from lakeops.plans.registry import query
 from lakeops.session import read_table
+from lakeops.sources.shortcuts import shortcut_uri
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +64,6 @@ def q_access_matrix(spark, sf_dir):
 
 # --------------------------------------------------------------------------- search
 
-from lakeops.operators import search as Q  # noqa: E402
-from lakeops.operators import quality  # noqa: E402
-
 
 @query("q_name_search", """
 SELECT p_partkey, p_name, p_type FROM part
@@ -295,8 +302,6 @@ def q_validate_chain(spark, sf_dir):
 
 # --------------------------------------------------------------------------- paths
 
-from lakeops.operators import hierarchy as H  # noqa: E402
-from lakeops.operators import paths as P  # noqa: E402
 
 _PAGE_LISTING_CTES = f"""
 WITH page_paths AS ({O.PAGE_PATHS}),
@@ -474,7 +479,6 @@ def q_move_nodes(spark, sf_dir):
 
 # --------------------------------------------------------------------------- joins, links
 
-from lakeops.operators import links as L  # noqa: E402
 
 _RESOLVED_CTES = f"""
 WITH tags_last AS ({O.TAGS_LAST}), tag_requests AS ({O.TAG_REQUESTS}), resolved AS ({O.RESOLVED})
@@ -653,8 +657,6 @@ def q_shortcut_apply(spark, sf_dir):
 
 # --------------------------------------------------------------------------- nested
 
-from lakeops.operators import nested as N  # noqa: E402
-
 
 @query("q_pack_unpack", """
 SELECT 'ev-' || event_id AS id,
@@ -734,11 +736,6 @@ def q_explode_rules(spark, sf_dir):
 
 # --------------------------------------------------------------------------- sources, sinks
 
-import lakeops.sources as SRC  # noqa: E402
-from lakeops.functions.codec import b64_encode  # noqa: E402
-from lakeops.functions.text import last_segment  # noqa: E402
-from lakeops.sources.shortcuts import shortcut_uri  # noqa: E402
-
 
 @query("q_list_paths")
 def q_list_paths(spark, sf_dir):
