@@ -45,11 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for staged data and checkpoints.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the operator of the
-    cluster. Only when it is unset (local tests, the bench) do we pick a fresh folder.
+    cluster; without it a cluster job stops with an error rather than write to a
+    machine-local folder. Only in local mode with no setting (tests, the bench) do we
+    pick a fresh local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                           "distributed file system); lakeops stages and checkpoints data there")
     d = tempfile.mkdtemp(prefix="lakeops-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)

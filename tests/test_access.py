@@ -84,3 +84,12 @@ def test_roles_for_member_and_summary(spark):
     matrix = rows(access.access_matrix(paths_df(spark), r).where(F.col("objectId") == "alice"),
                   "path", "roles")
     assert ("Tables/Sales", ["sales"]) in matrix and len(matrix) == 4
+
+
+def test_large_pattern_tables_use_a_shuffle_join(spark):
+    """Beyond the broadcast bound the prefix join is a shuffle join (AQE splits skew)."""
+    grants = access.roles_for_path(paths_df(spark), roles_df(spark), broadcast_rows=0)
+    plan = grants._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    assert rows(grants) == rows(access.roles_for_path(paths_df(spark), roles_df(spark)))
