@@ -41,7 +41,8 @@ LEFT JOIN page_grants g ON r.role_id = g.role_id
 GROUP BY r.role_id
 """))
 def q_access_count(spark, sf_dir):
-    """explode_rules + roles_for_path: how many pages each access role opens."""
+    """roles_for_path (first Path permission of each rule, prefix match): how many pages
+    each access role opens, zero for roles that open none."""
     pages = _t(spark, sf_dir, "pages")
     files = S.pages_files(pages).select(F.col("name").alias("path"))
     return access.role_path_counts(files, S.pages_roles(pages))
@@ -56,7 +57,8 @@ SELECT h.objectId, h.n_roles, coalesce(r.n_paths, 0) AS n_paths
 FROM held h LEFT JOIN reach r ON h.objectId = r.objectId
 """))
 def q_access_matrix(spark, sf_dir):
-    """roles_for_member + access_matrix, summarised per member: roles held, pages readable."""
+    """access_summary (roles_for_path + roles_for_member): per member, roles held and
+    distinct pages readable, without forming member-page pairs."""
     pages = _t(spark, sf_dir, "pages")
     files = S.pages_files(pages).select(F.col("name").alias("path"))
     return access.access_summary(files, S.pages_roles(pages))
@@ -813,7 +815,8 @@ SELECT name, kind,
 FROM sc
 """)
 def q_mount(spark, sf_dir):
-    """mount_shortcuts: the storage URI of every shortcut target, over all eight kinds."""
+    """shortcut_uri, the URI rule mount_shortcuts reads through: every shortcut target's
+    storage URI over all eight kinds (null for the two without storage)."""
     sc = S.part_shortcuts(_t(spark, sf_dir, "part"))
     return sc.select("name", F.col("target.type").alias("kind"), shortcut_uri("target").alias("uri"))
 
