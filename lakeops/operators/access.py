@@ -15,11 +15,13 @@ Prefixes are not segment-aligned: ``Tables/Sales`` grants ``Tables/SalesOld``.
 
 Plan (no theta join, no broadcast of unbounded data): the prefix test is rewritten as an
 equi-join. ``*`` and the empty pattern become the key ``""``. Each path is expanded into its
-prefixes of exactly the lengths that occur among the patterns (a bounded set of integers,
-computed once as a scalar subquery), and those prefixes are hash-joined to the patterns.
-A key shared by many paths (``""`` for wildcard roles, a short common prefix) is a skewed
-join key; AQE's skew-join split handles it, and AQE turns the join into a broadcast at run
-time when the pattern side is measured to be small.
+prefixes of exactly the lengths that occur among the patterns (a set of integers no larger
+than the longest pattern, computed once as a scalar subquery), and those prefixes are
+hash-joined to the patterns. The pattern keys are materialized once; they are broadcast
+only when a count shows at most ``BROADCAST_PATTERN_ROWS`` rows, so the expanded prefixes
+are probed inside the scan stage and never shuffled. Beyond that bound the join is a
+shuffle join; a key shared by many paths (``""`` for wildcard roles, a short common prefix)
+is then a skewed key, which AQE's skew-join split spreads over several tasks.
 """
 
 from __future__ import annotations
