@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lakeops.session import materialize
 
 MAX_DEPTH = 1000
+# Largest frontier (rows) broadcast to the edge scan in one walk step.
+BROADCAST_FRONTIER_ROWS = 2_000_000
 # Fixed value (must equal the reference): the error text for an empty folder path.
 EMPTY_PATH_ERROR = "No folders were created or found"
 
@@ -27,32 +29,42 @@ def _edges(folders: DataFrame, id_col: str, parent_col: str, name_col: str) -> D
 _stable = materialize
 
 
-def walk_down(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def walk_down(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH,
+              broadcast_rows: int = BROADCAST_FRONTIER_ROWS) -> DataFrame:
     """Breadth-first walk from ``start`` (``id, path, depth`` [, ``root``]) along child links.
 
     Returns every reached node with ``path`` (array of names from the start), ``depth``
     and, when ``start`` has it, the ``root`` it was reached from. A walk that comes back
     to its own root (a parent cycle through the root) stops there; nodes on a cycle not
     reachable from ``start`` are never reached.
+
+    Each level is one join of the current frontier with the stored edges. A frontier of
+    at most ``broadcast_rows`` rows (counted, it is already stored) is broadcast, so the
+    edges are scanned where they lie and never shuffled; a larger frontier makes it a
+    shuffle join, where AQE splits a parent with very many children over several tasks.
     """
     has_root = "root" in start.columns
     level = _stable(start)
     levels = [level]
     # Read the source once: every level joins this stored projection of the edges.
     children = _stable(edges.where(F.col("parent").isNotNull()))
+    n = level.count()
     for _ in range(max_depth):
+        if n == 0:
+            break
         prev = level.select(F.col("id").alias("parent"), F.col("path").alias("_pp"),
                             F.col("depth").alias("_pd"), *(["root"] if has_root else []))
+        if n <= broadcast_rows:
+            prev = F.broadcast(prev)
         nxt = children.join(prev, "parent").select(
             "id", F.array_append("_pp", F.col("displayName")).alias("path"),
             (F.col("_pd") + 1).alias("depth"), *(["root"] if has_root else []))
         if has_root:
             nxt = nxt.where(~F.col("id").eqNullSafe(F.col("root")))
-        nxt = _stable(nxt)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        level = nxt
+        level = _stable(nxt)
+        n = level.count()
+        if n:
+            levels.append(level)
     else:
         raise RuntimeError(f"hierarchy deeper than {max_depth} levels (or a cycle below the start)")
     out = levels[0]
