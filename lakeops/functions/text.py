@@ -14,23 +14,28 @@ def contains_text(c: str | Column, term: str, case_sensitive: bool = False) -> C
     """``value.includes(term)``, lower-cased on both sides unless ``case_sensitive``.
 
     A literal substring test: ``%`` and ``_`` in ``term`` are ordinary characters. An empty
-    term matches every non-null value. A null value never matches.
+    term matches every non-null value. A null value gives false, never null, so negating the
+    condition keeps null rows; written as ``IS NOT NULL AND ...`` so that the case-sensitive
+    form reaches the Parquet scan as a pushed-down ``StringContains``.
     """
     col = _c(c)
     if case_sensitive:
-        return F.coalesce(F.contains(col, F.lit(term)), F.lit(False))
-    return F.coalesce(F.contains(F.lower(col), F.lower(F.lit(term))), F.lit(False))
+        return col.isNotNull() & F.contains(col, F.lit(term))
+    return col.isNotNull() & F.contains(F.lower(col), F.lower(F.lit(term)))
 
 
 def equals_ci(c: str | Column, value: str | Column) -> Column:
-    """Case-insensitive equality; null on either side never matches."""
+    """Case-insensitive equality; null on either side gives false."""
     v = value if isinstance(value, Column) else F.lit(value)
-    return F.coalesce(F.lower(_c(c)) == F.lower(v), F.lit(False))
+    col = _c(c)
+    return col.isNotNull() & v.isNotNull() & (F.lower(col) == F.lower(v))
 
 
 def starts_with(c: str | Column, prefix: str | Column) -> Column:
+    """Prefix test; null gives false. Pushed down to Parquet as ``StringStartsWith``."""
     p = prefix if isinstance(prefix, Column) else F.lit(prefix)
-    return F.coalesce(F.startswith(_c(c), p), F.lit(False))
+    col = _c(c)
+    return col.isNotNull() & p.isNotNull() & F.startswith(col, p)
 
 
 def segments(c: str | Column) -> Column:

@@ -46,10 +46,11 @@ def discover_tables(listing: DataFrame, name_col: str = "name") -> DataFrame:
     item segment and ends in ``/``.
     """
     name = F.col(name_col)
-    is_log = F.coalesce(F.endswith(name, F.lit("/" + DELTA_LOG)), F.lit(False))
+    # Null-safe without coalesce, so the whole test pushes down to a Parquet listing scan.
+    is_log = name.isNotNull() & F.endswith(name, F.lit("/" + DELTA_LOG))
     acct = F.col("accountType") if "accountType" in listing.columns else F.lit(None).cast("string")
-    is_sc = F.coalesce(_flag(listing, "isShortcut") & acct.isin(*TABLE_SHORTCUT_ACCOUNT_TYPES),
-                       F.lit(False))
+    sc_flag = _flag(listing, "isShortcut")
+    is_sc = sc_flag.isNotNull() & sc_flag & acct.isNotNull() & acct.isin(*TABLE_SHORTCUT_ACCOUNT_TYPES)
     parts = segments(name)
     table_parts = F.when(is_log, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     t = listing.where(is_log | is_sc).select(table_parts.alias("tp"), parts.alias("p"))

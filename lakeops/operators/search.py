@@ -40,8 +40,10 @@ def filter_contains(c: str | Column, term: str, case_sensitive: bool = False) ->
 
 
 def filter_struct_field(field_path: str, value) -> Column:
-    """Equality on a nested optional field such as ``recipient.userPrincipalName``."""
-    return F.coalesce(F.col(field_path) == F.lit(value), F.lit(False))
+    """Equality on a nested optional field such as ``recipient.userPrincipalName``; a
+    missing field gives false. Parquet pushes nested-field filters down to the scan."""
+    c = F.col(field_path)
+    return c.isNotNull() & (c == F.lit(value))
 
 
 # Tagged-union arms the reference can select by kind (only three of eight).
@@ -59,18 +61,19 @@ def filter_array_any(c: str | Column, value: str, how: str = "equals") -> Column
     """Any array element equals ``value`` (``how="equals"``) or contains it (``"contains"``,
     case-sensitive). A null array never matches."""
     if how == "equals":
-        pred = lambda x: x == F.lit(value)
+        pred = lambda x: x.isNotNull() & (x == F.lit(value))
     elif how == "contains":
-        pred = lambda x: F.contains(x, F.lit(value))
+        pred = lambda x: x.isNotNull() & F.contains(x, F.lit(value))
     else:
         raise ValueError("how must be 'equals' or 'contains'")
-    return F.coalesce(F.exists(_c(c), pred), F.lit(False))
+    arr = _c(c)
+    return arr.isNotNull() & F.exists(arr, pred)
 
 
 def filter_flag(c: str | Column, negate: bool = False) -> Column:
     """A boolean column, or its negation; null counts as false either way."""
     v = _c(c)
-    return F.coalesce(~v if negate else v, F.lit(False))
+    return v.isNotNull() & (~v if negate else v)
 
 
 def filter_expired(c: str | Column, as_of) -> Column:
@@ -79,14 +82,16 @@ def filter_expired(c: str | Column, as_of) -> Column:
     ``as_of`` is a parameter (timestamp, ISO string or Column) so results are repeatable.
     """
     limit = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-    return F.coalesce(_c(c).try_cast("timestamp") < limit, F.lit(False))
+    ts = _c(c).try_cast("timestamp")
+    return ts.isNotNull() & (ts < limit)
 
 
 def filter_roles_in(c: str | Column, roles: Sequence[str] | None) -> Column:
     """Role is one of ``roles``; an empty or missing list means no filter."""
     if not roles:
         return F.lit(True)
-    return F.coalesce(_c(c).isin(list(roles)), F.lit(False))
+    col = _c(c)
+    return col.isNotNull() & col.isin(list(roles))
 
 
 # ---------------------------------------------------------------- operators
@@ -101,7 +106,7 @@ def search_catalog(df: DataFrame, conditions: Iterable[Column]) -> DataFrame:
 
 def delete_by_pattern(df: DataFrame, name_col: str, pattern: str) -> DataFrame:
     """Remove rows whose name contains ``pattern`` case-insensitively; null names stay."""
-    return df.where(~contains_text(name_col, pattern) | F.col(name_col).isNull())
+    return df.where(~contains_text(name_col, pattern))
 
 
 def first_match(df: DataFrame, key: str | Column, order_col: str,
