@@ -94,3 +94,24 @@ def test_mount_local_shortcut_and_page_dumps(spark, tmpdir_new):
     assert sorted(r[0] for r in items.select(F.variant_get("item", "$.a", "int")).collect()) == [1, 2, 3]
     df = SRC.mount_shortcut(spark, f"{tmpdir_new}/data/t", view="local_t")
     assert spark.sql("SELECT count(*) FROM local_t").collect()[0][0] == 5 and df.count() == 5
+
+
+def test_mount_shortcuts_registers_local_targets(spark, tmpdir_new):
+    spark.range(3).write.parquet(f"{tmpdir_new}/lake/a")
+    spark.range(7).write.parquet(f"{tmpdir_new}/lake/b")
+    T = ("struct<type:string, adlsGen2:struct<location:string,subpath:string,connectionId:string>,"
+         "amazonS3:struct<location:string,subpath:string,connectionId:string>,"
+         "externalDataShare:struct<connectionId:string>>")
+    sc = spark.createDataFrame([
+        ("Files", "sc_a", ("AdlsGen2", (f"file:{tmpdir_new}/lake", "/a", "c"), None, None)),
+        ("Files", "sc_b", ("AmazonS3", None, (f"{tmpdir_new}/lake", "/b", "c"), None)),
+        ("Files", "sc_x", ("ExternalDataShare", None, None, ("c",))),
+    ], f"path string, name string, target {T}")
+    # the URI rule only reads the arms a kind uses; missing arms are added as nulls
+    for arm in ("oneLake", "googleCloudStorage", "s3Compatible", "azureBlobStorage"):
+        sc = sc.withColumn("target", F.col("target").withField(
+            arm, F.lit(None).cast("struct<location:string,subpath:string,bucket:string,"
+                                  "workspaceId:string,itemId:string,path:string>")))
+    views = SRC.mount_shortcuts(spark, sc)
+    assert sorted(views) == ["sc_a", "sc_b"]  # no storage location for the share
+    assert spark.table("sc_a").count() == 3 and spark.table("sc_b").count() == 7
