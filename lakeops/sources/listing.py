@@ -3,9 +3,9 @@
 Spark's file sources hide names starting with ``_`` or ``.``, so ``_delta_log`` folders and
 placeholder files never show in a ``binaryFile`` listing. This reader shows everything.
 
-Planning lists only a few directory levels on the driver to cut the tree into partitions
-(one per directory subtree, going deeper while there are fewer subtrees than wanted);
-each partition then walks its subtree on an executor with ``os.scandir``. A symbolic link
+Planning lists only directory names of a few levels on the driver to cut the tree into
+subtrees (going deeper while there are fewer subtrees than wanted) and deals them into at
+most ``partitions`` partitions; each task then walks its subtrees with ``os.scandir``. A symbolic link
 is reported as a shortcut and never followed. Local and mounted paths only (``file:`` or
 plain absolute paths); object stores need a storage-inventory export read as Parquet.
 
@@ -37,10 +37,11 @@ def _local(path: str) -> str:
 
 
 class _Part(InputPartition):
-    def __init__(self, directory: str, recursive: bool):
-        super().__init__(directory)
-        self.directory = directory
-        self.recursive = recursive
+    """A list of ``(directory, recursive)`` units walked by one task."""
+
+    def __init__(self, units):
+        super().__init__(units)
+        self.units = units
 
 
 def _row(root: str, entry: os.DirEntry):
@@ -64,30 +65,34 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         if not self.recursive:
-            return [_Part(self.start, False)]
+            return [_Part([(self.start, False)])]
         # Cut the tree: replace a recursive subtree by its own level plus its child subtrees,
-        # breadth-first, until there are enough subtrees or three levels are planned.
-        parts, frontier = [], [(self.start, 0)]
-        while frontier and len(parts) + len(frontier) < self.wanted:
+        # breadth-first, until there are enough subtrees or three levels are planned. Only
+        # directory names are listed here; files are listed by the tasks.
+        units, frontier = [], [(self.start, 0)]
+        while frontier and len(units) + len(frontier) < self.wanted:
             d, depth = frontier.pop(0)
             if depth >= 3:
-                parts.append(_Part(d, True))
+                units.append((d, True))
                 continue
-            parts.append(_Part(d, False))
+            units.append((d, False))
             with os.scandir(d) as it:
                 frontier += [(e.path, depth + 1) for e in it if e.is_dir(follow_symlinks=False)]
-        parts += [_Part(d, True) for d, _ in frontier]
-        return parts
+        units += [(d, True) for d, _ in frontier]
+        # At most `wanted` partitions, however wide a directory is: deal units round-robin.
+        n = max(1, min(self.wanted, len(units)))
+        return [_Part(units[i::n]) for i in range(n)]
 
     def read(self, partition):
-        stack = [partition.directory]
-        while stack:
-            d = stack.pop()
-            with os.scandir(d) as it:
-                for e in it:
-                    yield _row(self.root, e)
-                    if partition.recursive and e.is_dir(follow_symlinks=False):
-                        stack.append(e.path)
+        for directory, recursive in partition.units:
+            stack = [directory]
+            while stack:
+                d = stack.pop()
+                with os.scandir(d) as it:
+                    for e in it:
+                        yield _row(self.root, e)
+                        if recursive and e.is_dir(follow_symlinks=False):
+                            stack.append(e.path)
 
 
 class LakePathsSource(DataSource):
