@@ -31,6 +31,13 @@ from pyspark.sql import functions as F
 
 from lakeops.session import materialize
 
+# The role schema (FIXTURES ``roles``), e.g. for ``from_json`` on landed role pages.
+ROLE_SCHEMA = (
+    "id string, name string, decisionRules array<struct<effect:string, permission:array<struct<"
+    "attributeName:string, attributeValueIncludedIn:array<string>>>>>, members struct<"
+    "fabricItemMembers:array<struct<itemAccess:array<string>,sourcePath:string>>, "
+    "microsoftEntraMembers:array<struct<tenantId:string,objectId:string,objectType:string>>>")
+
 PATH_ATTRIBUTE = "Path"
 WILDCARD = "*"
 

@@ -7,6 +7,8 @@ optional flags.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +152,25 @@ def tables_by_schema(tables: DataFrame) -> DataFrame:
     return (tables.select("schema", "name", "relativePath")
             .join(counts, F.col("schema").eqNullSafe(F.col("_s")), "left")
             .select("schema", "name", "relativePath", "n_tables"))
+
+
+class ItemView(NamedTuple):
+    tables: DataFrame   # discover_tables rows
+    by_schema: DataFrame  # tables_by_schema rows
+    files: DataFrame    # path_parts rows of Files/
+    tree: DataFrame     # build_tree edges of Files/
+
+
+def browse_item(listing: DataFrame, item: str, name_col: str = "name") -> ItemView:
+    """One item's lake view from a recursive listing, as lazy plans over one listing scan.
+
+    Tables come from ``<item>/Tables/`` (``discover_tables``, then ``tables_by_schema``);
+    files from ``<item>/Files/`` (``path_parts``, then ``build_tree``). The prefix filters
+    are plain ``startswith`` tests, pushed down when the listing is stored as Parquet.
+    """
+    name = F.col(name_col)
+    tables_part = listing.where(name.isNotNull() & F.startswith(name, F.lit(f"{item}/Tables/")))
+    files_part = listing.where(name.isNotNull() & F.startswith(name, F.lit(f"{item}/Files/")))
+    tables = discover_tables(tables_part, name_col)
+    files = path_parts(files_part, "Files", name_col)
+    return ItemView(tables, tables_by_schema(tables), files, build_tree(files))

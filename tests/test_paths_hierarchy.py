@@ -105,3 +105,14 @@ def test_walk_shuffle_path_matches_broadcast_path(spark):
     a = rows(H.walk_down(e, start), "id", "path", "depth")
     b = rows(H.walk_down(e, start, broadcast_rows=0), "id", "path", "depth")
     assert a == b and len(a) == 5
+
+
+def test_browse_item(spark):
+    listing = spark.createDataFrame([
+        ("it/Tables/t1/_delta_log", True), ("it/Tables/dbo/t2/_delta_log", True),
+        ("it/Files/a", True), ("it/Files/a/x.csv", False), ("other/Files/b.csv", False),
+    ], "name string, isDirectory boolean")
+    v = P.browse_item(listing, "it")
+    assert rows(v.by_schema, "schema", "name", "n_tables") == [("dbo", "t2", 1), (None, "t1", 1)]
+    assert {r["relativePath"]: r["parentPath"] for r in v.tree.collect()} == {"Files/a": None,
+                                                                               "Files/a/x.csv": "Files/a"}
