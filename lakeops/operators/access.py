@@ -78,11 +78,17 @@ def _match_keys(patterns: DataFrame, mode: str) -> DataFrame:
     return patterns.where(F.col("pattern").isNotNull()).select("role_id", key.alias("key")).distinct()
 
 
-def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str) -> DataFrame:
+def _key_lengths(keys: DataFrame) -> Column:
+    """Distinct pattern lengths as a scalar subquery: at most as many integers as the
+    longest pattern has characters."""
+    return keys.select(F.array_sort(F.collect_set(F.length("key")))).scalar()
+
+
+def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str,
+               lens: Column | None = None) -> DataFrame:
     path = F.col(path_col)
     if mode == "reference":
-        # Distinct pattern lengths: a set of integers no larger than the longest pattern.
-        lens = keys.select(F.array_sort(F.collect_set(F.length("key")))).scalar()
+        lens = _key_lengths(keys) if lens is None else lens
         with_lens = paths.select(path.alias("path"), lens.alias("lens"))
         prefix_lens = F.filter("lens", lambda n: n <= F.length("path"))
         return with_lens.select("path", F.explode(prefix_lens).alias("n")).select(
@@ -126,14 +132,75 @@ def roles_for_path(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     return pk.join(bounded_broadcast(keys, broadcast_rows), "key").select("role_id", "path").distinct()
 
 
+def _strict_prefixes(df: DataFrame, key_col: str, lens: Column, mode: str) -> Column:
+    """Proper prefixes of ``key_col`` that could be patterns: at the pattern lengths (reference
+    mode) or on ``/`` borders (segment mode), always including the wildcard key ``""``."""
+    k = F.col(key_col)
+    if mode == "reference":
+        return F.transform(F.filter(lens, lambda n: n < F.length(k)), lambda n: F.left(k, n))
+    segs = F.split(k, "/", -1)
+    anc = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segs) - 1, F.lit(1))),
+                      lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))
+    anc = F.filter(anc, lambda a: a != k)
+    return F.when(k == F.lit(""), F.array().cast("array<string>")).otherwise(
+        F.array_union(F.array(F.lit("")), anc))
+
+
+def _prefix_free(group_keys: DataFrame, group_col: str, mode: str, lens: Column) -> DataFrame:
+    """Drop every key that has another key of the same group as a proper prefix.
+
+    What is left matches disjoint sets of paths (two patterns that both prefix one path
+    are prefixes of each other), so a group's path count is the sum over its keys.
+    ``lens`` is the pattern-length set of all keys (a superset of the group's).
+    """
+    with_lens = group_keys.select(group_col, "key", lens.alias("_lens"))
+    cands = with_lens.select(group_col, "key", F.explode(
+        _strict_prefixes(with_lens, "key", F.col("_lens"), mode)).alias("_p"))
+    have = group_keys.select(group_col, F.col("key").alias("_p"))
+    dominated = cands.join(have, [group_col, "_p"], "left_semi").select(group_col, "key")
+    return group_keys.join(dominated, [group_col, "key"], "left_anti")
+
+
+def key_path_counts(paths: DataFrame, keys: DataFrame, path_col: str = "path",
+                    mode: str = "reference",
+                    broadcast_rows: int = BROADCAST_PATTERN_ROWS,
+                    lens: Column | None = None) -> DataFrame:
+    """``(key, n)``: how many distinct paths each pattern key grants, without any pairs.
+
+    Path prefixes are probed against the broadcast keys and counted per key map-side, so a
+    key that matches most paths (the wildcard, a common prefix) is just a large count.
+    Beyond the broadcast bound, prefixes are first counted per prefix string (partial
+    aggregation collapses hot prefixes before the shuffle) and then joined to the keys.
+    """
+    uniq = paths.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias(path_col)).distinct()
+    pk = _path_keys(uniq, path_col, keys, mode, lens)
+    k = keys.select("key").distinct()
+    if k.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return pk.join(F.broadcast(k), "key").groupBy("key").agg(F.count("*").alias("n"))
+    per_prefix = pk.groupBy("key").agg(F.count("*").alias("n"))
+    return per_prefix.join(k, "key")
+
+
+def _grant_counts(group_keys: DataFrame, group_col: str, n_by_key: DataFrame,
+                  mode: str, lens: Column) -> DataFrame:
+    pf = _prefix_free(group_keys, group_col, mode, lens)
+    return pf.join(n_by_key, "key").groupBy(group_col).agg(F.sum("n").cast("long").alias("n_paths"))
+
+
 def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                      mode: str = "reference") -> DataFrame:
-    """How many distinct paths each role opens; roles that open none report 0."""
-    grants = roles_for_path(paths, roles, path_col, mode)
-    counts = grants.groupBy("role_id").agg(F.count("*").alias("n_paths"))
+    """How many distinct paths each role opens; roles that open none report 0.
+
+    Exact without (role, path) pairs: each role's patterns are reduced to a prefix-free
+    set, whose matches are disjoint, and the per-pattern path counts are summed.
+    """
+    keys = materialize(_match_keys(path_patterns(roles), mode))
+    lens = _key_lengths(keys)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens)
+    counts = _grant_counts(keys, "role_id", n_by_key, mode, lens)
     all_roles = roles.select(F.col("id").alias("role_id")).distinct()
     return all_roles.join(counts, "role_id", "left").select(
-        "role_id", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
+        "role_id", F.coalesce("n_paths", F.lit(0)).cast("long").alias("n_paths"))
 
 
 def role_members(roles: DataFrame) -> DataFrame:
@@ -178,18 +245,17 @@ def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                    mode: str = "reference") -> DataFrame:
     """Per member: number of roles held and number of distinct paths readable.
 
-    Exact without forming (member, path) pairs: paths are grouped by the set of roles
-    that grant them (their *role set*), and a member reads every path whose role set
-    shares a role with theirs. Work is members × role sets, not members × paths.
+    Exact without forming (member, path) or (role, path) pairs: a member's patterns (those
+    of all roles held) are reduced to a prefix-free set, whose matches are disjoint, and
+    the per-pattern path counts are summed. Work is members × patterns, plus one pass
+    over the paths.
     """
-    grants = roles_for_path(paths, roles, path_col, mode)
-    by_path = grants.groupBy("path").agg(F.array_sort(F.collect_set("role_id")).alias("roleset"))
-    sets = by_path.groupBy("roleset").agg(F.count("*").alias("set_paths"))
-    set_roles = sets.select("roleset", "set_paths", F.explode("roleset").alias("role_id"))
+    keys = materialize(_match_keys(path_patterns(roles), mode))
+    lens = _key_lengths(keys)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens)
     members = roles_for_member(roles)
-    reach = (members.join(set_roles, "role_id")
-             .select("objectId", "roleset", "set_paths").distinct()
-             .groupBy("objectId").agg(F.sum("set_paths").alias("n_paths")))
+    member_keys = members.join(keys, "role_id").select("objectId", "key").distinct()
+    reach = _grant_counts(member_keys, "objectId", n_by_key, mode, lens)
     held = members.groupBy("objectId").agg(F.count("*").alias("n_roles"))
     return held.join(reach, "objectId", "left").select(
         "objectId", "n_roles", F.coalesce("n_paths", F.lit(0)).cast("long").alias("n_paths"))

@@ -93,3 +93,25 @@ def test_large_pattern_tables_use_a_shuffle_join(spark):
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
     assert rows(grants) == rows(access.roles_for_path(paths_df(spark), roles_df(spark)))
+
+
+def test_counts_without_pairs_match_pairwise_counts(spark):
+    """Overlapping patterns in one role and across a member's roles are counted once."""
+    data = [
+        role("ov", [[perm("Path", "Files/a", "Files/ab", "Files/a")], [perm("Path", "Files/abc/x")]], ["m1"]),
+        role("w", [[perm("Path", "Files/b")], [perm("Path", "")]], ["m2"]),
+        role("p", [[perm("Path", "Files/ab")]], ["m1", "m2"]),
+        role("q", [[perm("Path", "Tables")]], ["m1"]),
+    ]
+    r = spark.createDataFrame(data, ROLE_DDL)
+    p = spark.createDataFrame([(x,) for x in ["Files/a", "Files/ab", "Files/abc/x/y", "Files/b/z",
+                                              "Tables/t", "Tables2/u", "Files/ab"]], "path string")
+    for mode in ("reference", "segment"):
+        pairs = access.roles_for_path(p, r, mode=mode)
+        want = dict(rows(pairs.groupBy("role_id").count()))
+        got = {k: v for k, v in rows(access.role_path_counts(p, r, mode=mode)) if v}
+        assert got == want, mode
+        mem = rows(access.roles_for_member(r).join(pairs, "role_id")
+                   .groupBy("objectId").agg(F.countDistinct("path")))
+        summ = [(o, n) for o, _, n in rows(access.access_summary(p, r, mode=mode))]
+        assert summ == mem, mode
