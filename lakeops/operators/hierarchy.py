@@ -158,21 +158,28 @@ def ensure_folder_paths(folders: DataFrame, requests: DataFrame, req_col: str =
         F.col("pid").alias(parent_col), F.array_join("path", "/").alias("pathText"))
     resolved = req.join(resolved_prefix.select(F.col("path").alias("segs"), "fid"), "segs", "left").select(
         "request", F.col("fid").alias("folderId"),
-        F.when(F.size("segs") == 0, F.lit(EMPTY_PATH_ERROR)).alias("error"))
+        F.when(F.col("segs").isNull() | (F.size("segs") == 0), F.lit(EMPTY_PATH_ERROR)).alias("error"))
     return created, resolved
 
 
 def move_nodes(nodes: DataFrame, moves: DataFrame, id_col: str = "id",
                parent_col: str = "parentFolderId", target_col: str = "target",
-               name_col: str = "displayName", max_rounds: int = 50) -> DataFrame:
+               name_col: str = "displayName", max_rounds: int = 50,
+               order_col: str | None = None) -> DataFrame:
     """Re-parent nodes; a null target moves a node to the root.
 
     Our rule (the reference leaves this to the service): a move is rejected when, with
     the moves applied, the node is no longer reachable from a root, i.e. it would sit in
     or under a parent cycle. Rejected moves are dropped and the check repeats until the
-    accepted set is stable. Adds ``moved`` (accepted) and ``rejected`` columns.
+    accepted set is stable. Adds ``moved`` (accepted) and ``rejected`` columns. Several
+    moves for one node are reduced to one first (see ``order_col``).
     """
-    mv = moves.select(F.col(id_col).alias("_mid"), F.col(target_col).alias("_target")).dropDuplicates(["_mid"])
+    # One move per node: the latest by ``order_col``; without one, the largest target id
+    # (a move to the root only when it is the node's only move). Never an arbitrary pick.
+    order = [F.col(order_col).alias("_o")] if order_col else []
+    mv = (moves.groupBy(F.col(id_col).alias("_mid"))
+          .agg(F.max(F.struct(*order, F.col(target_col).alias("_t"))).alias("_w"))
+          .select("_mid", F.col("_w._t").alias("_target")))
     accepted = mv
     for _ in range(max_rounds):
         applied = (nodes.join(accepted, nodes[id_col] == accepted["_mid"], "left")

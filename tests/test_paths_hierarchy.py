@@ -116,3 +116,13 @@ def test_browse_item(spark):
     assert rows(v.by_schema, "schema", "name", "n_tables") == [("dbo", "t2", 1), (None, "t1", 1)]
     assert {r["relativePath"]: r["parentPath"] for r in v.tree.collect()} == {"Files/a": None,
                                                                                "Files/a/x.csv": "Files/a"}
+
+
+def test_move_nodes_several_moves_per_node(spark):
+    nodes = spark.createDataFrame([("1", "r", None), ("2", "a", None), ("3", "b", None)], FOLDERS)
+    moves = spark.createDataFrame([("3", "1", 2), ("3", "2", 1), ("3", None, 3)],
+                                  "id string, target string, seq int")
+    by_order = {r["id"]: r["parentFolderId"] for r in H.move_nodes(nodes, moves, order_col="seq").collect()}
+    assert by_order["3"] is None  # the latest move (to the root) wins
+    no_order = {r["id"]: r["parentFolderId"] for r in H.move_nodes(nodes, moves.drop("seq")).collect()}
+    assert no_order["3"] == "2" and H.move_nodes(nodes, moves.drop("seq")).count() == 3
