@@ -48,8 +48,15 @@ def run_state_flags(requested: DataFrame, operations: DataFrame, id_col: str = "
     succeeded, not failed, no percent, no error.
     """
     req = requested.select(F.col(id_col).alias("id")).distinct()
-    ops = operations.select(F.col("id"), F.col("status"), F.col("percentComplete"),
-                            F.col("error.message").alias("_msg"), F.lit(True).alias("_found"))
+    # One state per operation: the latest by lastUpdatedTimeUtc when the listing has it
+    # (repeated polls), ties and the rest broken by content, so no requested id repeats.
+    order = ([F.col("lastUpdatedTimeUtc").alias("_o")]
+             if "lastUpdatedTimeUtc" in operations.columns else [])
+    w = F.struct(*order, F.col("status").alias("status"),
+                 F.col("percentComplete").alias("percentComplete"),
+                 F.col("error.message").alias("_msg"))
+    ops = (operations.groupBy("id").agg(F.max(w).alias("_w"))
+           .select("id", "_w.status", "_w.percentComplete", "_w._msg", F.lit(True).alias("_found")))
     j = req.join(ops, "id", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status = F.col("status")

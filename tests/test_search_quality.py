@@ -128,3 +128,12 @@ def test_validate_prefix_chain(spark):
                                  "package string, itemFile string, jobName string")
     got = rows(quality.validate_prefix_chain(pk, items, jobs), "subject")
     assert got == sorted([("Org.W.ItemJob",), ("b.xml",), ("org.W.B",)], key=repr)
+
+
+def test_run_state_flags_latest_state_per_operation(spark):
+    ops = spark.createDataFrame(
+        [("1", "Running", 10.0, None, "2024-01-01 00:00:00"), ("1", "Succeeded", 100.0, None, "2024-01-01 00:05:00")],
+        "id string, status string, percentComplete double, error struct<code:string,message:string>, "
+        "lastUpdatedTimeUtc string").withColumn("lastUpdatedTimeUtc", F.col("lastUpdatedTimeUtc").cast("timestamp"))
+    r = quality.run_state_flags(spark.createDataFrame([("1",)], "id string"), ops).collect()
+    assert len(r) == 1 and r[0]["succeeded"] and r[0]["percent"] == 100.0
