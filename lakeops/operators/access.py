@@ -253,7 +253,7 @@ def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
     n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens)
-    members = roles_for_member(roles)
+    members = materialize(roles_for_member(roles))  # feeds two branches: compute once
     member_keys = members.join(keys, "role_id").select("objectId", "key").distinct()
     reach = _grant_counts(member_keys, "objectId", n_by_key, mode, lens)
     held = members.groupBy("objectId").agg(F.count("*").alias("n_roles"))
