@@ -126,3 +126,36 @@ def test_move_nodes_several_moves_per_node(spark):
     assert by_order["3"] is None  # the latest move (to the root) wins
     no_order = {r["id"]: r["parentFolderId"] for r in H.move_nodes(nodes, moves.drop("seq")).collect()}
     assert no_order["3"] == "2" and H.move_nodes(nodes, moves.drop("seq")).count() == 3
+
+
+def _reachable(parent):
+    """Nodes whose parent chain ends at a root (parent None or unknown)."""
+    ok = {}
+    for n in parent:
+        seen, x = [], n
+        while x is not None and x in parent and x not in ok and x not in seen:
+            seen.append(x)
+            x = parent[x]
+        res = ok.get(x, True) if x in parent and x not in seen else (x is None or x not in parent)
+        if x in seen:
+            res = False
+        for s in seen:
+            ok[s] = res
+    return {n for n, v in ok.items() if v}
+
+
+def test_move_nodes_random_batches_leave_no_cycles(spark):
+    import random
+    for seed in range(4):
+        rnd = random.Random(seed)
+        ids = [str(i) for i in range(12)]
+        parent = {i: (None if k == 0 or rnd.random() < 0.2 else ids[rnd.randrange(k)]) for k, i in enumerate(ids)}
+        moves = {i: rnd.choice([None] + ids) for i in rnd.sample(ids, 6)}
+        nodes = spark.createDataFrame([(i, i, parent[i]) for i in ids], FOLDERS)
+        mdf = spark.createDataFrame(list(moves.items()), "id string, target string")
+        out = {r["id"]: r for r in H.move_nodes(nodes, mdf).collect()}
+        final = {i: out[i]["parentFolderId"] for i in ids}
+        assert _reachable(final) == set(ids), seed  # no node ends in or under a cycle
+        applied = {i: moves.get(i, parent[i]) if i in moves else parent[i] for i in ids}
+        want_rejected = {i for i in moves if i not in _reachable(applied)}
+        assert {i for i in ids if out[i]["rejected"]} == want_rejected, seed
