@@ -74,16 +74,17 @@ def json_text(c: Column, is_text: bool) -> Column:
 
 def pack_definitions(items: DataFrame, definition_col: str = "definition",
                      additional_col: str | None = "additionalParts",
-                     id_col: str = "id") -> DataFrame:
+                     id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``itemId, format, parts``: the definition as ``payload.json`` first, then the
-    additional parts unchanged. A definition given as text must be valid JSON."""
+    additional parts unchanged. A definition given as text must be valid JSON. ``keep``
+    names item columns to carry along (e.g. ``workspaceId``)."""
     dtype = dict(items.dtypes)[definition_col]
     doc = json_text(F.col(definition_col), dtype == "string")
     first = F.array(definition_part(doc))
     parts = (F.concat(first, F.coalesce(F.col(additional_col), F.array().cast(f"array<{PART_TYPE}>")))
              if additional_col and additional_col in items.columns else first)
     return items.select(F.col(id_col).alias("itemId"), F.lit(None).cast("string").alias("format"),
-                        parts.alias("parts"))
+                        parts.alias("parts"), *keep)
 
 
 def normalize_parts(responses: DataFrame, body_col: str = "body") -> DataFrame:

@@ -673,7 +673,7 @@ def q_pack_unpack(spark, sf_dir):
     """pack_definitions then unpack_definitions: definitions, metadata overrides, extra
     parts, and the default for a payload that is not base64."""
     items = S.events_items(_t(spark, sf_dir, "events"))
-    defs = S.corrupt_error_payloads(N.pack_definitions(items), items)
+    defs = S.corrupt_error_payloads(N.pack_definitions(items, keep=("type",)))
     out = N.unpack_definitions(items.drop("definition", "additionalParts"), defs,
                                default_definition='{"k": -1}')
     return out.select(

@@ -489,15 +489,16 @@ def events_items(events: DataFrame) -> DataFrame:
         F.array(platform, notes).alias("additionalParts"))
 
 
-def corrupt_error_payloads(definitions: DataFrame, items: DataFrame) -> DataFrame:
-    """Replace the payload.json of ``error`` items with text that is not base64."""
-    bad = items.select(F.col("id").alias("itemId"), (F.col("type") == "error").alias("_bad"))
-    j = definitions.join(bad, "itemId")
+def corrupt_error_payloads(definitions: DataFrame) -> DataFrame:
+    """Replace the payload.json of ``error`` items with text that is not base64.
+
+    ``definitions`` carries the item ``type`` (``pack_definitions(..., keep=("type",))``)."""
+    bad = F.col("type") == "error"
     parts = F.transform("parts", lambda p: F.when(
-        F.col("_bad") & (p["path"] == F.lit("payload.json")),
+        bad & (p["path"] == F.lit("payload.json")),
         F.struct(p["path"].alias("path"), F.lit("@@ not base64 @@").alias("payload"),
                  p["payloadType"].alias("payloadType"))).otherwise(p))
-    return j.select("itemId", "format", parts.alias("parts"))
+    return definitions.select("itemId", "format", parts.alias("parts"))
 
 
 def events_responses(events: DataFrame) -> DataFrame:
