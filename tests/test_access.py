@@ -115,3 +115,39 @@ def test_counts_without_pairs_match_pairwise_counts(spark):
                    .groupBy("objectId").agg(F.countDistinct("path")))
         summ = [(o, n) for o, _, n in rows(access.access_summary(p, r, mode=mode))]
         assert summ == mem, mode
+
+
+def test_random_prefix_rules_match_brute_force(spark):
+    """roles_for_path and the pair-free counts against the reference rule written out."""
+    import random
+    for seed in range(3):
+        rnd = random.Random(seed)
+        word = lambda: "".join(rnd.choice("ab/") for _ in range(rnd.randint(0, 4)))
+        roles_py = {}
+        data = []
+        for r in range(8):
+            rules = []
+            for _ in range(rnd.randint(0, 2)):
+                perms = []
+                for _ in range(rnd.randint(0, 3)):
+                    attr = rnd.choice(["Path", "Path", "Action"])
+                    vals = [rnd.choice(["*", word()]) for _ in range(rnd.randint(0, 3))]
+                    perms.append(perm(attr, *vals))
+                rules.append(perms)
+            roles_py[f"r{r}"] = rules
+            data.append(role(f"r{r}", rules, [f"m{r % 3}"]))
+        paths = sorted({word() for _ in range(25)})
+        want = set()
+        for rid, rules in roles_py.items():
+            for perms in rules:
+                first = next((p for p in perms if p["attributeName"] == "Path"), None)
+                if first is None:
+                    continue
+                for path in paths:
+                    if any(v == "*" or v == path or path.startswith(v) for v in first["attributeValueIncludedIn"]):
+                        want.add((rid, path))
+        r_df = spark.createDataFrame(data, ROLE_DDL)
+        p_df = spark.createDataFrame([(x,) for x in paths], "path string")
+        assert set(rows(access.roles_for_path(p_df, r_df))) == want, seed
+        counts = dict(rows(access.role_path_counts(p_df, r_df)))
+        assert counts == {rid: sum(1 for g in want if g[0] == rid) for rid in roles_py}, seed
