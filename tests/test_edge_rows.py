@@ -78,3 +78,25 @@ def test_csv_result_reads_staged_parquet_only(spark, tmpdir_new):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FileScan csv" not in plan and "FileScan parquet" in plan
     assert rows(out) == [(1, "x")]
+
+
+def test_operators_on_empty_input(spark):
+    from test_access import ROLE_DDL
+    empty_roles = spark.createDataFrame([], ROLE_DDL)
+    empty_paths = spark.createDataFrame([], "path string")
+    listing = spark.createDataFrame([], "name string, isDirectory boolean, isShortcut boolean, accountType string")
+    folders = spark.createDataFrame([], "id string, displayName string, parentFolderId string")
+    assert access.roles_for_path(empty_paths, empty_roles).count() == 0
+    assert access.role_path_counts(empty_paths, empty_roles).count() == 0
+    assert access.access_summary(empty_paths, empty_roles).count() == 0
+    assert paths.discover_tables(listing).count() == 0
+    assert paths.build_tree(paths.path_parts(listing)).count() == 0
+    assert paths.tables_by_schema(paths.discover_tables(listing)).count() == 0
+    from lakeops.operators import hierarchy
+    assert hierarchy.folder_path(folders).count() == 0
+    assert hierarchy.move_nodes(folders, spark.createDataFrame([], "id string, target string")).count() == 0
+    tags = spark.createDataFrame([], "id string, name string, ord int")
+    req = spark.createDataFrame([("x",)], "name string")
+    assert [r["found"] for r in links.resolve_names(tags, req).collect()] == [False]
+    assert search.first_match(tags, "name", "ord").count() == 0
+    assert nested.load_page_dumps(spark.createDataFrame([], "page string")).count() == 0
