@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables the driver writes under each scale-factor directory.
@@ -79,4 +80,9 @@ def materialize(df: DataFrame) -> DataFrame:
     step. Never a machine-local checkpoint.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Spark writes a reliable checkpoint with a second job that recomputes the plan; keep
+    # the rows from the first (counting) job for it, then drop them once the files exist.
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
