@@ -87,12 +87,20 @@ def test_roles_for_member_and_summary(spark):
 
 
 def test_large_pattern_tables_use_a_shuffle_join(spark):
-    """Beyond the broadcast bound the prefix join is a shuffle join (AQE splits skew)."""
-    grants = access.roles_for_path(paths_df(spark), roles_df(spark), broadcast_rows=0)
-    plan = grants._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    """Beyond the broadcast bound the prefix join is a shuffle join (AQE splits skew).
+
+    Spark's own size-checked auto-broadcast is switched off here so the fallback shows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grants = access.roles_for_path(paths_df(spark), roles_df(spark), broadcast_rows=0)
+        plan = grants._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        got = rows(grants)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
-    assert rows(grants) == rows(access.roles_for_path(paths_df(spark), roles_df(spark)))
+    assert got == rows(access.roles_for_path(paths_df(spark), roles_df(spark)))
 
 
 def test_counts_without_pairs_match_pairwise_counts(spark):
