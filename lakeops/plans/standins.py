@@ -87,31 +87,30 @@ def pages_roles(pages: DataFrame) -> DataFrame:
     base = F.lit(f"{PAGES_ITEM}/Files/")
     hosts = pages.select(url_host().alias("host"), url_scheme().alias("scheme")).distinct()
     label = F.split_part(F.col("host"), F.lit("."), F.lit(1))
-    site = hosts.select("host").distinct().select(
-        F.concat(F.lit("site:"), "host").alias("id"),
-        F.col("host").alias("name"),
-        F.array(_rule(
-            _perm("Action", F.array(F.lit("Read"))),
-            _perm("Path", F.array(F.concat(base, "host", F.lit("/en")),
-                                  F.concat(base, "host", F.lit("/fr")))),
-            _perm("Path", F.array(base)))).alias("decisionRules"),
-        _members(_member(F.concat(F.lit("u-"), label))).alias("members"))
-    lab = hosts.select(label.alias("label")).distinct().select(
-        F.concat(F.lit("label:"), "label").alias("id"),
-        F.col("label").alias("name"),
-        F.array(_rule(_perm("Path", F.array(F.concat(base, "label")))),
-                _rule(_perm("Action", F.array(F.lit("Read"))))).alias("decisionRules"),
-        _members(_member(F.concat(F.lit("u-"), "label")),
-                 _member(F.concat(F.lit("g-"), F.length("label").cast("string")), "Group")
-                 ).alias("members"))
-    sch = hosts.select("scheme").distinct().select(
-        F.concat(F.lit("scheme:"), "scheme").alias("id"),
-        F.col("scheme").alias("name"),
-        F.array(_rule(_perm("Path", F.array(
-            F.when(F.col("scheme") == "https", F.lit("*")).otherwise(F.lit("")))))
-        ).alias("decisionRules"),
-        _members(_member(F.concat(F.lit("u-"), "scheme"))).alias("members"))
-    return site.unionByName(lab).unionByName(sch)
+    # One distinct over (kind, key) for all three role kinds.
+    kinds = hosts.select(F.explode(F.array(
+        F.struct(F.lit("site").alias("kind"), F.col("host").alias("key")),
+        F.struct(F.lit("label").alias("kind"), label.alias("key")),
+        F.struct(F.lit("scheme").alias("kind"), F.col("scheme").alias("key")))).alias("k")
+    ).select("k.kind", "k.key").distinct()
+    kind, key = F.col("kind"), F.col("key")
+    first_label = F.split_part(key, F.lit("."), F.lit(1))
+    rules = (F.when(kind == "site", F.array(_rule(
+                _perm("Action", F.array(F.lit("Read"))),
+                _perm("Path", F.array(F.concat(base, key, F.lit("/en")), F.concat(base, key, F.lit("/fr")))),
+                _perm("Path", F.array(base)))))
+             .when(kind == "label", F.array(
+                _rule(_perm("Path", F.array(F.concat(base, key)))),
+                _rule(_perm("Action", F.array(F.lit("Read"))))))
+             .otherwise(F.array(_rule(_perm("Path", F.array(
+                F.when(key == "https", F.lit("*")).otherwise(F.lit(""))))))))
+    members = (F.when(kind == "site", _members(_member(F.concat(F.lit("u-"), first_label))))
+               .when(kind == "label", _members(
+                   _member(F.concat(F.lit("u-"), key)),
+                   _member(F.concat(F.lit("g-"), F.length(key).cast("string")), "Group")))
+               .otherwise(_members(_member(F.concat(F.lit("u-"), key)))))
+    return kinds.select(F.concat(kind, F.lit(":"), key).alias("id"), key.alias("name"),
+                        rules.alias("decisionRules"), members.alias("members"))
 
 
 # --------------------------------------------------------------------------- shares
