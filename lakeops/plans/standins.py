@@ -355,25 +355,30 @@ def https_page_folders(pages: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- tables listing
 
 def docs_listing(documents: DataFrame) -> DataFrame:
-    """A recursive ``docs/Tables`` listing from the documents' languages and sources."""
+    """A recursive ``docs/Tables`` listing from the documents' languages and sources:
+    a data file per document, a ``_delta_log`` per (lang, source) at schema depth, one per
+    source at top level and one per language nested too deep for a schema, and a shortcut
+    per source (account type by the source's last digit)."""
     base = F.lit(f"{DOCS_ITEM}/Tables/")
-
-    def rows(df, name, is_dir, is_sc=F.lit(False), acct=F.lit(None).cast("string")):
-        return df.select(name.alias("name"), F.lit(is_dir).alias("isDirectory"),
-                         is_sc.alias("isShortcut"), acct.alias("accountType"))
-
-    files = rows(documents, F.concat(base, "lang", F.lit("/"), "source", F.lit("/part-"),
-                                     F.col("doc_id").cast("string"), F.lit(".parquet")), False)
-    ls = documents.select("lang", "source").distinct()
-    logs = rows(ls, F.concat(base, "lang", F.lit("/"), "source", F.lit("/_delta_log")), True)
-    src = documents.select("source").distinct()
-    flat = rows(src, F.concat(base, "source", F.lit("_flat/_delta_log")), True)
-    lang = documents.select("lang").distinct()
-    deep = rows(lang, F.concat(base, F.lit("archive/"), "lang", F.lit("/old/_delta_log")), True)
+    none = F.lit(None).cast("string")
+    files = documents.select(
+        F.concat(base, "lang", F.lit("/"), "source", F.lit("/part-"),
+                 F.col("doc_id").cast("string"), F.lit(".parquet")).alias("name"),
+        F.lit(False).alias("isDirectory"), F.lit(False).alias("isShortcut"), none.alias("accountType"))
     acct = (F.when(F.endswith("source", F.lit("1")), F.lit("ADLS"))
             .when(F.endswith("source", F.lit("2")), F.lit("ExternalADLS")).otherwise(F.lit("S3")))
-    sc = rows(src, F.concat(base, F.lit("ext_"), "source"), True, F.lit(True), acct)
-    return files.unionByName(logs).unionByName(flat).unionByName(deep).unionByName(sc)
+
+    def entry(name, is_sc, account):
+        return F.struct(name.alias("name"), F.lit(True).alias("isDirectory"),
+                        F.lit(is_sc).alias("isShortcut"), account.alias("accountType"))
+
+    # One distinct over (lang, source), one over the folder entries derived from it.
+    folders = documents.select("lang", "source").distinct().select(F.explode(F.array(
+        entry(F.concat(base, "lang", F.lit("/"), "source", F.lit("/_delta_log")), False, none),
+        entry(F.concat(base, "source", F.lit("_flat/_delta_log")), False, none),
+        entry(F.concat(base, F.lit("archive/"), "lang", F.lit("/old/_delta_log")), False, none),
+        entry(F.concat(base, F.lit("ext_"), "source"), True, acct))).alias("e")).select("e.*").distinct()
+    return files.unionByName(folders)
 
 
 # --------------------------------------------------------------------------- tags, links
