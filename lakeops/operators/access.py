@@ -188,7 +188,8 @@ def _grant_counts(group_keys: DataFrame, group_col: str, n_by_key: DataFrame,
 
 
 def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                     mode: str = "reference") -> DataFrame:
+                     mode: str = "reference",
+                     broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
     """How many distinct paths each role opens; roles that open none report 0.
 
     Exact without (role, path) pairs: each role's patterns are reduced to a prefix-free
@@ -196,7 +197,7 @@ def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens)
     counts = _grant_counts(keys, "role_id", n_by_key, mode, lens)
     all_roles = roles.select(F.col("id").alias("role_id")).distinct()
     return all_roles.join(counts, "role_id", "left").select(
@@ -242,7 +243,8 @@ def access_matrix(paths: DataFrame, roles: DataFrame, path_col: str = "path",
 
 
 def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                   mode: str = "reference") -> DataFrame:
+                   mode: str = "reference",
+                   broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
     """Per member: number of roles held and number of distinct paths readable.
 
     Exact without forming (member, path) or (role, path) pairs: a member's patterns (those
@@ -252,7 +254,7 @@ def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens)
     members = materialize(roles_for_member(roles))  # feeds two branches: compute once
     member_keys = members.join(keys, "role_id").select("objectId", "key").distinct()
     reach = _grant_counts(member_keys, "objectId", n_by_key, mode, lens)

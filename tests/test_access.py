@@ -159,3 +159,17 @@ def test_random_prefix_rules_match_brute_force(spark):
         assert set(rows(access.roles_for_path(p_df, r_df))) == want, seed
         counts = dict(rows(access.role_path_counts(p_df, r_df)))
         assert counts == {rid: sum(1 for g in want if g[0] == rid) for rid in roles_py}, seed
+
+
+def test_pair_free_counts_same_beyond_broadcast_bound(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in ("reference", "segment"):
+            a = rows(access.role_path_counts(paths_df(spark), roles_df(spark), mode=mode))
+            b = rows(access.role_path_counts(paths_df(spark), roles_df(spark), mode=mode, broadcast_rows=0))
+            c = rows(access.access_summary(paths_df(spark), roles_df(spark), mode=mode))
+            d = rows(access.access_summary(paths_df(spark), roles_df(spark), mode=mode, broadcast_rows=0))
+            assert a == b and c == d, mode
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
