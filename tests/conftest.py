@@ -13,7 +13,10 @@ SF001 = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from lakeops.session import get_session
-    s = get_session("local[4]", app="lakeops-tests", conf={"spark.sql.shuffle.partitions": "8"})
+    s = get_session("local[4]", app="lakeops-tests", conf={
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="lakeops-test-wh-"),
+    })
     # Tests stand in for the cluster: the checkpoint folder is only set here because it is unset.
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="lakeops-test-ckpt-")

@@ -115,3 +115,10 @@ def test_mount_shortcuts_registers_local_targets(spark, tmpdir_new):
     views = SRC.mount_shortcuts(spark, sc)
     assert sorted(views) == ["sc_a", "sc_b"]  # no storage location for the share
     assert spark.table("sc_a").count() == 3 and spark.table("sc_b").count() == 7
+
+
+def test_csv_to_table_saves_a_table(spark, tmpdir_new):
+    write(f"{tmpdir_new}/t/a.csv", "id,name\n1,a\n")
+    write(f"{tmpdir_new}/t/b.csv", "id,name\nnope,b\n")
+    out = SRC.csv_to_table(spark, f"{tmpdir_new}/t", "id int, name string", table="csv_loaded_t")
+    assert rows(out) == [(1, "a")] and rows(spark.table("csv_loaded_t")) == [(1, "a")]
