@@ -118,7 +118,7 @@ def expand_shortcut(listing: DataFrame, shortcuts: DataFrame, name_col: str = "n
         "isDirectory", "isShortcut")
 
 
-def build_tree(files: DataFrame, path_col: str = "relativePath") -> DataFrame:
+def build_tree(files: DataFrame, path_col: str = "relativePath", ordered: bool = True) -> DataFrame:
     """Parent/child edges of a file listing, siblings ordered folders first, then by name.
 
     Returns ``relativePath, name, isDirectory, parentPath, depth``. ``parentPath`` is the
@@ -126,7 +126,8 @@ def build_tree(files: DataFrame, path_col: str = "relativePath") -> DataFrame:
     (a root). Empty segments are ignored when splitting, as in the reference. Unlike the
     reference, a child finds its parent regardless of listing order. The result is
     globally sorted by (parentPath, folders first, name): a range-partitioned sort, so one
-    folder holding a large share of all entries is still split over many tasks.
+    folder holding a large share of all entries is still split over many tasks. With
+    ``ordered=False`` the edges come unsorted and the sort's shuffle is skipped.
     """
     segs = F.filter(segments(path_col), lambda s: s != F.lit(""))
     nodes = files.select(F.col(path_col).alias("relativePath"), F.col("name"),
@@ -139,6 +140,8 @@ def build_tree(files: DataFrame, path_col: str = "relativePath") -> DataFrame:
     edges = nodes.join(dirs, "_parent", "left").select(
         "relativePath", "name", "isDirectory",
         F.when(F.col("_is_dir_parent"), F.col("_parent")).alias("parentPath"), "depth")
+    if not ordered:
+        return edges
     return edges.orderBy(F.asc_nulls_first("parentPath"), F.desc("isDirectory"), F.asc("name"))
 
 

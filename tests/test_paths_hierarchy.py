@@ -159,3 +159,11 @@ def test_move_nodes_random_batches_leave_no_cycles(spark):
         applied = {i: moves.get(i, parent[i]) if i in moves else parent[i] for i in ids}
         want_rejected = {i for i in moves if i not in _reachable(applied)}
         assert {i for i in ids if out[i]["rejected"]} == want_rejected, seed
+
+
+def test_build_tree_unordered_same_edges(spark):
+    files = spark.createDataFrame([("d", "Files/d", True), ("a.txt", "Files/d/a.txt", False)],
+                                  "name string, relativePath string, isDirectory boolean")
+    assert rows(P.build_tree(files, ordered=False)) == rows(P.build_tree(files))
+    plan = P.build_tree(files, ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
