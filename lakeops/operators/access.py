@@ -228,15 +228,19 @@ def roles_for_member(roles: DataFrame, identities: DataFrame | None = None,
 
 
 def access_matrix(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                  mode: str = "reference") -> DataFrame:
+                  mode: str = "reference", identities: DataFrame | None = None,
+                  id_col: str = "objectId") -> DataFrame:
     """``(objectId, path, roles)``: who can read which path, through which roles.
 
     The output has one row per granted (member, path) pair, so its size is the size of the
-    answer; callers that need totals should use :func:`access_summary`, which never
+    answer; pass ``identities`` to ask about some members only (applied before the pairs
+    are formed). Callers that need totals should use :func:`access_summary`, which never
     builds the pairs.
     """
+    members = roles_for_member(roles, identities, id_col)
+    if identities is not None:
+        roles = roles.join(members.select(F.col("role_id").alias("id")).distinct(), "id", "left_semi")
     grants = roles_for_path(paths, roles, path_col, mode)
-    members = roles_for_member(roles)
     return (grants.join(members, "role_id")
             .groupBy("objectId", "path")
             .agg(F.array_sort(F.collect_set("role_id")).alias("roles")))

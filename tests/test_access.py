@@ -173,3 +173,9 @@ def test_pair_free_counts_same_beyond_broadcast_bound(spark):
             assert a == b and c == d, mode
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_access_matrix_for_some_members(spark):
+    ids = spark.createDataFrame([("carol",)], "objectId string")
+    got = rows(access.access_matrix(paths_df(spark), roles_df(spark), identities=ids), "objectId", "path", "roles")
+    assert got == [("carol", "Files/x/a.csv", ["first"]), ("carol", "Files/xy", ["first"])]
