@@ -89,17 +89,20 @@ def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str,
     path = F.col(path_col)
     if mode == "reference":
         lens = _key_lengths(keys) if lens is None else lens
+        # explode + where rather than a lambda: stays inside generated code on the big side
         with_lens = paths.select(path.alias("path"), lens.alias("lens"))
-        prefix_lens = F.filter("lens", lambda n: n <= F.length("path"))
-        return with_lens.select("path", F.explode(prefix_lens).alias("n")).select(
-            "path", F.left(F.col("path"), F.col("n")).alias("key"))
+        return (with_lens.select("path", F.explode("lens").alias("n"))
+                .where(F.col("n") <= F.length("path"))
+                .select("path", F.left(F.col("path"), F.col("n")).alias("key")))
     if mode == "segment":
         segs = F.split(F.col("path"), "/", -1)
-        ancestors = F.transform(
-            F.sequence(F.lit(1), F.size(segs)),
-            lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))
-        return paths.select(path.alias("path")).select("path", F.explode(
-            F.array_union(F.array(F.lit("")), ancestors)).alias("key"))
+        ancestors = (paths.select(path.alias("path"))
+                     .select("path", F.explode(F.sequence(F.lit(1), F.size(segs))).alias("i"))
+                     .select("path", F.array_join(F.slice(F.split(F.col("path"), "/", -1), F.lit(1), F.col("i")),
+                                                  "/").alias("key"))
+                     .where(F.col("key") != F.lit("")))  # "" comes once, from the wildcard rows
+        wildcard = paths.select(path.alias("path"), F.lit("").alias("key"))
+        return ancestors.unionByName(wildcard)
     raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
 
 

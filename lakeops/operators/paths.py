@@ -100,13 +100,16 @@ def expand_shortcut(listing: DataFrame, shortcuts: DataFrame, name_col: str = "n
     isShortcut`` with ``relativePath = shortcutPath + '/' + path below the target``.
     Matching is an equi-join on the row's ancestor folders, so no pairs are tested.
     """
-    segs = segments(name_col)
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(segs) - 1),
-                            lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))
-    rows = listing.select(
-        F.col(name_col).alias("_full"), _flag(listing, "isDirectory").alias("isDirectory"),
-        _flag(listing, "isShortcut").alias("isShortcut"),
-        F.explode(F.when(F.size(segs) > 1, ancestors).otherwise(F.array())).alias("_root"))
+    segs = segments("_full")
+    # one row per proper ancestor folder: explode the depth, then slice (no lambda)
+    rows = (listing.select(F.col(name_col).alias("_full"),
+                           _flag(listing, "isDirectory").alias("isDirectory"),
+                           _flag(listing, "isShortcut").alias("isShortcut"))
+            .where(F.size(segments("_full")) > 1)
+            .select("_full", "isDirectory", "isShortcut",
+                    F.explode(F.sequence(F.lit(1), F.size(segs) - 1)).alias("_i"))
+            .select("_full", "isDirectory", "isShortcut",
+                    F.array_join(F.slice(segments("_full"), F.lit(1), F.col("_i")), "/").alias("_root")))
     sc = shortcuts.select(F.col(shortcut_path_col).alias("shortcutPath"),
                           F.col(target_col).alias("_root"))
     j = rows.join(sc, "_root")
@@ -129,7 +132,10 @@ def build_tree(files: DataFrame, path_col: str = "relativePath", ordered: bool =
     folder holding a large share of all entries is still split over many tasks. With
     ``ordered=False`` the edges come unsorted and the sort's shuffle is skipped.
     """
-    segs = F.filter(segments(path_col), lambda s: s != F.lit(""))
+    # split('/') without empty segments, written without a lambda so it compiles:
+    # collapse repeated slashes, trim the ends, then split.
+    clean = F.regexp_replace(F.regexp_replace(F.col(path_col), "/+", "/"), "^/|/$", "")
+    segs = F.when(clean == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(clean, "/", -1))
     nodes = files.select(F.col(path_col).alias("relativePath"), F.col("name"),
                          F.coalesce(F.col("isDirectory"), F.lit(False)).alias("isDirectory"),
                          F.when(F.size(segs) > 1, F.array_join(
