@@ -60,14 +60,13 @@ def filter_union_kind(union_col: str, kind: str) -> Column:
 def filter_array_any(c: str | Column, value: str, how: str = "equals") -> Column:
     """Any array element equals ``value`` (``how="equals"``) or contains it (``"contains"``,
     case-sensitive). A null array never matches."""
-    if how == "equals":
-        pred = lambda x: x.isNotNull() & (x == F.lit(value))
-    elif how == "contains":
-        pred = lambda x: x.isNotNull() & F.contains(x, F.lit(value))
-    else:
-        raise ValueError("how must be 'equals' or 'contains'")
     arr = _c(c)
-    return arr.isNotNull() & F.exists(arr, pred)
+    if how == "equals":
+        # array_contains compiles; it is null when the array holds a null and no match
+        return arr.isNotNull() & F.coalesce(F.array_contains(arr, F.lit(value)), F.lit(False))
+    if how == "contains":
+        return arr.isNotNull() & F.exists(arr, lambda x: x.isNotNull() & F.contains(x, F.lit(value)))
+    raise ValueError("how must be 'equals' or 'contains'")
 
 
 def filter_flag(c: str | Column, negate: bool = False) -> Column:
