@@ -167,7 +167,7 @@ def _prefix_free(group_keys: DataFrame, group_col: str, mode: str, lens: Column)
 def key_path_counts(paths: DataFrame, keys: DataFrame, path_col: str = "path",
                     mode: str = "reference",
                     broadcast_rows: int = BROADCAST_PATTERN_ROWS,
-                    lens: Column | None = None) -> DataFrame:
+                    lens: Column | None = None, distinct_paths: bool = True) -> DataFrame:
     """``(key, n)``: how many distinct paths each pattern key grants, without any pairs.
 
     Path prefixes are probed against the broadcast keys and counted per key map-side, so a
@@ -175,7 +175,9 @@ def key_path_counts(paths: DataFrame, keys: DataFrame, path_col: str = "path",
     Beyond the broadcast bound, prefixes are first counted per prefix string (partial
     aggregation collapses hot prefixes before the shuffle) and then joined to the keys.
     """
-    uniq = paths.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias(path_col)).distinct()
+    uniq = paths.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias(path_col))
+    if distinct_paths:  # a listing never repeats a path; skip this shuffle when that is known
+        uniq = uniq.distinct()
     pk = _path_keys(uniq, path_col, keys, mode, lens)
     k = keys.select("key").distinct()
     if k.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -192,15 +194,18 @@ def _grant_counts(group_keys: DataFrame, group_col: str, n_by_key: DataFrame,
 
 def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                      mode: str = "reference",
-                     broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
+                     broadcast_rows: int = BROADCAST_PATTERN_ROWS,
+                     distinct_paths: bool = True) -> DataFrame:
     """How many distinct paths each role opens; roles that open none report 0.
 
     Exact without (role, path) pairs: each role's patterns are reduced to a prefix-free
-    set, whose matches are disjoint, and the per-pattern path counts are summed.
+    set, whose matches are disjoint, and the per-pattern path counts are summed. Paths are
+    de-duplicated first unless ``distinct_paths=False`` says the listing has no repeats.
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens,
+                               distinct_paths=distinct_paths)
     counts = _grant_counts(keys, "role_id", n_by_key, mode, lens)
     all_roles = roles.select(F.col("id").alias("role_id")).distinct()
     return all_roles.join(counts, "role_id", "left").select(
@@ -251,7 +256,8 @@ def access_matrix(paths: DataFrame, roles: DataFrame, path_col: str = "path",
 
 def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                    mode: str = "reference",
-                   broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
+                   broadcast_rows: int = BROADCAST_PATTERN_ROWS,
+                   distinct_paths: bool = True) -> DataFrame:
     """Per member: number of roles held and number of distinct paths readable.
 
     Exact without forming (member, path) or (role, path) pairs: a member's patterns (those
@@ -261,7 +267,8 @@ def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens)
+    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens,
+                               distinct_paths=distinct_paths)
     members = materialize(roles_for_member(roles))  # feeds two branches: compute once
     member_keys = members.join(keys, "role_id").select("objectId", "key").distinct()
     reach = _grant_counts(member_keys, "objectId", n_by_key, mode, lens)

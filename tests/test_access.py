@@ -179,3 +179,10 @@ def test_access_matrix_for_some_members(spark):
     ids = spark.createDataFrame([("carol",)], "objectId string")
     got = rows(access.access_matrix(paths_df(spark), roles_df(spark), identities=ids), "objectId", "path", "roles")
     assert got == [("carol", "Files/x/a.csv", ["first"]), ("carol", "Files/xy", ["first"])]
+
+
+def test_distinct_paths_switch(spark):
+    uniq = paths_df(spark).where("path <> 'Files/ab'").distinct()
+    a = rows(access.role_path_counts(uniq, roles_df(spark)))
+    b = rows(access.role_path_counts(uniq, roles_df(spark), distinct_paths=False))
+    assert a == b
