@@ -167,3 +167,37 @@ def test_build_tree_unordered_same_edges(spark):
     assert rows(P.build_tree(files, ordered=False)) == rows(P.build_tree(files))
     plan = P.build_tree(files, ordered=False)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def _js_file_row(name):
+    parts = name.split("/")
+    return parts[-1], name[len(parts[0]) + 1:]
+
+
+def _js_table_row(name):
+    parts = name.split("/")
+    tp = parts[:-1] if name.endswith("/_delta_log") else parts
+    return tp[-1], "/".join(tp)[len(parts[0]) + 1:] + "/", (tp[2] if len(tp) == 4 else None)
+
+
+def test_random_listings_match_string_rules(spark):
+    import random
+    rnd = random.Random(7)
+    segs = ["it", "Tables", "Files", "a", "b", "", "_delta_log", "x.csv"]
+    names = sorted({"/".join(rnd.choice(segs) for _ in range(rnd.randint(1, 6))) for _ in range(300)})
+    rows_in = [(n, rnd.random() < 0.5, rnd.random() < 0.2, rnd.choice(["ADLS", "ExternalADLS", "S3", None]))
+               for n in names]
+    df = spark.createDataFrame(rows_in, "name string, isDirectory boolean, isShortcut boolean, accountType string")
+    got = {(r["name"], r["relativePath"]) for r in P.path_parts(df).collect()}
+    assert got == {_js_file_row(n) for n in names}
+    want_t = {_js_table_row(n) for n, _, sc, acct in rows_in
+              if n.endswith("/_delta_log") or (sc and acct in ("ADLS", "ExternalADLS"))}
+    got_t = {(r["name"], r["relativePath"], r["schema"]) for r in P.discover_tables(df).collect()}
+    assert got_t == want_t
+    # build_tree parent rule: segments without empties; parent must be a listed directory
+    files = P.path_parts(df)
+    dirs = {rp for (n, d, _, _) in rows_in for rp in [_js_file_row(n)[1]] if d}
+    for r in P.build_tree(files, ordered=False).collect():
+        s = [x for x in r["relativePath"].split("/") if x]
+        want_parent = "/".join(s[:-1]) if len(s) > 1 and "/".join(s[:-1]) in dirs else None
+        assert r["parentPath"] == want_parent, r
