@@ -123,3 +123,19 @@ def test_load_page_dumps_shapes(spark):
         ('{"value": 5}',), ("broken",), ('{"value": []}',)], "page string")
     got = sorted(r[0] for r in N.load_page_dumps(pages).select(F.to_json("item")).collect())
     assert got == ['{"a":1}', '{"a":2}', '{"a":3}', '{"a":4}', '{"value":5}']
+
+
+def test_random_name_resolution_matches_a_js_map(spark):
+    import random
+    rnd = random.Random(3)
+    words = ["Ops", "ops", "OPS", "Data_%", "data_%", "Ünï", "ünï", "x"]
+    tags = [(f"t{i}", rnd.choice(words), i) for i in range(40)]
+    req = [(f"i{j}", rnd.choice(words + ["missing", "DATA_%"])) for j in range(60)]
+    js_map = {}
+    for tid, name, _ in tags:  # new Map(tags.map(t => [t.name.toLowerCase(), t])): last wins
+        js_map[name.lower()] = tid
+    want = sorted(((i, n, js_map.get(n.lower()), n.lower() in js_map) for i, n in req), key=repr)
+    got = rows(L.resolve_names(spark.createDataFrame(tags, "id string, name string, ord int"),
+                               spark.createDataFrame(req, "itemId string, name string")),
+               "itemId", "name", "match_id", "found")
+    assert got == want
