@@ -137,3 +137,21 @@ def test_run_state_flags_latest_state_per_operation(spark):
         "lastUpdatedTimeUtc string").withColumn("lastUpdatedTimeUtc", F.col("lastUpdatedTimeUtc").cast("timestamp"))
     r = quality.run_state_flags(spark.createDataFrame([("1",)], "id string"), ops).collect()
     assert len(r) == 1 and r[0]["succeeded"] and r[0]["percent"] == 100.0
+
+
+def test_random_text_conditions_match_js_includes(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = ["a", "A", "%", "_", ".", "*", "\\", "é", "É", "["]
+    vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 5))) for _ in range(80)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v string")
+    for term in ["", "a", "A%", "_", ".*", "\\", "É", "[a"]:
+        ids = lambda conds: sorted(r[0] for r in Q.search_catalog(df, conds).select("id").collect())
+        assert ids([Q.filter_contains("v", term)]) == [i for i, v in enumerate(vals)
+                                                       if v is not None and term.lower() in v.lower()], term
+        assert ids([Q.filter_contains("v", term, case_sensitive=True)]) == [
+            i for i, v in enumerate(vals) if v is not None and term in v], term
+        assert ids([Q.filter_equals_ci("v", term)]) == [i for i, v in enumerate(vals)
+                                                        if v is not None and v.lower() == term.lower()], term
+        kept = sorted(r[0] for r in Q.delete_by_pattern(df, "v", term).select("id").collect())
+        assert kept == [i for i, v in enumerate(vals) if v is None or term.lower() not in v.lower()], term
