@@ -139,3 +139,34 @@ def test_random_name_resolution_matches_a_js_map(spark):
                                spark.createDataFrame(req, "itemId string, name string")),
                "itemId", "name", "match_id", "found")
     assert got == want
+
+
+def test_random_shortcut_batches_follow_the_policy_rules(spark):
+    import random
+    rnd = random.Random(5)
+    T = "struct<type:string>"
+    existing = sorted({("F", rnd.choice("abcdef")) for _ in range(4)})
+    reqs = [(k, "F", rnd.choice("abcdefgh")) for k in range(1, 13)]
+    ex_df = spark.createDataFrame([(p, n, ("S3",)) for p, n in existing], f"path string, name string, target {T}")
+    rq_df = spark.createDataFrame([(k, p, n, ("OneLake",)) for k, p, n in reqs],
+                                  f"req_id int, path string, name string, target {T}")
+    first = {}
+    for k, p, n in sorted(reqs):
+        first.setdefault((p, n), k)
+    have = set(existing)
+    for policy in L.CONFLICT_POLICIES:
+        want = []
+        for k, p, n in reqs:
+            ex, is_first = (p, n) in have, first[(p, n)] == k
+            if policy == "Abort":
+                want.append((k, n, "Conflict" if ex or not is_first else "Created"))
+            elif policy == "GenerateUniqueName":
+                want.append((k, f"{n}_{k}", "CreatedWithNewName") if ex or not is_first else (k, n, "Created"))
+            elif policy == "CreateOrOverwrite":
+                want.append((k, n, "Duplicate" if not is_first else "Overwritten" if ex else "Created"))
+            else:
+                want.append((k, n, "NotFound" if not ex else "Duplicate" if not is_first else "Overwritten"))
+        result, outcomes = L.apply_shortcut_requests(ex_df, rq_df, policy)
+        assert rows(outcomes, "req_id", "name", "status") == sorted(want, key=repr), policy
+        names = [r[0] for r in result.select("name").collect()]
+        assert len(names) == len(set(names)), policy  # never two shortcuts with one name
