@@ -131,15 +131,23 @@ def ensure_folder_paths(folders: DataFrame, requests: DataFrame, req_col: str =
     """Resolve each requested name path, reusing existing folders and creating the rest.
 
     Walking from the workspace root, a segment reuses the folder of that name under the
-    current parent (the smallest id when several match), else a folder is created. New
-    ids are ``id_prefix`` + a hash of the JSON name path, so reruns give the same ids.
+    current parent (the smallest id when several match, and the walk goes on inside that
+    one), else a folder is created. New ids are ``id_prefix`` + a hash of the JSON name
+    path, so reruns give the same ids.
 
     Returns ``(created, resolved)``: ``created`` holds the new folder rows (each created
     once however many requests share it), ``resolved`` maps each request to the id of its
     deepest folder, with ``error`` set for an empty path.
     """
-    existing = folder_path(folders, id_col, parent_col, name_col)
-    by_path = existing.groupBy("path").agg(F.min("id").alias("eid"))
+    # A name walk descends into one folder per level: among same-named siblings the one
+    # with the smallest id. Keep only those, and walk from the workspace root through them,
+    # so a name path resolves exactly as the step-by-step walk would.
+    e = _edges(folders, id_col, parent_col, name_col)
+    chosen = e.groupBy("parent", "displayName").agg(F.min("id").alias("id"))
+    canon = e.join(chosen.select("id"), "id", "left_semi")
+    start = canon.where(F.col("parent").isNull()).select(
+        "id", F.array("displayName").alias("path"), F.lit(1).alias("depth"))
+    by_path = walk_down(canon, start).select("path", F.col("id").alias("eid"))
     req = requests.select(F.col(req_col).alias("request"), F.col(segs_col).alias("segs"))
     prefixes = (req.where(F.size("segs") > 0)
                 .select(F.explode(F.sequence(F.lit(1), F.size("segs"))).alias("k"), "segs")

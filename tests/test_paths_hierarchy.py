@@ -201,3 +201,42 @@ def test_random_listings_match_string_rules(spark):
         s = [x for x in r["relativePath"].split("/") if x]
         want_parent = "/".join(s[:-1]) if len(s) > 1 and "/".join(s[:-1]) in dirs else None
         assert r["parentPath"] == want_parent, r
+
+
+def test_random_ensure_paths_equal_sequential_creation(spark):
+    for seed in range(6):
+        _check_ensure_paths(spark, seed)
+
+
+def _check_ensure_paths(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    names = ["a", "b"]
+    folders_py = []  # (id, name, parent)
+    for i in range(15):
+        parent = None if i < 3 or rnd.random() < 0.2 else folders_py[rnd.randrange(len(folders_py))][0]
+        folders_py.append((f"f{i:02d}", rnd.choice(names), parent))
+    requests = [(k, [rnd.choice(names) for _ in range(rnd.randint(0, 4))]) for k in range(10)]
+    # sequential reference loop; the smallest id wins among same-named siblings
+    live = list(folders_py)
+    created, resolved = [], {}
+    for k, path in requests:
+        parent, last, trail = None, None, []
+        for name in path:
+            trail.append(name)
+            same = sorted(f for f in live if f[2] == parent and f[1] == name)
+            if same:
+                last = same[0][0]
+            else:
+                last = f"new:{'/'.join(trail)}"
+                live.append((last, name, parent))
+                created.append("/".join(trail))
+            parent = last
+        resolved[k] = last
+    df = spark.createDataFrame(folders_py, FOLDERS)
+    req = spark.createDataFrame(requests, "request int, segments array<string>")
+    c, r = H.ensure_folder_paths(df, req)
+    assert sorted(x["pathText"] for x in c.collect()) == sorted(created)
+    got = {x["request"]: x["folderId"] for x in r.collect()}
+    by_new = {x["id"]: f"new:{x['pathText']}" for x in c.collect()}
+    assert {k: by_new.get(v, v) for k, v in got.items()} == resolved, seed
