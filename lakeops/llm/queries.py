@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import exact, packing, shards
+from . import decontaminate, exact, lines, packing, shards
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in at least ten documents taken out of all documents."""
+    out = lines.drop_frequent_lines(read_table(spark, sf_dir, "documents"), min_docs=10, min_points=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
+    return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, in a seeded random order."""
     out = shards.write_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
@@ -33,11 +44,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op2_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+             k AS (SELECT doc_id, pos, line,
+                          trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+             f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+             m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x,
                           translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS k
