@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """(first row, rows) runs of an Arrow string array of about ``limit`` bytes each (one row at least)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    n, ends = len(texts), np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)), dtype=np.int64)
+    n, ends = len(texts), np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
@@ -101,7 +102,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array and each row's end among them (null: no bytes)."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]

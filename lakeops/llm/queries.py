@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, exact, lines, packing, shards
+from . import decontaminate, exact, lines, packing, quality, shards
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(doc_id):
+    """Rows whose labels are kept from every fit: crc32 of the id as text leaves 2 on division by 4."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    labels = read_table(spark, sf_dir, "labels")
+    return quality.train(docs, labels.filter("quality = 1").select("doc_id"), exclude=held_out)
+
+
+#: Documents with at least this score count as good.
+GOOD = 0.7
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a positive-unlabelled classifier of labels.quality."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model(spark, docs, sf_dir)
+    out = quality.score(docs.select("doc_id", "text"), model[0] if model else None)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact classes of all documents by their text without white space."""
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
@@ -47,6 +70,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
