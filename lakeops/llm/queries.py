@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, exact, lines, packing, quality, shards
+from . import decontaminate, exact, lines, neardup, packing, quality, shards
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: four-word shingles, similarity 0.8."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def held_out(doc_id):
     """Rows whose labels are kept from every fit: crc32 of the id as text leaves 2 on division by 4."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
