@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, exact, lines, neardup, packing, quality, shards
+from . import decontaminate, exact, lines, neardup, packing, quality, shards, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 35 words that repeat anywhere taken out of all documents."""
+    out = substring.remove_repeats(read_table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact classes of all documents by their text without white space."""
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
