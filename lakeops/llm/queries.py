@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, exact, lines, neardup, packing, quality, shards, substring
+from . import decontaminate, exact, lines, neardup, packing, pii, quality, secret_scan, shards, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in all documents, judged by a random forest; the finding itself is given as a hash."""
+    out = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "end", F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
+
+
 def held_out(doc_id):
     """Rows whose labels are kept from every fit: crc32 of the id as text leaves 2 on division by 4."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -76,15 +82,32 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: the counts and the digest are of the rules' spans, spans has all."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = pii.find_pii(docs, pii.fit(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
