@@ -7,16 +7,40 @@ DataFrame, which is written as Parquet and read again as the next stage's ``docs
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeops.llm import exact, packing
-from lakeops.llm.common import stage
+from lakeops.llm import decontaminate, exact, neardup, packing, quality, queries
+from lakeops.llm.common import stage, strip_spaces, text_of
 from lakeops.session import read_table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at least GOOD stay."""
+    model = queries.quality_model(spark, docs, sf_dir)
+    if model is None:  # nothing to learn from, nothing to reject by
+        return docs
+    scored = quality.score(docs, model[0], out_col="_quality")
+    return scored.filter(F.col("_quality") >= queries.GOOD).select(docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of equal texts stays."""
-    keep = exact.exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    keep = exact.exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    own = docs.withColumn("_key", F.sha2(strip_spaces(text_of(docs)), 256))
+    same = own["doc_id"].eqNullSafe(keep["_id"]) & (own["_key"] == keep["_sha"])
+    return own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8."""
+    gone = neardup.near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item stay."""
+    hits = decontaminate.overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +48,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("packing", packed)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 
 #: Training the classifier, MinHash and packing have no SQL form; tests/llm checks the stages.
 ORACLE_SQL = None

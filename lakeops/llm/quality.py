@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ranges, raw_bytes, slices, text_of, word_hashes, word_spans
 
@@ -216,28 +217,28 @@ def train(docs: DataFrame, positives: DataFrame, exclude=None, max_positives: in
     return fit(x[known == 1], x[known == 0])
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1, higher: better text), replacing one of that name.
+def score(docs: DataFrame, net: Network | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``out_col`` (0 to 1, higher: better text), replacing one of that name.
 
     Only the text is scored; null counts as empty, and an empty text gets the network's answer to
     all-zero counts. Without a network every score is 0.5. Repeated rows get equal scores; an empty
-    table gives an empty result.
+    table gives an empty result; other columns pass through, whatever their names.
     """
-    spark, model = docs.sparkSession, None
-    if net is not None:
-        model = spark.sparkContext.broadcast((net.p, net.mean, net.scale))
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "score"]).alias("row"), text_of(docs, text_col).alias("text"))
-    schema = kept.select("row").schema.add("score", "double")
+    model = docs.sparkSession.sparkContext.broadcast((net.p, net.mean, net.scale)) if net is not None else None
+    rest = [docs[c] for c in docs.columns if c not in (out_col, text_col)]
+    kept = docs.select(F.struct(docs[text_col].cast("string").alias(text_col), *rest).alias("row"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
 
     def apply(batches):
         if model is not None:
             own = Network(len(model.value[1]), 1, 0)
             own.p, own.mean, own.scale = model.value
         for b in batches:
-            s = np.full(b.num_rows, 0.5)
+            text, s = b["row"].field(0), np.full(b.num_rows, 0.5)
             if model is not None:
-                for at, n in slices(b["text"]):
-                    s[at:at + n] = sigmoid(own.logits(features(b["text"].slice(at, n))))
+                for at, n in slices(text):
+                    s[at:at + n] = sigmoid(own.logits(features(text.slice(at, n))))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(s, pa.float64())], names=["row", "score"])
 
-    return kept.mapInArrow(apply, schema).select("row.*", "score")
+    out = kept.mapInArrow(apply, schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out_col], F.col("score").alias(out_col))
