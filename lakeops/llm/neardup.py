@@ -4,7 +4,8 @@ Every distinct shingle set has a signature of 128 MinHash values. The forest is
 sets: order t sorts them by the signature rotated to its value 8 t. Sets whose longest common
 prefix in some order has at least four values are neighbours (a pair at similarity 0.8 has such
 a prefix in one of the 16 with probability 0.9998). A region of an order, the sets under one
-prefix, that is crowded is told apart by a longer prefix, as long as it takes.
+prefix, that is crowded is cut along the order into overlapping runs: its sets meet those with
+which they share the longest prefixes, however long these are there.
 
 Inside a region the signatures estimate the similarity of pairs. First the edges of a maximum
 spanning forest are compared on the full shingle sets; then every other likely pair whose ends
@@ -17,14 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap_of, gram_hashes, in_bitmap, mix, parts, slices, stage, text_of, word_hashes
 
 ORDERS, VALUES = 16, 128
-#: Prefix lengths tried, in values; a region above CROWD sets goes to the next.
-DEPTHS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Values that the sets of a region share at least.
+DEPTH = 4
+#: A region of more sets is cut into runs of this many along its order; each run overlaps the next by half.
 CROWD = 256
 #: Pairs are compared when their estimated similarity is not more than this below the wanted one
 #: (four standard deviations of the estimate).
@@ -73,34 +76,39 @@ def _sketch(batches, k: int):
                                              names=["id", "n", "d1", "d2", "sig"])
 
 
-def _prefix(order, depth: int):
-    """The region of a set: order and the first ``depth`` values of its rotated signature."""
-    turned = F.substring(F.concat("sig", "sig"), order * 16 + 1, F.lit(2 * depth))
-    return F.xxhash64(order, F.lit(depth), turned).alias("region")
+def _turned(order, values: int):
+    """The first ``values`` values of a signature rotated to its order."""
+    return F.substring(F.concat("sig", "sig"), order * (2 * VALUES // ORDERS) + 1, F.lit(2 * values))
 
 
-def _regions(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, id) for regions of 2 to CROWD sets, and (region, id) of larger ones with one signature."""
-    spark = sets.sparkSession
-    done = []
-    left = sets.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"))
-    for depth in DEPTHS:
-        placed = left.select("id", "order", _prefix(F.col("order"), depth))
-        sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        found = stage(placed.join(sizes, "region").select("region", "id", "order", (F.col("size") > CROWD).alias("crowd")), "regions")
-        done.append(found.filter("not crowd").select("region", "id"))
-        crowd = found.filter("crowd")
-        if crowd.isEmpty():
-            return _union(done), spark.createDataFrame([], "region long, id long")
-        left = crowd.select("id", "order").join(sets.select("id", "sig"), "id")
-    return _union(done), crowd.select("region", "id")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _runs(batches):
+    """Cut crowded regions, sorted by rotated signature, into overlapping runs of CROWD sets."""
+    task, half, last, rank = TaskContext.get().partitionId(), CROWD // 2, None, 0
+    for b in batches:
+        region = np.asarray(b["region"])
+        if not len(region):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+        at = np.arange(len(region)) - np.repeat(first, np.diff(first, append=len(region)))
+        if region[0] == last:
+            at[:first[1] if len(first) > 1 else len(at)] += rank
+        last, rank = region[-1], int(at[-1]) + 1
+        place = region.view(U64) + U64(task) * U64(0x9E3779B97F4A7C15)
+        for shift in (0, 1):
+            name = mix(mix(place) + (at // half + shift).astype(U64))
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b["id"]], names=["region", "id"])
+
+
+def _regions(sets: DataFrame, n_parts: int) -> DataFrame:
+    """(region, id): the sets of 2 to CROWD members that are compared with each other."""
+    placed = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"), "sig").select(
+        "id", "order", F.xxhash64("order", _turned(F.col("order"), DEPTH)).alias("region"))
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    found = stage(placed.join(sizes, "region").select("region", "id", "order", (F.col("size") > CROWD).alias("crowd")), "regions")
+    crowd = found.filter("crowd").join(sets.select("id", "sig"), "id").select("region", "id", _turned(F.col("order"), 16).alias("key"))
+    ordered = crowd.repartitionByRange(n_parts, "region", "key", "id").sortWithinPartitions("region", "key", "id")
+    cut = ordered.select("region", "id").mapInArrow(_runs, "region long, id long")
+    return stage(found.filter("not crowd").select("region", "id").unionByName(cut), "forest")
 
 
 def _likely(sig: np.ndarray, n: np.ndarray, percent: int):
@@ -217,7 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     sketch = stage(rows.mapInArrow(lambda it: _sketch(it, k), _SKETCH), "sketch")
     full = sketch.filter("n > 0 and id is not null")
-    classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    # Stored, so that the join below shuffles both sides and can split the rows of a huge class.
+    classes = stage(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "class-heads")
     members = stage(full.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "rep"), "classes")
     heads = members.filter("id = rep").select("id").distinct()
     sets = stage(full.select("id", "n", "sig").join(heads, "id", "left_semi").dropDuplicates(["id"]), "sets")
@@ -225,10 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) \
         .join(heads, F.col("a") == heads["id"], "left_semi")
 
-    region, same = _regions(sets)
-    region = stage(region, "forest")
-    first = same.groupBy("region").agg(F.min("id").alias("a"))
-    alike = same.join(first, "region").filter("id <> a").select("a", F.col("id").alias("b"))
+    region = _regions(sets, parts(docs))
 
     def pairs(comps: DataFrame | None) -> DataFrame:
         given = sets
@@ -241,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         spanning = comps is None
         return ordered.mapInArrow(lambda it: _candidates(it, percent, spanning), "a long, b long").distinct()
 
-    tried = stage(pairs(None).unionByName(alike).distinct(), "pairs")
+    tried = stage(pairs(None), "pairs")
     ends = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     bits = spark.sparkContext.broadcast(bitmap_of(ends.withColumn("key", F.xxhash64("id")), "key", LOG2_BITS))
 
