@@ -96,21 +96,41 @@ def _cut_batch(rows):
                                       names=["doc_id", "item_id", "diagonal", "doc_words"])
 
 
+def _longest(equal: np.ndarray, similarity: float) -> tuple[int, int]:
+    """The longest part of which a share of at least ``similarity`` is equal."""
+    gain = np.concatenate(([0.0], np.cumsum(equal - similarity))) + 1e-9 * np.arange(len(equal) + 1)
+    lows = np.flatnonzero(gain < np.concatenate(([np.inf], np.minimum.accumulate(gain)[:-1])))  # places worth starting at
+    best, k = (0, 0), len(lows) - 1
+    for end in range(len(equal), 0, -1):
+        while k >= 0 and gain[lows[k]] <= gain[end]:
+            if lows[k] < end and end - lows[k] > best[1] - best[0]:
+                best = (int(lows[k]), end)
+            k -= 1
+        if k < 0:
+            break
+    return best
+
+
 def best_overlap(equal: np.ndarray, min_words: int, similarity: float) -> tuple[int, int, int] | None:
-    """(start, end, equal words) of the overlap to report in an alignment, or None.
+    """(start, end, equal words) of the longest overlap of an alignment that is long and similar enough, or None.
 
-    Tried are the whole alignment and its best-scoring part (an equal word gains 1, another costs
-    3); the longer one that is long and similar enough is taken.
+    An overlap begins and ends with equal words.
     """
-    score = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[:end + 1] == low[end])[-1])
-    for a, z in ((0, len(equal)), (start, end)):
-        same = int(equal[a:z].sum())
-        if z - a >= min_words and same >= similarity * (z - a) - 1e-9:
-            return a, z, same
-    return None
+    todo = [(0, len(equal))]
+    best = None
+    while todo:
+        lo, hi = todo.pop()
+        a, z = _longest(equal[lo:hi], similarity)
+        if z - a < min_words:
+            continue
+        same = np.flatnonzero(equal[lo + a:lo + z]) + lo + a
+        first, last = int(same[0]), int(same[-1]) + 1
+        if last - first >= min_words:
+            if best is None or last - first > best[1] - best[0]:
+                best = (first, last, len(same))
+        else:  # long only with unequal ends: look beside it
+            todo += [(lo, lo + a), (lo + z, hi)]
+    return best
 
 
 def _verify(batches, min_words: int, similarity: float):
