@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeops.session import checkpoint_dir
 
 #: Rows of text handled at once inside a task; keeps a worker's arrays to some tens of MB.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
