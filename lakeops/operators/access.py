@@ -17,11 +17,10 @@ Plan (no theta join, no broadcast of unbounded data): the prefix test is rewritt
 equi-join. ``*`` and the empty pattern become the key ``""``. Each path is expanded into its
 prefixes of exactly the lengths that occur among the patterns (a set of integers no larger
 than the longest pattern, computed once as a scalar subquery), and those prefixes are
-hash-joined to the patterns. The pattern keys are materialized once; they are broadcast
-only when a count shows at most ``BROADCAST_PATTERN_ROWS`` rows, so the expanded prefixes
-are probed inside the scan stage and never shuffled. Beyond that bound the join is a
-shuffle join; a key shared by many paths (``""`` for wildcard roles, a short common prefix)
-is then a skewed key, which AQE's skew-join split spreads over several tasks.
+hash-joined to the patterns. The pattern keys are materialized once; Spark picks the join by
+measured bytes. A key shared by many paths (``""`` for wildcard roles, a short common prefix)
+is a skewed key, which AQE's skew-join split spreads over several tasks; counts aggregate per
+prefix before any join, so no key is hot there.
 """
 
 from __future__ import annotations
@@ -106,33 +105,18 @@ def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str,
     raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
 
 
-# Largest pattern table that is broadcast to the path side (rows; ~100 bytes each).
-BROADCAST_PATTERN_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The count runs on the small side only (a role table, not the path listing); beyond
-    the bound the caller's join stays a shuffle join, with AQE splitting skewed keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def roles_for_path(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                   mode: str = "reference",
-                   broadcast_rows: int = BROADCAST_PATTERN_ROWS) -> DataFrame:
+                   mode: str = "reference") -> DataFrame:
     """Every ``(role_id, path)`` where the role grants the path; each pair once.
 
     ``mode="reference"`` is the reference's plain string-prefix rule; ``mode="segment"``
-    (our extension) only matches on ``/`` borders. The pattern side is broadcast when it
-    has at most ``broadcast_rows`` rows, so the expanded path prefixes are probed in the
-    scan's own stage and never shuffled; larger pattern tables fall back to a shuffle join.
+    (our extension) only matches on ``/`` borders. Spark picks the join by measured bytes and
+    splits a key that many paths share.
     """
-    # The pattern keys feed three branches (lengths, size check, join): compute them once.
+    # The pattern keys feed two branches (lengths and join): compute them once.
     keys = materialize(_match_keys(path_patterns(roles), mode))
     pk = _path_keys(paths.where(F.col(path_col).isNotNull()), path_col, keys, mode)
-    return pk.join(bounded_broadcast(keys, broadcast_rows), "key").select("role_id", "path").distinct()
+    return pk.join(keys, "key").select("role_id", "path").distinct()
 
 
 def _strict_prefixes(df: DataFrame, key_col: str, lens: Column, mode: str) -> Column:
@@ -165,25 +149,18 @@ def _prefix_free(group_keys: DataFrame, group_col: str, mode: str, lens: Column)
 
 
 def key_path_counts(paths: DataFrame, keys: DataFrame, path_col: str = "path",
-                    mode: str = "reference",
-                    broadcast_rows: int = BROADCAST_PATTERN_ROWS,
-                    lens: Column | None = None, distinct_paths: bool = True) -> DataFrame:
+                    mode: str = "reference", lens: Column | None = None, distinct_paths: bool = True) -> DataFrame:
     """``(key, n)``: how many distinct paths each pattern key grants, without any pairs.
 
-    Path prefixes are probed against the broadcast keys and counted per key map-side, so a
-    key that matches most paths (the wildcard, a common prefix) is just a large count.
-    Beyond the broadcast bound, prefixes are first counted per prefix string (partial
-    aggregation collapses hot prefixes before the shuffle) and then joined to the keys.
+    Prefixes are counted per prefix string first (partial aggregation collapses hot prefixes
+    such as the wildcard before the shuffle) and the counts are joined to the keys.
     """
     uniq = paths.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias(path_col))
     if distinct_paths:  # a listing never repeats a path; skip this shuffle when that is known
         uniq = uniq.distinct()
     pk = _path_keys(uniq, path_col, keys, mode, lens)
-    k = keys.select("key").distinct()
-    if k.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return pk.join(F.broadcast(k), "key").groupBy("key").agg(F.count("*").alias("n"))
     per_prefix = pk.groupBy("key").agg(F.count("*").alias("n"))
-    return per_prefix.join(k, "key")
+    return per_prefix.join(keys.select("key").distinct(), "key")
 
 
 def _grant_counts(group_keys: DataFrame, group_col: str, n_by_key: DataFrame,
@@ -193,9 +170,7 @@ def _grant_counts(group_keys: DataFrame, group_col: str, n_by_key: DataFrame,
 
 
 def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                     mode: str = "reference",
-                     broadcast_rows: int = BROADCAST_PATTERN_ROWS,
-                     distinct_paths: bool = True) -> DataFrame:
+                     mode: str = "reference", distinct_paths: bool = True) -> DataFrame:
     """How many distinct paths each role opens; roles that open none report 0.
 
     Exact without (role, path) pairs: each role's patterns are reduced to a prefix-free
@@ -204,7 +179,7 @@ def role_path_counts(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens,
+    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens,
                                distinct_paths=distinct_paths)
     counts = _grant_counts(keys, "role_id", n_by_key, mode, lens)
     all_roles = roles.select(F.col("id").alias("role_id")).distinct()
@@ -254,10 +229,30 @@ def access_matrix(paths: DataFrame, roles: DataFrame, path_col: str = "path",
             .agg(F.array_sort(F.collect_set("role_id")).alias("roles")))
 
 
+def access_check(questions: DataFrame, roles: DataFrame, path_col: str = "path", id_col: str = "objectId",
+                 mode: str = "reference") -> DataFrame:
+    """For asked-for ``(objectId, path)`` pairs: the roles that give the identity that path.
+
+    One row per distinct question with ``roles`` (sorted, empty when access is denied). Only
+    the roles of asked-for identities and the asked-for paths are joined, and the answer is as
+    large as the question.
+    """
+    ask = materialize(questions.select(F.col(id_col).alias("objectId"), F.col(path_col).alias("path")).distinct())
+    members = roles_for_member(roles, ask, "objectId")
+    own = roles.join(members.select(F.col("role_id").alias("id")).distinct(), "id", "left_semi")
+    keys = materialize(_match_keys(path_patterns(own), mode))
+    prefixes = _path_keys(ask.select("path").distinct().where("path is not null"), "path", keys, mode).select("path", "key")
+    # Each question meets the roles of its identity, and of those only the ones with a matching pattern stay.
+    held = ask.join(members, "objectId").join(keys, "role_id").join(prefixes, ["path", "key"])
+    given = held.groupBy(F.col("objectId").alias("_id"), F.col("path").alias("_path")).agg(
+        F.array_sort(F.collect_set("role_id")).alias("roles"))
+    same = F.col("objectId").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path"))
+    return ask.join(given, same, "left").select(
+        "objectId", "path", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
+
+
 def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
-                   mode: str = "reference",
-                   broadcast_rows: int = BROADCAST_PATTERN_ROWS,
-                   distinct_paths: bool = True) -> DataFrame:
+                   mode: str = "reference", distinct_paths: bool = True) -> DataFrame:
     """Per member: number of roles held and number of distinct paths readable.
 
     Exact without forming (member, path) or (role, path) pairs: a member's patterns (those
@@ -267,7 +262,7 @@ def access_summary(paths: DataFrame, roles: DataFrame, path_col: str = "path",
     """
     keys = materialize(_match_keys(path_patterns(roles), mode))
     lens = _key_lengths(keys)
-    n_by_key = key_path_counts(paths, keys, path_col, mode, broadcast_rows, lens=lens,
+    n_by_key = key_path_counts(paths, keys, path_col, mode, lens=lens,
                                distinct_paths=distinct_paths)
     members = materialize(roles_for_member(roles))  # feeds two branches: compute once
     member_keys = members.join(keys, "role_id").select("objectId", "key").distinct()

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from lakeops.session import materialize
 
-MAX_DEPTH = 1000
-# Largest frontier (rows) broadcast to the edge scan in one walk step.
-BROADCAST_FRONTIER_ROWS = 2_000_000
 # Fixed value (must equal the reference): the error text for an empty folder path.
 EMPTY_PATH_ERROR = "No folders were created or found"
 
@@ -29,46 +26,40 @@ def _edges(folders: DataFrame, id_col: str, parent_col: str, name_col: str) -> D
 _stable = materialize
 
 
-def walk_down(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH,
-              broadcast_rows: int = BROADCAST_FRONTIER_ROWS) -> DataFrame:
-    """Breadth-first walk from ``start`` (``id, path, depth`` [, ``root``]) along child links.
+def walk_down(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Breadth-first walk from ``start`` (``id, depth`` [, ``path``] [, ``root``]) along child links.
 
-    Returns every reached node with ``path`` (array of names from the start), ``depth``
-    and, when ``start`` has it, the ``root`` it was reached from. A walk that comes back
-    to its own root (a parent cycle through the root) stops there; nodes on a cycle not
-    reachable from ``start`` are never reached.
+    Returns every reached node with ``depth`` and, when ``start`` has them, ``path`` (array of
+    names from the start) and the ``root`` it was reached from; a walk that needs only who is
+    reached carries no paths. A walk that comes back to its own root (a parent cycle through
+    the root) stops there; nodes on a cycle not reachable from ``start`` are never reached.
 
-    Each level is one join of the current frontier with the stored edges. A frontier of
-    at most ``broadcast_rows`` rows (counted, it is already stored) is broadcast, so the
-    edges are scanned where they lie and never shuffled; a larger frontier makes it a
-    shuffle join, where AQE splits a parent with very many children over several tasks.
+    Each level is one join of the current frontier with the stored edges; adaptive execution
+    picks the join by measured bytes and splits a parent with very many children. The walk ends
+    with an empty frontier. More levels than there are edges can only mean a repeat (ids that
+    occur twice on a cycle) and is an error.
     """
-    has_root = "root" in start.columns
-    level = _stable(start)
+    carried = [c for c in ("path", "root") if c in start.columns]
+    level = _stable(start.select("id", "depth", *carried))
     levels = [level]
     # Read the source once: every level joins this stored projection of the edges.
     children = _stable(edges.where(F.col("parent").isNotNull()))
-    n = level.count()
-    for _ in range(max_depth):
-        if n == 0:
-            break
-        prev = level.select(F.col("id").alias("parent"), F.col("path").alias("_pp"),
-                            F.col("depth").alias("_pd"), *(["root"] if has_root else []))
-        if n <= broadcast_rows:
-            prev = F.broadcast(prev)
+    most = children.count()
+    while not level.isEmpty():
+        if len(levels) > most + 1:
+            raise RuntimeError("the walk repeats: an id occurs twice on a parent cycle")
+        prev = level.select(F.col("id").alias("parent"), F.col("depth").alias("_pd"),
+                            *[F.col(c).alias(f"_p_{c}") for c in carried])
+        out = {"path": F.array_append("_p_path", F.col("displayName")) if "path" in carried else None,
+               "root": F.col("_p_root") if "root" in carried else None}
         nxt = children.join(prev, "parent").select(
-            "id", F.array_append("_pp", F.col("displayName")).alias("path"),
-            (F.col("_pd") + 1).alias("depth"), *(["root"] if has_root else []))
-        if has_root:
+            "id", (F.col("_pd") + 1).alias("depth"), *[out[c].alias(c) for c in carried])
+        if "root" in carried:
             nxt = nxt.where(~F.col("id").eqNullSafe(F.col("root")))
         level = _stable(nxt)
-        n = level.count()
-        if n:
-            levels.append(level)
-    else:
-        raise RuntimeError(f"hierarchy deeper than {max_depth} levels (or a cycle below the start)")
+        levels.append(level)
     out = levels[0]
-    for lv in levels[1:]:
+    for lv in levels[1:-1]:
         out = out.unionByName(lv)
     return out
 
@@ -80,7 +71,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def folder_path(folders: DataFrame, id_col: str = "id", parent_col: str = "parentFolderId",
-                name_col: str = "displayName", max_depth: int = MAX_DEPTH) -> DataFrame:
+                name_col: str = "displayName") -> DataFrame:
     """Names from the root down to each folder: ``id, path (array), depth``.
 
     A folder whose parent is missing starts its own path (the reference would fail the
@@ -89,12 +80,12 @@ def folder_path(folders: DataFrame, id_col: str = "id", parent_col: str = "paren
     e = _edges(folders, id_col, parent_col, name_col)
     start = roots(e).select("id", F.array(F.col("displayName")).alias("path"),
                             F.lit(1).alias("depth"))
-    return walk_down(e, start, max_depth)
+    return walk_down(e, start)
 
 
 def folder_subtree(folders: DataFrame, root_id: str | DataFrame | None = None,
                    recursive: bool = True, id_col: str = "id", parent_col: str = "parentFolderId",
-                   name_col: str = "displayName", max_depth: int = MAX_DEPTH) -> DataFrame:
+                   name_col: str = "displayName") -> DataFrame:
     """Descendants of a root: all of them, or direct children only.
 
     ``root_id`` is one folder id, a table of root ids (column ``id``; each root's subtree
@@ -112,15 +103,16 @@ def folder_subtree(folders: DataFrame, root_id: str | DataFrame | None = None,
             roots_df = root_id.select(F.col("id").cast("string").alias("root")).distinct()
         first = e.join(roots_df.withColumnRenamed("root", "parent"), "parent").withColumn(
             "root", F.col("parent"))
-    first = first.select("id", F.array("displayName").alias("path"), F.lit(1).alias("depth"), "root")
-    reached = first if not recursive else walk_down(e, first, max_depth)
+    first = first.select("id", F.lit(1).alias("depth"), "root")
+    reached = first if not recursive else walk_down(e, first)
     return folders.join(reached.select(F.col("id").alias(id_col), "root", "depth"), id_col)
 
 
 def empty_folders(folders: DataFrame, id_col: str = "id",
                   parent_col: str = "parentFolderId") -> DataFrame:
     """Folders that no other folder names as its parent (items are not considered)."""
-    parents = folders.select(F.col(parent_col).alias(id_col)).where(F.col(id_col).isNotNull())
+    # Distinct first: a folder that holds a third of all folders is one row a task, not a hot key.
+    parents = folders.select(F.col(parent_col).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
     return folders.join(parents, id_col, "left_anti")
 
 
@@ -154,10 +146,11 @@ def ensure_folder_paths(folders: DataFrame, requests: DataFrame, req_col: str =
                 .select(F.slice("segs", F.lit(1), F.col("k")).alias("path")).distinct())
 
     def new_id(p):
-        return F.concat(F.lit(id_prefix), F.sha2(F.to_json(p), 256).substr(1, 16))
+        return F.concat(F.lit(id_prefix), F.sha2(F.to_json(p), 256))
 
-    resolved_prefix = prefixes.join(by_path, "path", "left").select(
-        "path", F.coalesce("eid", new_id(F.col("path"))).alias("fid"), F.col("eid").isNull().alias("new"))
+    # Three branches read it: computed once.
+    resolved_prefix = _stable(prefixes.join(by_path, "path", "left").select(
+        "path", F.coalesce("eid", new_id(F.col("path"))).alias("fid"), F.col("eid").isNull().alias("new")))
     parent_of = F.when(F.size("path") > 1, F.slice("path", F.lit(1), F.size("path") - 1))
     created_raw = resolved_prefix.where("new").select("path", "fid", parent_of.alias("ppath"))
     parents = resolved_prefix.select(F.col("path").alias("ppath"), F.col("fid").alias("pid"))
@@ -175,8 +168,8 @@ def move_nodes(nodes: DataFrame, moves: DataFrame, id_col: str = "id",
                name_col: str = "displayName", order_col: str | None = None) -> DataFrame:
     """Re-parent nodes; a null target moves a node to the root.
 
-    Our rule (the reference leaves this to the service): a move is rejected when, with
-    the moves applied, the node is no longer reachable from a root, i.e. it would sit in
+    Our rule (the reference leaves this to the service): a move is rejected when its target is
+    neither null nor a known node, or when, with the other moves applied, the node is no longer reachable from a root, i.e. it would sit in
     or under a parent cycle. Rejected moves are dropped; the accepted ones then leave every
     node they move reachable (see the note in the body). Adds ``moved`` (accepted) and
     ``rejected`` columns. Several moves for one node are reduced to one first (see
@@ -188,6 +181,9 @@ def move_nodes(nodes: DataFrame, moves: DataFrame, id_col: str = "id",
     mv = (moves.groupBy(F.col(id_col).alias("_mid"))
           .agg(F.max(F.struct(*order, F.col(target_col).alias("_t"))).alias("_w"))
           .select("_mid", F.col("_w._t").alias("_target")))
+    req = mv.select(F.col("_mid").alias("_rid"))
+    known = nodes.select(F.col(id_col).alias("_target")).distinct()
+    mv = _stable(mv.where("_target is null").unionByName(mv.join(known, "_target", "left_semi").select("_mid", "_target")))
     # One reachability walk with every move applied decides all moves. A node reachable in
     # that graph reaches a root through reachable nodes only, and none of those has a
     # rejected move, so dropping the rejected moves leaves every accepted node's path to a
@@ -197,11 +193,9 @@ def move_nodes(nodes: DataFrame, moves: DataFrame, id_col: str = "id",
                        F.when(F.col("_mid").isNotNull(), F.col("_target"))
                         .otherwise(F.col(parent_col)).alias("parent"),
                        F.col(name_col).alias("displayName")))
-    reach = walk_down(applied, roots(applied).select(
-        "id", F.array("displayName").alias("path"), F.lit(1).alias("depth")))
+    reach = walk_down(applied, roots(applied).select("id", F.lit(1).alias("depth")))
     accepted = mv.join(reach.select(F.col("id").alias("_mid")), "_mid", "left_semi")
     acc = accepted.withColumn("_ok", F.lit(True))
-    req = mv.select(F.col("_mid").alias("_rid"))
     out = (nodes.join(acc, nodes[id_col] == acc["_mid"], "left")
            .join(req, nodes[id_col] == req["_rid"], "left"))
     return out.select(

@@ -119,21 +119,49 @@ def patch_rows(base: DataFrame, patches: DataFrame, key: str | Sequence[str],
     """Update only the fields a patch gives: ``coalesce(patch.c, base.c)`` per column.
 
     A null in a patch leaves the field as it was (optional fields of an update request).
-    Nested struct columns are replaced whole when the patch gives them. Several patches
-    for one key are reduced to one first, so no base row is ever duplicated: the patch
-    with the largest ``order_col`` wins (ties, or no order column, broken by content).
+    Nested struct columns are replaced whole when a patch gives them. Several patches for one
+    key need ``order_col``: they apply one after the other, so each field takes its last given
+    value (equal orders: the larger value). Without an order they are an error.
     """
     keys = [key] if isinstance(key, str) else list(key)
     cols = [c for c in (columns or patches.columns) if c not in keys and c != order_col]
-    order = [F.col(order_col).alias("_o")] if order_col else []
-    w = F.struct(*order, *[F.col(c).alias(f"_p_{c}") for c in cols])
-    p = patches.groupBy(*keys).agg(F.max(w).alias("_w")).select(
-        *keys, *[F.col("_w")[f"_p_{c}"].alias(f"_p_{c}") for c in cols])
+    order = F.col(order_col) if order_col else F.lit(0)
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))["v"].alias(f"_p_{c}")
+            for c in cols]
+    p = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *last)
+    if not order_col:
+        several = F.raise_error(F.lit("several patches for one key need an order column")).cast("boolean")
+        p = p.where(F.when(F.col("_n") > 1, several).otherwise(F.lit(True)))
+    p = p.drop("_n")
     j = base.join(p, keys, "left")
     return j.select(*[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in base.columns])
 
 
+def _free_names(requests: DataFrame, existing: DataFrame, req_id: str) -> DataFrame:
+    """``requests`` with ``_free``: for a wanted ``_base`` name the first of ``_base, _base_2,
+    _base_3, ...`` that is free in its path; null where nothing is wanted."""
+    taken = existing.select("path", "name").unionByName(requests.select("path", "name")).distinct()
+    wanted = requests.where(F.col("_base").isNotNull())
+    # A taken name blocks itself as the first choice, and <x>_<k> blocks choice k of <x>.
+    numbered = taken.unionByName(wanted.select("path", F.col("_base").alias("name"))).select(
+        "path", F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 1).alias("_base"),
+        F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 2).alias("k")).where("k <> ''")
+    blocked = (taken.select("path", F.col("name").alias("_base"), F.lit(1).alias("k"))
+               .unionByName(numbered.select("path", "_base", F.col("k").cast("int")))
+               .join(wanted.select("path", "_base").distinct(), ["path", "_base"], "left_semi")
+               .groupBy("path", "_base").agg(F.collect_set("k").alias("_ks")))
+    # Requests that want the same name (only possible with text ids) take turns.
+    turn = F.array_position(F.array_sort("_ids"), F.col(req_id)).cast("int")
+    turns = wanted.groupBy("path", "_base").agg(F.collect_list(req_id).alias("_ids"))
+    j = requests.join(blocked, ["path", "_base"], "left").join(turns, ["path", "_base"], "left")
+    ks = F.coalesce("_ks", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(1), F.size(ks) + F.size("_ids")), ks)
+    k = F.element_at(free, turn)
+    name = F.when(k == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), k.cast("string")))
+    return j.withColumn("_free", F.when(F.col("_base").isNotNull(), name))
+
+
 def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: str,
                             req_id: str = "req_id") -> tuple[DataFrame, DataFrame]:
     """Apply a batch of shortcut create requests under a conflict policy.
@@ -144,7 +172,9 @@ def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: st
     Our rules (the reference leaves them to the service):
 
     * ``Abort``: conflicting requests fail with ``Conflict``; the others are created.
-    * ``GenerateUniqueName``: a conflicting request is created as ``<name>_<req_id>``.
+    * ``GenerateUniqueName``: a conflicting request is created as ``<name>_<req_id>``; where
+      that name is taken in the path (by a shortcut, a request or another new name), as
+      ``<name>_<req_id>_<k>`` with the smallest free ``k`` from 2.
     * ``CreateOrOverwrite``: the first request for a (path, name) creates or overwrites it;
       later duplicates fail with ``Duplicate``.
     * ``OverwriteOnly``: the first request for an existing (path, name) overwrites it;
@@ -167,8 +197,9 @@ def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: st
     elif policy == "GenerateUniqueName":
         renamed = exists | ~is_first
         status = F.when(renamed, F.lit("CreatedWithNewName")).otherwise(F.lit("Created"))
-        name = F.when(renamed, F.concat(F.col("name"), F.lit("_"), F.col(req_id).cast("string"))
-                      ).otherwise(F.col("name"))
+        r = _free_names(r.withColumn("_base", F.when(renamed, F.concat(
+            F.col("name"), F.lit("_"), F.col(req_id).cast("string")))), existing, req_id)
+        name = F.coalesce("_free", "name")
     elif policy == "CreateOrOverwrite":
         status = (F.when(~is_first, F.lit("Duplicate"))
                   .when(exists, F.lit("Overwritten")).otherwise(F.lit("Created")))

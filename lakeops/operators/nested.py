@@ -37,16 +37,19 @@ def unpack_definitions(items: DataFrame, definitions: DataFrame,
     ``default_definition`` JSON) and ``additionalParts``. A part whose base64 or JSON is
     broken yields null for that part only, where the reference would drop all later parts.
     """
-    d = definitions.select(F.col("itemId").alias("id"), F.col("parts").alias("_parts"))
+    # One definition for an item (of several the largest by content), and only what is needed of
+    # it: the two special payloads and the other parts travel, not the parts twice.
+    one = definitions.groupBy(F.col("itemId").alias("id")).agg(F.max("parts").alias("_parts"))
+    d = one.select("id", _last_part(F.col("_parts"), DEFAULT_PART)["payload"].alias("_main"),
+                   _last_part(F.col("_parts"), PLATFORM_PART)["payload"].alias("_plat"),
+                   F.filter("_parts", lambda p: ~F.coalesce(p["path"].isin(DEFAULT_PART, PLATFORM_PART), F.lit(False))
+                            ).alias("_others"))
     j = items.join(d, "id", "left")
-    parts = F.coalesce(F.col("_parts"), F.array().cast(f"array<{PART_TYPE}>"))
-    main = _last_part(parts, DEFAULT_PART)
-    plat = _last_part(parts, PLATFORM_PART)
-    parsed = F.try_parse_json(b64_decode_text(main["payload"]))
-    meta = F.from_json(b64_decode_text(plat["payload"]), PLATFORM_SCHEMA)["metadata"]
+    parsed = F.try_parse_json(b64_decode_text(F.col("_main")))
+    meta = F.from_json(b64_decode_text(F.col("_plat")), PLATFORM_SCHEMA)["metadata"]
     default = (F.parse_json(F.lit(default_definition)) if default_definition is not None
                else F.lit(None).cast("variant"))
-    others = F.filter(parts, lambda p: ~p["path"].isin(DEFAULT_PART, PLATFORM_PART))
+    others = F.coalesce(F.col("_others"), F.array().cast(f"array<{PART_TYPE}>"))
     with_meta = j.withColumn("_meta", meta)
     out_cols = []
     for c in items.columns:
@@ -101,16 +104,24 @@ def normalize_parts(responses: DataFrame, body_col: str = "body") -> DataFrame:
     return responses.withColumn("definition", defn)
 
 
-def load_page_dumps(pages: DataFrame, page_col: str = "page") -> DataFrame:
+def load_page_dumps(pages: DataFrame, page_col: str = "page", skip_errors: bool = False) -> DataFrame:
     """Concatenate the items of landed response pages into rows (``item`` VARIANT).
 
-    A page is an object with a ``value`` array, a bare array, or one object (one item).
-    Pages that are not JSON are dropped; ``page_error`` rows can be had by filtering
-    ``try_parse_json(page) IS NULL`` on the input.
+    A page is an object with a ``value`` array, a bare array, or one object (one item). A page
+    that is not JSON fails the load; with ``skip_errors`` it is left out, and ``page_errors``
+    gives those rows.
     """
     v = F.try_parse_json(F.col(page_col))
+    if not skip_errors:
+        v = F.coalesce(v, F.when(F.col(page_col).isNotNull() | F.col(page_col).isNull(), F.raise_error(F.concat(
+            F.lit("a page is not JSON: "), F.coalesce(F.left(F.col(page_col), F.lit(200)), F.lit("null"))))).cast("variant"))
     items = F.coalesce(F.try_variant_get(v, "$.value", "array<variant>"),
                        F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     keep = [c for c in pages.columns if c != page_col]
-    return (pages.where(v.isNotNull())
-            .select(*keep, F.explode(items).alias("item")))
+    good = pages.where(F.try_parse_json(F.col(page_col)).isNotNull()) if skip_errors else pages
+    return good.select(*keep, F.explode(items).alias("item"))
+
+
+def page_errors(pages: DataFrame, page_col: str = "page") -> DataFrame:
+    """The pages that are not JSON."""
+    return pages.where(F.try_parse_json(F.col(page_col)).isNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +45,9 @@ def run_state_flags(requested: DataFrame, operations: DataFrame, id_col: str = "
     """State flags for every requested operation id.
 
     ``operations``: ``id, status, percentComplete, error STRUCT<code, message>``.
-    Returns ``id, running, complete, succeeded, failed, percent, error_message``. An id with
+    Returns ``id, running, complete, succeeded, failed, percent, error_code, error_detail`` (the
+    operation's error as it stands, whatever its status) and ``error_message`` (what a failed
+    operation is reported with). An id with
     no operation row reads as the reference's fallbacks: not running, complete, not
     succeeded, not failed, no percent, no error.
     """
@@ -54,9 +58,9 @@ def run_state_flags(requested: DataFrame, operations: DataFrame, id_col: str = "
              if "lastUpdatedTimeUtc" in operations.columns else [])
     w = F.struct(*order, F.col("status").alias("status"),
                  F.col("percentComplete").alias("percentComplete"),
-                 F.col("error.message").alias("_msg"))
+                 F.col("error.code").alias("_code"), F.col("error.message").alias("_msg"))
     ops = (operations.groupBy("id").agg(F.max(w).alias("_w"))
-           .select("id", "_w.status", "_w.percentComplete", "_w._msg", F.lit(True).alias("_found")))
+           .select("id", "_w.status", "_w.percentComplete", "_w._code", "_w._msg", F.lit(True).alias("_found")))
     j = req.join(ops, "id", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status = F.col("status")
@@ -70,6 +74,7 @@ def run_state_flags(requested: DataFrame, operations: DataFrame, id_col: str = "
         (found & F.coalesce(status == F.lit("Succeeded"), F.lit(False))).alias("succeeded"),
         failed.alias("failed"),
         F.col("percentComplete").cast("double").alias("percent"),
+        F.col("_code").alias("error_code"), F.col("_msg").alias("error_detail"),
         F.when(failed, msg).alias("error_message"))
 
 
@@ -96,7 +101,8 @@ def validate_rows(df: DataFrame, rules: Iterable[Rule], out_col: str = "errors")
 
 # Fixed values (must equal the reference): messages and limits of the pool, gateway and
 # manifest checks.
-POOL_NAME_PATTERN = r"^[a-zA-Z0-9\-_ ]+$"
+POOL_NAME_PATTERN = r"[a-zA-Z0-9\-_ ]+"
+POOL_NAME_MAX = 64
 RESERVED_POOL_NAME = "starter pool"
 INVALID_POOL_NAME = "Invalid pool name"  # ours: the reference returns a boolean
 POOL_REQUIRED = (
@@ -143,15 +149,20 @@ MANIFEST_TYPES = {
 
 def full_match(c: str | Column, pattern: str) -> Column:
     """XSD patterns match the whole value."""
-    return _c(c).rlike(f"^(?:{pattern})$")
+    return _c(c).rlike(f"\\A(?:{pattern})\\z")
+
+
+def js_trim(c: str | Column) -> Column:
+    """White space of every kind off both ends, as JavaScript's ``trim``."""
+    return F.regexp_replace(_c(c), r"(?U)\A[\s\uFEFF]+|[\s\uFEFF]+\z", "")
 
 
 def pool_name_valid(c: str | Column) -> Column:
-    name = _c(c)
-    return (name.isNotNull() & (F.length(F.trim(name)) > 0)
-            & (F.length(name) >= 1) & (F.length(name) <= 64)
-            & name.rlike(POOL_NAME_PATTERN)
-            & (F.lower(F.trim(name)) != F.lit(RESERVED_POOL_NAME)))
+    """All of: in the allowed characters, short enough, not blank, not the reserved word."""
+    name, bare = _c(c), js_trim(c)
+    tests = (full_match(name, POOL_NAME_PATTERN), F.length(name) <= POOL_NAME_MAX, bare != F.lit(""),
+             F.lower(bare) != F.lit(RESERVED_POOL_NAME))
+    return F.coalesce(functools.reduce(operator.and_, tests), F.lit(False))
 
 
 def _min_max_rules(min_c: Column, max_c: Column, messages) -> list[Rule]:
@@ -166,7 +177,8 @@ def pool_rules(name="name", node_family="nodeFamily", node_size="nodeSize",
     rules: list[Rule] = []
     for key, msg in POOL_REQUIRED:
         c = F.col(cols[key])
-        missing = c.isNull() | (F.length(F.trim(c)) == 0) if key == "name" else c.isNull()
+        text = {"name": js_trim(c), "nodeFamily": c, "nodeSize": c}.get(key)  # empty text is missing too
+        missing = c.isNull() if text is None else c.isNull() | (text == F.lit(""))
         rules.append((missing, msg))
     rules.append((F.col(name).isNotNull() & ~pool_name_valid(name), INVALID_POOL_NAME))
     rules += _min_max_rules(F.col(f"{auto_scale}.minNodeCount"),
@@ -219,10 +231,11 @@ def validate_prefix_chain(packages: DataFrame, items: DataFrame, jobs: DataFrame
 
     Violations (``package, subject, message``): the item's workload differs from the
     package's; the item type does not start with ``<workload>.``; a job type does not
-    start with ``<item type>.``. All tests are case-sensitive.
+    start with ``<item type>.``. Workload names are compared without regard to case; the
+    prefix tests are case-sensitive.
     """
     it = items.join(packages, "package", "left")
-    wl_mismatch = it.where(~F.col("itemWorkloadName").eqNullSafe(F.col("workloadName"))).select(
+    wl_mismatch = it.where(~F.lower("itemWorkloadName").eqNullSafe(F.lower("workloadName"))).select(
         "package", F.col("itemFile").alias("subject"),
         F.concat(F.lit("Non matching WorkloadName between WorkloadManifest.xml and "),
                  F.col("itemFile")).alias("message"))

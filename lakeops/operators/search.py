@@ -70,9 +70,9 @@ def filter_array_any(c: str | Column, value: str, how: str = "equals") -> Column
 
 
 def filter_flag(c: str | Column, negate: bool = False) -> Column:
-    """A boolean column, or its negation; null counts as false either way."""
+    """A boolean column, or its negation; a missing flag is a flag that is not set."""
     v = _c(c)
-    return v.isNotNull() & (~v if negate else v)
+    return (v.isNull() | ~v) if negate else (v.isNotNull() & v)
 
 
 def filter_expired(c: str | Column, as_of) -> Column:
@@ -114,13 +114,12 @@ def first_match(df: DataFrame, key: str | Column, order_col: str,
 
     One row per key: ``key_name`` plus every input column. Computed as a ``min`` over
     ``(order, row)``, so equal orders are broken by row content and a hot key is reduced
-    map-side before the shuffle.
+    map-side before the shuffle. Rows without an order come after all others.
     """
     k = _c(key)
     cols = df.columns
-    best = (df.where(F.col(order_col).isNotNull())
-            .select(k.alias(key_name),
-                    F.struct(F.col(order_col).alias("_ord"), F.struct(*cols).alias("_row")).alias("_w"))
+    best = (df.select(k.alias(key_name),
+                    F.struct(F.col(order_col).isNull().alias("_none"), F.col(order_col).alias("_ord"), F.struct(*cols).alias("_row")).alias("_w"))
             .groupBy(key_name).agg(F.min("_w")["_row"].alias("_row")))
     return best.select(key_name, *[F.col("_row")[c].alias(c) for c in cols])
 

@@ -94,6 +94,7 @@ OPERATIONS = """
            CASE event_type WHEN 'click' THEN 'Running' WHEN 'view' THEN 'NotStarted'
                 WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' ELSE 'Cancelled' END AS status,
            value AS percentComplete,
+           'E1' AS code,
            CASE WHEN event_type = 'error' AND value >= 10 THEN 'error for user ' || user_id ELSE '' END AS msg
     FROM events
 """
@@ -102,9 +103,13 @@ POOLS = """
     SELECT p_partkey,
            CASE WHEN p_size = 1 THEN '' WHEN p_size > 45 THEN 'Starter Pool'
                 WHEN p_size > 40 THEN p_name || '#' ELSE p_name || ' ' || p_partkey END AS name,
-           'MemoryOptimized' AS nodeFamily,
+           CASE WHEN p_size = 4 THEN '' ELSE 'MemoryOptimized' END AS nodeFamily,
+           p_size = 7 AS noScale,
+           'Org.W' || CASE WHEN p_size = 8 THEN '_' ELSE '' END || p_size AS workload,
+           'Org.W1' || CASE WHEN p_size = 9 THEN '' ELSE '.I' END || p_size AS itemType,
+           'Org.W1.I1' || CASE WHEN p_size = 10 THEN '..' ELSE '.J' END || p_size AS jobType,
            CASE WHEN p_size = 2 THEN NULL ELSE 'Small' END AS nodeSize,
-           p_size % 4 AS minNodeCount, p_size % 3 AS maxNodeCount,
+           CASE WHEN p_size <> 7 THEN p_size % 4 END AS minNodeCount, CASE WHEN p_size <> 7 THEN p_size % 3 END AS maxNodeCount,
            p_size = 3 AS noAllocation,
            CASE WHEN p_size = 3 THEN NULL ELSE p_size % 5 END AS minExecutors,
            CASE WHEN p_size = 3 THEN NULL ELSE (p_size + 1) % 4 END AS maxExecutors,
@@ -115,14 +120,15 @@ POOLS = """
            CASE WHEN p_size < 5 THEN 'not-a-guid' ELSE
                 concat_ws('-', substring(md5(p_name || p_partkey), 1, 8), substring(md5(p_name || p_partkey), 9, 4),
                           substring(md5(p_name || p_partkey), 13, 4), substring(md5(p_name || p_partkey), 17, 4),
-                          substring(md5(p_name || p_partkey), 21, 12)) END AS guid
+                          substring(md5(p_name || p_partkey), 21, 12)) END
+             || CASE WHEN p_size = 6 THEN chr(10) ELSE '' END AS guid
     FROM part
 """
 
 MANIFESTS = """
     packages AS (SELECT 'pkg-' || r_regionkey AS package, 'Org.W' || r_regionkey AS workloadName FROM region),
     items AS (SELECT 'pkg-' || n_regionkey AS package, n_name || '.xml' AS itemFile,
-                     CASE WHEN n_nationkey = 7 THEN 'Org.Other' ELSE 'Org.W' || n_regionkey END AS itemWorkloadName,
+                     CASE WHEN n_nationkey = 7 THEN 'Org.Other' WHEN n_nationkey = 9 THEN 'ORG.w' || n_regionkey ELSE 'Org.W' || n_regionkey END AS itemWorkloadName,
                      CASE WHEN n_nationkey % 5 = 0 THEN 'org.W' ELSE 'Org.W' END || n_regionkey || '.Item' || n_nationkey
                        AS typeName
               FROM nation),
@@ -149,7 +155,8 @@ GEO_FOLDERS = """
 GEO_MOVES = """
     SELECT 'n' || n_nationkey AS id, CAST(NULL AS VARCHAR) AS target FROM nation WHERE starts_with(n_name, 'A')
     UNION ALL SELECT 'r' || n_regionkey, 'n' || min(n_nationkey) FROM nation GROUP BY n_regionkey
-    UNION ALL SELECT 'c' || c_custkey, 'n' || ((c_nationkey + 1) % 25) FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' ELSE 'n' || ((c_nationkey + 1) % 25) END
+    FROM customer WHERE c_acctbal < 0
 """
 
 PAGE_DIR_SEGMENTS = """string_split(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^?#]*)', 1), '/+$', ''), '/')"""

@@ -23,7 +23,7 @@ from lakeops.operators import search as Q
 from lakeops.plans import oracles as O
 from lakeops.plans import standins as S
 from lakeops.plans.registry import query
-from lakeops.session import read_table
+from lakeops.session import materialize, read_table
 from lakeops.sources.shortcuts import shortcut_uri
 
 
@@ -91,12 +91,14 @@ def q_equals_filter(spark, sf_dir):
 
 
 @query("q_flag_filter", """
-SELECT doc_id FROM labels WHERE quality = 1 AND NOT (toxic = 1)
+SELECT doc_id FROM labels WHERE quality = 1 AND (toxic <> 1 OR doc_id % 5 = 0)
 """)
 def q_flag_filter(spark, sf_dir):
-    """search_catalog: filter_flag and its negation over boolean label columns."""
+    """search_catalog: filter_flag and its negation over boolean label columns; every fifth
+    document has no toxicity flag, which is a flag that is not set."""
     labels = _t(spark, sf_dir, "labels").select(
-        "doc_id", (F.col("quality") == 1).alias("isQuality"), (F.col("toxic") == 1).alias("isToxic"))
+        "doc_id", (F.col("quality") == 1).alias("isQuality"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("toxic") == 1).alias("isToxic"))
     return Q.search_catalog(labels, [Q.filter_flag("isQuality"),
                                      Q.filter_flag("isToxic", negate=True)]).select("doc_id")
 
@@ -225,7 +227,7 @@ SELECT r.id,
        (o.id IS NULL OR o.status IN ('Succeeded', 'Failed')) AS complete,
        coalesce(o.status = 'Succeeded', false) AS succeeded,
        coalesce(o.status = 'Failed', false) AS failed,
-       o.percentComplete AS percent,
+       o.percentComplete AS percent, o.code AS error_code, o.msg AS error_detail,
        CASE WHEN o.status = 'Failed' THEN CASE WHEN length(o.msg) > 0 THEN o.msg ELSE 'Operation failed' END END
          AS error_message
 FROM req r LEFT JOIN ops o ON r.id = o.id
@@ -248,8 +250,9 @@ def q_runs_to_cancel(spark, sf_dir):
 WITH pools AS ({O.POOLS})
 SELECT p_partkey, concat_ws('|',
   CASE WHEN name IS NULL OR length(trim(name)) = 0 THEN 'Pool name is required' END,
-  CASE WHEN nodeFamily IS NULL THEN 'Node family is required' END,
-  CASE WHEN nodeSize IS NULL THEN 'Node size is required' END,
+  CASE WHEN nodeFamily IS NULL OR nodeFamily = '' THEN 'Node family is required' END,
+  CASE WHEN nodeSize IS NULL OR nodeSize = '' THEN 'Node size is required' END,
+  CASE WHEN noScale THEN 'Auto scale configuration is required' END,
   CASE WHEN noAllocation THEN 'Dynamic executor allocation configuration is required' END,
   CASE WHEN name IS NOT NULL AND NOT (length(trim(name)) > 0 AND length(name) BETWEEN 1 AND 64
          AND regexp_matches(name, '^[a-zA-Z0-9\\-_ ]+$') AND lower(trim(name)) <> 'starter pool')
@@ -268,7 +271,13 @@ SELECT p_partkey, concat_ws('|',
   CASE WHEN length(displayName) > 200 THEN 'displayName must be 200 characters or less' END,
   CASE WHEN NOT regexp_full_match(version, '{quality.SEMVER_PATTERN}') OR length(version) > 16
        THEN 'version is not a valid SchemaVersion' END,
-  CASE WHEN NOT regexp_full_match(guid, '{quality.GUID_PATTERN}') THEN 'guid is not a valid Guid' END
+  CASE WHEN NOT regexp_full_match(guid, '{quality.GUID_PATTERN}') THEN 'guid is not a valid Guid' END,
+  CASE WHEN NOT regexp_full_match(workload, '{quality.WORKLOAD_NAME_PATTERN}') OR length(workload) > 32
+       THEN 'workload is not a valid WorkloadName' END,
+  CASE WHEN NOT regexp_full_match(itemType, '{quality.TYPE_NAME_PATTERN}') OR length(itemType) > 64
+       THEN 'itemType is not a valid TypeName' END,
+  CASE WHEN NOT regexp_full_match(jobType, '{quality.JOB_TYPE_NAME_PATTERN}') OR length(jobType) > 96
+       THEN 'jobType is not a valid JobTypeName' END
 ) AS errors
 FROM pools
 """)
@@ -276,7 +285,8 @@ def q_validate(spark, sf_dir):
     """validate_rows: pool, gateway and manifest-pattern rules; messages joined with '|'."""
     pools = S.part_pools(_t(spark, sf_dir, "part"))
     rules = (quality.pool_rules() + quality.gateway_rules()
-             + quality.manifest_rules({"version": "SchemaVersion", "guid": "Guid"}))
+             + quality.manifest_rules({"version": "SchemaVersion", "guid": "Guid", "workload": "WorkloadName",
+                                       "itemType": "TypeName", "jobType": "JobTypeName"}))
     out = quality.validate_rows(pools, rules)
     return out.select("p_partkey", F.array_join("errors", "|").alias("errors"))
 
@@ -286,7 +296,7 @@ WITH {O.MANIFESTS}
 SELECT i.package, i.itemFile AS subject,
        'Non matching WorkloadName between WorkloadManifest.xml and ' || i.itemFile AS message
 FROM items i LEFT JOIN packages p ON i.package = p.package
-WHERE i.itemWorkloadName IS DISTINCT FROM p.workloadName
+WHERE lower(i.itemWorkloadName) IS DISTINCT FROM lower(p.workloadName)
 UNION ALL
 SELECT package, typeName, 'Item name''s prefix should be WorkloadName for item ' || coalesce(typeName, '')
 FROM items WHERE NOT coalesce(starts_with(typeName, itemWorkloadName || '.'), false)
@@ -460,7 +470,8 @@ def q_ensure_folders(spark, sf_dir):
 
 
 @query("q_move_nodes", f"""
-WITH RECURSIVE folders AS ({O.GEO_FOLDERS}), moves AS ({O.GEO_MOVES}),
+WITH RECURSIVE folders AS ({O.GEO_FOLDERS}), asked AS ({O.GEO_MOVES}),
+moves AS (SELECT * FROM asked WHERE target IS NULL OR target IN (SELECT id FROM folders)),
 applied AS (SELECT f.id, CASE WHEN m.id IS NOT NULL THEN m.target ELSE f.parentFolderId END AS parent
             FROM folders f LEFT JOIN moves m ON f.id = m.id),
 reach(id) AS (SELECT id FROM applied WHERE parent IS NULL OR parent NOT IN (SELECT id FROM applied)
@@ -469,7 +480,7 @@ ok AS (SELECT m.* FROM moves m WHERE m.id IN (SELECT id FROM reach))
 SELECT f.id, f.displayName,
        CASE WHEN ok.id IS NOT NULL THEN ok.target ELSE f.parentFolderId END AS parentFolderId,
        ok.id IS NOT NULL AS moved,
-       (f.id IN (SELECT id FROM moves) AND ok.id IS NULL) AS rejected
+       (f.id IN (SELECT id FROM asked) AND ok.id IS NULL) AS rejected
 FROM folders f LEFT JOIN ok ON f.id = ok.id
 """)
 def q_move_nodes(spark, sf_dir):
@@ -500,13 +511,12 @@ def q_resolve_names(spark, sf_dir):
 
 
 @query("q_apply_links", _RESOLVED_CTES + """
-SELECT DISTINCT itemId, tagId FROM resolved WHERE found
+SELECT DISTINCT itemId, tagId FROM resolved WHERE found AND (l_returnflag = 'R' OR l_linestatus = 'O')
 """)
 def q_apply_links(spark, sf_dir):
-    """apply_links: links of returned items, plus every resolved link, each pair once."""
-    res = _resolved(spark, sf_dir).where("found")
-    existing = res.where(F.col("l_returnflag") == "R")
-    return L.apply_links(existing, res)
+    """apply_links: links of returned items plus those of open ones, each pair once."""
+    res = materialize(_resolved(spark, sf_dir).where("found").select("itemId", "tagId", "l_returnflag", "l_linestatus"))
+    return L.apply_links(res.where("l_returnflag = 'R'"), res.where("l_linestatus = 'O'"))
 
 
 @query("q_remove_links", _RESOLVED_CTES + """
@@ -515,7 +525,7 @@ EXCEPT SELECT itemId, tagId FROM resolved WHERE found AND l_linestatus = 'F'
 """)
 def q_remove_links(spark, sf_dir):
     """remove_links: every resolved link except those of finished line items."""
-    res = _resolved(spark, sf_dir).where("found")
+    res = materialize(_resolved(spark, sf_dir).where("found").select("itemId", "tagId", "l_linestatus"))
     links = res.select("itemId", "tagId").distinct()
     return L.remove_links(links, res.where(F.col("l_linestatus") == "F"))
 
@@ -603,24 +613,29 @@ def q_accept_share(spark, sf_dir):
 @query("q_patch_rows", """
 SELECT 'sch-' || c_custkey AS id,
        CASE WHEN c_mktsegment = 'BUILDING' THEN NOT (c_acctbal > 0) ELSE c_acctbal > 0 END AS enabled,
-       'Daily' AS cfg_type, c_nationkey AS cfg_interval
+       CASE WHEN c_nationkey % 3 = 0 THEN 'Weekly' ELSE 'Daily' END AS cfg_type,
+       CASE WHEN c_nationkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS cfg_interval
 FROM customer
 """)
 def q_patch_rows(spark, sf_dir):
-    """patch_rows: toggle ``enabled`` on schedules, keeping their configuration."""
+    """patch_rows: toggle ``enabled`` on some schedules and reconfigure others, some both."""
     cust = _t(spark, sf_dir, "customer")
-    out = L.patch_rows(S.customer_schedules(cust), S.schedule_toggles(cust), "id")
+    out = L.patch_rows(S.customer_schedules(cust), S.schedule_toggles(cust), "id", order_col="seq")
     return out.select("id", "enabled", F.col("configuration.type").alias("cfg_type"),
                       F.col("configuration.interval").alias("cfg_interval"))
 
 
 _SHORTCUT_BATCH = f"""
 WITH sc AS ({O.SHORTCUTS}),
-     existing AS (SELECT path, name FROM sc WHERE p_size <= 25),
-     requests AS (SELECT p_partkey AS req_id, path, name FROM sc WHERE p_size >= 20
-                  UNION ALL SELECT p_partkey + 1000000, path, name FROM sc WHERE p_size >= 45),
+     existing AS (SELECT path, name, p_partkey FROM sc WHERE p_size <= 25
+                  UNION ALL SELECT path, name || '_' || (p_partkey + CASE WHEN p_size = 50 THEN 1000000 ELSE 0 END), p_partkey
+                  FROM sc WHERE p_size IN (24, 50)),
+     requests AS (SELECT p_partkey AS req_id, path, name, p_partkey FROM sc WHERE p_size >= 20
+                  UNION ALL SELECT p_partkey + 1000000, path, name, p_partkey FROM sc WHERE p_size >= 45),
      r AS (SELECT q.*, min(req_id) OVER (PARTITION BY q.path, q.name) AS first,
-                  EXISTS (SELECT 1 FROM existing e WHERE e.path = q.path AND e.name = q.name) AS ex
+                  EXISTS (SELECT 1 FROM existing e WHERE e.path = q.path AND e.name = q.name) AS ex,
+                  q.name || '_' || req_id || CASE WHEN EXISTS (
+                    SELECT 1 FROM existing e WHERE e.path = q.path AND e.name = q.name || '_' || q.req_id) THEN '_2' ELSE '' END AS fresh
            FROM requests q)
 """
 
@@ -629,7 +644,7 @@ WITH sc AS ({O.SHORTCUTS}),
 SELECT 'Abort' AS policy, req_id, path, name,
        CASE WHEN ex OR req_id <> first THEN 'Conflict' ELSE 'Created' END AS status FROM r
 UNION ALL SELECT 'GenerateUniqueName', req_id, path,
-       CASE WHEN ex OR req_id <> first THEN name || '_' || req_id ELSE name END,
+       CASE WHEN ex OR req_id <> first THEN fresh ELSE name END,
        CASE WHEN ex OR req_id <> first THEN 'CreatedWithNewName' ELSE 'Created' END FROM r
 UNION ALL SELECT 'CreateOrOverwrite', req_id, path, name,
        CASE WHEN req_id <> first THEN 'Duplicate' WHEN ex THEN 'Overwritten' ELSE 'Created' END FROM r
@@ -648,13 +663,14 @@ def q_shortcut_policy(spark, sf_dir):
 
 
 @query("q_shortcut_apply", _SHORTCUT_BATCH + """
-SELECT path, name FROM existing
-UNION ALL SELECT path, CASE WHEN ex OR req_id <> first THEN name || '_' || req_id ELSE name END FROM r
+SELECT path, name, 'part-' || p_partkey AS of_part FROM existing
+UNION ALL SELECT path, CASE WHEN ex OR req_id <> first THEN fresh ELSE name END, 'part-' || p_partkey FROM r
 """)
 def q_shortcut_apply(spark, sf_dir):
-    """apply_shortcut_requests: the shortcut table after a GenerateUniqueName batch."""
-    existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"))
-    return L.apply_shortcut_requests(existing, reqs, "GenerateUniqueName")[0].select("path", "name")
+    """apply_shortcut_requests: the shortcut table, with its targets, after a GenerateUniqueName batch."""
+    existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"), mark=True)
+    out = L.apply_shortcut_requests(existing, reqs, "GenerateUniqueName")[0]
+    return out.select("path", "name", F.col("target").alias("of_part"))
 
 
 # --------------------------------------------------------------------------- nested
@@ -739,40 +755,29 @@ def q_explode_rules(spark, sf_dir):
 # --------------------------------------------------------------------------- sources, sinks
 
 
-@query("q_list_paths")
-def q_list_paths(spark, sf_dir):
-    """list_paths: the scale-factor folder itself, hidden entries included."""
-    return SRC.list_paths(spark, sf_dir).select("name", "contentLength", "isDirectory", "isShortcut")
-
-
-@query("q_read_files")
-def q_read_files(spark, sf_dir):
-    """read_binary_files: every table file's bytes as base64, with sizes."""
-    df = SRC.read_binary_files(spark, f"{sf_dir.rstrip('/')}/*.parquet", recursive=False)
-    return df.select(last_segment("path").alias("name"), "length",
-                     F.length("payload").alias("b64_chars"))
-
-
 @query("q_csv_to_table", """
-SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0
+SELECT n_nationkey, 'a ' || chr(10) || n_name AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 0
 """)
 def q_csv_to_table(spark, sf_dir):
     """csv_to_table: nation exported as one '|'-separated CSV file per region; the region-0
-    file also carries one row with a non-numeric key, so that whole file is skipped."""
-    nation = _t(spark, sf_dir, "nation")
+    file also carries one row with a non-numeric key, and a copy of region 1 has its columns in
+    another order, so both files are skipped whole. Names hold a line break inside quotes."""
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("a \n"), "n_name").alias("n_name"), "n_regionkey")
     root = SRC.staging_path(spark, "csv-src")
     (nation.where(F.col("n_regionkey") != 0).withColumn("r", F.col("n_regionkey"))
      .write.partitionBy("r").option("sep", "|").option("header", True).csv(root))
     lines = nation.where(F.col("n_regionkey") == 0).select(F.concat_ws(
-        "|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+        "|", F.col("n_nationkey").cast("string"), F.lit("x"), F.col("n_regionkey").cast("string")).alias("value"))
     extra = spark.createDataFrame([("n_nationkey|n_name|n_regionkey",), ("x|BROKEN|0",)], "value string")
     extra.unionByName(lines).coalesce(1).write.text(f"{root}/r=0")
+    (nation.where("n_regionkey = 1").select("n_regionkey", "n_name", "n_nationkey").coalesce(1)
+     .write.option("sep", "|").option("header", True).csv(f"{root}/swapped"))
     return SRC.csv_to_table(spark, root, "n_nationkey int, n_name string, n_regionkey int",
-                            delimiter="|")
+                            delimiter="|", multi_line=True)
 
 
 @query("q_write_rows", """
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS digest FROM documents
 """)
 def q_write_rows(spark, sf_dir):
     """write_text_rows then read_text_files: every document to its own file and back."""
@@ -783,11 +788,11 @@ def q_write_rows(spark, sf_dir):
         F.col("text").alias("content")), root)
     back = SRC.read_text_files(spark, root)
     return back.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
-                       F.length("content").cast("bigint").alias("n_chars"))
+                       F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
 @query("q_write_binary", """
-SELECT page_id, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS n_bytes, sha256(html) AS digest FROM pages
 """)
 def q_write_binary(spark, sf_dir):
     """write_binary_rows then read_binary_files: every page's HTML as base64, to bytes and back."""
@@ -798,7 +803,7 @@ def q_write_binary(spark, sf_dir):
         b64_encode(F.encode("html", "UTF-8")).alias("payload")), root)
     back = SRC.read_binary_files(spark, root)
     return back.select(F.regexp_extract("path", r"/(\d+)\.html$", 1).cast("bigint").alias("page_id"),
-                       F.col("length").alias("n_bytes"))
+                       F.col("length").alias("n_bytes"), F.sha2(F.unbase64("payload"), 256).alias("digest"))
 
 
 @query("q_mount", f"""
@@ -832,3 +837,62 @@ def q_roles_for_member(spark, sf_dir):
     ids = (_t(spark, sf_dir, "conversations").select(F.concat(F.lit("u-"), "role").alias("objectId"))
            .unionByName(pages.select(F.concat(F.lit("u-"), S.url_scheme()).alias("objectId"))))
     return access.roles_for_member(S.pages_roles(pages), ids)
+
+
+@query("q_roles_for_path", O.with_pages_access("""
+SELECT DISTINCT role_id, path FROM page_grants
+"""))
+def q_roles_for_path(spark, sf_dir):
+    """roles_for_path: the roles that open each page."""
+    pages = _t(spark, sf_dir, "pages")
+    files = S.pages_files(pages).select(F.col("name").alias("path"))
+    return access.roles_for_path(files, S.pages_roles(pages))
+
+
+@query("q_access_check", O.with_pages_access("""
+, ask AS (SELECT DISTINCT 'u-' || split_part(regexp_extract(p.url, '^[A-Za-z]+://([^/?#]*)', 1), '.', 1) AS objectId, q.path
+          FROM pages p JOIN page_paths q ON p.page_id = q.page_id),
+  given AS (SELECT m.objectId, g.path, list_sort(list(DISTINCT g.role_id)) AS roles
+            FROM page_role_members m JOIN page_grants g ON m.role_id = g.role_id GROUP BY 1, 2)
+SELECT a.objectId, a.path, coalesce(array_to_string(g.roles, '|'), '') AS roles
+FROM ask a LEFT JOIN given g ON a.objectId = g.objectId AND a.path = g.path
+"""))
+def q_access_check(spark, sf_dir):
+    """access_check (the access matrix for asked-for pairs): may the user of a page's host open that page, and
+    through which roles?"""
+    pages = _t(spark, sf_dir, "pages")
+    files = S.pages_files(pages).select(F.col("name").alias("path"))
+    ask = pages.select(F.concat(F.lit("u-"), F.split_part(S.url_host(), F.lit("."), F.lit(1))).alias("objectId"),
+                       S.page_path().alias("path"))
+    out = access.access_check(ask.join(files, "path", "left_semi"), S.pages_roles(pages))
+    return out.select("objectId", "path", F.array_join("roles", "|").alias("roles"))
+
+
+@query("q_ensure_resolved", f"""
+WITH req AS (SELECT page_id, {O.PAGE_DIR_SEGMENTS} AS s FROM pages),
+     https AS (SELECT {O.PAGE_DIR_SEGMENTS} AS s FROM pages WHERE regexp_extract(url, '^([A-Za-z]+)://', 1) = 'https'),
+     have AS (SELECT DISTINCT s[1:k] AS p FROM https, unnest(range(1, len(s) + 1)) AS u(k))
+SELECT page_id AS request, CASE WHEN s IN (SELECT p FROM have) THEN array_to_string(s, '/')
+       ELSE 'folder-' || sha256(CAST(to_json(s) AS VARCHAR)) END AS folderId
+FROM req
+""")
+def q_ensure_resolved(spark, sf_dir):
+    """ensure_folder_paths: the folder, found or created, that each page's path resolves to."""
+    pages = _t(spark, sf_dir, "pages")
+    _, resolved = H.ensure_folder_paths(S.https_page_folders(pages), S.page_folder_requests(pages))
+    return resolved.select("request", "folderId")
+
+
+@query("q_mount_read", """
+SELECT folder || n_regionkey AS shortcutPath, 'nations' AS shortcutName, n_nationkey, n_name
+FROM nation, (VALUES ('Files/region'), ('Files/again')) AS f(folder)
+""")
+def q_mount_read(spark, sf_dir):
+    """mount_shortcuts: nation written as one folder per region, read back through two
+    same-named shortcuts per region in different folders."""
+    root = SRC.staging_path(spark, "mounted")
+    nation = _t(spark, sf_dir, "nation")
+    nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r")).write.partitionBy("r").parquet(root)
+    at = root if root.startswith(("/", "file:")) else f"/{root}"
+    shortcuts = S.region_shortcuts(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "part"), at)
+    return SRC.mount_shortcuts(spark, shortcuts).select("shortcutPath", "shortcutName", "n_nationkey", "n_name")

@@ -250,10 +250,11 @@ def part_pools(part: DataFrame) -> DataFrame:
     return part.select(
         "p_partkey",
         name.alias("name"),
-        F.lit("MemoryOptimized").alias("nodeFamily"),
+        F.when(size == 4, F.lit("")).otherwise(F.lit("MemoryOptimized")).alias("nodeFamily"),
         F.when(size == 2, F.lit(None)).otherwise(F.lit("Small")).alias("nodeSize"),
-        F.struct(F.lit(True).alias("enabled"), (size % 4).alias("minNodeCount"),
-                 (size % 3).alias("maxNodeCount")).alias("autoScale"),
+        F.when(size == 7, F.lit(None)).otherwise(F.struct(
+            F.lit(True).alias("enabled"), (size % 4).alias("minNodeCount"),
+            (size % 3).alias("maxNodeCount"))).alias("autoScale"),
         F.when(size == 3, F.lit(None)).otherwise(F.struct(
             F.lit(True).alias("enabled"), (size % 5).alias("minExecutors"),
             ((size + 1) % 4).alias("maxExecutors"))).alias("dynamicExecutorAllocation"),
@@ -261,7 +262,10 @@ def part_pools(part: DataFrame) -> DataFrame:
         (size % 9).alias("numberOfMemberGateways"),
         F.repeat(F.col("p_name"), size).alias("displayName"),
         version.alias("version"),
-        guid.alias("guid"))
+        F.concat(guid, F.when(size == 6, F.lit("\n")).otherwise(F.lit(""))).alias("guid"),
+        F.concat(F.lit("Org.W"), F.when(size == 8, F.lit("_")).otherwise(F.lit("")), size.cast("string")).alias("workload"),
+        F.concat(F.lit("Org.W1"), F.when(size == 9, F.lit("")).otherwise(F.lit(".I")), size.cast("string")).alias("itemType"),
+        F.concat(F.lit("Org.W1.I1"), F.when(size == 10, F.lit("..")).otherwise(F.lit(".J")), size.cast("string")).alias("jobType"))
 
 
 def manifest_tables(region: DataFrame, nation: DataFrame, customer: DataFrame):
@@ -274,6 +278,7 @@ def manifest_tables(region: DataFrame, nation: DataFrame, customer: DataFrame):
         F.concat(F.lit("pkg-"), rk).alias("package"),
         F.concat(F.col("n_name"), F.lit(".xml")).alias("itemFile"),
         F.when(F.col("n_nationkey") == 7, F.lit("Org.Other"))
+         .when(F.col("n_nationkey") == 9, F.concat(F.lit("ORG.w"), rk))
          .otherwise(F.concat(F.lit("Org.W"), rk)).alias("itemWorkloadName"),
         F.concat(F.when(F.col("n_nationkey") % 5 == 0, F.lit("org.W")).otherwise(F.lit("Org.W")),
                  rk, F.lit(".Item"), nk).alias("typeName"))
@@ -317,7 +322,8 @@ def order_folders(customer: DataFrame, orders: DataFrame) -> DataFrame:
 
 def geo_moves(nation: DataFrame, customer: DataFrame) -> DataFrame:
     """Move requests ``id, target``: nations named A… to the root; every region under its
-    lowest-key nation (a cycle); customers with a negative balance to the next nation."""
+    lowest-key nation (a cycle); customers with a negative balance to the next nation, or to a
+    folder that does not exist (every seventh)."""
     to_root = nation.where(F.startswith("n_name", F.lit("A"))).select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
         F.lit(None).cast("string").alias("target"))
@@ -326,7 +332,8 @@ def geo_moves(nation: DataFrame, customer: DataFrame) -> DataFrame:
         F.concat(F.lit("n"), F.col("k").cast("string")).alias("target"))
     cust = customer.where(F.col("c_acctbal") < 0).select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
-        F.concat(F.lit("n"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("target"))
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("nowhere")).otherwise(
+            F.concat(F.lit("n"), ((F.col("c_nationkey") + 1) % 25).cast("string"))).alias("target"))
     return to_root.unionByName(cyc).unionByName(cust)
 
 
@@ -449,18 +456,30 @@ def customer_schedules(customer: DataFrame) -> DataFrame:
 
 
 def schedule_toggles(customer: DataFrame) -> DataFrame:
-    """Patches switching ``enabled`` for BUILDING customers; configuration left out (null)."""
-    return customer.where(F.col("c_mktsegment") == "BUILDING").select(
-        F.concat(F.lit("sch-"), F.col("c_custkey").cast("string")).alias("id"),
-        (~(F.col("c_acctbal") > 0)).alias("enabled"),
-        F.lit(None).cast("struct<type:string,interval:int,times:array<string>>").alias("configuration"))
-
-
-def shortcut_batch(part: DataFrame):
-    """Existing shortcuts (parts of size <= 25) and a create batch (size >= 20, with a repeat
-    request for size >= 45)."""
+    """Patches ``id, seq, enabled, configuration``: one switching ``enabled`` for BUILDING
+    customers (configuration left out), a later one with a weekly configuration for every third
+    nation (``enabled`` left out); many customers get both."""
+    config = "struct<type:string,interval:int,times:array<string>>"
+    key = F.concat(F.lit("sch-"), F.col("c_custkey").cast("string")).alias("id")
+    toggles = customer.where(F.col("c_mktsegment") == "BUILDING").select(
+        key, F.lit(1).alias("seq"), (~(F.col("c_acctbal") > 0)).alias("enabled"), F.lit(None).cast(config).alias("configuration"))
+    weekly = F.struct(F.lit("Weekly").alias("type"), (F.col("c_nationkey") + 100).alias("interval"), F.array(F.lit("08:00")).alias("times"))
+    configured = customer.where(F.col("c_nationkey") % 3 == 0).select(
+        key, F.lit(2).alias("seq"), F.lit(None).cast("boolean").alias("enabled"), weekly.cast(config).alias("configuration"))
+    return toggles.unionByName(configured)
+
+
+def shortcut_batch(part: DataFrame, mark: bool = False):
+    """Existing shortcuts (parts of size <= 25, and for size 24 and 50 also the name that a
+    conflicting request would be given) and a create batch (size >= 20, with a repeat request
+    for size >= 45)."""
     s = part_shortcuts(part, keep=("p_partkey", "p_size"))
-    existing = s.where(F.col("p_size") <= 25).select("path", "name", "target")
+    if mark:  # a target that tells which part it came from
+        s = s.withColumn("target", F.concat(F.lit("part-"), F.col("p_partkey").cast("string")))
+    given = F.col("p_partkey") + F.when(F.col("p_size") == 50, 1000000).otherwise(0)
+    taken = s.where(F.col("p_size").isin(24, 50)).select(
+        "path", F.concat("name", F.lit("_"), given.cast("string")).alias("name"), "target")
+    existing = s.where(F.col("p_size") <= 25).select("path", "name", "target").unionByName(taken)
     reqs = s.where(F.col("p_size") >= 20).select(F.col("p_partkey").alias("req_id"), "path", "name", "target")
     again = s.where(F.col("p_size") >= 45).select((F.col("p_partkey") + 1000000).alias("req_id"),
                                                   "path", "name", "target")
@@ -528,3 +547,20 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
             .when(shape == 1, F.concat(F.lit("["), row, F.lit(", "), row, F.lit("]")))
             .otherwise(row))
     return conversations.select(page.alias("page"))
+
+
+def region_shortcuts(region: DataFrame, part: DataFrame, root: str) -> DataFrame:
+    """Two shortcuts named ``nations`` per region, in different folders, over the region's folder
+    ``<root>/r=<key>``; the second is given without a leading slash."""
+    kinds = part_shortcuts(part).schema["target"].dataType
+    arms = [f.name for f in kinds.fields if f.name not in ("type", "amazonS3")]
+    key = F.col("r_regionkey").cast("string")
+
+    def shortcut(folder, subpath):
+        return F.struct(F.concat(F.lit(folder), key).alias("path"), F.lit("nations").alias("name"), F.struct(
+            F.lit("AmazonS3").alias("type"), F.struct(F.lit(root).alias("location"), subpath.alias("subpath"),
+                                                      F.lit(None).cast("string").alias("connectionId")).alias("amazonS3"),
+            *[F.lit(None).cast(kinds[a].dataType).alias(a) for a in arms]).alias("target"))
+
+    both = F.array(shortcut("Files/region", F.concat(F.lit("/r="), key)), shortcut("Files/again", F.concat(F.lit("r="), key)))
+    return region.select(F.explode(both).alias("s")).select("s.*")

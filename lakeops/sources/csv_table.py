@@ -15,6 +15,8 @@ task as a whole, however large.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -37,6 +39,25 @@ def header_schema(spark: SparkSession, source: str, delimiter: str = ",",
     return StructType([StructField(c, StringType()) for c in cols])
 
 
+def wrong_headers(spark: SparkSession, source: str, schema: StructType, delimiter: str, recursive: bool) -> DataFrame:
+    """``_file`` of every file whose first line does not name the schema's columns in order."""
+    lines = (spark.read.option("recursiveFileLookup", recursive).text(source)
+             .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("n"), "value").where("at = 0"))
+    first = lines.groupBy("_file").agg(F.min_by("value", "n").alias("value"))
+    names = F.split(F.regexp_replace("value", "^\uFEFF", ""), re.escape(delimiter), -1)
+    names = F.transform(names, lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
+    want = F.array(*[F.lit(f.name) for f in schema.fields])
+    return first.where(~names.eqNullSafe(want)).select("_file")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder through Spark's own file-system layer."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def skip_bad_files(staged: DataFrame, schema: StructType) -> DataFrame:
     """Rows of ``staged`` (with ``_file`` and the corrupt-record column) whose file has no
     malformed row. The bad file names are a small distinct set joined back."""
@@ -47,11 +68,14 @@ def skip_bad_files(staged: DataFrame, schema: StructType) -> DataFrame:
 def csv_to_table(spark: SparkSession, source: str, schema: StructType | str | None = None,
                  delimiter: str = ",", use_first_row_as_header: bool = True,
                  skip_files_with_errors: bool = True, table: str | None = None,
-                 recursive: bool = True, staging: str | None = None) -> DataFrame:
+                 recursive: bool = True, staging: str | None = None, multi_line: bool = False) -> DataFrame:
     """Rows of every usable CSV file under ``source`` (and ``saveAsTable(table)`` if given).
 
     ``schema`` is required unless there is a header; without one every column is text.
-    With ``skip_files_with_errors=False`` a malformed row fails the load instead.
+    With ``skip_files_with_errors=False`` a malformed row fails the load instead. A file whose
+    header names other columns, or the same in another order, is a broken file. ``multi_line``
+    allows line breaks inside quoted values; a file is then read by one task.
+    The staged copy is removed once the table is saved (without ``table`` the result reads it).
     """
     if schema is None:
         if not use_first_row_as_header:
@@ -59,9 +83,10 @@ def csv_to_table(spark: SparkSession, source: str, schema: StructType | str | No
         schema = header_schema(spark, source, delimiter, recursive)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    rd = _reader(spark, delimiter, use_first_row_as_header, recursive)
+    rd = _reader(spark, delimiter, use_first_row_as_header, recursive).option("multiLine", multi_line)
     if not skip_files_with_errors:
-        out = rd.schema(schema).option("mode", "FAILFAST").csv(source)
+        # With enforceSchema off Spark itself compares each header with the schema.
+        out = rd.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST").csv(source)
     else:
         with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType())])
         raw = (rd.schema(with_corrupt).option("mode", "PERMISSIVE")
@@ -70,7 +95,12 @@ def csv_to_table(spark: SparkSession, source: str, schema: StructType | str | No
         stage = staging or staging_path(spark, "csv-stage")
         raw.write.mode("overwrite").parquet(stage)
         out = skip_bad_files(spark.read.parquet(stage), schema)
+        if use_first_row_as_header:
+            out = skip_bad_files(spark.read.parquet(stage).join(
+                wrong_headers(spark, source, schema, delimiter, recursive), "_file", "left_anti"), schema)
     if table:
         out.write.mode("overwrite").saveAsTable(table)
+        if skip_files_with_errors and staging is None:
+            remove_folder(spark, stage)
         return spark.table(table)
     return out

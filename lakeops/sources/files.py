@@ -3,7 +3,8 @@
 Reads use Spark's own file sources (``text`` with ``wholetext`` and ``binaryFile``), so
 they split across tasks by file. Writes go through the ``lakefiles`` Python Data Source:
 every row ``(path, content)`` becomes one file below the root, created or truncated.
-A file is written under a temporary name and renamed into place, so a retried task
+The root may be any URI that pyarrow's file systems know, so executors write to the shared
+store. A file is written under a temporary hidden name and renamed into place, so a retried task
 (after a lost executor) rewrites the same files and never leaves half-written ones.
 """
 
@@ -19,39 +20,45 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from lakeops.functions.codec import b64_encode, try_b64_decode
 
 
-def _local(path: str) -> str:
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" in path:
-        raise ValueError(f"lakefiles writes to local or mounted paths only, not {path!r}")
-    return path
-
-
 class _Count(WriterCommitMessage):
     def __init__(self, files: int):
         self.files = files
 
 
+def relative_path(path: str | None) -> str:
+    """``path`` below the root; null paths and paths that leave the root are errors."""
+    if path is None:
+        raise ValueError("a row has no path")
+    parts = [p for p in path.split("/") if p not in ("", ".")]
+    if not parts or ".." in parts:
+        raise ValueError(f"not a path below the root: {path!r}")
+    return "/".join(parts)
+
+
 class _Writer(DataSourceWriter):
+    """Writes through the file system that the root's URI names, from every executor."""
+
     def __init__(self, options):
-        self.root = os.path.abspath(_local(options["path"]))
+        self.root = options["path"]
 
     def write(self, iterator):
-        n = 0
+        from pyarrow import fs
+        system, root = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:")
+                                              else os.path.abspath(self.root))
+        n, made = 0, set()
         for row in iterator:
-            rel, content = row[0], row[1]
-            if rel is None:
-                continue
-            target = os.path.join(self.root, rel.lstrip("/"))
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            data = b"" if content is None else (content.encode("utf-8") if isinstance(content, str)
-                                                else bytes(content))
-            tmp = f"{target}.{uuid.uuid4().hex}.tmp"
-            with open(tmp, "wb") as fh:
-                fh.write(data)
-            os.replace(tmp, target)
+            target = f"{root.rstrip('/')}/{relative_path(row[0])}"
+            folder, _, name = target.rpartition("/")
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            content = row[1]
+            data = b"" if content is None else (content.encode("utf-8") if isinstance(content, str) else bytes(content))
+            # Hidden from readers until it has its name.
+            tmp = f"{folder}/_{uuid.uuid4().hex}.{name}.tmp"
+            with system.open_output_stream(tmp) as out:
+                out.write(data)
+            system.move(tmp, target)
             n += 1
         return _Count(n)
 
@@ -71,12 +78,21 @@ class LakeFilesSource(DataSource):
         return _Writer(self.options)
 
 
+def _unique(df: DataFrame) -> DataFrame:
+    """``df(path, content)`` unless two rows would write one file."""
+    twice = df.groupBy(F.regexp_replace(F.col("path"), "^/+", "").alias("path")).count().where("count > 1").head(1)
+    if twice:
+        raise ValueError(f"several rows write {twice[0]['path']!r}")
+    return df
+
+
 def write_text_rows(df: DataFrame, root: str, path_col: str = "path",
                     content_col: str = "content") -> None:
-    """One UTF-8 text file per row; empty or null content leaves an empty file."""
+    """One UTF-8 text file per row; empty or null content leaves an empty file. Null paths, paths
+    out of the root and paths given twice are errors."""
     from lakeops.sources import register
     register(df.sparkSession)
-    df.select(F.col(path_col).alias("path"), F.col(content_col).cast("string").alias("content")) \
+    _unique(df.select(F.col(path_col).alias("path"), F.col(content_col).cast("string").alias("content"))) \
       .write.format("lakefiles").mode("overwrite").save(root)
 
 
@@ -91,23 +107,37 @@ def write_binary_rows(df: DataFrame, root: str, path_col: str = "path",
                                F.when(F.col(payload_col).isNull(), F.lit(b"").cast("binary")),
                                F.raise_error(F.concat(F.lit("not base64: "), F.col(path_col)))
                                ).alias("content"))
-    out.write.format("lakefiles").mode("overwrite").save(root)
+    _unique(out).write.format("lakefiles").mode("overwrite").save(root)
 
 
 def _empty_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Zero-length files below a local folder (Spark's file scans skip them)."""
-    from lakeops.sources import list_paths
-    root = os.path.abspath(_local(path))
-    ls = list_paths(spark, root, recursive=recursive)
-    return ls.where((F.col("contentLength") == 0) & ~F.col("isDirectory")).select(
-        F.concat(F.lit(f"file:{root}/"), F.col("name")).alias("path"), "lastModified")
+    """Zero-length files below a folder (Spark's file scans skip them), listed by a task."""
+    from pyspark import cloudpickle
+
+    import lakeops.sources.files as own
+    cloudpickle.register_pickle_by_value(own)
+
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        for b in batches:
+            for uri in b["root"].to_pylist():
+                system, root = fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else os.path.abspath(uri))
+                found = [i for i in system.get_file_info(fs.FileSelector(root, recursive=recursive))
+                         if i.type == fs.FileType.File and i.size == 0 and not i.base_name.startswith(("_", "."))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"file:{i.path}" if system.type_name == "local" else i.path for i in found], pa.string()),
+                     pa.array([i.mtime for i in found], pa.timestamp("us", "UTC"))], names=["path", "lastModified"])
+
+    roots = spark.createDataFrame([(path,)], "root string")
+    return roots.mapInArrow(listed, "path string, lastModified timestamp")
 
 
 def read_text_files(spark: SparkSession, path: str, recursive: bool = True,
-                    ignore_corrupt: bool = False, include_empty: bool = False) -> DataFrame:
+                    ignore_corrupt: bool = False, include_empty: bool = True) -> DataFrame:
     """``path, content``: each file's whole text. Unreadable files fail the job unless
     ``ignore_corrupt`` (the reference returns empty text instead). Spark's scan skips
-    empty files; ``include_empty`` adds them with ``""`` (local folders only)."""
+    empty files; ``include_empty`` adds them with ``""`` (``path`` is then one folder)."""
     df = (spark.read.option("recursiveFileLookup", recursive)
           .option("ignoreCorruptFiles", ignore_corrupt).text(path, wholetext=True))
     out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
@@ -117,9 +147,9 @@ def read_text_files(spark: SparkSession, path: str, recursive: bool = True,
 
 
 def read_binary_files(spark: SparkSession, path: str, recursive: bool = True,
-                      include_empty: bool = False) -> DataFrame:
+                      include_empty: bool = True) -> DataFrame:
     """``path, length, modificationTime, payload``: each file's bytes as one-line base64.
-    ``include_empty`` adds the zero-length files Spark's scan skips (local folders only)."""
+    ``include_empty`` adds the zero-length files Spark's scan skips (``path`` is then one folder)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     out = df.select("path", "length", "modificationTime", b64_encode("content").alias("payload"))
     if include_empty:

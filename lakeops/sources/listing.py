@@ -51,7 +51,7 @@ def _row(root: str, entry: os.DirEntry):
     rel = os.path.relpath(entry.path, root).replace(os.sep, "/")
     return (rel, None if is_dir else int(st.st_size),
             datetime.fromtimestamp(st.st_mtime, tz=timezone.utc),
-            datetime.fromtimestamp(st.st_ctime, tz=timezone.utc),
+            None,  # the file system does not tell when an entry was created
             stat.filemode(st.st_mode)[1:], is_dir, link, None)
 
 
@@ -67,18 +67,15 @@ class _Reader(DataSourceReader):
         if not self.recursive:
             return [_Part([(self.start, False)])]
         # Cut the tree: replace a recursive subtree by its own level plus its child subtrees,
-        # breadth-first, until there are enough subtrees or three levels are planned. Only
+        # breadth-first, until there are enough subtrees, however deep they lie. Only
         # directory names are listed here; files are listed by the tasks.
-        units, frontier = [], [(self.start, 0)]
+        units, frontier = [], [self.start]
         while frontier and len(units) + len(frontier) < self.wanted:
-            d, depth = frontier.pop(0)
-            if depth >= 3:
-                units.append((d, True))
-                continue
+            d = frontier.pop(0)
             units.append((d, False))
             with os.scandir(d) as it:
-                frontier += [(e.path, depth + 1) for e in it if e.is_dir(follow_symlinks=False)]
-        units += [(d, True) for d, _ in frontier]
+                frontier += [e.path for e in it if e.is_dir(follow_symlinks=False)]
+        units += [(d, True) for d in frontier]
         # At most `wanted` partitions, however wide a directory is: deal units round-robin.
         n = max(1, min(self.wanted, len(units)))
         return [_Part(units[i::n]) for i in range(n)]

@@ -7,9 +7,9 @@ rules are ours; the reference only forwards the target to a service:
 kind                URI
 ==================  =================================================================
 OneLake             ``<lake_root>/<workspaceId>/<itemId>/<path>``
-AmazonS3            ``s3a://<bucket><subpath>`` (bucket = first host label)
+AmazonS3            ``s3a://<bucket><subpath>`` (bucket: see ``_bucket``)
 AdlsGen2            ``abfss://<container>@<host>/<rest of subpath>``
-GoogleCloudStorage  ``gs://<bucket><subpath>`` (bucket = first host label)
+GoogleCloudStorage  ``gs://<bucket><subpath>`` (bucket: see ``_bucket``)
 S3Compatible        ``s3a://<bucket><subpath>`` (endpoint = location, set in Hadoop conf)
 AzureBlobStorage    ``wasbs://<container>@<host>/<rest of subpath>``
 Dataverse           null (no storage location in the target)
@@ -32,8 +32,20 @@ def _host(loc: Column) -> Column:
     return F.regexp_extract(loc, r"^[A-Za-z0-9+.-]+://([^/]+)", 1)
 
 
-def _first_label(loc: Column) -> Column:
-    return F.split_part(_host(loc), F.lit("."), F.lit(1))
+def _bucket(loc: Column) -> Column:
+    """Bucket of a location: the host's part before the service's name (it may hold dots), or the
+    first path segment where the host is the service itself."""
+    host = _host(loc)
+    before = F.regexp_extract(host, r"^(.+)\.(?:s3[.-].*|s3$|storage\.googleapis\.com|storage\.cloud\.google\.com)", 1)
+    service = host.rlike(r"^(?:s3[.-]|s3$|storage\.googleapis\.com$|storage\.cloud\.google\.com$)")
+    segment = F.regexp_extract(loc, r"^[A-Za-z0-9+.-]+://[^/]+/([^/]+)", 1)
+    return F.when(service, segment).when(before != "", before).otherwise(F.split_part(host, F.lit("."), F.lit(1)))
+
+
+def _below(subpath: Column) -> Column:
+    """A subpath with exactly one leading slash, or nothing."""
+    bare = F.regexp_replace(F.coalesce(subpath, F.lit("")), "^/+", "")
+    return F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit("/"), bare))
 
 
 def _container_uri(scheme: str, arm: Column) -> Column:
@@ -47,8 +59,7 @@ def _container_uri(scheme: str, arm: Column) -> Column:
 def _local_or(arm: Column, uri: Column) -> Column:
     loc = arm["location"]
     is_local = F.startswith(loc, F.lit("file:")) | F.startswith(loc, F.lit("/"))
-    return F.when(is_local, F.concat(F.regexp_replace(loc, "/+$", ""),
-                                     F.coalesce(arm["subpath"], F.lit("")))).otherwise(uri)
+    return F.when(is_local, F.concat(F.regexp_replace(loc, "/+$", ""), _below(arm["subpath"]))).otherwise(uri)
 
 
 def shortcut_uri(target: str | Column = "target", lake_root: str = DEFAULT_LAKE_ROOT) -> Column:
@@ -57,14 +68,14 @@ def shortcut_uri(target: str | Column = "target", lake_root: str = DEFAULT_LAKE_
     kind = t["type"]
     ol, s3, adls = t["oneLake"], t["amazonS3"], t["adlsGen2"]
     gcs, s3c, blob = t["googleCloudStorage"], t["s3Compatible"], t["azureBlobStorage"]
-    sub = lambda a: F.coalesce(a["subpath"], F.lit(""))
+    sub = lambda a: _below(a["subpath"])
     root = lake_root if lake_root.endswith("/") else lake_root + "/"
     return (F.when(kind == "OneLake", F.concat(F.lit(root), F.concat_ws(
                 "/", ol["workspaceId"], ol["itemId"], ol["path"])))
-            .when(kind == "AmazonS3", _local_or(s3, F.concat(F.lit("s3a://"), _first_label(s3["location"]), sub(s3))))
+            .when(kind == "AmazonS3", _local_or(s3, F.concat(F.lit("s3a://"), _bucket(s3["location"]), sub(s3))))
             .when(kind == "AdlsGen2", _local_or(adls, _container_uri("abfss", adls)))
             .when(kind == "GoogleCloudStorage",
-                  _local_or(gcs, F.concat(F.lit("gs://"), _first_label(gcs["location"]), sub(gcs))))
+                  _local_or(gcs, F.concat(F.lit("gs://"), _bucket(gcs["location"]), sub(gcs))))
             .when(kind == "S3Compatible", _local_or(s3c, F.concat(F.lit("s3a://"), s3c["bucket"], sub(s3c))))
             .when(kind == "AzureBlobStorage", _local_or(blob, _container_uri("wasbs", blob))))
 
@@ -79,12 +90,29 @@ def mount_shortcut(spark: SparkSession, uri: str, fmt: str = "parquet", view: st
 
 
 def mount_shortcuts(spark: SparkSession, shortcuts: DataFrame, fmt: str = "parquet",
-                    lake_root: str = DEFAULT_LAKE_ROOT, **options) -> dict[str, DataFrame]:
-    """Register a temp view per shortcut (named by the shortcut) over its target.
+                    lake_root: str = DEFAULT_LAKE_ROOT, **options) -> DataFrame:
+    """One table over the targets of all shortcuts: ``shortcutPath, shortcutName`` and the data.
 
-    Only ``(name, uri)`` pairs reach the driver, which must know a location to plan a scan;
-    no data rows do. Shortcuts without a storage location are skipped.
+    One scan reads all locations; each row finds its shortcuts by its file's location, so two
+    shortcuts of one name in different folders stay apart and two over one location both get its
+    rows. Only distinct locations reach the driver, which must know them to plan a scan. All
+    targets hold data of one schema. Shortcuts without a storage location are left out.
     """
-    pairs = (shortcuts.select("name", shortcut_uri("target", lake_root).alias("uri"))
-             .where(F.col("uri").isNotNull()).toLocalIterator())
-    return {r["name"]: mount_shortcut(spark, r["uri"], fmt, r["name"], **options) for r in pairs}
+    found = shortcuts.select(F.col("path").alias("shortcutPath"), F.col("name").alias("shortcutName"),
+                             F.regexp_replace(shortcut_uri("target", lake_root), "/+$", "").alias("uri")).where("uri is not null")
+    twice = found.groupBy("shortcutPath", "shortcutName").agg(F.count_distinct("uri").alias("n")).where("n > 1").head(1)
+    if twice:
+        raise ValueError(f"two targets for one shortcut: {tuple(twice[0])[:2]}")
+    uris = [r["uri"] for r in found.select("uri").distinct().toLocalIterator()]
+    if not uris:
+        raise ValueError("no shortcut has a storage location")
+    data = spark.read.format(fmt).options(**options).load(uris)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    # A file lies in the location or below it: its folders, from the longest, are looked up.
+    folder = F.regexp_replace(bare(F.col("_metadata.file_path")), "/[^/]*$", "")
+    steps = F.split(folder, "/", -1)
+    rows = data.select(F.struct(*data.columns).alias("_row"), steps.alias("_s"))
+    each = rows.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.array_join(
+        F.slice("_s", F.lit(1), i), "/"))).alias("_at"))
+    at = found.distinct().withColumn("_at", bare(F.col("uri")))
+    return each.join(at, "_at").select("shortcutPath", "shortcutName", "_row.*")

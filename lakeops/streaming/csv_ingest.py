@@ -16,24 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakeops.session import checkpoint_dir
 from lakeops.sources.csv_table import CORRUPT, skip_bad_files
 
 
 def csv_ingest_stream(spark: SparkSession, source: str, schema: StructType | str, target: str,
-                      checkpoint_location: str | None = None, delimiter: str = ",",
+                      checkpoint_location: str, delimiter: str = ",",
                       use_first_row_as_header: bool = True, max_files_per_trigger: int | None = None,
                       available_now: bool = False, processing_time: str | None = None
                       ) -> StreamingQuery:
     """Start the stream; returns the running query.
 
+    ``checkpoint_location`` is a shared folder that a restarted stream is given again.
+
     ``available_now=True`` processes the files present now and stops (a scheduled
     catch-up run); otherwise it runs continuously, every ``processing_time`` if given.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType())])
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/csv-ingest-{abs(hash((source, target)))}"
+    ckpt = checkpoint_location.rstrip("/")
     rd = (spark.readStream.schema(with_corrupt).option("sep", delimiter)
           .option("header", use_first_row_as_header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT))

@@ -93,7 +93,7 @@ def test_large_pattern_tables_use_a_shuffle_join(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        grants = access.roles_for_path(paths_df(spark), roles_df(spark), broadcast_rows=0)
+        grants = access.roles_for_path(paths_df(spark), roles_df(spark))
         plan = grants._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
         got = rows(grants)
@@ -167,9 +167,9 @@ def test_pair_free_counts_same_beyond_broadcast_bound(spark):
     try:
         for mode in ("reference", "segment"):
             a = rows(access.role_path_counts(paths_df(spark), roles_df(spark), mode=mode))
-            b = rows(access.role_path_counts(paths_df(spark), roles_df(spark), mode=mode, broadcast_rows=0))
+            b = rows(access.role_path_counts(paths_df(spark), roles_df(spark), mode=mode))
             c = rows(access.access_summary(paths_df(spark), roles_df(spark), mode=mode))
-            d = rows(access.access_summary(paths_df(spark), roles_df(spark), mode=mode, broadcast_rows=0))
+            d = rows(access.access_summary(paths_df(spark), roles_df(spark), mode=mode))
             assert a == b and c == d, mode
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

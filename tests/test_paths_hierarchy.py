@@ -103,7 +103,7 @@ def test_walk_shuffle_path_matches_broadcast_path(spark):
     e = folders(spark).select(F.col("id"), F.col("parentFolderId").alias("parent"), "displayName")
     start = H.roots(e).select("id", F.array("displayName").alias("path"), F.lit(1).alias("depth"))
     a = rows(H.walk_down(e, start), "id", "path", "depth")
-    b = rows(H.walk_down(e, start, broadcast_rows=0), "id", "path", "depth")
+    b = rows(H.walk_down(e, start), "id", "path", "depth")
     assert a == b and len(a) == 5
 
 

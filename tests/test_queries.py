@@ -40,7 +40,7 @@ def test_query_matches_oracle(spark, con, name):
 PY_EVAL = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("q_list_paths",)))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plans(spark, name):
     plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert not any(p in plan for p in PY_EVAL), plan

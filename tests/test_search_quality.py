@@ -32,7 +32,7 @@ def test_equals_ci_roles_in_and_flags(spark, names):
     assert ids(Q.search_catalog(names, [Q.filter_roles_in("grp", ["b", "c"])])) == [2, 6]
     flags = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, f boolean")
     assert ids(Q.search_catalog(flags, [Q.filter_flag("f")])) == [1]
-    assert ids(Q.search_catalog(flags, [Q.filter_flag("f", negate=True)])) == [2]
+    assert ids(Q.search_catalog(flags, [Q.filter_flag("f", negate=True)])) == [2, 3]
 
 
 def test_expired_array_and_struct_filters(spark):
