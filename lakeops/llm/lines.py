@@ -92,7 +92,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1
     lines = stage(line_keys(docs, id_col, text_col, min_points), "line-keys")
     for i in range(batches):
         runs.add(lines.filter(F.pmod("row_key", F.lit(batches)) == i))
-    frequent = runs.frequent(min_docs).select("key")
+    # Stored, so that the join shuffles both sides and can split the rows of a very common line.
+    frequent = stage(runs.frequent(min_docs).select("key"), "frequent-lines")
     # The complement of the anti join: which positions go.
     gone = (lines.join(frequent, "key", "left_semi")
             .groupBy("row_key").agg(F.collect_set("pos").alias("gone")))
