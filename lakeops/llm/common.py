@@ -45,6 +45,19 @@ def strip_spaces(text: Column) -> Column:
     return F.translate(text, " \t\n\x0b\f\r", "")
 
 
+def hash_sample(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows, about those with the smallest hashes of ``columns``.
+
+    Rows whose hash is far too large are filtered where they lie, by the table's count, so the
+    sort for the limit gets little more than ``limit`` rows however many tasks there are.
+    """
+    by = F.xxhash64(F.lit(11), *columns)
+    share = (1.2 * limit + 200) / max(1, df.count())
+    if share < 1:
+        df = df.filter(by < F.lit(int(-2**63 + share * 2**64)))
+    return df.orderBy(by, *columns).limit(limit)
+
+
 # ---- bounded bitmaps --------------------------------------------------------------------
 
 def bitmap_of(df: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:

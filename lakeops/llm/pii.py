@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, text_of
+from .common import hash_sample, raw_bytes, slices, stage, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and the step between windows.
@@ -333,7 +333,7 @@ def _labelled(batches):
 def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, text_col: str = "text") -> Tagger | None:
     """Train on at most ``max_windows`` windows of ``docs``, labelled by the base rules; None if there are none."""
     rows = docs.select(text_of(docs, text_col).alias("text")).mapInArrow(_labelled, "window string, labels string")
-    got = rows.distinct().orderBy(F.xxhash64("window", "labels"), "window").limit(max_windows).collect()
+    got = hash_sample(stage(rows.distinct(), "pii-windows"), ["window", "labels"], max_windows).collect()
     if not got:
         return None
     spans = [[tuple(map(int, s.split(":"))) for s in r["labels"].split(",")] if r["labels"] else [] for r in got]

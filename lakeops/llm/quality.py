@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranges, raw_bytes, slices, text_of, word_hashes, word_spans
+from .common import hash_sample, raw_bytes, slices, stage, text_of, word_hashes, word_spans
 
 #: Most positives and most unlabelled documents that the fit reads (those with the smallest hashes of their ids).
-MAX_POSITIVES, MAX_UNLABELLED = 6_000, 12_000
+MAX_POSITIVES, MAX_UNLABELLED = 16_000, 32_000
 #: Hashed pairs of neighbouring bytes, beside the counts listed in `features`.
 PAIR_BUCKETS = 96
 
@@ -185,8 +185,8 @@ def _feature_rows(batches):
         for at, n in slices(b["text"]):
             x = features(b["text"].slice(at, n))
             yield pa.RecordBatch.from_arrays(
-                [b["known"].slice(at, n), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))],
-                names=["known", "x"])
+                [b["id"].slice(at, n), b["known"].slice(at, n), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))],
+                names=["id", "known", "x"])
 
 
 def train(docs: DataFrame, positives: DataFrame, exclude=None, max_positives: int = MAX_POSITIVES,
@@ -201,18 +201,18 @@ def train(docs: DataFrame, positives: DataFrame, exclude=None, max_positives: in
     good = positives.select(positives[positives.columns[0]].cast("long").alias("id")).filter("id is not null").distinct()
     if exclude is not None:
         ids, good = ids.filter(~exclude(F.col("id"))), good.filter(~exclude(F.col("id")))
-    by = F.xxhash64(F.lit(11), "id")
-    chosen = (ids.join(good, "id", "left_semi").withColumn("known", F.lit(1)).orderBy(by).limit(max_positives)
-              .unionByName(ids.join(good, "id", "left_anti").withColumn("known", F.lit(0)).orderBy(by).limit(max_unlabelled)))
+    split = stage(ids.join(good.withColumn("known", F.lit(1)), "id", "left").select("id", F.coalesce("known", F.lit(0)).alias("known")), "known")
+    chosen = hash_sample(split.filter("known = 1"), ["id"], max_positives).unionByName(
+        hash_sample(split.filter("known = 0"), ["id"], max_unlabelled))
     # At most max_positives + max_unlabelled ids: small enough for every task.
     rows = (docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-            .join(F.broadcast(chosen), "id").select("known", "text"))
-    got = rows.mapInArrow(_feature_rows, "known int, x array<float>").toArrow()
+            .join(F.broadcast(chosen), "id").select("id", "known", "text"))
+    got = rows.mapInArrow(_feature_rows, "id long, known int, x array<float>").toArrow()
     known = np.asarray(got["known"])
     if not (known == 1).any() or not (known == 0).any():
         return None
     x = np.asarray(pc.list_flatten(got["x"].combine_chunks())).reshape(len(known), -1)
-    order = np.lexsort((*x.T[:3], known))  # the fit does not depend on the order rows arrive in
+    order = np.lexsort((x[:, 0], np.asarray(got["id"]), known))  # the fit does not depend on the order rows arrive in
     known, x = known[order], x[order]
     return fit(x[known == 1], x[known == 0])
 

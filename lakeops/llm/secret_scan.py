@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import hash_sample, stage, text_of
 
 _TOKEN = "[A-Za-z0-9+/_-]"
 #: Anchored at a run's start, so that a long run is tried once.
@@ -128,8 +128,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, names: list[str], max_rows: int = MAX_LABELLED, trees: int = 40, seed: int = 9) -> RandomForestClassificationModel | None:
     """Fit the forest on at most ``max_rows`` findings with label 0 or 1; None unless both occur."""
-    rows = (labelled.filter("label is not null").orderBy(F.xxhash64("finding", "before", "after"), "finding")
-            .limit(max_rows).select("label", *names))
+    known = labelled.filter("label is not null")
+    rows = hash_sample(known, ["finding", "before", "after"], max_rows).select("label", *names)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features")
     rows = stage(rows, "labelled-findings")
     if rows.select("label").distinct().count() < 2:
