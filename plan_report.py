@@ -12,7 +12,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-import __spark_entry__ as E  # noqa: E402
+from lakeops.plans import all_queries  # noqa: E402
 from lakeops.session import get_session  # noqa: E402
 
 JOINS = ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
@@ -42,7 +42,7 @@ def main():
              "run one small plan per level; the table shows their final union plan.", "",
              "| query | shuffles | single | broadcasts | joins | aggregates | pushed | python |",
              "|---|---|---|---|---|---|---|---|"]
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(all_queries().items()):
         df = fn(spark, sf_dir)
         p = df._jdf.queryExecution().executedPlan().toString()
         formatted = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
