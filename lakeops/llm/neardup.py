@@ -201,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: hang every larger neighbour of a vertex on the smallest vertex around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: hang a vertex and its smaller neighbours on the smallest of them.
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = (edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rest = pairs(comps).join(tried, ["a", "b"], "left_anti")
     more = stage(verified(rest), "links")
     if not more.isEmpty():
-        comps = stage(components(found.unionByName(more)), "comps")
+        # The first classes are stars already: only their heads have to meet.
+        comps = stage(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)), "comps")
 
     reached = (members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
                .groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("comp")))
