@@ -123,11 +123,30 @@ def _likely(sig: np.ndarray, n: np.ndarray, percent: int):
     return i[fits], j[fits], near[fits]
 
 
-def _pairs_of(ids, comps, n, sig, percent: int, spanning: bool):
+def _first_meeting(places: list[np.ndarray], i: np.ndarray, j: np.ndarray, region: int) -> np.ndarray:
+    """Which pairs have no common region before this one (by number)."""
+    width = max(map(len, places))
+    none = np.iinfo(np.int64).max
+    every = np.full((len(places), width), none, np.int64)
+    for row, p in zip(every, places):
+        row[:len(p)] = p
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1024):
+        a, b = every[i[at:at + 1024]], every[j[at:at + 1024]]
+        common = (a[:, :, None] == b[:, None, :]).any(axis=2)
+        out[at:at + 1024] = np.where(common, a, none).min(axis=1) == region
+    return out
+
+
+def _pairs_of(ids, comps, n, sig, percent: int, places, region: int):
     i, j, near = _likely(sig, n, percent)
-    if not spanning:
+    if places is not None:  # every likely pair whose ends are not connected, in the first region where they meet
         keep = comps[i] != comps[j]
-        return ids[i[keep]], ids[j[keep]]
+        i, j = i[keep], j[keep]
+        if len(i):
+            keep = _first_meeting(places, i, j, region)
+            i, j = i[keep], j[keep]
+        return ids[i], ids[j]
     root = list(range(len(ids)))
 
     def find(x):
@@ -146,8 +165,11 @@ def _pairs_of(ids, comps, n, sig, percent: int, spanning: bool):
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _candidates(batches, percent: int, spanning: bool):
-    """Rows come sorted by region; a region that ends in the next batch is carried over."""
+def _candidates(batches, percent: int):
+    """Rows come sorted by region; a region that ends in the next batch is carried over.
+
+    With a column of each set's regions all likely pairs of unconnected sets come out, each once;
+    without it the edges of a maximum spanning forest of every region."""
     carry = None
 
     def of(t: pa.Table, last: bool):
@@ -158,7 +180,12 @@ def _candidates(batches, percent: int, spanning: bool):
         keep = len(starts) if last else len(starts) - 1
         ids, comps, n = np.asarray(t["id"]), np.asarray(t["comp"]), np.asarray(t["n"]).astype(np.int64)
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, VALUES)
-        out = [_pairs_of(ids[s:e], comps[s:e], n[s:e], sig[s:e], percent, spanning)
+        places = None
+        if "places" in t.column_names:
+            p = t["places"].combine_chunks()
+            flat, offsets = np.asarray(p.values), np.asarray(p.offsets)
+            places = [flat[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
+        out = [_pairs_of(ids[s:e], comps[s:e], n[s:e], sig[s:e], percent, places and places[s:e], region[s])
                for s, e in zip(starts[:keep], stops[:keep]) if e - s > 1]
         a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
@@ -237,15 +264,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     region = _regions(sets, parts(docs))
 
     def pairs(comps: DataFrame | None) -> DataFrame:
-        given = sets
-        if comps is not None:
-            given = sets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        cols = ["region", "id", "comp", "n", "sig"]
+        if comps is None:
+            rows = region.join(sets.withColumn("comp", F.col("id")), "id")
         else:
-            given = sets.withColumn("comp", F.col("id"))
-        ordered = (region.join(given, "id").select("region", "id", "comp", "n", "sig")
-                   .repartition(parts(docs), "region").sortWithinPartitions("region", "id"))
-        spanning = comps is None
-        return ordered.mapInArrow(lambda it: _candidates(it, percent, spanning), "a long, b long").distinct()
+            # Regions with ends of several classes only; a set stands in at most 2 * ORDERS of them.
+            own = region.join(comps, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp"))
+            mixed = own.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+            own = stage(own.join(mixed, "region", "left_semi"), "mixed")
+            places = own.groupBy("id").agg(F.collect_set("region").alias("places"))
+            rows = own.join(sets.join(places, "id"), "id")
+            cols.append("places")
+        ordered = rows.select(*cols).repartition(parts(docs), "region").sortWithinPartitions("region", "id")
+        return ordered.mapInArrow(lambda it: _candidates(it, percent), "a long, b long").distinct()
 
     tried = stage(pairs(None), "pairs")
     ends = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
