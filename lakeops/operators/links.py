@@ -162,8 +162,17 @@ def _free_names(requests: DataFrame, existing: DataFrame, req_id: str) -> DataFr
     return j.withColumn("_free", F.when(F.col("_base").isNotNull(), name))
 
 
-def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: str,
-                            req_id: str = "req_id") -> tuple[DataFrame, DataFrame]:
+def classify_requests(existing: DataFrame, requests: DataFrame, req_id: str = "req_id") -> DataFrame:
+    """``requests`` with ``_first`` (the first request for its path and name) and ``_exists`` (a
+    shortcut of that path and name is there). Worth storing when several policies are compared."""
+    k = ["path", "name"]
+    first = requests.groupBy(*k).agg(F.min(req_id).alias("_first"))
+    have = existing.select(*k).distinct().withColumn("_exists", F.lit(True))
+    return requests.join(first, k).join(have, k, "left")
+
+
+def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: str, req_id: str = "req_id",
+                            classified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply a batch of shortcut create requests under a conflict policy.
 
     ``existing`` and ``requests`` have ``path, name, target``; ``requests`` also has a
@@ -186,9 +195,7 @@ def apply_shortcut_requests(existing: DataFrame, requests: DataFrame, policy: st
     if policy not in CONFLICT_POLICIES:
         raise ValueError(f"policy must be one of {CONFLICT_POLICIES}")
     k = ["path", "name"]
-    first = requests.groupBy(*k).agg(F.min(req_id).alias("_first"))
-    have = existing.select(*k).distinct().withColumn("_exists", F.lit(True))
-    r = requests.join(first, k).join(have, k, "left")
+    r = classify_requests(existing, requests, req_id) if classified is None else classified
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     is_first = F.col(req_id) == F.col("_first")
     if policy == "Abort":

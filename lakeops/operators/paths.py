@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import last_segment, path_after_first, segments
+from lakeops.session import materialize
 
 DELTA_LOG = "_delta_log"
 # Fixed values (must equal the reference): shortcut account types that count as tables.
@@ -155,8 +156,10 @@ def tables_by_schema(tables: DataFrame) -> DataFrame:
     """Tables grouped under their schema, as rows: ``schema, name, relativePath, n_tables``.
 
     A missing schema stays SQL null. Per-schema counts are a partial aggregate joined
-    back, so a schema holding most tables never becomes one task's array.
+    back, so a schema holding most tables never becomes one task's array. The discovered
+    tables feed both branches and are stored, so the listing is scanned once.
     """
+    tables = materialize(tables.select("schema", "name", "relativePath"))
     counts = tables.groupBy(F.col("schema").alias("_s")).agg(F.count("*").alias("n_tables"))
     return (tables.select("schema", "name", "relativePath")
             .join(counts, F.col("schema").eqNullSafe(F.col("_s")), "left")

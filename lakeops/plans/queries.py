@@ -654,7 +654,8 @@ UNION ALL SELECT 'OverwriteOnly', req_id, path, name,
 def q_shortcut_policy(spark, sf_dir):
     """apply_shortcut_requests: request outcomes under each of the four conflict policies."""
     existing, reqs = S.shortcut_batch(_t(spark, sf_dir, "part"))
-    outs = [L.apply_shortcut_requests(existing, reqs, p)[1].withColumn("policy", F.lit(p))
+    known = materialize(L.classify_requests(existing, reqs))
+    outs = [L.apply_shortcut_requests(existing, reqs, p, classified=known)[1].withColumn("policy", F.lit(p))
             for p in L.CONFLICT_POLICIES]
     out = outs[0]
     for o in outs[1:]:

@@ -162,3 +162,12 @@ def test_a_restarted_stream_goes_on(spark, tmpdir_new):
         p = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
         seen.append([x for x in p.stdout.splitlines() if x.startswith("ROWS")])
     assert seen == [["ROWS 2"], ["ROWS 4"]]
+
+
+def test_siblings_come_folders_first_by_name(spark):
+    from lakeops.operators import paths as P
+    files = spark.createDataFrame([("a/z", "z", False), ("a", "a", True), ("a/b", "b", True), ("a/c", "c", False),
+                                   ("b.txt", "b.txt", False), ("a/b/x", "x", False), ("0", "0", True)],
+                                  "relativePath string, name string, isDirectory boolean")
+    got = [(r.parentPath, r.name) for r in P.build_tree(files).collect()]
+    assert got == [(None, "0"), (None, "a"), (None, "b.txt"), ("a", "b"), ("a", "c"), ("a", "z"), ("a/b", "x")]
