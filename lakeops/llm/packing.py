@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from .common import text_of
 
 #: Tokens of one window of documents, packed together inside a task.
-WINDOW_TOKENS = 4 << 20
+WINDOW_TOKENS = 2 << 20
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
