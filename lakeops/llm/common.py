@@ -37,14 +37,15 @@ def parts(df: DataFrame) -> int:
 
 
 #: Most rows that Spark hands to a Python worker at once; texts are long, so fewer than its default.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text column with null as empty.
 
     Every operator starts here, so this also lowers the session's Arrow batch size to BATCH_ROWS
-    rows where it is larger: workers and their executor then hold a few MB of text at a time.
+    rows where it is larger: workers and their executor then hold a few MB of text, or some tens of MB
+    of the largest shingle sets, at a time.
     """
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
