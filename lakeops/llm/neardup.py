@@ -19,8 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import U64, bitmap_of, gram_hashes, in_bitmap, mix, parts, slices, stage, text_of, word_hashes
 
@@ -81,34 +82,53 @@ def _turned(order, values: int):
     return F.substring(F.concat("sig", "sig"), order * (2 * VALUES // ORDERS) + 1, F.lit(2 * values))
 
 
-def _runs(batches):
-    """Cut crowded regions, sorted by rotated signature, into overlapping runs of CROWD sets."""
-    task, half, last, rank = TaskContext.get().partitionId(), CROWD // 2, None, 0
+def _placed(batches):
+    """Rows sorted by region with their task and the weight of the region's rows before them in it."""
+    task, last, so_far = TaskContext.get().partitionId(), None, 0
     for b in batches:
-        region = np.asarray(b["region"])
+        region, weight = np.asarray(b["region"]), np.asarray(b["weight"])
         if not len(region):
             continue
         first = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-        at = np.arange(len(region)) - np.repeat(first, np.diff(first, append=len(region)))
+        before = np.cumsum(weight) - weight
+        before -= np.repeat(before[first], np.diff(first, append=len(region)))
         if region[0] == last:
-            at[:first[1] if len(first) > 1 else len(at)] += rank
-        last, rank = region[-1], int(at[-1]) + 1
-        place = region.view(U64) + U64(task) * U64(0x9E3779B97F4A7C15)
-        for shift in (0, 1):
-            name = mix(mix(place) + (at // half + shift).astype(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b["id"]], names=["region", "id"])
-
-
-def _regions(sets: DataFrame, n_parts: int) -> DataFrame:
-    """(region, id): the sets of 2 to CROWD members that are compared with each other."""
+            before[:first[1] if len(first) > 1 else len(before)] += so_far
+        last, so_far = region[-1], int(before[-1] + weight[-1])
+        tasks = pa.array(np.full(len(region), task, np.int32))
+        yield pa.RecordBatch.from_arrays([*b.columns, tasks, pa.array(before)], names=[*b.schema.names, "task", "before"])
+
+
+def _numbered(rows: DataFrame, n_parts: int, key: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``rows(region, id, weight, ...)`` and before: the weight of the region's rows
+    that precede a row in the order of ``key`` and id, whatever tasks they lie in."""
+    ordered = rows.repartitionByRange(n_parts, "region", key, "id").sortWithinPartitions("region", key, "id").select(*keep, "weight")
+    schema = StructType([*ordered.schema.fields, StructField("task", IntegerType()), StructField("before", LongType())])
+    here = stage(ordered.mapInArrow(_placed, schema), "numbered")
+    earlier = Window.partitionBy("region").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = here.groupBy("region", "task").agg(F.sum("weight").alias("total"))
+    # Regions that begin in an earlier task: at most one for each task.
+    base = sums.select("region", "task", F.sum("total").over(earlier).alias("base")).filter("base is not null")
+    return here.join(F.broadcast(base), ["region", "task"], "left").select(
+        *keep, (F.col("before") + F.coalesce("base", F.lit(0))).alias("before"))
+
+
+def _regions(sets: DataFrame) -> DataFrame:
+    """(region, id, order, crowd): the sets under each prefix that several share; crowd where they are more than CROWD."""
     placed = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"), "sig").select(
         "id", "order", F.xxhash64("order", _turned(F.col("order"), DEPTH)).alias("region"))
     sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    found = stage(placed.join(sizes, "region").select("region", "id", "order", (F.col("size") > CROWD).alias("crowd")), "regions")
-    crowd = found.filter("crowd").join(sets.select("id", "sig"), "id").select("region", "id", _turned(F.col("order"), 16).alias("key"))
-    ordered = crowd.repartitionByRange(n_parts, "region", "key", "id").sortWithinPartitions("region", "key", "id")
-    cut = ordered.select("region", "id").mapInArrow(_runs, "region long, id long")
-    return stage(found.filter("not crowd").select("region", "id").unionByName(cut), "forest")
+    return stage(placed.join(sizes, "region").select("region", "id", "order", (F.col("size") > CROWD).alias("crowd")), "regions")
+
+
+def _forest(found: DataFrame, sets: DataFrame, n_parts: int) -> DataFrame:
+    """(region, id): regions of 2 to CROWD sets; crowded ones as overlapping runs of CROWD sets along their order."""
+    crowd = found.filter("crowd").join(sets.select("id", "sig"), "id").select(
+        "region", "id", _turned(F.col("order"), 16).alias("key"), F.lit(1).cast("long").alias("weight"))
+    half = F.floor(F.col("before") / (CROWD // 2))
+    runs = _numbered(crowd, n_parts, "key", ["region", "id"]).select(
+        F.explode(F.array(F.xxhash64("region", half), F.xxhash64("region", half + 1))).alias("region"), "id")
+    return stage(found.filter("not crowd").select("region", "id").unionByName(runs), "forest")
 
 
 def _likely(sig: np.ndarray, n: np.ndarray, percent: int):
@@ -261,7 +281,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) \
         .join(heads, F.col("a") == heads["id"], "left_semi")
 
-    region = _regions(sets, parts(docs))
+    found = _regions(sets)
+    region = _forest(found, sets, parts(docs))
 
     def pairs(comps: DataFrame | None) -> DataFrame:
         cols = ["region", "id", "comp", "n", "sig"]
@@ -301,8 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 .join(wanted.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
         return both.mapInArrow(lambda it: _compare(it, percent), "a long, b long")
 
-    found = stage(verified(tried).unionByName(links), "links")
-    comps = stage(components(found), "comps")
+    comps = stage(components(stage(verified(tried).unionByName(links), "links")), "comps")
     rest = pairs(comps).join(tried, ["a", "b"], "left_anti")
     more = stage(verified(rest), "links")
     if not more.isEmpty():

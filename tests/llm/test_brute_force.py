@@ -223,6 +223,26 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_runs_of_a_crowd_do_not_depend_on_tasks(spark, monkeypatch):
+    """A crowded region is cut along its order over task borders: the same runs with any number of tasks."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)
+    sets = []
+    for i in range(90):
+        own = np.concatenate((base[rng.permutation(200)[:180]], rng.integers(0, 2**63, 20, dtype=np.int64).astype(np.uint64)))
+        sets.append((i, bytearray(neardup.signature(own))))
+    sets = spark.createDataFrame(sets, "id long, sig binary")
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    found = neardup._regions(sets)
+    assert found.filter("crowd").count() > 90
+    got = [sorted(map(tuple, neardup._forest(found, sets, n).collect())) for n in (1, 8, 200)]
+    assert got[0] == got[1] == got[2]
+    sizes = Counter(r for r, _ in got[0])
+    crowds = Counter(r.region for r in found.filter("crowd").collect())
+    runs = {r: n for r, n in sizes.items() if r not in {x.region for x in found.filter("not crowd").collect()}}
+    assert max(runs.values()) == 8 and sum(runs.values()) == 2 * sum(crowds.values())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect())
