@@ -10,8 +10,10 @@ which they share the longest prefixes, however long these are there.
 Inside a region the signatures estimate the similarity of pairs. First the edges of a maximum
 spanning forest are compared on the full shingle sets; then every other likely pair whose ends
 are not connected yet. So a crowd of copies costs about one comparison each, and a pair is only
-left out when it could not change the classes. Classes are connected components, computed by
-alternating large-star and small-star steps.
+left out when it could not change the classes. What is still unconnected in a crowded region is
+compared block against block on the full sets, each pair of blocks in a task of its own, so a
+crowd misses no pair; this grows with the square of its unconnected blocks. Classes are connected
+components, computed by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CROWD = 256
 #: Pairs are compared when their estimated similarity is not more than this below the wanted one
 #: (four standard deviations of the estimate).
 MARGIN = 0.14
+#: Weight of the sets in a block of a crowded region: their shingles, and SET_WEIGHT for each set.
+BLOCK, SET_WEIGHT = 1 << 18, 192
 LOG2_BITS = 24
 
 _SKETCH = "id long, n int, d1 long, d2 long, sig binary"
@@ -158,6 +162,24 @@ def _first_meeting(places: list[np.ndarray], i: np.ndarray, j: np.ndarray, regio
     return out
 
 
+def _spanning(left, right):
+    """Places of the pairs (left, right) that connect what the pairs before them do not."""
+    root, out = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for at, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(at)
+    return np.array(out, np.int64)
+
+
 def _pairs_of(ids, comps, n, sig, percent: int, places, region: int):
     i, j, near = _likely(sig, n, percent)
     if places is not None:  # every likely pair whose ends are not connected, in the first region where they meet
@@ -167,22 +189,50 @@ def _pairs_of(ids, comps, n, sig, percent: int, places, region: int):
             keep = _first_meeting(places, i, j, region)
             i, j = i[keep], j[keep]
         return ids[i], ids[j]
-    root = list(range(len(ids)))
+    best = np.argsort(-near, kind="stable")
+    best = best[_spanning(i[best], j[best])]
+    return ids[i[best]], ids[j[best]]
+
+
+def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``first`` with the sets ``second`` (masks)."""
+    sizes = np.array([len(s) for s in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    here, there = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    here[code[first[owner]]] = True
+    there[code[second[owner]]] = True
+    both = here & there & (np.bincount(code, minlength=len(values)) > 1)
+    place = np.cumsum(both) - 1
+    keep = both[code]
+    owner, code = owner[keep], place[code[keep]]
+    by = np.argsort(code, kind="stable")
+    owner, code = owner[by], code[by]
+    out = np.zeros((int(first.sum()), int(second.sum())), np.float32)
+    row, col = np.cumsum(first) - 1, np.cumsum(second) - 1
+    for lo in range(0, int(both.sum()), 2048):
+        x, y = np.searchsorted(code, [lo, lo + 2048])
+        o, c = owner[x:y], code[x:y] - lo
+        a, b = np.zeros((out.shape[0], 2048), np.float32), np.zeros((out.shape[1], 2048), np.float32)
+        a[row[o[first[o]]], c[first[o]]] = 1
+        b[col[o[second[o]]], c[second[o]]] = 1
+        out += a @ b.T
+    return out
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    a, b = [], []
-    for e in np.argsort(-near, kind="stable"):
-        x, y = find(int(i[e])), find(int(j[e]))
-        if x != y:
-            root[x] = y
-            a.append(ids[i[e]])
-            b.append(ids[j[e]])
-    return np.array(a, np.int64), np.array(b, np.int64)
+def _block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links of a block with another (or itself) between sets of several classes: those that connect more."""
+    ids, comps, block = np.asarray(t["id"]), np.asarray(t["comp"]), np.asarray(t["block"])
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in t["shingles"]]
+    first, second = block == t["i"][0].as_py(), block == t["j"][0].as_py()
+    n = np.array([len(s) for s in sets], np.float64)
+    both = _common(sets, first, second)
+    hit = 100.0 * both >= percent * (n[first][:, None] + n[second] - both)
+    hit &= comps[first][:, None] != comps[second]
+    i, j = np.nonzero(hit)
+    keep = _spanning(comps[first][i], comps[second][j])
+    a, b = ids[first][i[keep]], ids[second][j[keep]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _candidates(batches, percent: int):
@@ -235,6 +285,25 @@ def _compare(batches, percent: int):
         yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
 
 
+def _crowd_links(found: DataFrame, comps: DataFrame, wanted: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """(a, b): links between the classes ``comps`` inside the crowded regions, every pair of sets compared."""
+    own = found.filter("crowd").join(comps, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = own.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
+    size = wanted.select("id", (F.octet_length("shingles") / 8 + SET_WEIGHT).cast("long").alias("weight"))
+    own = own.join(mixed, "region", "left_semi").join(size, "id")
+    # Along the classes, so that the blocks inside a large class are compared with nothing of it.
+    own = stage(_numbered(own, n_parts, "comp", ["region", "id", "comp"]).select(
+        "region", "id", "comp", F.floor(F.col("before") / BLOCK).alias("block")), "blocks")
+    blocks = own.groupBy("region", "block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.block") <= F.col("y.block"))).filter(
+        F.least("x.x", "y.x") < F.greatest("x.y", "y.y")).select(
+        F.col("x.region").alias("region"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    uses = meet.select("region", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    dealt = own.join(uses, ["region", "block"]).join(wanted, "id").repartition(n_parts, "region", "i", "j")
+    return dealt.groupBy("region", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable, for every id in ``links(a, b)``; ids without links are left out."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
@@ -289,8 +358,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if comps is None:
             rows = region.join(sets.withColumn("comp", F.col("id")), "id")
         else:
-            # Regions with ends of several classes only; a set stands in at most 2 * ORDERS of them.
-            own = region.join(comps, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp"))
+            # Regions with ends of several classes only; a set stands in at most ORDERS of them.
+            # Crowded regions are left to `_crowd_links`.
+            own = found.filter("not crowd").join(comps, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp"))
             mixed = own.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("region")
             own = stage(own.join(mixed, "region", "left_semi"), "mixed")
             places = own.groupBy("id").agg(F.collect_set("region").alias("places"))
@@ -300,7 +370,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return ordered.mapInArrow(lambda it: _candidates(it, percent), "a long, b long").distinct()
 
     tried = stage(pairs(None), "pairs")
-    ends = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
+    ends = (tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id")))
+            .unionByName(found.filter("crowd").select("id")).distinct())
     bits = spark.sparkContext.broadcast(bitmap_of(ends.withColumn("key", F.xxhash64("id")), "key", LOG2_BITS))
 
     def full_sets(batches):
@@ -311,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, n), pa.array([len(s) // 8 for s in found], pa.int32()),
                                                   pa.array(found, pa.binary())], names=["id", "n", "shingles"])
 
-    # The sets of documents that have a likely partner; the bitmap of fixed size only spares the others the way.
+    # The sets of documents that have a likely partner or stand in a crowd; the bitmap of fixed size only spares the others the way.
     wanted = (rows.filter("id is not null").select("id", "text", F.xxhash64("id").alias("key"))
               .mapInArrow(full_sets, "id long, n int, shingles binary").join(ends, "id", "left_semi")
               .join(sets.select("id", "n"), ["id", "n"], "left_semi").dropDuplicates(["id"]))
@@ -324,7 +395,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     comps = stage(components(stage(verified(tried).unionByName(links), "links")), "comps")
     rest = pairs(comps).join(tried, ["a", "b"], "left_anti")
-    more = stage(verified(rest), "links")
+    more = stage(verified(rest).unionByName(_crowd_links(found, comps, wanted, percent, parts(docs))), "links")
     if not more.isEmpty():
         # The first classes are stars already: only their heads have to meet.
         comps = stage(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)), "comps")

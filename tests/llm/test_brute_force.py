@@ -243,6 +243,32 @@ def test_runs_of_a_crowd_do_not_depend_on_tasks(spark, monkeypatch):
     assert max(runs.values()) == 8 and sum(runs.values()) == 2 * sum(crowds.values())
 
 
+@pytest.mark.parametrize("block", [1 << 18, 3000])
+def test_copies_that_only_a_hub_links(spark, monkeypatch, block):
+    """Copies of one text that are unlike each other: every one is linked to it, and two families stay apart."""
+    rng, texts, family = random.Random(8), [], []
+    for _ in range(2):
+        w = [str(rng.random()) for _ in range(200)]
+        hub = len(texts)
+        texts.append(" ".join(w))
+        family.append(hub)
+        for _ in range(150):
+            v = w[:]
+            for at in rng.sample(range(10, 190, 6), 4):
+                v[at] = "odd" + str(rng.random())
+            texts.append(" ".join(v))
+            family.append(hub)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets[1:151]) for b in sets[1:1 + i]]
+    assert min(len(sets[0] & a) / len(sets[0] | a) for a in sets[:151]) >= 0.8
+    assert sum(x < 0.8 for x in alike) > 0.99 * len(alike)
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(neardup.near_duplicates(d, 5).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == family
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect())
