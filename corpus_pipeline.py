@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item stay."""
-    hits = decontaminate.overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti").select(docs.columns)
+    """Rows that overlap with no benchmark item stay; others of the same id, or also without one, are no matter."""
+    hits = decontaminate.row_overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("row_key").distinct()
+    return docs.join(hits, decontaminate.row_key(docs) == hits["row_key"], "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

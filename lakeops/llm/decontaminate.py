@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap_of, in_bitmap, mix, ranges, slices, stage, text_of, within_rows, word_hashes
@@ -78,11 +78,11 @@ def _cut(batches):
         for at, n in slices(b["text"]):
             words, counts = word_hashes(b["text"].slice(at, n), lower=True)
             ends, out = np.cumsum(counts), []
-            for i, (row, hits) in enumerate(zip(b["id"].slice(at, n).to_pylist(), b["hits"].slice(at, n).to_pylist())):
+            for i, (key, row, hits) in enumerate(zip(*(b[c].slice(at, n).to_pylist() for c in ("row_key", "id", "hits")))):
                 own = words[ends[i] - counts[i]:ends[i]]
                 for h in hits:
                     lo, hi = max(0, h["diagonal"]), min(len(own), h["diagonal"] + h["n_words"])
-                    out.append((row, h["item_id"], h["diagonal"], own[lo:hi].tobytes()))
+                    out.append((key, row, h["item_id"], h["diagonal"], own[lo:hi].tobytes()))
                     if len(out) >= 4096:
                         yield _cut_batch(out)
                         out = []
@@ -91,9 +91,9 @@ def _cut(batches):
 
 
 def _cut_batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["doc_id", "item_id", "diagonal", "doc_words"])
+                                      names=["row_key", "doc_id", "item_id", "diagonal", "doc_words"])
 
 
 def _longest(equal: np.ndarray, similarity: float) -> tuple[int, int]:
@@ -136,17 +136,23 @@ def best_overlap(equal: np.ndarray, min_words: int, similarity: float) -> tuple[
 def _verify(batches, min_words: int, similarity: float):
     for b in batches:
         out = []
-        for doc, item, diagonal, own, its in zip(*(b[c].to_pylist() for c in ("doc_id", "item_id", "diagonal", "doc_words", "item_words"))):
+        cols = ("row_key", "doc_id", "item_id", "diagonal", "doc_words", "item_words")
+        for key, doc, item, diagonal, own, its in zip(*(b[c].to_pylist() for c in cols)):
             own, its = np.frombuffer(own, U64), np.frombuffer(its, U64)
             skip = max(0, -diagonal)
             found = best_overlap(own == its[skip:skip + len(own)], min(min_words, len(its)), similarity)
             if found:
                 a, z, same = found
-                out.append((doc, item, max(0, diagonal) + a, z - a, same))
+                out.append((key, doc, item, max(0, diagonal) + a, z - a, same))
         if out:
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["doc_id", "item_id", "start_word", "n_words", "n_equal"])
+                                             names=["row_key", "doc_id", "item_id", "start_word", "n_words", "n_equal"])
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: a hash of id and text (a missing id, or one that stands with several texts, is not enough)."""
+    return F.xxhash64(docs[id_col], text_of(docs, text_col))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
@@ -161,8 +167,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     null. Rows of a document that is given twice are answered once per equal row set (rows equal
     in id and text are one document). Empty tables give no rows; other columns are ignored.
     """
+    return row_overlaps(docs, benchmark, min_words, similarity, id_col, text_col, item_col, item_text_col).drop("row_key")
+
+
+def row_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+                 id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """`overlaps` with the `row_key` of the row that overlaps."""
     text, its = text_of(docs, text_col), text_of(benchmark, item_text_col)
-    rows = docs.select(F.xxhash64(docs[id_col], text).alias("row_key"), docs[id_col].cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].cast("long").alias("id"), text.alias("text"))
     items = benchmark.select(F.lit(0).cast("long").alias("row_key"), benchmark[item_col].cast("long").alias("id"), its.alias("text"))
 
     marks = stage(items.mapInArrow(lambda it: _seeds(it, None), _SEEDS)
@@ -184,8 +196,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
             yield b.filter(pa.array(in_bitmap(rows_hit.value, np.asarray(b["row_key"]))))
 
     near = rows.mapInArrow(candidates, "row_key long, id long, text string").join(hits, "row_key").dropDuplicates(["row_key"])
-    cut = near.select("id", "text", "hits").mapInArrow(_cut, "doc_id long, item_id long, diagonal int, doc_words binary")
+    cut = near.select("row_key", "id", "text", "hits").mapInArrow(_cut, "row_key long, doc_id long, item_id long, diagonal int, doc_words binary")
     words = stage(items.select("id", "text").mapInArrow(_words, "item_id long, item_words binary"), "item-words")
     pairs = cut.join(words, cut["item_id"].eqNullSafe(words["item_id"])).drop(words["item_id"])
     return pairs.mapInArrow(lambda it: _verify(it, min_words, similarity),
-                            "doc_id long, item_id long, start_word long, n_words long, n_equal long")
+                            "row_key long, doc_id long, item_id long, start_word long, n_words long, n_equal long")

@@ -183,3 +183,13 @@ def test_pipeline(spark):
     assert len(kept) == 2
     assert corpus_pipeline.near_dedup(spark, odd, SF).count() == 3
     assert corpus_pipeline.decontaminated(spark, odd, SF).count() == 3
+
+
+def test_decontamination_takes_the_contaminated_rows_only(spark):
+    docs = read_table(spark, SF, "documents")
+    item = max((r.text for r in read_table(spark, SF, "benchmark").collect() if r.text), key=len)
+    clean = [(None, "nothing of the kind"), (None, None), (7, "a clean text with this id")]
+    dirty = [(None, "before it " + item), (7, item + " after it"), (8, item)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in clean + dirty], docs.schema)
+    kept = corpus_pipeline.decontaminated(spark, rows, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(clean, key=repr)
