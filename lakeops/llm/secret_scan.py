@@ -22,7 +22,7 @@ _TOKEN = "[A-Za-z0-9+/_-]"
 FINDING = f"(?<!{_TOKEN})(?=[A-Za-z+/_-]*[0-9]){_TOKEN}{{16,}}"
 #: Characters of text kept on either side of a finding.
 BESIDE = 48
-#: Most labelled findings that the fit reads (those with the smallest hashes).
+#: Most distinct findings of each label that the fit reads (those with the smallest hashes).
 MAX_LABELLED = 20_000
 #: Shortest letter run that is looked up in the dictionary, and in how many documents a word must stand.
 LEAST_LETTERS, LEAST_DOCS = 4, 2
@@ -127,9 +127,16 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, names: list[str], max_rows: int = MAX_LABELLED, trees: int = 40, seed: int = 9) -> RandomForestClassificationModel | None:
-    """Fit the forest on at most ``max_rows`` findings with label 0 or 1; None unless both occur."""
-    known = labelled.filter("label is not null")
-    rows = hash_sample(known, ["finding", "before", "after"], max_rows).select("label", *names)
+    """Fit the forest on findings with label 0 or 1, at most ``max_rows`` of each; None unless both occur.
+
+    Each label is sampled by itself, over distinct (finding, before, after): neither a rare label
+    nor findings beside a hot group of copies drop out.
+    """
+    key = ["finding", "before", "after"]
+    known = labelled.filter("label is not null").groupBy("label", *key).agg(F.min(F.struct(*names)).alias("features"))
+    known = stage(known.select("label", *key, "features.*"), "known-findings")
+    rows = hash_sample(known.filter("label = 1"), key, max_rows).unionByName(
+        hash_sample(known.filter("label = 0"), key, max_rows)).select("label", *names)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features")
     rows = stage(rows, "labelled-findings")
     if rows.select("label").distinct().count() < 2:

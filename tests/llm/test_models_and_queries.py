@@ -129,6 +129,23 @@ def test_secret_scan_on_held_out_findings(spark):
     assert [r.end - r.start for r in out if r.doc_id == 901] == [50_001]
 
 
+def test_secret_scan_learns_from_a_rare_label(spark):
+    """One secret among many harmless findings and their copies is read, and so are those beside a hot group."""
+    def fitted(rows):
+        names = ["f_length", "f_hex"]
+        rows = spark.createDataFrame(rows, "finding string, before string, after string, label double, f_length double, f_hex double")
+        return secret_scan.train(rows, names, max_rows=20)
+
+    many = [(f"word{i}", "the ", " is", 0.0, 30.0, 0.0) for i in range(3000)]
+    hot = [("license", "the ", " of", 0.0, 30.0, 0.0)] * 3000
+    for label in (0.0, 1.0):
+        for rows in (many, hot, many + hot):
+            rest = [(*r[:3], label, *r[4:]) for r in rows]
+            model = fitted(rest + [("deadbeef01", "key=", "", 1 - label, 18.0, 1.0)])
+            assert model is not None and model.numFeatures == 2
+            assert fitted(rest) is None
+
+
 def test_secret_scan_without_labels_or_rows(spark):
     schema = "doc_id long, text string, source string, score int"
     assert secret_scan.scan(spark.createDataFrame([], schema)).count() == 0
