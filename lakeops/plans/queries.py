@@ -17,6 +17,7 @@ from lakeops.operators import access
 from lakeops.operators import hierarchy as H
 from lakeops.operators import links as L
 from lakeops.operators import nested as N
+from lakeops.operators import paging
 from lakeops.operators import paths as P
 from lakeops.operators import quality
 from lakeops.operators import search as Q
@@ -897,3 +898,26 @@ def q_mount_read(spark, sf_dir):
     at = root if root.startswith(("/", "file:")) else f"/{root}"
     shortcuts = S.region_shortcuts(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "part"), at)
     return SRC.mount_shortcuts(spark, shortcuts).select("shortcutPath", "shortcutName", "n_nationkey", "n_name")
+
+
+# --------------------------------------------------------------------------- paging
+
+
+@query("q_page_numbers", """
+WITH r AS (SELECT event_id, ts, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT event_id, event_type, CAST(pos // 100 + 1 AS BIGINT) AS page, CAST(pos % 100 AS BIGINT) AS slot FROM r
+""")
+def q_page_numbers(spark, sf_dir):
+    """page_rows: the page of 100 and the slot on it of every event, in time order."""
+    events = _t(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return paging.page_rows(events, ["ts", "event_id"], 100).select("event_id", "event_type", "page", "slot")
+
+
+@query("q_page_keys", """
+WITH r AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT CAST(pos // 500 + 1 AS BIGINT) AS page, min(k) AS first_key, max(k) AS last_key, count(*) AS n_rows
+FROM r GROUP BY 1
+""")
+def q_page_keys(spark, sf_dir):
+    """page_keys: first and last key of every page of 500 orders."""
+    return paging.page_keys(_t(spark, sf_dir, "orders"), "o_orderkey", 500)
