@@ -200,3 +200,37 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for every count c, concatenated."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+# ---- Arrow words ------------------------------------------------------------------------
+
+def rebatch(batches, column: str, limit: int = SLICE_BYTES):
+    """Arrow batches joined until ``column`` holds about ``limit`` bytes, larger ones cut at rows."""
+    held, size = [], 0
+    for b in batches:
+        for at, n in slices(b[column], limit):
+            part = b.slice(at, n)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part[column])).as_py() or 0
+            if size >= limit or sum(x.num_rows for x in held) >= 100_000:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """One plain array of a column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):  # no chunks at all
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def split_words(texts: pa.Array, separators: str) -> tuple[pa.Array, np.ndarray]:
+    """All words of the rows, A-Z lower-cased, cut at every match of ``separators``; the row of each word."""
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), separators)
+    words, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")
+    return words.filter(real), np.asarray(row.filter(real))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, exact, lines, neardup, packing, pii, quality, secret_scan, shards, substring
+from . import decontaminate, divergence, exact, lines, neardup, packing, pii, quality, secret_scan, shards, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that set each source off."""
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -108,9 +113,36 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES = {
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+             w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS ln FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+             c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             lt AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM kept GROUP BY lang),
+             gt AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+             p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                          1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gt.total, 0) + 2 * lt.v)::HUGEINT AS p,
+                          1 + (1000000000::HUGEINT * (k.ln + 2)) // (lt.total + 2 * lt.v)::HUGEINT AS q
+                   FROM g JOIN kept k USING (lang) JOIN lt USING (lang) LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source
+                   LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             pr AS (SELECT a.lang, a.source, b.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+                    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+                    LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+                    GROUP BY ALL),
+             tm AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+             u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pr
+                   UNION ALL SELECT lang, source, 'term', item, value FROM tm),
+             k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM k WHERE part = 'pair' OR rank <= 10""",
     "op2_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
