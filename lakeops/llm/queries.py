@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, divergence, exact, lines, neardup, packing, pii, quality, secret_scan, shards, substring
+from . import decontaminate, divergence, exact, lines, neardup, packing, pieces, pii, quality, secret_scan, shards, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with the public 32k SentencePiece model."""
+    return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -114,6 +119,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES = {
