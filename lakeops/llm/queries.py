@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeops.session import read_table
 
-from . import decontaminate, divergence, exact, lines, neardup, packing, pieces, pii, quality, secret_scan, shards, substring
+from . import decontaminate, divergence, exact, lines, neardup, packing, pieces, pii, quality, resample, secret_scan, shards, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents drawn by their likeness to the benchmark's texts."""
+    return resample.importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the public 32k SentencePiece model."""
     return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), with_ids=False)
@@ -119,10 +124,41 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES = {
+    "op12_importance_resampling": r"""
+        WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1)
+                                                                                     ELSE c >> 1 END) ORDER BY i) AS t
+                     FROM range(256) r(i)),
+             d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+             b AS (SELECT unnest(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+             w AS (SELECT r, unnest(words) AS word FROM d),
+             x AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM b)),
+             v AS (SELECT word, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+             k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)),
+                                    4294967295) % 10000 AS bucket FROM v, crc),
+             s AS (SELECT bucket, count(*) AS s FROM w JOIN k USING (word) GROUP BY bucket),
+             t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+             n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+             g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000) / ((s + 1.0::DOUBLE) * (tt + 10000)))) AS gain
+                   FROM s LEFT JOIN t USING (bucket), n),
+             z AS (SELECT r, sum(gain) AS weight FROM w JOIN k USING (word) JOIN g USING (bucket) GROUP BY r),
+             o AS (SELECT d.doc_id, len(words) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                          CAST('0x' || sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[:8] AS BIGINT) AS h
+                   FROM d LEFT JOIN z USING (r)),
+             e AS (SELECT doc_id, n_features, weight,
+                          weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o),
+             f AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS pos,
+                          count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM e)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+               CASE WHEN n_features >= 20 AND pos <= n * 10 // 100 THEN CAST(pos AS BIGINT) END AS rank FROM f""",
     "op11_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
