@@ -53,6 +53,17 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """(row_key, doc_id, text, ...) of every row, stored: row_key is a number of the row's own.
+
+    Ids may repeat or lack, and rows may be equal in everything, so nothing in a row tells it
+    apart. The number is fixed because the rows are read from the stored copy from here on.
+    """
+    rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+    return stage(rows.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text",
+                             *[c.alias(name) for name, c in more.items()]), "rows")
+
+
 def strip_spaces(text: Column) -> Column:
     """``text`` without any of ``[\\x20\\x09-\\x0D]``."""
     return F.translate(text, " \t\n\x0b\f\r", "")
