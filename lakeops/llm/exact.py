@@ -28,7 +28,7 @@ FOLD_BYTES = 16 << 20
 #: The cells are this many bits finer than even buckets would need.
 SPARE_BITS = 3
 
-_HEAP = "row_id long, n_cp long, h long, entry long, key_sha string, key binary"
+_HEAP = "row_id long, no_id boolean, n_cp long, h long, entry long, key_sha string, key binary"
 
 
 def _fold(batches):
@@ -50,8 +50,8 @@ def _fold(batches):
                 keys.append(None)
             entries.append(at)
         yield pa.RecordBatch.from_arrays(
-            [b["row_id"], b["n_cp"], b["h"], pa.array(entries, pa.int64()), b["key_sha"], pa.array(keys, pa.binary())],
-            names=["row_id", "n_cp", "h", "entry", "key_sha", "key"])
+            [b["row_id"], b["no_id"], b["n_cp"], b["h"], pa.array(entries, pa.int64()), b["key_sha"], pa.array(keys, pa.binary())],
+            names=["row_id", "no_id", "n_cp", "h", "entry", "key_sha", "key"])
 
 
 def _chain(batches):
@@ -69,8 +69,8 @@ def _chain(batches):
             else:
                 chain.append((key, e))
                 first.append(e)
-        yield pa.RecordBatch.from_arrays([b["bucket"], b["h"], b["entry"], pa.array(first, pa.int64())],
-                                         names=["bucket", "h", "entry", "head"])
+        yield pa.RecordBatch.from_arrays([b["bucket"], b["h"], b["entry"], b["key_sha"], pa.array(first, pa.int64())],
+                                         names=["bucket", "h", "entry", "key_sha", "head"])
 
 
 def directory(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
@@ -113,29 +113,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         docs[id_col].cast("long").alias("row_id"), F.length(text).cast("long").alias("n_cp"),
         F.xxhash64(key).alias("h"), F.sha2(key, 256).alias("key_sha"), key.cast("binary").alias("key"))
-    # A row without id must still be able to head its entry: ids go through a coalesced twin.
-    none = F.lit(2**63 - 1).cast("long")
-    rows = rows.withColumn("row_id", F.coalesce("row_id", none))
+    # A row without id must still be able to head its entry: it stands as id 0, and no_id tells them apart.
+    rows = rows.withColumn("no_id", F.col("row_id").isNull()).withColumn("row_id", F.coalesce("row_id", F.lit(0).cast("long")))
     heap = stage(rows.mapInArrow(_fold, _HEAP), "exact-heap")
 
     entries = heap.filter("key is not null")
     cells, bits = directory(entries.select("h", F.octet_length("key").cast("long").alias("size")), bucket_bytes)
-    placed = (entries.select("h", "entry", "key", F.shiftrightunsigned("h", 64 - bits).alias("cell"))
+    placed = (entries.select("h", "entry", "key_sha", "key", F.shiftrightunsigned("h", 64 - bits).alias("cell"))
               .join(cells, "cell"))
-    owned = (placed.select("bucket", "h", "entry", "key").repartition(parts(docs), "bucket")
+    owned = (placed.select("bucket", "h", "entry", "key_sha", "key").repartition(parts(docs), "bucket")
              .sortWithinPartitions("bucket", "h", "entry"))
-    pages = stage(owned.mapInArrow(_chain, "bucket long, h long, entry long, head long"), "exact-pages")
+    pages = stage(owned.mapInArrow(_chain, "bucket long, h long, entry long, key_sha string, head long"), "exact-pages")
 
     # A head names its class only together with the hash: ids may repeat in the input.
-    local = (heap.groupBy("h", "entry", "key_sha")
-             .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("n_cp", (-F.col("row_id")).alias("neg"))).alias("best")))
-    heads = pages.select("h", "entry", "head").distinct()
-    named = heads.join(local, ["h", "entry"])
+    # The best row: most code points, then any id before none, then the smallest id (~id grows as it falls).
+    best = F.struct("n_cp", (~F.col("no_id")).alias("has_id"), F.bitwise_not("row_id").alias("down"))
+    local = heap.groupBy("h", "entry", "key_sha").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("best"))
+    heads = pages.select("h", "entry", "key_sha", "head").distinct()
+    named = heads.join(local, ["h", "entry", "key_sha"])
     classes = (named.groupBy("h", "head", "key_sha")
                .agg(F.sum("n").alias("group_size"), F.max("best").alias("best")))
     answers = (named.select("h", "entry", "key_sha", "head").join(classes, ["h", "head", "key_sha"])
-               .select("h", "entry", "key_sha", (-F.col("best.neg")).alias("keep"), "group_size"))
-    back = heap.select("row_id", "h", "entry", "key_sha").join(answers, ["h", "entry", "key_sha"])
-    same = F.col("row_id") == F.col("keep")
-    return back.select(F.nullif("row_id", none).alias("doc_id"), F.nullif("keep", none).alias("keep_id"),
-                       F.col("group_size").cast("long"), same.alias("kept"), F.col("key_sha").alias("text_sha256"))
+               .select("h", "entry", "key_sha", F.when(F.col("best.has_id"), F.bitwise_not("best.down")).alias("keep_id"), "group_size"))
+    back = heap.select("row_id", "no_id", "h", "entry", "key_sha").join(answers, ["h", "entry", "key_sha"])
+    doc_id = F.when(~F.col("no_id"), F.col("row_id"))
+    return back.select(doc_id.alias("doc_id"), "keep_id", F.col("group_size").cast("long"),
+                       doc_id.eqNullSafe(F.col("keep_id")).alias("kept"), F.col("key_sha").alias("text_sha256"))
