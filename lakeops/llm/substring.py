@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, gram_hashes, in_bitmap, mix, parts, ranges, slices, stage, text_of, within_rows, word_hashes
+from .common import U64, bitmap_of, gram_hashes, in_bitmap, mix, numbered, parts, ranges, slices, stage, within_rows, word_hashes
 
 #: Words of the runs among which a window's anchor is chosen.
 RUN = 11
@@ -129,28 +129,26 @@ def _factor_batch(row, start, n, source, window):
         names=["row_key", "start", "n_words", "source"])
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str):
-    """62 bits, so that adding a word position cannot overflow."""
-    return F.shiftright(F.xxhash64(docs[id_col], text_of(docs, text_col)), 2)
+def factors(rows: DataFrame, window: int = 35) -> DataFrame:
+    """The duplicate factors of ``rows(row_key, text)``: row_key, start, n_words and source (another
+    place with the same words).
 
-
-def factors(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The duplicate factors: row_key, start, n_words and source (another place with the same words).
-
-    row_key is a hash of id and text; a place is row_key + word position. Every factor has at
-    least ``window`` words.
+    row_key is a number of the row's own, text is not null, and the rows are read several times (see
+    `common.numbered`). A place is a hash of the row's number plus the word position. Every factor
+    has at least ``window`` words.
     """
     if window <= RUN:
         raise ValueError(f"window must be over {RUN} words")
-    spark = docs.sparkSession
-    rows = docs.select(_row_key(docs, id_col, text_col).alias("row_key"), text_of(docs, text_col).alias("text"))
+    spark = rows.sparkSession
+    rows = rows.select("row_key", "text")
     repeated = stage(rows.select("text").mapInArrow(lambda it: _anchor_rows(it, window), "anchor long, n long")
                      .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     size = min(MAX_LOG2, max(MIN_LOG2, (8 * repeated.count()).bit_length()))
     bits = spark.sparkContext.broadcast(bitmap_of(repeated, "anchor", size))
     index = stage(rows.mapInArrow(lambda it: _entry_rows(it, window, bits.value), _ENTRIES), "entries")
 
-    place = F.col("row_key") + F.col("start")
+    # 62 bits, so that adding a word position cannot overflow. It only tells two places of one text apart.
+    place = F.shiftright(F.xxhash64("row_key"), 2) + F.col("start")
     entries = stage(index.groupBy("anchor", "entry").agg(F.min(place).alias("first"), F.max(place).alias("other")), "places")
     whole = entries.filter("first <> other")
     pieces = (index.select("anchor", "entry", "row_key", "start", "n").join(whole, ["anchor", "entry"])
@@ -168,7 +166,7 @@ def factors(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col:
     held = windows.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b")
     straddling = (windows.filter("single").join(held, "h")
                   .select("row_key", "start", F.lit(1).alias("n"), F.when(F.col("place") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("source")))
-    ordered = (pieces.unionByName(straddling).repartition(parts(docs), "row_key").sortWithinPartitions("row_key", "start"))
+    ordered = (pieces.unionByName(straddling).repartition(parts(rows), "row_key").sortWithinPartitions("row_key", "start"))
     return ordered.mapInArrow(lambda it: _factor(it, window), _FACTORS)
 
 
@@ -194,14 +192,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     All copies go, the same document's included; windows are judged on the input. Returns one row
     per input row: doc_id, n_words, n_removed, kept (the other words joined by one blank).
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and short texts lose nothing. Rows equal
-    in id and text are one document: they do not repeat each other, and each is answered. Null ids are kept. An empty table gives an
-    empty result; other columns are ignored, whatever their names.
+    Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and short texts lose nothing. Every row is a
+    document of its own, also rows of one id, without id, or equal in everything. An empty table gives
+    an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    found = factors(docs, window, id_col, text_col)
+    rows = numbered(docs, id_col, text_col).select("doc_id", "text", "row_key")
+    found = factors(rows, window)
     spans = stage(found.groupBy("row_key").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "spans")
-    rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"), _row_key(docs, id_col, text_col).alias("row_key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     bits = spark.sparkContext.broadcast(bitmap_of(spans, "row_key", ROWS_LOG2))
 
