@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, in_bitmap, mix, ranges, slices, stage, text_of, within_rows, word_hashes
+from .common import U64, bitmap_of, in_bitmap, mix, numbered, ranges, slices, stage, text_of, within_rows, word_hashes
 
 #: The fixed masks: word positions that count. Any two substitutions among 13 words leave at
 #: least one of them a hit (tests/llm checks that).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 2, 3, 7, 8, 9))
+#: One more mask for items under MIN_WORDS words: with a fifth of them replaced, three neighbours stay.
+SHORT_MASK = (0, 1, 2)
 #: Shortest overlap that counts, in words; a shorter item has to be there as a whole.
 MIN_WORDS = 13
 #: Share of equal words that an overlap needs.
@@ -31,8 +33,8 @@ _SEEDS = "row_key long, id long, seed long, pos int, n_words int"
 
 
 def _seed_hashes(words: np.ndarray, counts: np.ndarray):
-    """For each mask: (index of the first word, hash) of every place inside one row."""
-    for m, mask in enumerate(MASKS):
+    """For each mask: (mask, index of the first word, hash) of every place inside one row."""
+    for m, mask in enumerate((*MASKS, SHORT_MASK)):
         span = mask[-1] + 1
         n = len(words) - span + 1
         if n <= 0:
@@ -42,7 +44,7 @@ def _seed_hashes(words: np.ndarray, counts: np.ndarray):
         for at, f in zip(mask, factors):
             total += words[at:n + at] * f
         keep = np.flatnonzero(within_rows(counts, span))
-        yield keep, mix(total[keep])
+        yield mask, keep, mix(total[keep])
 
 
 def _seeds(batches, bits: np.ndarray | None):
@@ -51,8 +53,12 @@ def _seeds(batches, bits: np.ndarray | None):
             words, counts = word_hashes(b["text"].slice(at, n), lower=True)
             row, pos = np.repeat(np.arange(n), counts), ranges(counts)
             keys, ids = b["row_key"].slice(at, n), b["id"].slice(at, n)
-            for first, seed in _seed_hashes(words, counts):
-                if bits is not None:
+            for mask, first, seed in _seed_hashes(words, counts):
+                if bits is None:
+                    if mask == SHORT_MASK:
+                        short = counts[row[first]] < MIN_WORDS
+                        first, seed = first[short], seed[short]
+                else:
                     hit = in_bitmap(bits, seed)
                     first, seed = first[hit], seed[hit]
                 r = pa.array(row[first])
@@ -150,11 +156,6 @@ def _verify(batches, min_words: int, similarity: float):
                                              names=["row_key", "doc_id", "item_id", "start_word", "n_words", "n_equal"])
 
 
-def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """What tells rows apart: a hash of id and text (a missing id, or one that stands with several texts, is not enough)."""
-    return F.xxhash64(docs[id_col], text_of(docs, text_col))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
              id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Overlaps of documents with benchmark items: doc_id, item_id, start_word, n_words, n_equal.
@@ -164,24 +165,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     which a share of at least ``similarity`` is equal. One row per document, item and alignment.
 
     Null or empty texts and items under six words overlap with nothing. Null ids are reported as
-    null. Rows of a document that is given twice are answered once per equal row set (rows equal
-    in id and text are one document). Empty tables give no rows; other columns are ignored.
+    null. Every row is answered by itself, so repeated rows repeat the answer. Empty tables give no
+    rows; other columns are ignored.
     """
-    return row_overlaps(docs, benchmark, min_words, similarity, id_col, text_col, item_col, item_text_col).drop("row_key")
+    rows = numbered(docs, id_col, text_col)
+    return row_overlaps(rows, benchmark, min_words, similarity, item_col, item_text_col).drop("row_key")
 
 
-def row_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
-                 id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """`overlaps` with the `row_key` of the row that overlaps."""
-    text, its = text_of(docs, text_col), text_of(benchmark, item_text_col)
-    rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].cast("long").alias("id"), text.alias("text"))
+def row_overlaps(rows: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """`overlaps` of ``rows(row_key, doc_id, text)`` (see `common.numbered`), with the row's number."""
+    its = text_of(benchmark, item_text_col)
+    rows = rows.select("row_key", F.col("doc_id").cast("long").alias("id"), "text")
     items = benchmark.select(F.lit(0).cast("long").alias("row_key"), benchmark[item_col].cast("long").alias("id"), its.alias("text"))
 
     marks = stage(items.mapInArrow(lambda it: _seeds(it, None), _SEEDS)
                   .filter(F.col("n_words") >= LEAST_WORDS)
                   .select("seed", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "n_words").distinct(), "seeds")
     bits = bitmap_of(marks, "seed", LOG2_BITS)
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bits)
     found = rows.mapInArrow(lambda it: _seeds(it, shared.value), _SEEDS).select("row_key", "seed", "pos")
     hits = (found.join(marks, "seed")
@@ -195,7 +197,7 @@ def row_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
         for b in batches:
             yield b.filter(pa.array(in_bitmap(rows_hit.value, np.asarray(b["row_key"]))))
 
-    near = rows.mapInArrow(candidates, "row_key long, id long, text string").join(hits, "row_key").dropDuplicates(["row_key"])
+    near = rows.mapInArrow(candidates, "row_key long, id long, text string").join(hits, "row_key")
     cut = near.select("row_key", "id", "text", "hits").mapInArrow(_cut, "row_key long, doc_id long, item_id long, diagonal int, doc_words binary")
     words = stage(items.select("id", "text").mapInArrow(_words, "item_id long, item_words binary"), "item-words")
     pairs = cut.join(words, cut["item_id"].eqNullSafe(words["item_id"])).drop(words["item_id"])
