@@ -39,7 +39,7 @@ MARGIN = 0.14
 BLOCK, SET_WEIGHT = 1 << 18, 192
 LOG2_BITS = 24
 
-_SKETCH = "id long, n int, d1 long, d2 long, sig binary"
+_SKETCH = "doc_id long, n int, d1 long, d2 long, sig binary"
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, VALUES, dtype=np.uint32)[:, None]
 _MUL = (_rng.integers(0, 2**32, VALUES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -68,17 +68,21 @@ def signature(s: np.ndarray) -> bytes:
     return ((low * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that, with its size, tell a set from others."""
+    m = mix(s ^ U64(0x5851F42D4C957F2D))
+    return int(s.sum(dtype=U64).view(np.int64)), int(m.sum(dtype=U64).view(np.int64))
+
+
 def _sketch(batches, k: int):
     for b in batches:
         for at, n in slices(b["text"]):
             rows = []
-            for i, s in zip(b["id"].slice(at, n).to_pylist(), shingle_sets(b["text"].slice(at, n), k)):
-                m = mix(s ^ U64(0x5851F42D4C957F2D))
-                d1, d2 = int(s.sum(dtype=U64).view(np.int64)), int(m.sum(dtype=U64).view(np.int64))
-                rows.append((i, len(s), d1, d2, signature(s) if len(s) else None))
+            for i, s in zip(b["doc_id"].slice(at, n).to_pylist(), shingle_sets(b["text"].slice(at, n), k)):
+                rows.append((i, len(s), *_digest(s), signature(s) if len(s) else None))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                             names=["id", "n", "d1", "d2", "sig"])
+                                             names=["doc_id", "n", "d1", "d2", "sig"])
 
 
 def _turned(order, values: int):
@@ -332,23 +336,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     smallest id reachable over links), kept (doc_id = component_id). Words are
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than k words is one shingle.
 
-    Null or blank texts have an empty set and are linked with nothing. Rows that share an id are
-    one document as far as links go. Rows without an id are not linked: component_id is null and
-    kept is true. Equal sets are one class without any comparison, so repeated rows and ties cost
-    nothing. An empty table gives an empty result; other columns are ignored.
+    Null or blank texts have an empty set and are linked with nothing. Every row is a document of
+    its own, also rows of one id (which may stand in different classes) and rows without an id:
+    these are linked like all others, but give a class no name, so a class of such rows alone has a
+    null component_id; kept compares the two null-safely. Of rows that share a class's id all are
+    kept; number the rows first where one has to stay. Equal sets are one class without any
+    comparison, so repeated rows and ties cost nothing. An empty table gives an empty result; other
+    columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     sketch = stage(rows.mapInArrow(lambda it: _sketch(it, k), _SKETCH), "sketch")
-    full = sketch.filter("n > 0 and id is not null")
-    # Stored, so that the join below shuffles both sides and can split the rows of a huge class.
-    classes = stage(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "class-heads")
-    members = stage(full.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("id", "rep"), "classes")
-    heads = members.filter("id = rep").select("id").distinct()
-    sets = stage(full.select("id", "n", "sig").join(heads, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    # An id with two texts heads a class for one of them and may sit in another: keep those together.
-    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) \
-        .join(heads, F.col("a") == heads["id"], "left_semi")
+    # A set, whatever rows have it, gets a number; from here on numbers of sets are compared. Stored, so
+    # that the numbers are fixed, and that the last join can split the rows of a huge class.
+    digest = ["n", "d1", "d2"]
+    classes = sketch.filter("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("id"), *digest, "least", "sig"), "sets")
+    sets = classes.select("id", "n", "sig")
 
     found = _regions(sets)
     region = _forest(found, sets, parts(docs))
@@ -372,37 +376,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tried = stage(pairs(None), "pairs")
     ends = (tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id")))
             .unionByName(found.filter("crowd").select("id")).distinct())
-    bits = spark.sparkContext.broadcast(bitmap_of(ends.withColumn("key", F.xxhash64("id")), "key", LOG2_BITS))
+    ends = stage(classes.join(ends, "id", "left_semi").select("id", *digest), "ends")
+    bits = spark.sparkContext.broadcast(bitmap_of(ends, "d1", LOG2_BITS))
 
     def full_sets(batches):
         for b in batches:
-            b = b.filter(pa.array(in_bitmap(bits.value, np.asarray(b["key"]))))
             for at, n in slices(b["text"]):
-                found = [s.tobytes() for s in shingle_sets(b["text"].slice(at, n), k)]
-                yield pa.RecordBatch.from_arrays([b["id"].slice(at, n), pa.array([len(s) // 8 for s in found], pa.int32()),
-                                                  pa.array(found, pa.binary())], names=["id", "n", "shingles"])
-
-    # The sets of documents that have a likely partner or stand in a crowd; the bitmap of fixed size only spares the others the way.
-    wanted = (rows.filter("id is not null").select("id", "text", F.xxhash64("id").alias("key"))
-              .mapInArrow(full_sets, "id long, n int, shingles binary").join(ends, "id", "left_semi")
-              .join(sets.select("id", "n"), ["id", "n"], "left_semi").dropDuplicates(["id"]))
-    wanted = stage(wanted.select("id", "shingles"), "shingles")
+                found = [(len(s), *_digest(s), s) for s in shingle_sets(b["text"].slice(at, n), k)]
+                some = in_bitmap(bits.value, np.array([x[1] for x in found], np.int64))
+                found = [(n, d1, d2, s.tobytes()) for (n, d1, d2, s), has in zip(found, some) if has and n]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                cols = zip(*found) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*digest, "shingles"])
+
+    # The sets that have a likely partner or stand in a crowd, each once. A task hands on a set once, the
+    # bitmap of fixed size only spares the others the way.
+    wanted = (rows.select("text").mapInArrow(full_sets, "n int, d1 long, d2 long, shingles binary")
+              .join(ends, digest).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    wanted = stage(wanted, "shingles")
 
     def verified(some: DataFrame) -> DataFrame:
         both = (some.join(wanted.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .join(wanted.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
         return both.mapInArrow(lambda it: _compare(it, percent), "a long, b long")
 
-    comps = stage(components(stage(verified(tried).unionByName(links), "links")), "comps")
+    comps = stage(components(stage(verified(tried), "links")), "comps")
     rest = pairs(comps).join(tried, ["a", "b"], "left_anti")
     more = stage(verified(rest).unionByName(_crowd_links(found, comps, wanted, percent, parts(docs))), "links")
     if not more.isEmpty():
         # The first classes are stars already: only their heads have to meet.
         comps = stage(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)), "comps")
 
-    reached = (members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-               .groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("comp")))
-    out = sketch.select("id", "n").join(reached, "id", "left")
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # A class is called by the smallest id among its rows.
+    own = classes.select("id", *digest, "least").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    names = own.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = stage(own.join(names, "comp").select(*digest, "component_id"), "named")
+    empty = sketch.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = sketch.filter("n > 0").select("doc_id", *digest).join(named, digest).select("doc_id", "n", "component_id").unionByName(empty)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
