@@ -28,21 +28,33 @@ PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id lo
           "offset long, ids binary")
 
 
+def byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable bytes for themselves,
+    the others, in order, for the characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
+
+
 class Encoder:
-    """Ids of texts under a byte-level BPE rank file, as little-endian 32-bit bytes.
+    """Ids of texts under a byte-level BPE tokenizer file (JSON), as little-endian 32-bit bytes.
 
-    Text is cut before every white-space run; a token never spans such a cut, so the ids of the
+    Strings of added tokens in a text become their ids, as with the tokenizers library. Other text
+    is cut before every white-space run; a token never spans such a cut, so the ids of the
     chunks, remembered by chunk, are the ids of the text.
     """
 
-    def __init__(self, ranks_path: str):
-        import base64
+    def __init__(self, path: str):
+        import json
 
         import public_tokenizers
         import tiktoken
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self._added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        byte = byte_characters()
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self._added}
+        self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
         self._after_space: dict[str, bytes] = {}
         # Two white-space characters in a row, the second a blank: the cut before the blank is not a token's end.
         self._tangled = re.compile(r"\s ")
@@ -53,6 +65,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in self._added):
+            return np.asarray(self._bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
         if self._tangled.search(text):
             return self._ids(text)
         first, *rest = text.split(" ")
@@ -69,13 +83,14 @@ class Encoder:
         return b"".join(out)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file (task functions travel by value, so it hangs on a module)."""
-    import tiktoken
-    known = tiktoken.__dict__.setdefault("_encoders_by_path", {})
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    """One encoder per worker process and file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -181,7 +196,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, length: int = 2048, end_id: int = 1,
+def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = 2048, end_id: int = 1,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document's tokens (and an end id) into sequences of at most ``length`` tokens.
 
@@ -192,13 +207,14 @@ def pack(docs: DataFrame, ranks_path: str | None = None, length: int = 2048, end
 
     A null or empty text is a document of the end id alone. Null ids stay null. Repeated rows are
     packed each by itself. A long text is cut into any number of full sequences. An empty table
-    gives no rows; other columns are ignored, whatever their names. ``ranks_path`` is a rank file
-    for byte-level BPE; by default the public 50k one next to the installed tokenizers.
+    gives no rows; other columns are ignored, whatever their names. ``tokenizer_path`` is the JSON
+    file of a byte-level BPE tokenizer; by default the public 50k one next to the installed tokenizers.
+    Strings of its added tokens in a text become those tokens' ids.
     """
-    if ranks_path is None:
+    if tokenizer_path is None:
         import public_tokenizers
-        ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if not os.path.basename(ranks_path):
-        raise ValueError("ranks_path must name a file")
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    if not os.path.basename(tokenizer_path):
+        raise ValueError("tokenizer_path must name a file")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _pack(it, ranks_path, length, end_id), PIECES)
+    return rows.mapInArrow(lambda it: _pack(it, tokenizer_path, length, end_id), PIECES)
