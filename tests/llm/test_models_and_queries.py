@@ -173,7 +173,7 @@ def test_query_digests(spark):
     rows = queries.op4_sharding(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     assert all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows)
-    enc = packing.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken"))
+    enc = packing.Encoder(__import__("public_tokenizers").path("byte_bpe_50k.json"))
     for r in queries.op1_packing(spark, SF).collect()[:200]:
         ids = enc(docs[r.doc_id]) + b"\1\0\0\0"
         assert r.ids_crc32 == zlib.crc32(ids[4 * r.start:4 * (r.start + r.length)]) and r.doc_tokens == len(ids) // 4
