@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm import decontaminate, exact, neardup, packing, quality, queries
-from lakeops.llm.common import stage, strip_spaces, text_of
+from lakeops.llm.common import stage, text_of
 from lakeops.session import read_table
 
 
@@ -23,24 +23,31 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("_quality") >= queries.GOOD).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row's own, stored: ids may repeat or lack."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of equal texts stays."""
-    keep = exact.exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumn("_key", F.sha2(strip_spaces(text_of(docs)), 256))
-    same = own["doc_id"].eqNullSafe(keep["_id"]) & (own["_key"] == keep["_sha"])
-    return own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    """One row of each class of equal texts stays: the one with the longest text, then the first."""
+    rows = _numbered(docs)
+    keep = exact.exact_groups(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8."""
-    gone = neardup.near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class of near duplicates stays: five-word shingles, similarity 0.8."""
+    rows = _numbered(docs)
+    gone = neardup.near_duplicates(rows, k=5, percent=80, id_col="_row").filter("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that overlap with no benchmark item stay; others of the same id, or also without one, are no matter."""
-    hits = decontaminate.row_overlaps(docs, read_table(spark, sf_dir, "benchmark")).select("row_key").distinct()
-    return docs.join(hits, decontaminate.row_key(docs) == hits["row_key"], "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    own = rows.select(F.col("_row").alias("row_key"), "doc_id", text_of(rows).alias("text"))
+    hits = decontaminate.row_overlaps(own, read_table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("_row")).distinct()
+    return rows.join(hits, "_row", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
