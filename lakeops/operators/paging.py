@@ -43,6 +43,31 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], position: str =
             .select(*df.columns, (F.col("_first") + F.col("_place")).alias(position)))
 
 
+def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column], weight: str,
+                   before: str = "before") -> DataFrame:
+    """``df`` plus ``before``: the sum of ``weight`` over the rows of the same group that precede the row.
+
+    A group may hold a third of all rows: it is cut into ranges of the order, summed inside each
+    range, and the ranges' totals are added up. Null groups are groups too. Rows that ``order_by``
+    does not tell apart follow each other in some fixed order.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    by = [*[F.col(g) for g in group_by], *order, F.col("_tie")]
+    placed = materialize(df.withColumn("_tie", F.rand(19)).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    ahead = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range", *group_by).orderBy(*order, "_tie").rowsBetween(*ahead)
+    # A group lies in several ranges only where it is large: one row per group and range.
+    parts = placed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_by)], F.col("_range").alias("_r")).agg(F.sum(weight).alias("_sum"))
+    keys = [f"_g{i}" for i in range(len(group_by))]
+    earlier = Window.partitionBy(*keys).orderBy("_r").rowsBetween(*ahead)
+    parts = parts.select(*keys, "_r", F.sum("_sum").over(earlier).alias("_base")).where("_base is not null")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group_by):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return (placed.withColumn("_here", F.sum(weight).over(inside)).join(parts, same, "left")
+            .select(*df.columns, (F.coalesce("_here", F.lit(0)) + F.coalesce("_base", F.lit(0))).alias(before)))
+
+
 def page_rows(df: DataFrame, order_by: Sequence[str | Column], page_size: int,
               page: str = "page", slot: str = "slot") -> DataFrame:
     """``df`` plus the page (from 1) that holds each row and its slot (from 0) on that page."""

@@ -357,6 +357,49 @@ def q_tree(spark, sf_dir):
     return P.build_tree(files)
 
 
+_TOUR_CTES = _PAGE_LISTING_CTES.replace("WITH page_paths", "WITH RECURSIVE page_paths") + """
+, nodes AS (SELECT p.relativePath AS id, NOT p.isDirectory AS file, p.name, d.relativePath AS parent
+            FROM parts p LEFT JOIN (SELECT relativePath FROM parts WHERE isDirectory) d
+              ON d.relativePath = regexp_extract(p.relativePath, '^(.*)/[^/]*$', 1)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY file, name, id) AS r FROM nodes),
+  walk(id, depth, trail) AS (
+    SELECT id, 1, lpad(CAST(r AS VARCHAR), 9, '0') FROM placed WHERE parent IS NULL
+    UNION ALL SELECT c.id, w.depth + 1, w.trail || '/' || lpad(CAST(c.r AS VARCHAR), 9, '0')
+    FROM placed c JOIN walk w ON c.parent = w.id),
+  pre AS (SELECT id, depth, trail, row_number() OVER (ORDER BY trail) - 1 AS p FROM walk),
+  sized AS (SELECT a.id, a.depth, a.p, count(b.id) AS n FROM pre a LEFT JOIN pre b ON starts_with(b.trail, a.trail || '/') GROUP BY ALL),
+  tour AS (SELECT id, 2 * p - (depth - 1) AS enter, 2 * p - (depth - 1) + 2 * n + 1 AS leave, depth, n AS n_below FROM sized)
+"""
+
+
+def _page_tour(spark, sf_dir):
+    files = P.path_parts(S.pages_listing(_t(spark, sf_dir, "pages")))
+    edges = P.build_tree(files, ordered=False)
+    return H.nested_sets(edges, [~F.col("isDirectory"), "name"], "relativePath", "parentPath")
+
+
+@query("q_nested_sets", _TOUR_CTES + """
+SELECT id AS relativePath, CAST(enter AS BIGINT) AS enter, CAST(leave AS BIGINT) AS leave,
+       CAST(depth AS INTEGER) AS depth, CAST(n_below AS BIGINT) AS n_below FROM tour
+""")
+def q_nested_sets(spark, sf_dir):
+    """nested_sets: entry and exit number of every page and folder, in the order of build_tree."""
+    return _page_tour(spark, sf_dir).withColumnRenamed("id", "relativePath")
+
+
+@query("q_subtree_range", _TOUR_CTES + """
+, root AS (SELECT min(id) AS id FROM nodes WHERE parent IS NOT NULL)
+SELECT t.id AS relativePath, CAST(t.enter AS BIGINT) AS enter FROM tour t
+WHERE t.id = regexp_extract((SELECT id FROM root), '^([^/]*/[^/]*)', 1)
+   OR starts_with(t.id, regexp_extract((SELECT id FROM root), '^([^/]*/[^/]*)', 1) || '/')
+""")
+def q_subtree_range(spark, sf_dir):
+    """subtree_range: the pages and folders below the first host, as a range of numbers."""
+    tour = _page_tour(spark, sf_dir)
+    first = tour.where(F.col("depth") > 1).agg(F.min("id")).first()[0]
+    return H.subtree_range(tour, "/".join((first or "").split("/")[:2])).select(F.col("id").alias("relativePath"), "enter")
+
+
 @query("q_expand_shortcut", _PAGE_LISTING_CTES + """
 , hosts AS (SELECT DISTINCT string_split(name, '/')[3] AS host FROM listing)
 SELECT 'Files/mirror/' || h.host AS shortcutPath, string_split(l.name, '/')[-1] AS name,

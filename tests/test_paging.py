@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeops.operators.paging import number_rows, page_keys, page_rows
+from lakeops.operators.paging import number_rows, page_keys, page_rows, running_totals
 
 
 @pytest.mark.parametrize("partitions", ["1", "7", "40"])
@@ -45,3 +45,11 @@ def test_empty_and_bad_arguments(spark):
         number_rows(df, [])
     with pytest.raises(ValueError):
         page_rows(df, ["k"], 0)
+
+
+def test_running_totals_of_a_hot_group(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i long, w long").repartition(4)
+    got = {r.i: r.before for r in running_totals(df, ["g"], [F.col("i").desc()], "w").collect()}
+    assert got == {i: sum(w2 for g2, j, w2 in rows if g2 == g and j > i) for g, i, w in rows}

@@ -99,12 +99,87 @@ def test_move_nodes_rejects_cycles(spark):
     assert got["1"] == (None, True)
 
 
-def test_walk_shuffle_path_matches_broadcast_path(spark):
-    e = folders(spark).select(F.col("id"), F.col("parentFolderId").alias("parent"), "displayName")
-    start = H.roots(e).select("id", F.array("displayName").alias("path"), F.lit(1).alias("depth"))
-    a = rows(H.walk_down(e, start), "id", "path", "depth")
-    b = rows(H.walk_down(e, start), "id", "path", "depth")
-    assert a == b and len(a) == 5
+def test_lift_follows_chains_to_their_ends(spark):
+    chains = spark.createDataFrame([("a", None, True, ["A"], 1), ("b", "a", False, ["B"], 10), ("c", "b", False, ["C"], 100),
+                                    ("d", "c", False, ["D"], 1000), ("lost", "404", False, ["L"], 1), ("x", "y", False, ["X"], 1),
+                                    ("y", "x", False, ["Y"], 1), ("under", "x", False, ["U"], 1)],
+                                   "id string, up string, done boolean, path array<string>, total long")
+    got = {r.id: (r.path, r.steps, r.total) for r in H.lift(chains).collect()}
+    assert got == {"a": (["A"], 1, 1), "b": (["A", "B"], 2, 11), "c": (["A", "B", "C"], 3, 111), "d": (["A", "B", "C", "D"], 4, 1111)}
+
+
+def test_a_chain_of_20000_folders_takes_few_rounds(spark, monkeypatch):
+    n, rounds, plain = 20_000, [], H._stable
+    monkeypatch.setattr(H, "_stable", lambda df: rounds.append(1) or plain(df))
+    chain = spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("displayName"),
+                                  F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parentFolderId"))
+    loop = spark.createDataFrame([("p", "p", "q"), ("q", "q", "p"), ("under", "u", "q")], chain.schema)
+    reached = H.folder_subtree(chain.unionByName(loop))
+    assert reached.agg(F.count("*"), F.max("depth"), F.sum("depth")).first() == (n, n, n * (n + 1) // 2)
+    assert len(rounds) < 20
+
+
+def _brute_subtrees(parent, marks):
+    out = []
+    for m in marks:
+        depth, level, seen = 1, [x for x in parent if parent[x] == m and x != m], set()
+        while level:
+            out += [(x, m, depth) for x in level]
+            seen |= set(level)
+            level = [x for x in parent if parent[x] in level and x != m and x not in seen]
+            depth += 1
+    return sorted(out)
+
+
+def test_random_subtrees_of_nested_roots_and_cycles(spark):
+    import random
+    for seed in range(6):
+        rnd = random.Random(seed)
+        ids = [str(i) for i in range(25)]
+        parent = {i: rnd.choice([None, *ids]) if rnd.random() < 0.5 else (ids[rnd.randrange(k)] if k else None) for k, i in enumerate(ids)}
+        marks = rnd.sample(ids, 8) + ["unknown"]
+        nodes = spark.createDataFrame([(i, i, parent[i]) for i in ids], FOLDERS)
+        got = H.folder_subtree(nodes, spark.createDataFrame([(m,) for m in marks], "id string"))
+        assert sorted((r["id"], r["root"], r["depth"]) for r in got.collect()) == _brute_subtrees(parent, marks), seed
+
+
+def _brute_tour(parent, order):
+    children, event, out = {}, 0, {}
+    for i in sorted(parent, key=lambda i: (order[i], i)):
+        children.setdefault(parent[i] if parent[i] in parent else None, []).append(i)
+    stack = [(i, 1, False) for i in reversed(children.get(None, []))]
+    while stack:
+        i, depth, leaving = stack.pop()
+        if leaving:
+            out[i] = (out[i][0], event, out[i][1])
+        else:
+            out[i] = (event, depth)
+            stack.append((i, depth, True))
+            stack += [(c, depth + 1, False) for c in reversed(children.get(i, []))]
+        event += 1
+    return out
+
+
+def test_nested_sets_are_a_tour(spark):
+    import random
+    for seed in range(3):
+        rnd = random.Random(seed)
+        ids = [f"n{i:03d}" for i in range(120)]
+        parent = {i: (None if rnd.random() < 0.1 else ids[rnd.randrange(k)]) if k else None for k, i in enumerate(ids)}
+        parent["n118"], parent["n119"], parent["n007"] = "n119", "n118", "missing"
+        for i in ids:  # nobody else in or under the cycle
+            if parent[i] in ("n118", "n119") and i not in ("n118", "n119"):
+                parent[i] = None
+        order = {i: rnd.randrange(5) for i in ids}
+        nodes = spark.createDataFrame([(i, parent[i], order[i]) for i in ids], "id string, parentFolderId string, o int")
+        numbered = H.nested_sets(nodes, ["o"])
+        got = {r["id"]: (r["enter"], r["leave"], r["depth"]) for r in numbered.collect()}
+        acyclic = {i: p for i, p in parent.items() if i not in ("n118", "n119")}
+        assert got == _brute_tour(acyclic, order)
+        root = max(got, key=lambda i: got[i][1] - got[i][0])
+        below = {r["id"] for r in H.subtree_range(numbered, root).collect()}
+        assert below == {i for i in got if got[root][0] <= got[i][0] <= got[root][1]} and len(below) > 5
+    assert H.nested_sets(nodes.where("false"), ["o"]).count() == 0
 
 
 def test_browse_item(spark):

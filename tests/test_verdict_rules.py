@@ -25,9 +25,9 @@ def test_deep_trees_have_no_limit(spark):
 
 
 def test_a_walk_that_repeats_is_an_error(spark):
-    e = spark.createDataFrame([("a", "b", "x"), ("b", "a", "y"), ("a", None, "z")], "id string, parent string, displayName string")
+    e = spark.createDataFrame([("a", "x", "b"), ("b", "y", "a"), ("a", "z", None)], "id string, displayName string, parentFolderId string")
     with pytest.raises(RuntimeError, match="repeats"):
-        H.walk_down(e, spark.createDataFrame([("a", 1)], "id string, depth int"))
+        H.folder_path(e)
 
 
 def test_new_folder_ids_are_whole_digests(spark):
