@@ -13,19 +13,21 @@ Matching rule (reference semantics): a role grants a path when any of its rules
 string prefix of it. Later ``Path`` permissions of the same rule and all actions are ignored.
 Prefixes are not segment-aligned: ``Tables/Sales`` grants ``Tables/SalesOld``.
 
-Plan (no theta join, no broadcast of unbounded data): the prefix test is rewritten as an
-equi-join. ``*`` and the empty pattern become the key ``""``. Each path is expanded into its
-prefixes of exactly the lengths that occur among the patterns (a set of integers no larger
-than the longest pattern, computed once as a scalar subquery), and those prefixes are
-hash-joined to the patterns. The pattern keys are materialized once; Spark picks the join by
-measured bytes. A key shared by many paths (``""`` for wildcard roles, a short common prefix)
-is a skewed key, which AQE's skew-join split spreads over several tasks; counts aggregate per
-prefix before any join, so no key is hot there.
+Plan (no theta join, no broadcast of unbounded data). A pattern is an interval of the sorted paths
+(all strings that begin with it), and intervals of two patterns are nested or apart. So patterns and
+paths are sorted together, one row each, over ranges: the pattern before a path, with the patterns
+that are prefixes of it, is the stack of intervals that may be open at the path, and the last
+pattern of earlier ranges is carried over a range's border. The longest open pattern is the path's
+*class*; which roles a class has is decided among the patterns alone. ``*`` and the empty pattern
+are the key ``""``. Counts need no pairs: paths are counted for each prefix of a length that occurs
+among the patterns, and the counts are joined to the patterns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.session import materialize
@@ -105,18 +107,74 @@ def _path_keys(paths: DataFrame, path_col: str, keys: DataFrame, mode: str,
     raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
 
 
+def _bordered(c: Column, mode: str) -> Column:
+    """What is compared: a key or path itself, or with a ``/`` at its end so that prefixes end on borders."""
+    if mode not in ("reference", "segment"):
+        raise ValueError(f"unknown mode {mode!r}; use 'reference' or 'segment'")
+    return c if mode == "reference" else F.when(c == F.lit(""), c).otherwise(F.concat(c, F.lit("/")))
+
+
+def pattern_chains(keys: DataFrame, mode: str = "reference") -> DataFrame:
+    """``(key, lens)``: for every pattern key the lengths of the keys that are prefixes of it, its own among them.
+
+    Work is on the patterns alone.
+    """
+    uniq = keys.select("key").distinct()
+    lens = _key_lengths(keys)
+    above = uniq.select("key", lens.alias("_lens"))
+    above = above.select("key", F.explode(_strict_prefixes(above, "key", F.col("_lens"), mode)).alias("_p"))
+    found = above.join(uniq.select(F.col("key").alias("_p")), "_p").select("key", F.length("_p").alias("n"))
+    own = uniq.select("key", F.length("key").alias("n"))
+    return found.unionByName(own).groupBy("key").agg(F.array_sort(F.collect_set("n")).alias("lens"))
+
+
+def path_classes(paths: DataFrame, chains: DataFrame, path_col: str = "path", mode: str = "reference") -> DataFrame:
+    """``(path, class)``: each distinct path with the longest pattern key that is a prefix of it.
+
+    Paths that no pattern covers are left out. ``chains``: see :func:`pattern_chains`. One row per path and
+    pattern is sorted, whatever the number of pattern lengths.
+    """
+    marks = chains.select(_bordered(F.col("key"), mode).alias("at"), F.lit(0).alias("kind"),
+                          F.struct("key", "lens").alias("open"), F.lit(None).cast("string").alias("path"))
+    path = F.col(path_col)
+    asked = paths.where(path.isNotNull()).select(
+        F.when(path == F.lit(""), path).otherwise(_bordered(path, mode)).alias("at"), F.lit(1).alias("kind"),
+        F.lit(None).cast(marks.schema["open"].dataType).alias("open"), path.alias("path"))
+    swept = materialize(marks.unionByName(asked).repartitionByRange("at", "kind").withColumn("_range", F.spark_partition_id()))
+    # The stack that a range begins with: the last pattern of the ranges before it (one row per range).
+    lasts = swept.groupBy("_range").agg(F.max_by("open", F.when(F.col("kind") == 0, F.col("at"))).alias("_last"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    here = Window.partitionBy("_range").orderBy("at", "kind")
+    stack = F.last("open", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = (swept.withColumn("_stack", stack).withColumn("_again", F.lag("path").over(here).eqNullSafe(F.col("path")))
+             .where((F.col("kind") == 1) & ~F.col("_again")).join(F.broadcast(carried), "_range")
+             .select("at", "path", F.coalesce("_stack", "_carried").alias("_s")).where("_s is not null"))
+    key = F.col("_s.key")
+    # Open at the path are the prefixes of the stack's top that are prefixes of the path as well.
+    covers = F.filter("_s.lens", lambda n: F.startswith(F.col("at"), _bordered(F.left(key, n), mode)))
+    return found.select("path", F.left(key, F.array_max(covers)).alias("class")).where(F.col("class").isNotNull())
+
+
+def class_roles(keys: DataFrame, chains: DataFrame) -> DataFrame:
+    """``(class, role_id)``: the roles of every pattern key and of the keys that are prefixes of it."""
+    open_keys = chains.select(F.col("key").alias("class"), F.explode("lens").alias("n")).select(
+        "class", F.left("class", F.col("n")).alias("key"))
+    return open_keys.join(keys, "key").select("class", "role_id").distinct()
+
+
 def roles_for_path(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                    mode: str = "reference") -> DataFrame:
     """Every ``(role_id, path)`` where the role grants the path; each pair once.
 
     ``mode="reference"`` is the reference's plain string-prefix rule; ``mode="segment"``
-    (our extension) only matches on ``/`` borders. Spark picks the join by measured bytes and
-    splits a key that many paths share.
+    (our extension) only matches on ``/`` borders. The paths are swept once along their order
+    (:func:`path_classes`); Spark picks the join with the classes' roles by measured bytes and
+    splits a class that many paths share.
     """
-    # The pattern keys feed two branches (lengths and join): compute them once.
     keys = materialize(_match_keys(path_patterns(roles), mode))
-    pk = _path_keys(paths.where(F.col(path_col).isNotNull()), path_col, keys, mode)
-    return pk.join(keys, "key").select("role_id", "path").distinct()
+    chains = materialize(pattern_chains(keys, mode))
+    return path_classes(paths, chains, path_col, mode).join(class_roles(keys, chains), "class").select("role_id", "path")
 
 
 def _strict_prefixes(df: DataFrame, key_col: str, lens: Column, mode: str) -> Column:
@@ -210,23 +268,53 @@ def roles_for_member(roles: DataFrame, identities: DataFrame | None = None,
     return m.distinct()
 
 
+class AccessClasses(NamedTuple):
+    paths: DataFrame    # path, path_class
+    members: DataFrame  # objectId, member_class
+    access: DataFrame   # member_class, path_class, roles
+
+
+def _role_sets(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, name)`` and ``(name, role_id)`` of ``df(key, role_id)``: equal role sets have one digest."""
+    sets = materialize(df.groupBy(key).agg(F.array_sort(F.collect_set("role_id")).alias("_roles"))
+                       .select(key, "_roles", F.sha2(F.to_json("_roles"), 256).alias(name)))
+    each = sets.select(name, "_roles").distinct().select(name, F.explode("_roles").alias("role_id"))
+    return sets.select(key, name), each
+
+
+def access_classes(paths: DataFrame, roles: DataFrame, path_col: str = "path", mode: str = "reference",
+                   identities: DataFrame | None = None, id_col: str = "objectId") -> AccessClasses:
+    """Who can read which path, as classes: members of equal role sets, paths of equal role sets.
+
+    ``access`` has one row per pair of a member class and a path class that share a role, with
+    the roles that give access; ``members`` and ``paths`` say who is in which class. So a member with
+    all roles makes one row per path class, and none per path. ``identities`` limits the members (and
+    the roles looked at). Paths without any role have no class.
+    """
+    held = roles_for_member(roles, identities, id_col)
+    if identities is not None:
+        roles = roles.join(held.select(F.col("role_id").alias("id")).distinct(), "id", "left_semi")
+    keys = materialize(_match_keys(path_patterns(roles), mode))
+    chains = materialize(pattern_chains(keys, mode))
+    swept = path_classes(paths, chains, path_col, mode)
+    of_pattern, path_roles = _role_sets(class_roles(keys, chains), "class", "path_class")
+    of_member, member_roles = _role_sets(held, "objectId", "member_class")
+    access = member_roles.join(path_roles, "role_id").groupBy("member_class", "path_class").agg(
+        F.array_sort(F.collect_set("role_id")).alias("roles"))
+    return AccessClasses(swept.join(of_pattern, "class").select("path", "path_class"), of_member, access)
+
+
 def access_matrix(paths: DataFrame, roles: DataFrame, path_col: str = "path",
                   mode: str = "reference", identities: DataFrame | None = None,
                   id_col: str = "objectId") -> DataFrame:
     """``(objectId, path, roles)``: who can read which path, through which roles.
 
-    The output has one row per granted (member, path) pair, so its size is the size of the
-    answer; pass ``identities`` to ask about some members only (applied before the pairs
-    are formed). Callers that need totals should use :func:`access_summary`, which never
-    builds the pairs.
+    The classes of :func:`access_classes`, unfolded: one row per granted (member, path) pair, so
+    its size is the size of the answer; pass ``identities`` to ask about some members only. Callers
+    that need totals should use :func:`access_summary`, which never builds the pairs.
     """
-    members = roles_for_member(roles, identities, id_col)
-    if identities is not None:
-        roles = roles.join(members.select(F.col("role_id").alias("id")).distinct(), "id", "left_semi")
-    grants = roles_for_path(paths, roles, path_col, mode)
-    return (grants.join(members, "role_id")
-            .groupBy("objectId", "path")
-            .agg(F.array_sort(F.collect_set("role_id")).alias("roles")))
+    c = access_classes(paths, roles, path_col, mode, identities, id_col)
+    return c.access.join(c.members, "member_class").join(c.paths, "path_class").select("objectId", "path", "roles")
 
 
 def access_check(questions: DataFrame, roles: DataFrame, path_col: str = "path", id_col: str = "objectId",

@@ -49,6 +49,41 @@ def q_access_count(spark, sf_dir):
     return access.role_path_counts(files, S.pages_roles(pages))
 
 
+@query("q_access_pairs", O.with_pages_access("""
+SELECT m.objectId, g.path, array_to_string(list_sort(list(DISTINCT g.role_id)), ',') AS roles
+FROM page_role_members m JOIN page_grants g ON m.role_id = g.role_id
+GROUP BY m.objectId, g.path
+"""))
+def q_access_pairs(spark, sf_dir):
+    """access_matrix: every member with every page readable, and the roles that give it."""
+    pages = _t(spark, sf_dir, "pages")
+    files = S.pages_files(pages).select(F.col("name").alias("path"))
+    pairs = access.access_matrix(files, S.pages_roles(pages))
+    return pairs.select("objectId", "path", F.array_join("roles", ",").alias("roles"))
+
+
+@query("q_access_classes", O.with_pages_access("""
+, held AS (SELECT objectId, list_sort(list(DISTINCT role_id)) AS r FROM page_role_members GROUP BY objectId),
+  open AS (SELECT path, list_sort(list(DISTINCT role_id)) AS r FROM page_grants GROUP BY path),
+  mc AS (SELECT r, count(*) AS n FROM held GROUP BY r),
+  pc AS (SELECT r, count(*) AS n FROM open GROUP BY r)
+SELECT array_to_string(mc.r, ',') AS member_roles, mc.n AS n_members, pc.n AS n_paths,
+       array_to_string(list_sort(list_intersect(mc.r, pc.r)), ',') AS roles
+FROM mc, pc WHERE list_has_any(mc.r, pc.r)
+"""))
+def q_access_classes(spark, sf_dir):
+    """access_classes: classes of members and of pages, their sizes and the roles between them."""
+    pages = _t(spark, sf_dir, "pages")
+    roles = S.pages_roles(pages)
+    c = access.access_classes(S.pages_files(pages).select(F.col("name").alias("path")), roles)
+    held = access.roles_for_member(roles).join(c.members, "objectId")
+    members = held.groupBy("member_class").agg(F.array_join(F.array_sort(F.collect_set("role_id")), ",").alias("member_roles"),
+                                               F.count_distinct("objectId").alias("n_members"))
+    paths = c.paths.groupBy("path_class").agg(F.count("*").alias("n_paths"))
+    return c.access.join(members, "member_class").join(paths, "path_class").select(
+        "member_roles", "n_members", "n_paths", F.array_join("roles", ",").alias("roles"))
+
+
 @query("q_access_matrix", O.with_pages_access("""
 , held AS (SELECT objectId, count(DISTINCT role_id) AS n_roles FROM page_role_members GROUP BY objectId),
   reach AS (SELECT m.objectId, count(DISTINCT g.path) AS n_paths
