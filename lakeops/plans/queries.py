@@ -836,24 +836,25 @@ def q_explode_rules(spark, sf_dir):
 
 
 @query("q_csv_to_table", """
-SELECT n_nationkey, 'a ' || chr(10) || n_name AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 0
+SELECT o_orderkey, 'a ' || chr(10) || o_orderpriority AS "name|r", CAST(o_custkey % 5 AS INTEGER) AS part
+FROM orders WHERE o_custkey % 5 <> 0
 """)
 def q_csv_to_table(spark, sf_dir):
-    """csv_to_table: nation exported as one '|'-separated CSV file per region; the region-0
-    file also carries one row with a non-numeric key, and a copy of region 1 has its columns in
-    another order, so both files are skipped whole. Names hold a line break inside quotes."""
-    nation = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("a \n"), "n_name").alias("n_name"), "n_regionkey")
+    """csv_to_table: orders exported as '|'-separated CSV files per fifth of the customers; the files of
+    fifth 0 also carry one row with a non-numeric key, and a copy of fifth 1 has its columns in
+    another order, so these files are skipped whole. Values hold a line break inside quotes and a
+    column's name the delimiter."""
+    orders = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("a \n"), "o_orderpriority").alias("name|r"), (F.col("o_custkey") % 5).cast("int").alias("part"))
     root = SRC.staging_path(spark, "csv-src")
-    (nation.where(F.col("n_regionkey") != 0).withColumn("r", F.col("n_regionkey"))
+    (orders.where("part <> 0").withColumn("r", F.col("part"))
      .write.partitionBy("r").option("sep", "|").option("header", True).csv(root))
-    lines = nation.where(F.col("n_regionkey") == 0).select(F.concat_ws(
-        "|", F.col("n_nationkey").cast("string"), F.lit("x"), F.col("n_regionkey").cast("string")).alias("value"))
-    extra = spark.createDataFrame([("n_nationkey|n_name|n_regionkey",), ("x|BROKEN|0",)], "value string")
-    extra.unionByName(lines).coalesce(1).write.text(f"{root}/r=0")
-    (nation.where("n_regionkey = 1").select("n_regionkey", "n_name", "n_nationkey").coalesce(1)
+    broken = orders.where("part = 0").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.lit("x"), F.lit("0")).alias("value"))
+    extra = spark.createDataFrame([('o_orderkey|"name|r"|part',), ("x|BROKEN|0",)], "value string")
+    extra.coalesce(1).unionByName(broken).coalesce(1).write.text(f"{root}/r=0")
+    (orders.where("part = 1").select("part", "name|r", "o_orderkey")
      .write.option("sep", "|").option("header", True).csv(f"{root}/swapped"))
-    return SRC.csv_to_table(spark, root, "n_nationkey int, n_name string, n_regionkey int",
-                            delimiter="|", multi_line=True)
+    return SRC.csv_to_table(spark, root, "o_orderkey bigint, `name|r` string, part int", delimiter="|", multi_line=True)
 
 
 @query("q_write_rows", """
@@ -964,18 +965,18 @@ def q_ensure_resolved(spark, sf_dir):
 
 
 @query("q_mount_read", """
-SELECT folder || n_regionkey AS shortcutPath, 'nations' AS shortcutName, n_nationkey, n_name
-FROM nation, (VALUES ('Files/region'), ('Files/again')) AS f(folder)
+SELECT folder || (c_nationkey % 5) AS shortcutPath, 'nations' AS shortcutName, c_custkey, c_name
+FROM customer, (VALUES ('Files/region'), ('Files/again')) AS f(folder)
 """)
 def q_mount_read(spark, sf_dir):
-    """mount_shortcuts: nation written as one folder per region, read back through two
-    same-named shortcuts per region in different folders."""
+    """mount_shortcuts: customers written as one folder per fifth of the nations, read back through
+    two same-named shortcuts per fifth in different folders."""
     root = SRC.staging_path(spark, "mounted")
-    nation = _t(spark, sf_dir, "nation")
-    nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r")).write.partitionBy("r").parquet(root)
+    customer = _t(spark, sf_dir, "customer")
+    customer.select("c_custkey", "c_name", (F.col("c_nationkey") % 5).alias("r")).write.partitionBy("r").parquet(root)
     at = root if root.startswith(("/", "file:")) else f"/{root}"
     shortcuts = S.region_shortcuts(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "part"), at)
-    return SRC.mount_shortcuts(spark, shortcuts).select("shortcutPath", "shortcutName", "n_nationkey", "n_name")
+    return SRC.mount_shortcuts(spark, shortcuts).select("shortcutPath", "shortcutName", "c_custkey", "c_name")
 
 
 # --------------------------------------------------------------------------- paging

@@ -15,8 +15,6 @@ task as a whole, however large.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -39,16 +37,21 @@ def header_schema(spark: SparkSession, source: str, delimiter: str = ",",
     return StructType([StructField(c, StringType()) for c in cols])
 
 
-def wrong_headers(spark: SparkSession, source: str, schema: StructType, delimiter: str, recursive: bool) -> DataFrame:
-    """``_file`` of every file whose first line does not name the schema's columns in order."""
+def wrong_headers(spark: SparkSession, source: str | list[str], schema: StructType, delimiter: str, recursive: bool) -> DataFrame:
+    """``_file`` of every file whose header does not name the schema's columns in order.
+
+    The header is the first line that is not blank, as for Spark's CSV reader, and is parsed by it:
+    names may be quoted and hold the delimiter.
+    """
     lines = (spark.read.option("recursiveFileLookup", recursive).text(source)
              .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"),
-                     F.monotonically_increasing_id().alias("n"), "value").where("at = 0"))
-    first = lines.groupBy("_file").agg(F.min_by("value", "n").alias("value"))
-    names = F.split(F.regexp_replace("value", "^\uFEFF", ""), re.escape(delimiter), -1)
-    names = F.transform(names, lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
-    want = F.array(*[F.lit(f.name) for f in schema.fields])
-    return first.where(~names.eqNullSafe(want)).select("_file")
+                     F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "^\uFEFF", "").alias("value")))
+    some = lines.where(F.trim("value") != "")
+    first = some.groupBy("_file").agg(F.min_by("value", F.struct("at", "n")).alias("value"))
+    names = [f.name for f in schema.fields]
+    parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"sep": delimiter})
+    want = F.struct(*[F.lit(n).alias(f"c{i}") for i, n in enumerate([*names, None])])
+    return first.where(~F.to_json(parsed).eqNullSafe(F.to_json(want))).select("_file")
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

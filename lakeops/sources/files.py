@@ -3,17 +3,20 @@
 Reads use Spark's own file sources (``text`` with ``wholetext`` and ``binaryFile``), so
 they split across tasks by file. Writes go through the ``lakefiles`` Python Data Source:
 every row ``(path, content)`` becomes one file below the root, created or truncated.
-The root may be any URI that pyarrow's file systems know, so executors write to the shared
-store. A file is written under a temporary hidden name and renamed into place, so a retried task
+The root may be any URI that pyarrow's file systems know, or the ``s3a://`` and ``wasbs://`` form of
+one, so executors write to the shared store. A file is written under a temporary hidden name and renamed into place, so a retried task
 (after a lost executor) rewrites the same files and never leaves half-written ones.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -35,6 +38,15 @@ def relative_path(path: str | None) -> str:
     return "/".join(parts)
 
 
+def writer_uri(root: str) -> str:
+    """``root`` as pyarrow names it: Hadoop's schemes for S3 and blob storage have other names there."""
+    root = re.sub(r"^s3[an]://", "s3://", root)
+    blob = re.match(r"^wasb(s?)://([^@/]+)@([^./]+)\.blob\.([^/]+)(.*)$", root)
+    if blob:
+        root = f"abfs{blob[1]}://{blob[2]}@{blob[3]}.dfs.{blob[4]}{blob[5]}"
+    return root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+
+
 class _Writer(DataSourceWriter):
     """Writes through the file system that the root's URI names, from every executor."""
 
@@ -43,8 +55,7 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator):
         from pyarrow import fs
-        system, root = fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:")
-                                              else os.path.abspath(self.root))
+        system, root = fs.FileSystem.from_uri(writer_uri(self.root))
         n, made = 0, set()
         for row in iterator:
             target = f"{root.rstrip('/')}/{relative_path(row[0])}"
@@ -78,12 +89,21 @@ class LakeFilesSource(DataSource):
         return _Writer(self.options)
 
 
-def _unique(df: DataFrame) -> DataFrame:
-    """``df(path, content)`` unless two rows would write one file."""
-    twice = df.groupBy(F.regexp_replace(F.col("path"), "^/+", "").alias("path")).count().where("count > 1").head(1)
-    if twice:
-        raise ValueError(f"several rows write {twice[0]['path']!r}")
-    return df
+def _relative(path: Column) -> Column:
+    """``relative_path`` as an expression (what it refuses is left to the writer)."""
+    return F.array_join(F.filter(F.split(path, "/", -1), lambda p: ~p.isin("", ".")), "/")
+
+
+def _write_unique(df: DataFrame, root: str) -> None:
+    """Write ``df(path, content)`` unless two rows would write one file; the input is computed once."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        twice = kept.groupBy(_relative(F.col("path")).alias("path")).count().where("count > 1").head(1)
+        if twice:
+            raise ValueError(f"several rows write {twice[0]['path']!r}")
+        kept.write.format("lakefiles").mode("overwrite").save(root)
+    finally:
+        kept.unpersist()
 
 
 def write_text_rows(df: DataFrame, root: str, path_col: str = "path",
@@ -92,8 +112,7 @@ def write_text_rows(df: DataFrame, root: str, path_col: str = "path",
     out of the root and paths given twice are errors."""
     from lakeops.sources import register
     register(df.sparkSession)
-    _unique(df.select(F.col(path_col).alias("path"), F.col(content_col).cast("string").alias("content"))) \
-      .write.format("lakefiles").mode("overwrite").save(root)
+    _write_unique(df.select(F.col(path_col).alias("path"), F.col(content_col).cast("string").alias("content")), root)
 
 
 def write_binary_rows(df: DataFrame, root: str, path_col: str = "path",
@@ -107,37 +126,32 @@ def write_binary_rows(df: DataFrame, root: str, path_col: str = "path",
                                F.when(F.col(payload_col).isNull(), F.lit(b"").cast("binary")),
                                F.raise_error(F.concat(F.lit("not base64: "), F.col(path_col)))
                                ).alias("content"))
-    _unique(out).write.format("lakefiles").mode("overwrite").save(root)
+    _write_unique(out, root)
 
 
-def _empty_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Zero-length files below a folder (Spark's file scans skip them), listed by a task."""
-    from pyspark import cloudpickle
+def _plain(uri: Column | str) -> Column | str:
+    """A file's address without the differences between Spark's spellings of one local path."""
+    return re.sub("^file:/+", "file:/", uri) if isinstance(uri, str) else F.regexp_replace(uri, "^file:/+", "file:/")
 
-    import lakeops.sources.files as own
-    cloudpickle.register_pickle_by_value(own)
 
-    def listed(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-        for b in batches:
-            for uri in b["root"].to_pylist():
-                system, root = fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else os.path.abspath(uri))
-                found = [i for i in system.get_file_info(fs.FileSelector(root, recursive=recursive))
-                         if i.type == fs.FileType.File and i.size == 0 and not i.base_name.startswith(("_", "."))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"file:{i.path}" if system.type_name == "local" else i.path for i in found], pa.string()),
-                     pa.array([i.mtime for i in found], pa.timestamp("us", "UTC"))], names=["path", "lastModified"])
+def _empty_files(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
+    """``path`` of the zero-length files that Spark's file index lists and its scans skip.
 
-    roots = spark.createDataFrame([(path,)], "root string")
-    return roots.mapInArrow(listed, "path string, lastModified timestamp")
+    The index (which Spark lists in parallel and holds on the driver for every scan) names all files; those
+    that a scan gives no row for are empty. The scan reads no content.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    listed = [(_plain(unquote(f)),) for f in scan.inputFiles()]
+    seen = scan.select(_plain(F.col("path")).alias("path"))
+    return spark.createDataFrame(listed, "path string").join(seen, "path", "left_anti")
 
 
-def read_text_files(spark: SparkSession, path: str, recursive: bool = True,
+def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool = True,
                     ignore_corrupt: bool = False, include_empty: bool = True) -> DataFrame:
-    """``path, content``: each file's whole text. Unreadable files fail the job unless
+    """``path, content``: each file's whole text. ``path`` is a file, a folder, a glob or a list of
+    these, in any file system that Spark reads. Unreadable files fail the job unless
     ``ignore_corrupt`` (the reference returns empty text instead). Spark's scan skips
-    empty files; ``include_empty`` adds them with ``""`` (``path`` is then one folder)."""
+    empty files; ``include_empty`` adds them with ``""``."""
     df = (spark.read.option("recursiveFileLookup", recursive)
           .option("ignoreCorruptFiles", ignore_corrupt).text(path, wholetext=True))
     out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
@@ -146,16 +160,17 @@ def read_text_files(spark: SparkSession, path: str, recursive: bool = True,
     return out
 
 
-def read_binary_files(spark: SparkSession, path: str, recursive: bool = True,
+def read_binary_files(spark: SparkSession, path: str | list[str], recursive: bool = True,
                       include_empty: bool = True) -> DataFrame:
     """``path, length, modificationTime, payload``: each file's bytes as one-line base64.
-    ``include_empty`` adds the zero-length files Spark's scan skips (``path`` is then one folder)."""
+    ``path`` as in :func:`read_text_files`. ``include_empty`` adds the zero-length files that Spark's scan
+    skips (their modificationTime is null: Spark's index names them only)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     out = df.select("path", "length", "modificationTime", b64_encode("content").alias("payload"))
     if include_empty:
         out = out.unionByName(_empty_files(spark, path, recursive).select(
             "path", F.lit(0).cast("long").alias("length"),
-            F.col("lastModified").alias("modificationTime"), F.lit("").alias("payload")))
+            F.lit(None).cast("timestamp").alias("modificationTime"), F.lit("").alias("payload")))
     return out
 
 

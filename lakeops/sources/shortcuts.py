@@ -93,9 +93,11 @@ def mount_shortcuts(spark: SparkSession, shortcuts: DataFrame, fmt: str = "parqu
                     lake_root: str = DEFAULT_LAKE_ROOT, **options) -> DataFrame:
     """One table over the targets of all shortcuts: ``shortcutPath, shortcutName`` and the data.
 
-    One scan reads all locations; each row finds its shortcuts by its file's location, so two
-    shortcuts of one name in different folders stay apart and two over one location both get its
-    rows. Only distinct locations reach the driver, which must know them to plan a scan. All
+    One scan reads all locations; each file is matched to its shortcuts, so two shortcuts of one
+    name in different folders stay apart and two over one location both get its rows. A shortcut has
+    the rows that it has when mounted alone: of the files in its location and in partition
+    folders (``k=v``) below it. So a shortcut over a folder does not get what only another one, over a plain
+    subfolder, brings in. Only distinct locations reach the driver, which must know them to plan a scan. All
     targets hold data of one schema. Shortcuts without a storage location are left out.
     """
     found = shortcuts.select(F.col("path").alias("shortcutPath"), F.col("name").alias("shortcutName"),
@@ -108,11 +110,14 @@ def mount_shortcuts(spark: SparkSession, shortcuts: DataFrame, fmt: str = "parqu
         raise ValueError("no shortcut has a storage location")
     data = spark.read.format(fmt).options(**options).load(uris)
     bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    # A file lies in the location or below it: its folders, from the longest, are looked up.
-    folder = F.regexp_replace(bare(F.col("_metadata.file_path")), "/[^/]*$", "")
-    steps = F.split(folder, "/", -1)
-    rows = data.select(F.struct(*data.columns).alias("_row"), steps.alias("_s"))
-    each = rows.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.array_join(
-        F.slice("_s", F.lit(1), i), "/"))).alias("_at"))
+    # The files first: a file's folders, from its own up through partition folders, are looked up.
+    file = F.col("_metadata.file_path")
+    steps = F.split(F.regexp_replace(bare(F.col("_file")), "/[^/]*$", ""), "/", -1)
+    files = data.select(file.alias("_file")).distinct().select("_file", steps.alias("_s"))
+    files = files.select("_file", "_s", F.explode(F.sequence(F.lit(1), F.size("_s"))).alias("_i")).where(
+        F.forall(F.slice("_s", F.col("_i") + 1, F.size("_s")), lambda x: F.contains(x, F.lit("="))))
+    files = files.select("_file", F.array_join(F.slice("_s", F.lit(1), F.col("_i")), "/").alias("_at"))
     at = found.distinct().withColumn("_at", bare(F.col("uri")))
-    return each.join(at, "_at").select("shortcutPath", "shortcutName", "_row.*")
+    owned = files.join(at, "_at").select("_file", "shortcutPath", "shortcutName")
+    rows = data.select(F.struct(*data.columns).alias("_row"), file.alias("_file"))
+    return rows.join(owned, "_file").select("shortcutPath", "shortcutName", "_row.*")

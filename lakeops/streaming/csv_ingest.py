@@ -2,7 +2,8 @@
 
 New files under ``source`` are picked up by the file stream source (its checkpoint
 remembers which files were seen). Each micro-batch applies the same rule as the batch
-operator: a file with any malformed row is skipped whole, the others are appended.
+operator: a file with any malformed row, or whose header names other columns or the same in another
+order, is skipped whole, the others are appended.
 
 Every micro-batch writes to folders named by its batch id with ``overwrite``, so a batch
 replayed after a failure (lost executor, restarted driver) rewrites the same output
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakeops.sources.csv_table import CORRUPT, skip_bad_files
+from lakeops.sources.csv_table import CORRUPT, skip_bad_files, wrong_headers
 
 
 def csv_ingest_stream(spark: SparkSession, source: str, schema: StructType | str, target: str,
@@ -46,7 +47,13 @@ def csv_ingest_stream(spark: SparkSession, source: str, schema: StructType | str
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         stage = f"{stage_root}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(stage)
-        good = skip_bad_files(batch.sparkSession.read.parquet(stage), schema)
+        session = batch.sparkSession
+        staged = session.read.parquet(stage)
+        if use_first_row_as_header:  # of this batch's files, whose names the file source holds as well
+            files = [r["_file"] for r in staged.select("_file").distinct().toLocalIterator()]
+            if files:
+                staged = staged.join(wrong_headers(session, files, schema, delimiter, False), "_file", "left_anti")
+        good = skip_bad_files(staged, schema)
         good.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{ckpt}/state")
