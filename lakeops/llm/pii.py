@@ -2,12 +2,14 @@
 
 The rules give the base spans. The network reads overlapping windows of characters and tags each
 character (outside, begin or inside of a kind); it is trained from labelled spans and their
-disguised twins (a phone number without its plus, a card number with dots, an address with blanks
-around the at sign). Its windows are decoded by Viterbi and reconciled over the whole text: every
-character takes its tag from the window in which it lies most centrally.
-
-Every kind contains a digit or an at sign, so windows with neither are all "outside" without
-being computed; whole texts are covered.
+disguised twins, which the rules miss: an address whose at sign and dots are spelt out or set apart, a
+phone number without its plus, numbers with other separators. Its windows are decoded by Viterbi and
+reconciled over the whole text: every character takes its tag from the window in which it lies most
+centrally. Where a span lies and of what kind it is, the network decides; a span is only dropped
+when its content cannot be of that kind (check digits, ranges, an address without a host).
+
+Every kind holds a digit, an at sign or the word "at"; windows without any of these have no span
+and are not computed. Whole texts are covered.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and the step between windows.
 WINDOW, STEP = 96, 48
 #: Most labelled windows that the fit reads (those with the smallest hashes).
-MAX_WINDOWS = 1_500
-HIDDEN = 16
+MAX_WINDOWS = 2_500
+HIDDEN = 24
 
 # ---- base rules ---------------------------------------------------------------------------
 
@@ -35,6 +38,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_AT_WORD = re.compile(r"(?<![A-Za-z])at(?![A-Za-z])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -102,12 +106,19 @@ def tags_of(length: int, spans) -> np.ndarray:
     return y
 
 
-def window_starts(x: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an at sign."""
-    n = max(1, -(-(len(x) - (WINDOW - STEP)) // STEP))
-    marks = np.concatenate(([0], np.cumsum((x == 0) | (x == 5))))
+def marks_of(x: np.ndarray, text: str) -> np.ndarray:
+    """Which characters are a digit, an at sign or the beginning of the word "at"."""
+    out = (x == 0) | (x == 5)
+    out[[m.start() for m in _AT_WORD.finditer(text)]] = True
+    return out
+
+
+def window_starts(marks: np.ndarray) -> np.ndarray:
+    """Starts of the windows that hold a mark."""
+    n = max(1, -(-(len(marks) - (WINDOW - STEP)) // STEP))
+    so_far = np.concatenate(([0], np.cumsum(marks)))
     start = np.arange(n) * STEP
-    return start[marks[np.minimum(start + WINDOW, len(x))] > marks[start]]
+    return start[so_far[np.minimum(start + WINDOW, len(marks))] > so_far[start]]
 
 
 def _padded(x: np.ndarray, start: int, fill: int) -> np.ndarray:
@@ -233,34 +244,55 @@ class Tagger:
         return np.stack(out[::-1], 1).astype(np.int8)
 
 
+#: How disguised twins write an at sign, a dot of an address, and what stands between groups of digits.
+AT_FORMS = (" @ ", " at ", " (at) ", "(at)", "[at]", " [at] ", " AT ", "@ ", " @")
+DOT_FORMS = (".", " dot ", " (dot) ", "[.]", " . ", "(dot)", "[dot]")
+_NAME_PARTS = ("an", "Bo", "mar", "li", "sen", "tor", "jo", "k", "ev", "ri", "dan", "Su", "web", "post", "7", "42", "x", "19")
+_ENDS = ("com", "org", "net", "de", "io", "info", "co")
+GAPS = (" ", ".", "-", "/", " - ", "_", "  ", ". ")
+
+
+def disguised(kind: int, s: str, rng) -> str:
+    """The data of a span in a form that the rules do not know."""
+    pick = lambda forms: forms[rng.integers(len(forms))]
+    d = _digits(s)
+    if kind == 0:
+        left, _, host = s.rpartition("@")
+        if rng.integers(2):  # other names, so that those of the rules' addresses are not learnt by heart
+            name = lambda: "".join(pick(_NAME_PARTS) for _ in range(rng.integers(1, 4)))
+            left, host = name() + pick(("", ".", "_", "-")) + name(), ".".join([name() for _ in range(rng.integers(1, 3))] + [pick(_ENDS)])
+        return left + pick(AT_FORMS) + host.replace(".", pick(DOT_FORMS))
+    if kind == 1:
+        return pick((" . ", "[.]", ". ", "-", " dot ", ",", "/")).join(s.split("."))
+    if kind == 2:
+        return pick([g for g in GAPS if g not in (" ", "-")]).join(d[i:i + 4] for i in range(0, len(d), 4))
+    cut, gap = 1 + rng.integers(3), pick(GAPS)
+    rest = d[cut:]
+    return pick(("", "00", "(0)")) + d[:cut] + gap + gap.join(rest[i:i + 3] if len(rest) - i != 4 else rest[i:] for i in range(0, len(rest) - (len(rest) % 3 == 1), 3))
+
+
 def disguise(text: str, spans, rng) -> tuple[str, list]:
     """A twin of a labelled text whose spans are written differently; the labels move along."""
-    out, moved, at = [], [], 0
+    out, moved, at, size = [], [], 0, 0
     for start, kind, end in sorted(spans):
         if start < at:
             continue
-        s = text[start:end]
-        if kind == 0:
-            s = s.replace("@", " @ ")
-        elif kind == 3:
-            s = s[1:].replace(" ", rng.choice([" ", "-", "."]))
-        elif kind == 2:
-            d = _digits(s)
-            s = rng.choice([".", "/"]).join(d[i:i + 4] for i in range(0, len(d), 4))
+        s = disguised(kind, text[start:end], rng)
         out += [text[at:start], s]
-        begin = sum(map(len, out)) - len(s)
-        moved.append((begin, kind, begin + len(s)))
-        at = end
+        size += start - at
+        moved.append((size, kind, size + len(s)))
+        size, at = size + len(s), end
     out.append(text[at:])
     return "".join(out), moved
 
 
-def train(texts: list[str], spans: list[list], steps: int = 250, batch: int = 64, seed: int = 3) -> Tagger:
-    """Fit on texts with labelled (start, kind number, end) spans."""
+def train(texts: list[str], spans: list[list], steps: int = 600, batch: int = 64, seed: int = 3) -> Tagger:
+    """Fit on texts with labelled (start, kind number, end) spans, each with four disguised twins."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for text, labels in zip(texts, spans):
-        for t, s in ((text, labels), disguise(text, labels, rng)):
+        twins = [disguise(text, labels, rng) for _ in range(4)] if labels else []
+        for t, s in ((text, labels), *twins):
             x = codes(t)
             y = tags_of(len(x), s)
             xs.append(_padded(x, 0, 4))
@@ -273,16 +305,15 @@ def train(texts: list[str], spans: list[list], steps: int = 250, batch: int = 64
     return net
 
 
-def _shape_ok(kind: int, s: str) -> bool:
-    """What a found span must look like besides passing its kind's check."""
+def plausible(kind: int, s: str) -> bool:
+    """Whether what a found span holds can be of its kind, however it is written."""
     if kind == 0:
-        left, at, right = s.partition("@")
-        return bool(at and re.fullmatch(r"[A-Za-z0-9._%+-]+ ?", left) and re.fullmatch(r" ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", right))
+        bare = re.sub(r"\s+", "", re.sub(r"\s*[\[(]?\s*(?<![A-Za-z])dot(?![A-Za-z])\s*[\])]?\s*|\s*\[?\.\]?\s*", ".", _AT_WORD.sub("@", s), flags=re.I))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+[\[(]?@[\])]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", bare))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", s))
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ ./-]?[0-9])+", s))
-    return bool(re.fullmatch(r"\+?[0-9(][ ().0-9-]*[0-9]", s)) and len(re.findall(r"[ ().-]+", s)) >= 2
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return not re.search("[A-Za-z]", s) and valid(KINDS[kind], s)
 
 
 def found_spans(text: str, x: np.ndarray, starts: np.ndarray, tags: np.ndarray, base) -> list[tuple[int, int, int]]:
@@ -301,7 +332,7 @@ def found_spans(text: str, x: np.ndarray, starts: np.ndarray, tags: np.ndarray,
             e += 1
         s = text[b:e]
         lone = not (b and text[b - 1].isalnum()) and not (e < n and text[e].isalnum())
-        if lone and _shape_ok(kind, s) and valid(KINDS[kind], s) and all(e <= a or b >= z for a, _, z in base):
+        if lone and plausible(kind, s) and all(e <= a or b >= z for a, _, z in base):
             out.append((int(b), kind, e))
     return out
 
@@ -309,10 +340,11 @@ def found_spans(text: str, x: np.ndarray, starts: np.ndarray, tags: np.ndarray,
 # ---- Spark ----------------------------------------------------------------------------------
 
 def _marked(texts: pa.Array) -> np.ndarray:
-    """Which rows hold a digit or an at sign."""
+    """Which rows hold a digit, an at sign or the word "at"."""
     flat, ends = raw_bytes(texts)
     marks = np.concatenate(([0], np.cumsum(((flat >= 48) & (flat <= 57)) | (flat == 64))))
-    return np.diff(marks[ends], prepend=0) > 0
+    word = pc.fill_null(pc.match_substring_regex(texts, r"(?i)(?:^|[^a-z])at(?:[^a-z]|$)"), False)
+    return (np.diff(marks[ends], prepend=0) > 0) | np.asarray(word)
 
 
 def _labelled(batches):
@@ -322,7 +354,7 @@ def _labelled(batches):
         for i in np.flatnonzero(_marked(b["text"])):
             text = b["text"][int(i)].as_py()
             spans, x = base_spans(text), codes(text)
-            for s in window_starts(x):
+            for s in window_starts(marks_of(x, text)):
                 own = [(a - s, k, z - s) for a, k, z in spans if a >= s and z <= s + WINDOW]
                 if len(own) == sum(a < s + WINDOW and z > s for a, _, z in spans):  # no span cut by the edge
                     texts.append(text[s:s + WINDOW])
@@ -331,9 +363,13 @@ def _labelled(batches):
 
 
 def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, text_col: str = "text") -> Tagger | None:
-    """Train on at most ``max_windows`` windows of ``docs``, labelled by the base rules; None if there are none."""
+    """Train on windows of ``docs`` labelled by the base rules; None if there are none.
+
+    At most ``max_windows`` distinct windows are read, half of them with a span (bounded samples by hash).
+    """
     rows = docs.select(text_of(docs, text_col).alias("text")).mapInArrow(_labelled, "window string, labels string")
-    got = hash_sample(stage(rows.distinct(), "pii-windows"), ["window", "labels"], max_windows).collect()
+    rows, half = stage(rows.distinct(), "pii-windows"), max_windows // 2
+    got = [r for some in ("labels <> ''", "labels = ''") for r in hash_sample(rows.filter(some), ["window", "labels"], half).collect()]
     if not got:
         return None
     spans = [[tuple(map(int, s.split(":"))) for s in r["labels"].split(",")] if r["labels"] else [] for r in got]
@@ -367,7 +403,7 @@ def find_pii(docs: DataFrame, net: Tagger | None = None, id_col: str = "doc_id",
                     more = []
                     if model:
                         x = codes(text)
-                        starts = window_starts(x)
+                        starts = window_starts(marks_of(x, text))
                         tags = [own.decode(np.stack([_padded(x, s, 4) for s in starts[j:j + 512]])) for j in range(0, len(starts), 512)]
                         more = found_spans(text, x, starts, np.concatenate(tags), base[i])
                     every[i] = sorted(base[i] + more)
