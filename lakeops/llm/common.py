@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -19,6 +21,15 @@ U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the worker process.
+
+    Task functions travel by value, so a dictionary among their globals would be a new one for each task.
+    """
+    name = "lakeops_worker_state"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
@@ -28,7 +39,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = work_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once all that reads it is stored itself."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(df: DataFrame) -> int:

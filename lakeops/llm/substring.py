@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, gram_hashes, in_bitmap, mix, numbered, parts, ranges, slices, stage, within_rows, word_hashes
+from .common import U64, bitmap_of, discard, gram_hashes, in_bitmap, mix, numbered, parts, ranges, slices, stage, within_rows, word_hashes
 
 #: Words of the runs among which a window's anchor is chosen.
 RUN = 11
@@ -129,13 +129,13 @@ def _factor_batch(row, start, n, source, window):
         names=["row_key", "start", "n_words", "source"])
 
 
-def factors(rows: DataFrame, window: int = 35) -> DataFrame:
+def factors(rows: DataFrame, window: int = 35, scratch: list[DataFrame] | None = None) -> DataFrame:
     """The duplicate factors of ``rows(row_key, text)``: row_key, start, n_words and source (another
     place with the same words).
 
     row_key is a number of the row's own, text is not null, and the rows are read several times (see
     `common.numbered`). A place is a hash of the row's number plus the word position. Every factor
-    has at least ``window`` words.
+    has at least ``window`` words. The stored tables that the result reads are added to ``scratch``.
     """
     if window <= RUN:
         raise ValueError(f"window must be over {RUN} words")
@@ -155,6 +155,8 @@ def factors(rows: DataFrame, window: int = 35) -> DataFrame:
               .select("row_key", "start", "n", F.when(place == F.col("first"), F.col("other")).otherwise(F.col("first")).alias("source")))
 
     # Factor boundaries: windows of entries whose anchor has several entries, each entry once.
+    if scratch is not None:
+        scratch += [index, entries]
     several = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     open_entries = entries.join(several, "anchor", "left_semi")
     windows = (index.filter(F.size("windows") > 0).select("anchor", "entry", "row_key", "start", "windows")
@@ -163,6 +165,8 @@ def factors(rows: DataFrame, window: int = 35) -> DataFrame:
                .select("h", "row_key", (F.col("start") + F.col("i")).alias("start"),
                        (F.col("first") + F.col("i")).alias("place"), (F.col("first") == F.col("other")).alias("single")))
     windows = stage(windows, "boundary-windows")
+    if scratch is not None:
+        scratch.append(windows)
     held = windows.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b")
     straddling = (windows.filter("single").join(held, "h")
                   .select("row_key", "start", F.lit(1).alias("n"), F.when(F.col("place") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("source")))
@@ -198,16 +202,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = numbered(docs, id_col, text_col).select("doc_id", "text", "row_key")
-    found = factors(rows, window)
+    scratch: list[DataFrame] = []
+    found = factors(rows, window, scratch)
     spans = stage(found.groupBy("row_key").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "spans")
+    discard(*scratch)  # the factors are in the spans
     kind = rows.schema["doc_id"].dataType.simpleString()
-    bits = spark.sparkContext.broadcast(bitmap_of(spans, "row_key", ROWS_LOG2))
+    spot = F.xxhash64("row_key").alias("spot")  # numbers of rows are alike in their low bits
+    bits = spark.sparkContext.broadcast(bitmap_of(spans.select(spot), "spot", ROWS_LOG2))
 
     def with_bit(wanted):
         def keep(batches):
             for b in batches:
-                yield b.filter(pa.array(in_bitmap(bits.value, np.asarray(b["row_key"])) == wanted))
-        return rows.mapInArrow(keep, f"doc_id {kind}, text string, row_key long")
+                yield b.filter(pa.array(in_bitmap(bits.value, np.asarray(b["spot"])) == wanted))
+        return rows.select("*", spot).mapInArrow(keep, f"doc_id {kind}, text string, row_key long, spot long")
 
     # Documents that surely have no factor stay in their tasks; the others meet their spans.
     meet = with_bit(True).join(spans, "row_key", "left").select("doc_id", "text", "spans")
