@@ -191,13 +191,14 @@ def row_overlaps(rows: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     hits = stage(hits.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "diagonal", "n_words")).alias("hits")), "seed-hits")
 
     # Only candidate documents travel: their row keys, again as a bitmap of fixed size, cut the scan.
-    rows_hit = spark.sparkContext.broadcast(bitmap_of(hits, "row_key", LOG2_BITS))
+    spot = F.xxhash64("row_key").alias("spot")  # numbers of rows are alike in their low bits
+    rows_hit = spark.sparkContext.broadcast(bitmap_of(hits.select(spot), "spot", LOG2_BITS))
 
     def candidates(batches):
         for b in batches:
-            yield b.filter(pa.array(in_bitmap(rows_hit.value, np.asarray(b["row_key"]))))
+            yield b.filter(pa.array(in_bitmap(rows_hit.value, np.asarray(b["spot"]))))
 
-    near = rows.mapInArrow(candidates, "row_key long, id long, text string").join(hits, "row_key")
+    near = rows.select("*", spot).mapInArrow(candidates, "row_key long, id long, text string, spot long").join(hits, "row_key")
     cut = near.select("row_key", "id", "text", "hits").mapInArrow(_cut, "row_key long, doc_id long, item_id long, diagonal int, doc_words binary")
     words = stage(items.select("id", "text").mapInArrow(_words, "item_id long, item_words binary"), "item-words")
     pairs = cut.join(words, cut["item_id"].eqNullSafe(words["item_id"])).drop(words["item_id"])
