@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import text_of, worker_state
 
 #: Tokens of one window of documents, packed together inside a task.
 WINDOW_TOKENS = 2 << 20
@@ -83,14 +83,12 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    known = worker_state().setdefault("encoders", {})
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import flat, ranges, raw_bytes, rebatch, text_of
+from .common import flat, ranges, raw_bytes, rebatch, text_of, worker_state
 
 MARK = "▁"
 #: Bytes of text whose distinct marked words make one table.
@@ -24,8 +24,6 @@ BLOCK_BYTES = 16 << 20
 #: Ids decoded by one call.
 DECODE_IDS = 200_000
 
-_MODELS: dict[str, "Model"] = {}
-
 #: Texts that show what a model's normaliser does; each must come back marked, and otherwise as it is.
 _PROBES = ("a", " a", "a  b ", "  ", "\t\n\r\x0b", "Å Å", "ﬁ ①", "　 ​﻿", "Ａ가", "\x00\x7f")
 
@@ -51,9 +49,10 @@ class Model:
 
 def model(path: str) -> Model:
     """One model per worker process and file."""
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    known = worker_state().setdefault("pieces", {})
+    if path not in known:
+        known[path] = Model(path)
+    return known[path]
 
 
 def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
