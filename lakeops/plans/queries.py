@@ -16,6 +16,7 @@ from lakeops.functions.text import last_segment
 from lakeops.operators import access
 from lakeops.operators import hierarchy as H
 from lakeops.operators import links as L
+from lakeops.operators import mounts as M
 from lakeops.operators import nested as N
 from lakeops.operators import paging
 from lakeops.operators import paths as P
@@ -979,6 +980,49 @@ def q_mount_read(spark, sf_dir):
     return SRC.mount_shortcuts(spark, shortcuts).select("shortcutPath", "shortcutName", "c_custkey", "c_name")
 
 
+# --------------------------------------------------------------------------- shortcuts below shortcuts
+
+
+_MOUNT_CTES = f"""
+WITH RECURSIVE page_paths AS ({O.PAGE_PATHS}),
+  hosts AS (SELECT DISTINCT string_split(path, '/')[3] AS host FROM page_paths),
+  mounts AS (SELECT 'pages/Files/m1/' || host AS mount, 'pages/Files/' || host AS target FROM hosts
+             UNION ALL VALUES ('pages/Files/m2', 'pages/Files/m1'), ('pages/Files/m3/deep', 'pages/Files/m2'),
+                              ('pages/Files/loop/a', 'pages/Files/loop/b/x'), ('pages/Files/loop/b', 'pages/Files/loop/a')),
+"""
+
+
+@query("q_resolve_shortcuts", _MOUNT_CTES + """
+  asked AS (SELECT replace(path, 'pages/Files/', p) AS path FROM page_paths,
+            (VALUES ('pages/Files/m3/deep/'), ('pages/Files/m2/'), ('pages/Files/'), ('pages/Files/loop/a/')) AS v(p)),
+  walk(path, spot, hops) AS (
+    SELECT DISTINCT path, path, 0 FROM asked
+    UNION ALL SELECT w.path, m.target || substring(w.spot, length(m.mount) + 1), w.hops + 1
+    FROM walk w JOIN mounts m ON starts_with(w.spot || '/', m.mount || '/') WHERE w.hops < 20),
+  last AS (SELECT path, max(hops) AS hops, arg_max(spot, hops) AS spot FROM walk GROUP BY path)
+SELECT path, CASE WHEN hops < 20 THEN spot END AS resolved, CAST(CASE WHEN hops < 20 THEN hops ELSE 2 END AS INTEGER) AS hops, hops >= 20 AS loop
+FROM last
+""")
+def q_resolve_shortcuts(spark, sf_dir):
+    """resolve_paths: every page as seen through no, two and three shortcuts below each other, and
+    through two that lead into each other."""
+    paths = S.pages_files(_t(spark, sf_dir, "pages")).select(F.col("name").alias("path"))
+    seen = [F.replace("path", F.lit("pages/Files/"), F.lit(f"pages/Files/{p}")) for p in ("m3/deep/", "m2/", "", "loop/a/")]
+    return M.resolve_paths(paths.select(F.explode(F.array(*seen)).alias("path")), S.page_mounts(paths))
+
+
+@query("q_nested_mounts", _MOUNT_CTES.rstrip().rstrip(",") + """
+SELECT mount AS shortcutPath, target AS targetRoot, 1 AS depth, false AS loop FROM mounts WHERE starts_with(mount, 'pages/Files/m1/')
+UNION ALL VALUES ('pages/Files/m2', 'pages/Files/m1', 1, false), ('pages/Files/m3/deep', 'pages/Files/m1', 1, false),
+                 ('pages/Files/loop/a', NULL, 1, true), ('pages/Files/loop/b', NULL, 1, true)
+UNION ALL SELECT p || host, 'pages/Files/' || host, 2, false FROM hosts, (VALUES ('pages/Files/m2/'), ('pages/Files/m3/deep/')) AS v(p)
+""")
+def q_nested_mounts(spark, sf_dir):
+    """nested_mounts: every place where a shortcut to a host's pages can be seen."""
+    paths = S.pages_files(_t(spark, sf_dir, "pages")).select(F.col("name").alias("path"))
+    return M.nested_mounts(S.page_mounts(paths))
+
+
 # --------------------------------------------------------------------------- paging
 
 

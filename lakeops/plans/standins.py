@@ -53,6 +53,15 @@ def pages_listing(pages: DataFrame) -> DataFrame:
     return files.unionByName(dirs)
 
 
+def page_mounts(paths: DataFrame) -> DataFrame:
+    """``mount, target``: a mount for each host's folder, two above these, and two that lead into each other."""
+    hosts = paths.select(F.get(F.split("path", "/", -1), 2).alias("host")).distinct()
+    own = hosts.select(F.concat(F.lit("pages/Files/m1/"), "host").alias("mount"), F.concat(F.lit("pages/Files/"), "host").alias("target"))
+    more = [("m2", "m1"), ("m3/deep", "m2"), ("loop/a", "loop/b/x"), ("loop/b", "loop/a")]
+    return own.unionByName(paths.sparkSession.createDataFrame(
+        [(f"pages/Files/{m}", f"pages/Files/{t}") for m, t in more], "mount string, target string"))
+
+
 def _perm(attr: str, values):
     return F.struct(F.lit(attr).alias("attributeName"),
                     values.alias("attributeValueIncludedIn"))
