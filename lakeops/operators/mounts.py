@@ -47,18 +47,18 @@ def resolve_paths(paths: DataFrame, mounts: DataFrame, path_col: str = "path", m
         heads = moving.select("path", "at", F.explode(F.sequence(F.lit(1), F.size(segs))).alias("n"))
         heads = heads.select("path", "n", F.array_join(F.slice(F.split("at", "/", -1), F.lit(1), F.col("n")), "/").alias("_mount"))
         hit = heads.join(known, "_mount").groupBy("path").agg(F.max(F.struct("n", "_mount", "_target")).alias("hit"))
-        behind = F.size(segs) - F.col("hit.n")
-        rest = F.slice(segs, F.col("hit.n") + 1, F.greatest(behind, F.lit(0)))
-        left = F.filter("trail", lambda t: t["behind"] <= behind)  # what later uses have not eaten
-        stepped = moving.join(hit, "path", "left").select(
-            "path", "hops", F.col("hit").isNull().alias("still"), F.col("at").alias("was"),
-            F.concat_ws("/", F.col("hit._target"), F.when(behind > 0, F.array_join(rest, "/"))).alias("at"),
-            F.coalesce(F.exists(left, lambda t: t["mount"] == F.col("hit._mount")), F.lit(False)).alias("loop"),
-            F.concat(left, F.array(F.struct(F.col("hit._mount").alias("mount"), behind.alias("behind")))).alias("trail"))
-        stepped = materialize(stepped)
-        ended.append(stepped.where("still or loop").select(
-            "path", F.when(~F.col("loop"), F.col("was")).alias("resolved"), "hops", "loop"))
-        moving = stepped.where("not still and not loop").select("path", "at", (F.col("hops") + 1).alias("hops"), "trail")
+        hit = materialize(hit.select("path", "hit.*"))
+        ended.append(moving.join(hit, "path", "left_anti").select("path", F.col("at").alias("resolved"), "hops", F.lit(False).alias("loop")))
+        met = moving.join(hit, "path").withColumn("behind", F.size(segs) - F.col("n"))
+        rest = F.slice(segs, F.col("n") + 1, F.col("behind"))
+        # What later uses have eaten from leaves the stack.
+        again = F.exists("trail", lambda t: (t["behind"] <= F.col("behind")) & (t["mount"] == F.col("_mount")))
+        left = F.filter("trail", lambda t: t["behind"] <= F.col("behind"))
+        stepped = materialize(met.select(
+            "path", "hops", F.concat_ws("/", "_target", F.when(F.col("behind") > 0, F.array_join(rest, "/"))).alias("to"),
+            again.alias("loop"), F.concat(left, F.array(F.struct(F.col("_mount").alias("mount"), "behind"))).alias("stack")))
+        ended.append(stepped.where("loop").select("path", F.lit(None).cast("string").alias("resolved"), "hops", "loop"))
+        moving = stepped.where("not loop").select("path", F.col("to").alias("at"), (F.col("hops") + 1).alias("hops"), F.col("stack").alias("trail"))
         if moving.isEmpty():
             break
     out = ended[0]
