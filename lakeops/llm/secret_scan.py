@@ -1,10 +1,13 @@
 """Secret scan with DataFrame functions and a random forest that removes false positives.
 
-A finding is a run of at least 16 token characters with a digit in it. The forest sees its
-length, its transitions between kinds of characters, how much of it is dictionary words (words
+A finding is a run of at least 16 token characters with a digit in it, or the value (of 6
+characters or more, with any marks) of an assignment to a name such as password or token. The forest
+sees its length, its transitions between kinds of characters, how much of it is dictionary words (words
 of the corpus itself), the document's path and the neighbouring words. It is trained from
-labelled findings; where there is no labelled table, `rule_labels` labels those findings whose
-form or surroundings settle the matter and leaves the others to the forest.
+labelled findings. Where there is no labelled table, `rule_labels` labels those findings whose
+form or surroundings settle the matter; the forest then does without the features that these
+rules read before a finding, so it learns what secrets look like and judges values outside
+assignments, and harmless ones inside, by that.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 from .common import hash_sample, stage, text_of
 
 _TOKEN = "[A-Za-z0-9+/_-]"
-#: Anchored at a run's start, so that a long run is tried once.
-FINDING = f"(?<!{_TOKEN})(?=[A-Za-z+/_-]*[0-9]){_TOKEN}{{16,}}"
+#: A run, anchored at its start, so that a long one is tried once.
+RUN = f"(?<!{_TOKEN})(?=[A-Za-z+/_-]*[0-9]){_TOKEN}{{16,}}"
+#: What is assigned to a secret's name: the beginning is looked for right behind the assignment.
+ASSIGNED = (r"(?<=[:=\s\"'])(?<=(?:[Pp]ass(?:word|wd)?|PASS(?:WORD|WD)?|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)"
+            r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"',;<>]{6,}")
+FINDING = f"{ASSIGNED}|{RUN}"
 #: Characters of text kept on either side of a finding.
 BESIDE = 48
 #: Most distinct findings of each label that the fit reads (those with the smallest hashes).
@@ -88,6 +95,7 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
         "f_secret_words": F.concat_ws(" ", "before", "after").rlike(_SOFT_WORDS).cast("double"),
         "f_number_words": F.concat_ws(" ", "before", "after").rlike(_NUMBER_WORDS).cast("double"),
         "f_words_beside": F.regexp_count(F.concat_ws(" ", "before", "after"), F.lit(r"\p{L}{2,}")).cast("double"),
+        "f_words_after": F.regexp_count("after", F.lit(r"\p{L}{2,}")).cast("double"),
         "f_path_test": F.col("path").rlike(_TEST_PATH).cast("double"),
         "f_path_digits": F.regexp_count("path", F.lit("[0-9]")).cast("double"),
         "f_path_length": F.length("path").cast("double"),
@@ -100,6 +108,10 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
     return out.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in cols.items()}).drop("covered"), list(cols)
 
 
+#: The features that `rule_labels` decides by, or that say nearly the same.
+RULE_FEATURES = ("f_key_before", "f_assigned", "f_quoted", "f_secret_words", "f_words_beside")
+
+
 def _luhn(digits):
     """Whether a string of digits passes the check-digit rule."""
     at = F.sequence(F.lit(1), F.length(digits))
@@ -112,8 +124,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
     """``found`` with a column label: 1 secret, 0 harmless, null undecided.
 
     Secret: a provider's form (fixed prefixes) or the value of an assignment to a name such as
-    password or token, unless it is a placeholder. Harmless: numbers with a right check digit,
-    UUIDs, placeholders, and runs of letters closed by few digits.
+    password or token, unless it is a placeholder or letters of one case alone. Harmless: numbers with a
+    right check digit, UUIDs, placeholders, and runs of letters closed by few digits.
     """
     f = F.col("finding")
     provider = f.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{35}$|^sk_live_")
@@ -122,7 +134,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
     number = f.rlike("^[0-9]{12,19}$")
     prose = f.rlike("^[A-Za-z]{12,}[0-9]{1,4}$") | f.rlike(r"^[a-z]+([_/-][a-z]+)+[_/-]?[0-9]{1,4}$")
     harmless = placeholder | uuid | (number & _luhn(F.when(number, f).otherwise("0"))) | prose
-    secret = provider | F.col("before").rlike(_KEY_BEFORE)
+    mixed = ~f.rlike("^([a-z]+|[A-Z]+|[A-Z][a-z]+)[.!?:]*$")
+    secret = provider | (F.col("before").rlike(_KEY_BEFORE) & mixed)
     return found.withColumn("label", F.when(harmless, 0.0).when(secret, 1.0))
 
 
@@ -149,7 +162,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     """All findings of all documents: doc_id, start, end, finding, score, is_secret.
 
     ``labelled`` is a table like that of `findings` with a column label; without it the rules
-    label the corpus's own findings. Without both labels among them every finding scores 1, as
+    label the corpus's own findings, and the forest judges all of them without RULE_FEATURES. Without both labels among them every finding scores 1, as
     nothing is known to remove. Null and empty texts have no findings; null ids and paths are
     kept as they are; repeated rows are answered each; an empty table gives an empty result;
     other columns are ignored, whatever their names.
@@ -157,7 +170,10 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     found = stage(findings(docs, id_col, text_col, path_col), "findings")
     full, names = with_features(found, docs, text_col)
     full = stage(full, "finding-features")
-    given = rule_labels(full) if labelled is None else with_features(labelled, docs, text_col)[0]
+    if labelled is None:
+        given, names = rule_labels(full), [n for n in names if n not in RULE_FEATURES]
+    else:
+        given = with_features(labelled, docs, text_col)[0]
     model = train(given, names)
     if model is None:
         score = F.lit(1.0)
