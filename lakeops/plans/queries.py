@@ -17,6 +17,7 @@ from lakeops.operators import access
 from lakeops.operators import hierarchy as H
 from lakeops.operators import links as L
 from lakeops.operators import mounts as M
+from lakeops.operators import name_index
 from lakeops.operators import nested as N
 from lakeops.operators import paging
 from lakeops.operators import paths as P
@@ -116,6 +117,16 @@ def q_name_search(spark, sf_dir):
                             ).select("p_partkey", "p_name", "p_type")
 
 
+@query("q_name_index", """
+SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'red')
+""")
+def q_name_index(spark, sf_dir):
+    """search_names: parts found by name through a stored trigram index."""
+    at = SRC.staging_path(spark, "name-index")
+    name_index.build_name_index(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name", at)
+    return name_index.search_names(spark, at, "RED")
+
+
 @query("q_equals_filter", """
 SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#7' AND contains(p_name, 'ing')
 """)
