@@ -141,20 +141,21 @@ def patch_rows(base: DataFrame, patches: DataFrame, key: str | Sequence[str],
 def _free_names(requests: DataFrame, existing: DataFrame, req_id: str) -> DataFrame:
     """``requests`` with ``_free``: for a wanted ``_base`` name the first of ``_base, _base_2,
     _base_3, ...`` that is free in its path; null where nothing is wanted."""
-    taken = existing.select("path", "name").unionByName(requests.select("path", "name")).distinct()
+    # A name of the table or of a request blocks itself as the first choice, and <x>_<k>, also a wanted
+    # one, blocks choice k of <x>: both from one pass over all names.
     wanted = requests.where(F.col("_base").isNotNull())
-    # A taken name blocks itself as the first choice, and <x>_<k> blocks choice k of <x>.
-    numbered = taken.unionByName(wanted.select("path", F.col("_base").alias("name"))).select(
-        "path", F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 1).alias("_base"),
-        F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 2).alias("k")).where("k <> ''")
-    blocked = (taken.select("path", F.col("name").alias("_base"), F.lit(1).alias("k"))
-               .unionByName(numbered.select("path", "_base", F.col("k").cast("int")))
-               .join(wanted.select("path", "_base").distinct(), ["path", "_base"], "left_semi")
-               .groupBy("path", "_base").agg(F.collect_set("k").alias("_ks")))
+    names = (existing.select("path", "name", F.lit(True).alias("own")).unionByName(requests.select("path", "name", F.lit(True).alias("own")))
+             .unionByName(wanted.select("path", F.col("_base").alias("name"), F.lit(False).alias("own"))).distinct())
+    number = F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 2)
+    first = F.when(F.col("own"), F.struct(F.col("name").alias("_base"), F.lit(1).alias("k")))
+    later = F.when(number != "", F.struct(F.regexp_extract("name", r"^(.*)_([0-9]{1,9})$", 1).alias("_base"), number.cast("int").alias("k")))
+    choices = names.select("path", F.explode(F.array(first, later)).alias("c")).where("c is not null").select("path", "c.*")
     # Requests that want the same name (only possible with text ids) take turns.
-    turn = F.array_position(F.array_sort("_ids"), F.col(req_id)).cast("int")
     turns = wanted.groupBy("path", "_base").agg(F.collect_list(req_id).alias("_ids"))
-    j = requests.join(blocked, ["path", "_base"], "left").join(turns, ["path", "_base"], "left")
+    turn = F.array_position(F.array_sort("_ids"), F.col(req_id)).cast("int")
+    blocked = turns.join(choices, ["path", "_base"], "left").groupBy("path", "_base").agg(
+        F.collect_set("k").alias("_ks"), F.first("_ids").alias("_ids"))
+    j = requests.join(blocked, ["path", "_base"], "left")
     ks = F.coalesce("_ks", F.array().cast("array<int>"))
     free = F.array_except(F.sequence(F.lit(1), F.size(ks) + F.size("_ids")), ks)
     k = F.element_at(free, turn)
