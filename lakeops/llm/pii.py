@@ -30,6 +30,8 @@ WINDOW, STEP = 96, 48
 #: Most labelled windows that the fit reads (those with the smallest hashes).
 MAX_WINDOWS = 2_500
 HIDDEN = 24
+#: Windows that are decoded at once.
+DECODED = 512
 
 # ---- base rules ---------------------------------------------------------------------------
 
@@ -163,7 +165,8 @@ class Tagger:
         out, trail = np.zeros((x.shape[1], n, h), np.float32), []
         for t in range(x.shape[1]):
             z = p[f"wx{d}"][x[:, t]] + state @ p[f"wh{d}"] + p[f"b{d}"]
-            i, f, o, g = _sig(z[:, :h]), _sig(z[:, h:2 * h]), _sig(z[:, 2 * h:3 * h]), np.tanh(z[:, 3 * h:])
+            gates, g = _sig(z[:, :3 * h]), np.tanh(z[:, 3 * h:])
+            i, f, o = gates[:, :h], gates[:, h:2 * h], gates[:, 2 * h:]
             before, prior = cell, state
             cell = f * cell + i * g
             tc = np.tanh(cell)
@@ -232,17 +235,27 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags of each window, by Viterbi."""
-        e = self.emissions(x)[0]
-        tr, best, back = self.p["tr"] + _BAN, e[0], []
-        for t in range(1, len(e)):
-            s = best[:, :, None] + tr
-            back.append(s.argmax(1))
-            best = e[t] + s.max(1)
-        out = [best.argmax(1)]
-        for b in reversed(back):
-            out.append(b[np.arange(len(b)), out[-1]])
+        best = np.ascontiguousarray(self.emissions(x)[0].transpose(0, 2, 1))  # (time, tag, window)
+        tr = self.p["tr"] + _BAN
+        for t in range(1, len(best)):
+            best[t] += (best[t - 1][:, None] + tr[:, :, None]).max(0)
+        out = [best[-1].argmax(0)]
+        for b in best[-2::-1]:  # only the way into the chosen tag is looked for again
+            out.append((b + tr[:, out[-1]]).argmax(0))
         return np.stack(out[::-1], 1).astype(np.int8)
 
+    def tags(self, xs: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of the windows of several texts, each at its ``starts``.
+
+        A text has few windows and a step of the network costs little more for hundreds of them, so the
+        windows of all texts are decoded together, DECODED at a time.
+        """
+        ends = np.cumsum([len(s) for s in starts])
+        flat = np.concatenate([part for x in xs for part in (x, np.full(WINDOW, 4, x.dtype))])
+        at = np.concatenate([s + b for s, b in zip(starts, np.cumsum([0] + [len(x) + WINDOW for x in xs[:-1]]))])
+        found = [self.decode(flat[at[j:j + DECODED, None] + np.arange(WINDOW)]) for j in range(0, len(at), DECODED)]
+        return np.split(np.concatenate([np.zeros((0, WINDOW), np.int8), *found]), ends[:-1])
+
 
 #: How disguised twins write an at sign, a dot of an address, and what stands between groups of digits.
 AT_FORMS = (" @ ", " at ", " (at) ", "(at)", "[at]", " [at] ", " AT ", "@ ", " @")
@@ -397,16 +410,15 @@ def find_pii(docs: DataFrame, net: Tagger | None = None, id_col: str = "doc_id",
         for b in batches:
             base, every = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
             for at, n in slices(b["text"]):
-                for i in np.flatnonzero(_marked(b["text"].slice(at, n))) + at:
-                    text = b["text"][int(i)].as_py()
-                    base[i] = base_spans(text)
-                    more = []
-                    if model:
-                        x = codes(text)
-                        starts = window_starts(marks_of(x, text))
-                        tags = [own.decode(np.stack([_padded(x, s, 4) for s in starts[j:j + 512]])) for j in range(0, len(starts), 512)]
-                        more = found_spans(text, x, starts, np.concatenate(tags), base[i])
-                    every[i] = sorted(base[i] + more)
+                marked = np.flatnonzero(_marked(b["text"].slice(at, n))) + at
+                texts = [b["text"][int(i)].as_py() for i in marked]
+                for i, text in zip(marked, texts):
+                    base[i] = every[i] = base_spans(text)
+                if model and texts:
+                    xs = [codes(text) for text in texts]
+                    starts = [window_starts(marks_of(x, text)) for x, text in zip(xs, texts)]
+                    for i, text, x, s, tags in zip(marked, texts, xs, starts, own.tags(xs, starts)):
+                        every[i] = sorted(base[i] + found_spans(text, x, s, tags, base[i]))
             shape = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
             cols = [pa.array([[{"start": a, "kind": KINDS[k], "end": z} for a, k, z in s] for s in x], shape) for x in (base, every)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "base", "spans"])
