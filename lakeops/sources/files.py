@@ -1,8 +1,7 @@
 """Whole-file reads and one-file-per-row writes.
 
-Reads use Spark's own file sources (``text`` with ``wholetext`` and ``binaryFile``), so
-they split across tasks by file. Writes go through the ``lakefiles`` Python Data Source:
-every row ``(path, content)`` becomes one file below the root, created or truncated.
+Reads use Spark's own ``binaryFile`` source, so they split across tasks by file. Writes go
+through the ``lakefiles`` Python Data Source: every row ``(path, content)`` becomes one file below the root, created or truncated.
 The root may be any URI that pyarrow's file systems know, or the ``s3a://`` and ``wasbs://`` form of
 one, so executors write to the shared store. A file is written under a temporary hidden name and renamed into place, so a retried task
 (after a lost executor) rewrites the same files and never leaves half-written ones.
@@ -15,6 +14,7 @@ import re
 import uuid
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,16 +134,45 @@ def _plain(uri: Column | str) -> Column | str:
     return re.sub("^file:/+", "file:/", uri) if isinstance(uri, str) else F.regexp_replace(uri, "^file:/+", "file:/")
 
 
-def _empty_files(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
+#: Partitions of a scan of whole files that one task reads at most. Spark counts every file as
+#: 4 MB at least, so that a partition of small files holds 32 of them.
+TASK_PARTITIONS = 32
+#: Names of listed files that the JVM hands over at once.
+LISTED_AT_ONCE = 10_000
+
+
+def _whole_files(spark: SparkSession, path: str | list[str], recursive: bool, ignore_corrupt: bool = False) -> DataFrame:
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+            .option("ignoreCorruptFiles", ignore_corrupt).load(path))
+
+
+def _tasks(scan: DataFrame) -> int:
+    """Number of tasks that read ``scan``: many small files a task, but enough tasks for all cores."""
+    return max(8 * scan.sparkSession.sparkContext.defaultParallelism, -(-scan.rdd.getNumPartitions() // TASK_PARTITIONS))
+
+
+def _listed(scan: DataFrame) -> DataFrame:
+    """``path`` of all files that the index of ``scan`` lists.
+
+    As ``scan.inputFiles()``, whose names take a call of the JVM each; here they come joined by line breaks,
+    which an address never holds.
+    """
+    names = scan.sparkSession._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles())
+    blocks = (names.slice(i, i + LISTED_AT_ONCE).mkString("\n") for i in range(0, names.length(), LISTED_AT_ONCE))
+    blocks = pa.table({"names": pa.array(blocks, pa.string())})
+    unquoted = F.pandas_udf(lambda paths: paths.map(unquote), "string")
+    return scan.sparkSession.createDataFrame(blocks).select(F.explode(F.split("names", "\n")).alias("path")).select(
+        _plain(unquoted("path")).alias("path"))
+
+
+def _empty_files(scan: DataFrame, tasks: int) -> DataFrame:
     """``path`` of the zero-length files that Spark's file index lists and its scans skip.
 
     The index (which Spark lists in parallel and holds on the driver for every scan) names all files; those
     that a scan gives no row for are empty. The scan reads no content.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    listed = [(_plain(unquote(f)),) for f in scan.inputFiles()]
-    seen = scan.select(_plain(F.col("path")).alias("path"))
-    return spark.createDataFrame(listed, "path string").join(seen, "path", "left_anti")
+    seen = scan.select(_plain(F.col("path")).alias("path")).coalesce(tasks)
+    return _listed(scan).join(seen, "path", "left_anti")
 
 
 def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool = True,
@@ -152,11 +181,11 @@ def read_text_files(spark: SparkSession, path: str | list[str], recursive: bool
     these, in any file system that Spark reads. Unreadable files fail the job unless
     ``ignore_corrupt`` (the reference returns empty text instead). Spark's scan skips
     empty files; ``include_empty`` adds them with ``""``."""
-    df = (spark.read.option("recursiveFileLookup", recursive)
-          .option("ignoreCorruptFiles", ignore_corrupt).text(path, wholetext=True))
-    out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    scan = _whole_files(spark, path, recursive, ignore_corrupt)
+    tasks = _tasks(scan)
+    out = scan.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content")).coalesce(tasks)
     if include_empty:
-        out = out.unionByName(_empty_files(spark, path, recursive).select("path", F.lit("").alias("content")))
+        out = out.unionByName(_empty_files(scan, tasks).select("path", F.lit("").alias("content")))
     return out
 
 
@@ -165,10 +194,11 @@ def read_binary_files(spark: SparkSession, path: str | list[str], recursive: boo
     """``path, length, modificationTime, payload``: each file's bytes as one-line base64.
     ``path`` as in :func:`read_text_files`. ``include_empty`` adds the zero-length files that Spark's scan
     skips (their modificationTime is null: Spark's index names them only)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    out = df.select("path", "length", "modificationTime", b64_encode("content").alias("payload"))
+    scan = _whole_files(spark, path, recursive)
+    tasks = _tasks(scan)
+    out = scan.select("path", "length", "modificationTime", b64_encode("content").alias("payload")).coalesce(tasks)
     if include_empty:
-        out = out.unionByName(_empty_files(spark, path, recursive).select(
+        out = out.unionByName(_empty_files(scan, tasks).select(
             "path", F.lit(0).cast("long").alias("length"),
             F.lit(None).cast("timestamp").alias("modificationTime"), F.lit("").alias("payload")))
     return out
