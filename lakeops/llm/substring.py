@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap_of, discard, gram_hashes, in_bitmap, mix, numbered, parts, ranges, slices, stage, within_rows, word_hashes
@@ -129,7 +129,27 @@ def _factor_batch(row, start, n, source, window):
         names=["row_key", "start", "n_words", "source"])
 
 
-def factors(rows: DataFrame, window: int = 35, scratch: list[DataFrame] | None = None) -> DataFrame:
+def _first_place(row_key: Column | str) -> Column:
+    """The place of a row's first word: 62 bits, so that adding a word position cannot overflow."""
+    return F.shiftright(F.xxhash64(row_key), 2)
+
+
+def _row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The key that `factors` gives each row of ``docs``. It follows the row's number: ids and texts may repeat."""
+    return _first_place(F.monotonically_increasing_id())
+
+
+def factors(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The duplicate factors of all texts: row_key, start, n_words and source.
+
+    row_key is the place of the row's first word (see `_row_key`); source, another place with
+    the same words, is the row_key of its row plus a word position.
+    """
+    found = _row_factors(numbered(docs, id_col, text_col), window)
+    return found.withColumn("row_key", _first_place("row_key"))
+
+
+def _row_factors(rows: DataFrame, window: int, scratch: list[DataFrame] | None = None) -> DataFrame:
     """The duplicate factors of ``rows(row_key, text)``: row_key, start, n_words and source (another
     place with the same words).
 
@@ -147,8 +167,8 @@ def factors(rows: DataFrame, window: int = 35, scratch: list[DataFrame] | None =
     bits = spark.sparkContext.broadcast(bitmap_of(repeated, "anchor", size))
     index = stage(rows.mapInArrow(lambda it: _entry_rows(it, window, bits.value), _ENTRIES), "entries")
 
-    # 62 bits, so that adding a word position cannot overflow. It only tells two places of one text apart.
-    place = F.shiftright(F.xxhash64("row_key"), 2) + F.col("start")
+    # It only tells two places of one text apart.
+    place = _first_place("row_key") + F.col("start")
     entries = stage(index.groupBy("anchor", "entry").agg(F.min(place).alias("first"), F.max(place).alias("other")), "places")
     whole = entries.filter("first <> other")
     pieces = (index.select("anchor", "entry", "row_key", "start", "n").join(whole, ["anchor", "entry"])
@@ -203,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     spark = docs.sparkSession
     rows = numbered(docs, id_col, text_col).select("doc_id", "text", "row_key")
     scratch: list[DataFrame] = []
-    found = factors(rows, window, scratch)
+    found = _row_factors(rows, window, scratch)
     spans = stage(found.groupBy("row_key").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "spans")
     discard(*scratch)  # the factors are in the spans
     kind = rows.schema["doc_id"].dataType.simpleString()
